@@ -87,13 +87,16 @@ def link_by_name(sets: DataFrame, plants: DataFrame) -> DataFrame:
               .select("ceg", "id_estado", "fonte", F.explode(_runs(F.col("nome_normalizado"))).alias("trecho"))
               .filter(F.length("trecho") >= MIN_CORE_LENGTH)
               .join(nodes, node, "left_semi"))
-    wants, offers = cut(wants), cut(offers)
+    all_wants, all_offers = cut(wants), cut(offers)
     links = None
     while True:
-        live = offers.select(*node).distinct()
-        wants = wants.join(live, node, "left_semi")              # prefixes with a free plant
+        offers, wants = all_offers, all_wants
+        if links is not None:
+            offers = offers.join(links.select(F.col("ceg_aneel").alias("ceg")), "ceg", "left_anti")
+            wants = wants.join(links.select("chave_unidade").distinct(), "chave_unidade", "left_anti")
+        wants = wants.join(offers.select(*node).distinct(), node, "left_semi")   # a free plant is left
         top = wants.groupBy(*node).agg(F.min("vez").alias("vez"))
-        per_plant = (offers.join(top, node).groupBy("ceg").agg(F.min("vez").alias("primeiro")))
+        per_plant = offers.join(top, node).groupBy("ceg").agg(F.min("vez").alias("primeiro"))
         span = (offers.join(per_plant, "ceg").groupBy(*node)
                 .agg(F.min("primeiro").alias("de"), F.max("primeiro").alias("ate")))
         ready = (wants.join(span, node)
@@ -101,18 +104,12 @@ def link_by_name(sets: DataFrame, plants: DataFrame) -> DataFrame:
                      F.min(((F.col("de") == F.col("vez")) & (F.col("ate") == F.col("vez"))).cast("int")).alias("ok"),
                      F.max_by(F.struct(*node), "palavras").alias("no"))
                  .filter("ok = 1").select("chave_unidade", "no.*"))
-        taken = offers.join(ready, node).select(
+        taken = cut(offers.join(ready, node).select(
             F.col("ceg").alias("ceg_aneel"), "chave_unidade", F.lit("nome").alias("metodo_vinculo"),
-            F.col("trecho").alias("nucleo_usado"))
-        taken = cut(taken)
+            F.col("trecho").alias("nucleo_usado")))
         if taken.isEmpty():
-            break
+            return taken if links is None else links
         links = taken if links is None else links.unionByName(taken)
-        offers = cut(offers.join(taken.select(F.col("ceg_aneel").alias("ceg")), "ceg", "left_anti"))
-        wants = cut(wants.join(taken.select("chave_unidade").distinct(), "chave_unidade", "left_anti"))
-    if links is None:
-        return taken
-    return links
 
 
 def link_units(units: DataFrame, registry: DataFrame) -> DataFrame:
