@@ -169,27 +169,28 @@ class Boosting:
     def importance(self, features: DataFrame, repeats: int = 5, key: Sequence[str] = ("serie", "data_hora")) -> DataFrame:
         """Rise of the squared error when one feature is dealt out again at random."""
         rows = features.filter(F.col(TARGET).isNotNull())
-        base = self.predict(rows).agg(F.avg(F.pow(F.col("previsto") - F.col(TARGET), 2))).first()[0]
-        out = []
-        for c in self.columns:
-            rise = 0.0
-            for r in range(repeats):
-                mixed = shuffle_column(rows, c, key, seed=r)
-                err = self.predict(mixed).agg(F.avg(F.pow(F.col("previsto") - F.col(TARGET), 2))).first()[0]
-                rise += (err - base) / repeats
-            out.append((c, float(rise)))
-        return features.sparkSession.createDataFrame(out, "feature string, importancia double").orderBy(
-            F.desc("importancia"))
-
-
-def shuffle_column(df: DataFrame, column: str, key: Sequence[str], seed: int = 0) -> DataFrame:
-    """Deal the values of one column out to other rows: rows are numbered in two
-    random orders and joined on the number."""
+        error = F.avg(F.pow(F.col("previsto") - F.col(TARGET), 2))
+        base = self.predict(rows).agg(error).first()[0]
+        rise = dict.fromkeys(self.columns, 0.0)
+        for r in range(repeats):
+            paired = with_partners(rows, self.columns, key, seed=r).cache()
+            for c in self.columns:
+                mixed = paired.withColumn(c, F.col(f"__partner.`{c}`"))
+                rise[c] += (self.predict(mixed).agg(error).first()[0] - base) / repeats
+            paired.unpersist()
+        return features.sparkSession.createDataFrame(
+            [(c, float(v)) for c, v in rise.items()], "feature string, importancia double").orderBy(F.desc("importancia"))
+
+
+def with_partners(df: DataFrame, columns: Sequence[str], key: Sequence[str], seed: int = 0) -> DataFrame:
+    """Pair every row with another one at random: rows are numbered in two orders
+    drawn from the hash of the key and joined on the number. `__partner` holds the
+    columns of the other row, so one shuffle serves every column."""
     u = hash_unit(*[F.col(k) for k in key], seed=f"a{seed}")
     v = hash_unit(*[F.col(k) for k in key], seed=f"b{seed}")
-    left = ordered.row_numbers(df.drop(column).withColumn("__u", u), ["__u", *key], "__i").drop("__u")
-    right = ordered.row_numbers(df.select(*key, column).withColumn("__v", v), ["__v", *key], "__i").select("__i", column)
-    return left.join(right, "__i").drop("__i").select(*df.columns)
+    left = ordered.row_numbers(df.withColumn("__u", u), ["__u", *key], "__place").drop("__u")
+    right = ordered.row_numbers(df.select(*dict.fromkeys([*key, *columns])).withColumn("__v", v), ["__v", *key], "__place")
+    return left.join(right.select("__place", F.struct(*columns).alias("__partner")), "__place").drop("__place")
 
 
 def backtest(series: DataFrame, n: int = BACKTEST_WINDOWS, horizon: int = HORIZON_H, min_train: int = MIN_TRAIN_H,

@@ -164,35 +164,35 @@ def climate_point(dim: DataFrame, points: DataFrame) -> DataFrame:
 # -------------------------------------------------------------- curve look-ups
 def _curve_scan(queries: DataFrame, curve: DataFrame, at: str, time: str, value: str,
                 by: Sequence[str], ahead: bool) -> DataFrame:
-    """(by, at, `__p`, `__n`): last curve point at or before each distinct query
+    """(by, at, `__lo_pt`, `__hi_pt`): last curve point at or before each distinct query
     time and, on request, the next one. One sort per range of time; equal query
     times are looked up once."""
     by = list(by)
     spot = F.struct(F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("v"))
     left = curve.filter(F.col(time).isNotNull()).select(
-        *by, F.col(time).cast("double").alias("__t"), F.lit(0).alias("__lado"), spot.alias("__p"))
+        *by, F.col(time).cast("double").alias("__curve_t"), F.lit(0).alias("__lado"), spot.alias("__lo_pt"))
     right = queries.filter(F.col(at).isNotNull()).select(
-        *by, F.col(at).cast("double").alias("__t"), F.lit(1).alias("__lado"),
-        F.lit(None).cast("struct<t:double,v:double>").alias("__p")).distinct()
-    both = left.unionByName(right).withColumn("__n", F.col("__p"))
-    both = both.withColumn("__o", F.struct("__t", "__lado"))
-    both = ordered.add_bucket(both, "__t", ordered.cut_points(both, ["__t"])["__t"], "__bk")
-    both = ordered.carry(both, by, "__o", ["__p"], F.col("__bk"))
+        *by, F.col(at).cast("double").alias("__curve_t"), F.lit(1).alias("__lado"),
+        F.lit(None).cast("struct<t:double,v:double>").alias("__lo_pt")).distinct()
+    both = left.unionByName(right).withColumn("__hi_pt", F.col("__lo_pt"))
+    both = both.withColumn("__o", F.struct("__curve_t", "__lado"))
+    both = ordered.add_bucket(both, "__curve_t", ordered.cut_points(both, ["__curve_t"])["__curve_t"], "__bk")
+    both = ordered.carry(both, by, "__o", ["__lo_pt"], F.col("__bk"))
     if ahead:
-        both = ordered.carry(both, by, "__o", ["__n"], F.col("__bk"), backward=True)
-    return both.filter("__lado = 1").select(*by, "__t", "__p", "__n")
+        both = ordered.carry(both, by, "__o", ["__hi_pt"], F.col("__bk"), backward=True)
+    return both.filter("__lado = 1").select(*by, "__curve_t", "__lo_pt", "__hi_pt")
 
 
 def _back_to_rows(queries: DataFrame, found: DataFrame, at: str, by: Sequence[str]) -> DataFrame:
-    keyed = queries.withColumn("__t", F.col(at).cast("double"))
-    return ordered.null_safe(keyed, found, [*by, "__t"], "left")
+    keyed = queries.withColumn("__curve_t", F.col(at).cast("double"))
+    return ordered.null_safe(keyed, found, [*by, "__curve_t"], "left")
 
 
 def step_lookup(queries: DataFrame, curve: DataFrame, at: str, time: str, value: str,
                 by: Sequence[str] = (), name: str = "valor", before: float | None = None) -> DataFrame:
     """Value of a step curve at a time: the last point at or before it."""
     found = _curve_scan(queries, curve, at, time, value, by, ahead=False)
-    result = F.when(F.col("__t").isNotNull(), F.coalesce(F.col("__p.v"), F.lit(before).cast("double")))
+    result = F.when(F.col("__curve_t").isNotNull(), F.coalesce(F.col("__lo_pt.v"), F.lit(before).cast("double")))
     return _back_to_rows(queries, found, at, by).select(*queries.columns, result.alias(name))
 
 
@@ -200,7 +200,7 @@ def curve_lookup(queries: DataFrame, curve: DataFrame, at: str, time: str, value
                  by: Sequence[str] = (), name: str = "valor") -> DataFrame:
     """Value of a curve at a time by linear interpolation; both ends clamp."""
     found = _curve_scan(queries, curve, at, time, value, by, ahead=True)
-    p, n, t = F.col("__p"), F.col("__n"), F.col("__t")
+    p, n, t = F.col("__lo_pt"), F.col("__hi_pt"), F.col("__curve_t")
     line = (F.when(p.isNull(), n["v"]).when(n.isNull(), p["v"])
             .when((n["t"] == p["t"]) | (t == p["t"]), p["v"])
             .otherwise(p["v"] + (n["v"] - p["v"]) * (t - p["t"]) / (n["t"] - p["t"])))

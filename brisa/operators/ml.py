@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from brisa.functions.numeric import hash_unit
 from brisa.operators import ordered
 from brisa.operators.cleaning import categories, fit_scale, modes, numeric_columns
-from brisa.operators.forecast import shuffle_column
+from brisa.operators.forecast import with_partners
 
 
 # ----------------------------------------------------------------------- split
@@ -230,13 +230,15 @@ def permutation_importances(model, df: DataFrame, columns: Sequence[str], key: S
     """Loss of score when one column is dealt out again to other rows."""
     flat = df.select(*dict.fromkeys([*key, *columns, "label"])).cache()
     base = score(model.transform(vectorise(flat, columns)), kind)
-    rows = []
-    for c in columns:
-        loss = [base - score(model.transform(vectorise(shuffle_column(flat, c, key, seed=r), columns)), kind)
-                for r in range(repeats)]
-        rows.append((c, float(np.mean(loss))))
+    loss = dict.fromkeys(columns, 0.0)
+    for r in range(repeats):
+        paired = with_partners(flat, columns, key, seed=r).cache()
+        for c in columns:
+            mixed = paired.withColumn(c, F.col(f"__partner.`{c}`"))
+            loss[c] += (base - score(model.transform(vectorise(mixed, columns)), kind)) / repeats
+        paired.unpersist()
     flat.unpersist()
-    rows.sort(key=lambda r: -r[1])
+    rows = sorted(((c, float(v)) for c, v in loss.items()), key=lambda r: -r[1])
     return df.sparkSession.createDataFrame(rows, "feature string, importancia double")
 
 

@@ -245,10 +245,10 @@ def row_numbers(df: DataFrame, order: Sequence[str], name: str, start: int = 1)
     counts = base.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    return (base.withColumn("__i", F.row_number().over(W.partitionBy("__b").orderBy(*order)))
+    return (base.withColumn("__rn", F.row_number().over(W.partitionBy("__b").orderBy(*order)))
             .join(F.broadcast(offsets), "__b")
-            .withColumn(name, F.col("__i") + F.col("__o") + F.lit(start - 1))
-            .drop("__b", "__i", "__o"))
+            .withColumn(name, F.col("__rn") + F.col("__o") + F.lit(start - 1))
+            .drop("__b", "__rn", "__o"))
 
 
 # ------------------------------------------------------------------ time chunks

@@ -97,23 +97,24 @@ def mean_cumulative(panel: DataFrame, by: Sequence[str] = (SOURCE,), key: str =
     return run.select(*by, "tempo_anos", "em_risco", F.col("d").alias("eventos"), "mcf")
 
 
-def expected_events(rows: DataFrame, curve: DataFrame, age: str, years: float, by: Sequence[str] = (SOURCE,),
-                    name: str = "esperados") -> DataFrame:
-    """MCF(age + years) - MCF(age); the curve clamps at both ends."""
-    asked = rows.withColumn("__end", F.col(age) + F.lit(float(years)))
-    out = curve_lookup(asked, curve, age, "tempo_anos", "mcf", by, "__m0")
-    out = curve_lookup(out, curve, "__end", "tempo_anos", "mcf", by, "__m1")
-    return out.withColumn(name, F.col("__m1") - F.col("__m0")).drop("__m0", "__m1", "__end")
+def expected_events(rows: DataFrame, curve: DataFrame, age: str, years: Sequence[float], by: Sequence[str] = (SOURCE,),
+                    prefix: str = "esperados") -> DataFrame:
+    """MCF(age + years) - MCF(age) for each length as `prefix_i`; the curve clamps at
+    both ends. Distinct (group, age) pairs are looked up once for all lengths."""
+    spots = rows.select(*by, F.col(age).alias("__age")).distinct().withColumn(
+        "__y", F.explode(F.array(F.lit(0.0), *[F.lit(float(y)) for y in years])))
+    read = curve_lookup(spots.withColumn("__at", F.col("__age") + F.col("__y")), curve, "__at", "tempo_anos", "mcf", by, "__m")
+    at = lambda y: F.max(F.when(F.col("__y") == float(y), F.col("__m")))
+    wide = read.groupBy(*by, "__age").agg(*[(at(y) - at(0.0)).alias(f"{prefix}_{i}") for i, y in enumerate(years)])
+    return ordered.null_safe(rows.withColumn("__age", F.col(age)), wide, [*by, "__age"], "left").drop("__age")
 
 
 def expected_per_unit(units: DataFrame, curve: DataFrame, model: CoxModel, age: str = "idade_anos",
                       months: Sequence[int] = HORIZON_MONTHS) -> DataFrame:
     """Expected events of each unit at each horizon and its relative rate."""
-    out = units.withColumn("taxa_relativa", F.exp(model.score()))
-    for m in months:
-        out = expected_events(out, curve, age, m / 12, name="__e").withColumn(
-            f"manutencoes_esperadas_{m}m", F.round(F.col("__e") * F.col("taxa_relativa"), 3)).drop("__e")
-    return out
+    out = expected_events(units.withColumn("taxa_relativa", F.exp(model.score())), curve, age, [m / 12 for m in months], prefix="__e")
+    return out.withColumns({f"manutencoes_esperadas_{m}m": F.round(F.col(f"__e_{i}") * F.col("taxa_relativa"), 3)
+                            for i, m in enumerate(months)}).drop(*[f"__e_{i}" for i in range(len(months))])
 
 
 def exposure(panel: DataFrame, curve: DataFrame, covariates: Sequence[str] = MODEL_COVARIATES,
@@ -256,5 +257,6 @@ def panel_summary(panel: DataFrame) -> DataFrame:
 
 
 def mcf_at(curve: DataFrame, years: Sequence[float] = (1, 3, 5, 10), by: Sequence[str] = (SOURCE,)) -> DataFrame:
+    curve = ordered.cut(curve)          # one row per event time
     asks = curve.select(*by).distinct().withColumn("anos", F.explode(F.array(*[F.lit(float(y)) for y in years])))
     return step_lookup(asks, curve, "anos", "tempo_anos", "mcf", by, "mcf", before=0.0)

@@ -67,33 +67,32 @@ def choose(cand: DataFrame, per_group: int = 1, min_group_mw: float = 50.0, min_
     # the order of groups: larger total first, then name
     pool = cand.join(totals, group).withColumn("vez", F.struct((-F.col("total")).alias("t"), *group))
     pool = cut(pool.withColumn("rank", F.struct((-F.col("potencia_mw")).alias("p"), F.col("ceg"))))
-    chosen = None
+    columns, chosen = pool.columns, None
     while True:
-        left = pool
-        if chosen is not None:
-            near = _cells(chosen.select(F.col("latitude").alias("qa"), F.col("longitude").alias("qo")),
-                          "qa", "qo", min_km, False, "k")
-            blocked = (_cells(pool.select("ceg", "latitude", "longitude"), "latitude", "longitude", min_km, True, "k")
-                       .join(near, ["k0", "k1", "k2"])
-                       .filter(haversine_km(*[F.col(c) for c in ("latitude", "longitude", "qa", "qo")]) < min_km)
-                       .select("ceg").distinct())
-            full = chosen.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= per_group)
-            left = (pool.join(blocked, "ceg", "left_anti").join(full, group, "left_anti")
-                    .join(chosen.select("ceg"), "ceg", "left_anti"))
-        leaders = left.groupBy("vez").agg(F.min_by(F.struct(*[c for c in pool.columns if c != "vez"]), "rank")
+        leaders = pool.groupBy("vez").agg(F.min_by(F.struct(*[c for c in columns if c != "vez"]), "rank")
                                           .alias("r")).select("vez", "r.*")
         rivals = (_cells(leaders.select(F.col("vez").alias("qv"), F.col("ceg").alias("qc"),
                                         F.col("latitude").alias("qa"), F.col("longitude").alias("qo")),
                          "qa", "qo", min_km, True, "k")
-                  .join(_cells(left.select("vez", "latitude", "longitude"), "latitude", "longitude", min_km, False,
+                  .join(_cells(pool.select("vez", "latitude", "longitude"), "latitude", "longitude", min_km, False,
                                "k"), ["k0", "k1", "k2"])
                   .filter((F.col("vez") < F.col("qv"))
                           & (haversine_km(*[F.col(c) for c in ("latitude", "longitude", "qa", "qo")]) < min_km))
                   .select(F.col("qc").alias("ceg")).distinct())
-        taken = cut(leaders.join(rivals, "ceg", "left_anti").select(*pool.columns))
+        taken = cut(leaders.join(rivals, "ceg", "left_anti").select(*columns))
         if taken.isEmpty():
             break
-        chosen = taken if chosen is None else cut(chosen.unionByName(taken))
+        chosen = taken if chosen is None else chosen.unionByName(taken)
+        # plants of full groups and plants too near to the new points leave the pool
+        near = _cells(taken.select(F.col("latitude").alias("qa"), F.col("longitude").alias("qo")),
+                      "qa", "qo", min_km, True, "k")
+        blocked = (_cells(pool.select("ceg", "latitude", "longitude"), "latitude", "longitude", min_km, False, "k")
+                   .join(near, ["k0", "k1", "k2"])
+                   .filter(haversine_km(*[F.col(c) for c in ("latitude", "longitude", "qa", "qo")]) < min_km)
+                   .select("ceg"))
+        full = (chosen.groupBy("vez").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= per_group).select("vez"))
+        pool = cut(pool.join(blocked.unionByName(taken.select("ceg")), "ceg", "left_anti")
+                   .join(full, "vez", "left_anti").select(*columns))
     points = (taken if chosen is None else chosen).drop("vez", "rank", "total").withColumn(
         "local", slug(F.concat_ws("_", "municipio", "id_estado")))
     repeated = points.groupBy("local").agg(F.count(F.lit(1)).alias("__n"))

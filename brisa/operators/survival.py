@@ -193,6 +193,7 @@ def cause_incidence(df: DataFrame, time: str, cause: str, by: Sequence[str] = ()
 def incidence_at(curve: DataFrame, horizons: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Incidence per cause at fixed times, and by how much 1 - KM overstates it."""
     keys = [*by, "causa"]
+    curve = ordered.cut(curve)          # one row per event time, read by both look-ups
     asks = curve.select(*keys).distinct().withColumn("anos", F.explode(F.array(*[F.lit(float(h)) for h in horizons])))
     out = curve_lookup(asks, curve, "anos", "tempo", "aalen_johansen", keys, "incidencia_aalen_johansen")
     out = step_lookup(out, curve, "anos", "tempo", "um_menos_km", keys, "incidencia_1_menos_km", before=0.0)
@@ -217,33 +218,34 @@ def _log_likelihood(model: str, t: Column, n: Column, d: Column, a: float, b: fl
     raise ValueError(f"unknown model {model}")
 
 
-def _fit_two(table: DataFrame, model: str, start: tuple[float, float]) -> tuple[float, float, float]:
-    """Newton steps from likelihoods at nine neighbouring points, one job each."""
-    t, n, d = F.col("tempo"), F.col("n").cast("double"), F.col("d").cast("double")
-    h, at, best, step = 1e-3, np.array(start, float), None, None
-    last = at
-    for _ in range(40):
-        grid = [(at[0] + i * h, at[1] + j * h) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-        row = table.agg(*[F.sum(_log_likelihood(model, t, n, d, a, b)).alias(f"l{k}") for k, (a, b) in enumerate(grid)]).first()
-        f = np.array([row[f"l{k}"] for k in range(9)], float).reshape(3, 3)
-        if best is not None and (not np.isfinite(f[1, 1]) or f[1, 1] < best - 1e-9 * abs(best)):
-            step = step / 2
-            at = last + step
-            if np.max(np.abs(step)) < 1e-8:
-                break
-            continue
-        best, last = f[1, 1], at.copy()
+class _Search:
+    """Newton steps of one fit, fed with likelihoods at nine neighbouring points."""
+
+    H = 1e-3
+
+    def __init__(self, model: str, start: tuple[float, float]):
+        self.model, self.at, self.last, self.best = model, np.array(start, float), np.array(start, float), None
+        self.step, self.done = np.zeros(2), False
+
+    def grid(self) -> list[tuple[float, float]]:
+        return [(self.at[0] + i * self.H, self.at[1] + j * self.H) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+
+    def feed(self, values: Sequence[float]) -> None:
+        f, h = np.array(values, float).reshape(3, 3), self.H
+        if self.best is not None and not f[1, 1] >= self.best - 1e-12 * abs(self.best):
+            self.step = self.step / 2
+            self.at, self.done = self.last + self.step, np.max(np.abs(self.step)) < 1e-8
+            return
+        self.best, self.last = f[1, 1], self.at.copy()
         g = np.array([f[2, 1] - f[0, 1], f[1, 2] - f[1, 0]]) / (2 * h)
-        hess = np.array([[f[2, 1] - 2 * f[1, 1] + f[0, 1], (f[2, 2] - f[2, 0] - f[0, 2] + f[0, 0]) / 4],
-                         [(f[2, 2] - f[2, 0] - f[0, 2] + f[0, 0]) / 4, f[1, 2] - 2 * f[1, 1] + f[1, 0]]]) / h ** 2
+        cross = (f[2, 2] - f[2, 0] - f[0, 2] + f[0, 0]) / 4
+        hess = np.array([[f[2, 1] - 2 * f[1, 1] + f[0, 1], cross], [cross, f[1, 2] - 2 * f[1, 1] + f[1, 0]]]) / h ** 2
         eig = np.linalg.eigvalsh(hess)
         if eig.max() >= -1e-8 * max(abs(eig).max(), 1):
             hess = hess - np.eye(2) * (eig.max() + 0.1 * abs(eig).max() + 1e-6)
-        step = np.clip(-np.linalg.solve(hess, g), -1, 1)
-        if np.max(np.abs(step)) < 1e-7:
-            break
-        at = at + step
-    return float(last[0]), float(last[1]), float(best)
+        self.step = np.clip(-np.linalg.solve(hess, g), -1, 1)
+        self.done = np.max(np.abs(self.step)) < 1e-7
+        self.at = self.at + self.step
 
 
 def parametric_fits(df: DataFrame, time: str, event: str,
@@ -252,36 +254,47 @@ def parametric_fits(df: DataFrame, time: str, event: str,
     """(by, modelo, aic, log_verossimilhanca, p1, p2, mediana_prevista, delta_aic), best first.
 
     p1, p2 are scale and shape (weibull), scale (exponencial), mean and deviation
-    of the log (lognormal), scale and shape (loglogistico).
+    of the log (lognormal), scale and shape (loglogistico). All open fits of all
+    groups advance together: one job per round of steps.
     """
-    spark, out = df.sparkSession, []
-    table = counts(df, time, event, [by] if by else []).cache()
-    values = [r[0] for r in table.select(by).distinct().collect()] if by else [None]
-    for g in sorted(values) if by else values:
-        mine = table.filter(F.col(by) == F.lit(g)) if by else table
-        base = mine.agg(F.sum("d").alias("d"), F.sum(F.col("n") * F.col("tempo")).alias("t"), F.sum("n").alias("n"),
-                        (F.sum(F.col("n") * F.ln("tempo")) / F.sum("n")).alias("m"),
-                        (F.sum(F.col("n") * F.pow(F.ln("tempo"), 2)) / F.sum("n")).alias("q")).first()
-        dev = max(math.sqrt(max(base["q"] - base["m"] ** 2, 0)), 1e-3)
-        mean = base["t"] / base["d"]
+    spark, key = df.sparkSession, by or "grupo"
+    table = counts(df if by else df.withColumn("grupo", F.lit("geral")), time, event, [key]).cache()
+    t, n, d = F.col("tempo"), F.col("n").cast("double"), F.col("d").cast("double")
+    base = {r[key]: r for r in table.groupBy(key).agg(
+        F.sum("d").alias("d"), F.sum(n * t).alias("t"), F.sum("n").alias("n"), (F.sum(n * F.ln(t)) / F.sum(n)).alias("m"),
+        (F.sum(n * F.pow(F.ln(t), 2)) / F.sum(n)).alias("q")).collect()}
+    fits = {}
+    for g, b in base.items():
+        dev = max(math.sqrt(max(b["q"] - b["m"] ** 2, 0)), 1e-3)
+        for m in models:
+            if m != "exponencial":
+                fits[g, m] = _Search(m, (b["m"], math.log(dev)) if m == "lognormal" else (math.log(b["t"] / b["d"]), 0.0))
+    for _ in range(60):
+        live = [(k, f) for k, f in fits.items() if not f.done]
+        if not live:
+            break
+        aggs = [F.sum(F.when(F.col(key) == F.lit(g), _log_likelihood(m, t, n, d, x, y))).alias(f"l{i}_{j}")
+                for i, ((g, m), f) in enumerate(live) for j, (x, y) in enumerate(f.grid())]
+        row = table.agg(*aggs).first()
+        for i, (_, f) in enumerate(live):
+            f.feed([row[f"l{i}_{j}"] for j in range(9)])
+    table.unpersist()
+    out = []
+    for g, b in base.items():
         for m in models:
             if m == "exponencial":
-                ll, p1, p2, k = -base["d"] * math.log(mean) - base["t"] / mean, mean, None, 1
-                median = mean * math.log(2)
+                mean = b["t"] / b["d"]
+                ll, p1, p2, k, median = -b["d"] * math.log(mean) - b["d"], mean, None, 1, mean * math.log(2)
             else:
-                start = (base["m"], math.log(dev)) if m == "lognormal" else (math.log(mean), 0.0)
-                a, b, ll = _fit_two(mine, m, start)
-                k = 2
-                p1, p2 = (a, math.exp(b)) if m == "lognormal" else (math.exp(a), math.exp(b))
-                median = {"weibull": math.exp(a) * math.log(2) ** (1 / math.exp(b)), "lognormal": math.exp(a),
-                          "loglogistico": math.exp(a)}[m]
-            out.append((str(g) if by else "geral", m, 2 * k - 2 * ll, ll, p1, p2, median))
-    table.unpersist()
-    low = {}
+                (x, y), ll, k = fits[g, m].last, float(fits[g, m].best), 2
+                p1, p2 = (float(x), math.exp(y)) if m == "lognormal" else (math.exp(x), math.exp(y))
+                median = math.exp(x) * (math.log(2) ** (1 / math.exp(y)) if m == "weibull" else 1.0)
+            out.append((str(g), m, 2 * k - 2 * ll, ll, p1, p2, median))
+    low: dict = {}
     for g, _, aic, *_ in out:
         low[g] = min(low.get(g, aic), aic)
     rows = sorted(((*r, r[2] - low[r[0]]) for r in out), key=lambda r: (r[0], r[2]))
-    return spark.createDataFrame(rows, f"{by or 'grupo'} string, modelo string, aic double, log_verossimilhanca double, "
+    return spark.createDataFrame(rows, f"{key} string, modelo string, aic double, log_verossimilhanca double, "
                                  "p1 double, p2 double, mediana_prevista double, delta_aic double")
 
 
