@@ -94,28 +94,27 @@ class _Data:
             F.col(event).cast("double").alias("e"), *x).persist(StorageLevel.MEMORY_AND_DISK)
         self.points = ordered.cut_points(self.rows, ["t"])["t"]
 
-    def score_of(self, beta: np.ndarray) -> Column:
-        total = F.lit(0.0)
-        for i, b in enumerate(beta):
-            total = total + F.col(f"x{i}") * F.lit(float(b))
-        return total
+    def scored(self, beta: np.ndarray) -> DataFrame:
+        """Rows with x.b and exp(x.b). Coefficients come as a one-row table, not as
+        literals, so that every step runs the same compiled code."""
+        one = self.rows.sparkSession.createDataFrame([([float(b) for b in beta],)], "b array<double>")
+        score = " + ".join(f"x{i} * b[{i}]" for i in range(self.p))
+        return self.rows.join(F.broadcast(one)).withColumn("xb", F.expr(score)).withColumn("r", F.expr("exp(xb)")).drop("b")
 
     def per_time(self, beta: np.ndarray, second: bool = True) -> DataFrame:
         """(strata, t): event sums and sums over the risk set."""
         p, pairs = self.p, _pairs(self.p) if second else []
-        rows = self.rows.withColumn("xb", self.score_of(beta)).withColumn("r", F.exp("xb"))
-        r, e = F.col("r"), F.col("e")
-        x = [F.col(f"x{i}") for i in range(p)]
-        sums = {"s": r, **{f"s_{i}": r * x[i] for i in range(p)}, **{f"s_{i}_{j}": r * x[i] * x[j] for i, j in pairs}}
-        at_event = {"d": e, "exb": e * F.col("xb"), "q": e * r, **{f"ex_{i}": e * x[i] for i in range(p)},
-                    **{f"q_{i}": e * r * x[i] for i in range(p)},
-                    **{f"q_{i}_{j}": e * r * x[i] * x[j] for i, j in pairs}}
-        stops = rows.groupBy(*self.strata, "t").agg(*[F.sum(v).alias(k) for k, v in {**sums, **at_event}.items()])
+        rows = self.scored(beta)
+        sums = {"s": "r", **{f"s_{i}": f"r * x{i}" for i in range(p)}, **{f"s_{i}_{j}": f"r * x{i} * x{j}" for i, j in pairs}}
+        at_event = {"d": "e", "exb": "e * xb", "q": "e * r", **{f"ex_{i}": f"e * x{i}" for i in range(p)},
+                    **{f"q_{i}": f"e * r * x{i}" for i in range(p)},
+                    **{f"q_{i}_{j}": f"e * r * x{i} * x{j}" for i, j in pairs}}
+        stops = rows.groupBy(*self.strata, "t").agg(*[F.expr(f"sum({v}) AS {k}") for k, v in {**sums, **at_event}.items()])
         if self.entry:
-            starts = rows.groupBy(*self.strata, F.col("t0").alias("t")).agg(*[F.sum(-v).alias(k) for k, v in sums.items()])
+            starts = rows.groupBy(*self.strata, F.col("t0").alias("t")).agg(*[F.expr(f"sum(-{v}) AS {k}") for k, v in sums.items()])
             both = stops.unionByName(starts, allowMissingColumns=True)
             stops = both.groupBy(*self.strata, "t").agg(*[
-                F.coalesce(F.sum(k), F.lit(0.0)).alias(k) for k in [*sums, *at_event]])
+                F.expr(f"coalesce(sum({k}), 0.0D) AS {k}") for k in [*sums, *at_event]])
         return ordered.running_sums(stops, self.strata, "t", {f"R{k}": k for k in sums}, descending=True,
                                     points=self.points)
 
@@ -127,15 +126,12 @@ class _Data:
         a = d * s0 / e0
         at = at.withColumns({"A0": d / e0 * sum_inverse(a, d), "L": d * F.ln(e0 / d) + sum_log(a, d),
                              "B0": F.pow(d / e0, 2) * sum_inverse_square(a, d)})
-        at = at.withColumns({"A1": (s0 * F.col("A0") - d) / e0, "B1": (s0 * F.col("B0") - F.col("A0")) / e0})
-        at = at.withColumn("B2", (s0 * F.col("B1") - F.col("A1")) / e0)
-        s, q = [F.col(f"Rs_{i}") for i in range(p)], [F.col(f"q_{i}") for i in range(p)]
-        aggs = [F.sum(F.col("exb") - F.col("L")).alias("ll")]
-        aggs += [F.sum(F.col(f"ex_{i}") - s[i] * F.col("A0") + q[i] * F.col("A1")).alias(f"u{i}") for i in range(p)]
-        for i, j in pairs:
-            value = (F.col(f"Rs_{i}_{j}") * F.col("A0") - F.col(f"q_{i}_{j}") * F.col("A1")
-                     - s[i] * s[j] * F.col("B0") + (s[i] * q[j] + q[i] * s[j]) * F.col("B1") - q[i] * q[j] * F.col("B2"))
-            aggs.append(F.sum(value).alias(f"i{i}_{j}"))
+        at = at.withColumns({"A1": F.expr("(Rs * A0 - d) / q"), "B1": F.expr("(Rs * B0 - A0) / q")})
+        at = at.withColumn("B2", F.expr("(Rs * B1 - A1) / q"))
+        aggs = [F.expr("sum(exb - L) AS ll")]
+        aggs += [F.expr(f"sum(ex_{i} - Rs_{i} * A0 + q_{i} * A1) AS u{i}") for i in range(p)]
+        aggs += [F.expr(f"sum(Rs_{i}_{j} * A0 - q_{i}_{j} * A1 - Rs_{i} * Rs_{j} * B0 + (Rs_{i} * q_{j} + q_{i} * Rs_{j}) * B1 "
+                        f"- q_{i} * q_{j} * B2) AS i{i}_{j}") for i, j in pairs]
         row = at.agg(*aggs).first()
         u = np.array([row[f"u{i}"] for i in range(p)], float)
         info = np.array([[row[f"i{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], float)
@@ -158,7 +154,7 @@ class _Data:
         run = ordered.running_sums(at.select(*self.strata, "t", "dh", *[f"dg{i}" for i in range(p)], *[f"m{i}" for i in range(p)]),
                                    self.strata, "t", {"H": "dh", **{f"G{i}": f"dg{i}" for i in range(p)}}, points=self.points)
         run = run.select(*self.strata, "t", "H", *[f"G{i}" for i in range(p)], *[f"m{i}" for i in range(p)])
-        rows = self.rows.withColumn("r", F.exp(self.score_of(beta)))
+        rows = self.scored(beta)
         joined = ordered.null_safe(rows, run, [*self.strata, "t"])
         if self.entry:
             began = run.select(*self.strata, F.col("t").alias("t0"), F.col("H").alias("H0"),

@@ -174,7 +174,7 @@ def _curve_scan(queries: DataFrame, curve: DataFrame, at: str, time: str, value:
     right = queries.filter(F.col(at).isNotNull()).select(
         *by, F.col(at).cast("double").alias("__curve_t"), F.lit(1).alias("__lado"),
         F.lit(None).cast("struct<t:double,v:double>").alias("__lo_pt")).distinct()
-    both = left.unionByName(right).withColumn("__hi_pt", F.col("__lo_pt"))
+    both = ordered.cut(left.unionByName(right)).withColumn("__hi_pt", F.col("__lo_pt"))
     both = both.withColumn("__o", F.struct("__curve_t", "__lado"))
     both = ordered.add_bucket(both, "__curve_t", ordered.cut_points(both, ["__curve_t"])["__curve_t"], "__bk")
     both = ordered.carry(both, by, "__o", ["__lo_pt"], F.col("__bk"))

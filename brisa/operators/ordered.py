@@ -83,10 +83,13 @@ def running_sums(
     """Running sums in the order of a numeric column inside each group.
 
     `df` has one row per (by, order). Each output `name` is the sum of
-    `sums[name]` over the rows up to and including this one.
+    `sums[name]` over the rows up to and including this one. Without `points`
+    the table, already small after its aggregate, is written once, so that the
+    raw data behind it is read a single time.
     """
     by = list(by)
     if points is None:
+        df = cut(df)
         points = cut_points(df, [order])[order]
     base = add_bucket(df, order, points, "__b")
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
@@ -94,8 +97,7 @@ def running_sums(
               .rowsBetween(W.unboundedPreceding, W.currentRow))
     before = (W.partitionBy(*by).orderBy(direction("__b"))
               .rowsBetween(W.unboundedPreceding, -1))
-    totals = base.groupBy(*by, "__b").agg(
-        *[F.sum(source).alias(f"__t_{name}") for name, source in sums.items()])
+    totals = base.groupBy(*by, "__b").agg(*[F.expr(f"sum(`{source}`) AS `__t_{name}`") for name, source in sums.items()])
     # one row per non-empty range of a group: at most MAX_BUCKETS rows per group
     offsets = totals.select(*by, "__b", *[
         F.coalesce(F.sum(f"__t_{name}").over(before), F.lit(0)).alias(f"__o_{name}")
@@ -103,8 +105,7 @@ def running_sums(
     local = base.select(*base.columns, *[
         F.sum(source).over(inside).alias(f"__l_{name}") for name, source in sums.items()])
     joined = null_safe(local, offsets, [*by, "__b"])
-    return joined.select(*df.columns, *[
-        (F.col(f"__l_{name}") + F.col(f"__o_{name}")).alias(name) for name in sums])
+    return joined.select(*df.columns, *[F.expr(f"`__l_{name}` + `__o_{name}` AS `{name}`") for name in sums])
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),

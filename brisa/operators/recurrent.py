@@ -39,7 +39,7 @@ def episodes(points: DataFrame, key: str, time: str, start: Column, end: Column,
     ends = points.groupBy(key, *attributes).agg(F.min(start.cast("double")).alias("a"), F.max(end.cast("double")).alias("z"))
     stops = rows.select(key, *attributes, "a", F.col("t").alias(STOP), F.lit(1).alias(EVENT)).unionByName(
         ends.select(key, *attributes, "a", F.col("z").alias(STOP), F.lit(0).alias(EVENT)))
-    stops = stops.withColumn("__one", F.lit(1))
+    stops = ordered.cut(stops.withColumn("__one", F.lit(1)))
     points_at = ordered.cut_points(stops, [STOP])[STOP]
     numbered = ordered.running_sums(stops, [key], STOP, {EPISODE: "__one"}, points=points_at).drop("__one")
     before = numbered.select(key, (F.col(EPISODE) + 1).alias(EPISODE), F.col(STOP).alias("__prev"))
@@ -90,6 +90,7 @@ def mean_cumulative(panel: DataFrame, by: Sequence[str] = (SOURCE,), key: str =
         F.count(F.lit(1)).alias("d"))
     both = ends.withColumn("d", F.lit(0)).unionByName(hits.withColumn("u", F.lit(0))).groupBy(*by, "tempo_anos").agg(
         F.sum("u").alias("u"), F.sum("d").alias("d"))
+    both = ordered.cut(both)
     points = ordered.cut_points(both, ["tempo_anos"])["tempo_anos"]
     risk = ordered.running_sums(both, by, "tempo_anos", {"em_risco": "u"}, descending=True, points=points)
     events = risk.filter("d > 0").withColumn("__m", F.when(F.col("em_risco") > 0, F.col("d") / F.col("em_risco")).otherwise(0.0))

@@ -39,6 +39,7 @@ def spearman_pair(df: DataFrame, a: str, b: str) -> DataFrame:
     """
     pairs = (df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
              .dropna().groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")))
+    pairs = ordered.cut(pairs)
     total = pairs.count()
     ranked = pairs
     for c in ("a", "b"):
@@ -121,6 +122,7 @@ def ks_distance(df: DataFrame, column: str, cdf: Column) -> DataFrame:
     `valor`: (d, n)."""
     table = (df.select(F.col(column).cast("double").alias("valor")).dropna()
              .groupBy("valor").agg(F.count(F.lit(1)).alias("n")))
+    table = ordered.cut(table)
     run = ordered.running_sums(table, [], "valor", {"__ate": "n"})
     total = table.agg(F.sum("n").alias("__t"))
     f, up = F.col("__f"), F.col("__ate") / F.col("__t")
@@ -183,7 +185,8 @@ def group_summary(df: DataFrame, value: str, group: str) -> DataFrame:
 def rank_sums(df: DataFrame, value: str, group: str) -> tuple[DataFrame, DataFrame]:
     """((grupo, n, soma_postos), one row with n and the tie term)."""
     rows = df.dropna(subset=[value, group])
-    cells = rows.groupBy(F.col(group).alias("grupo"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("w"))
+    cells = ordered.cut(rows.groupBy(F.col(group).alias("grupo"), F.col(value).cast("double").alias("v")).agg(
+        F.count(F.lit(1)).alias("w")))
     per = cells.groupBy("v").agg(F.sum("w").alias("n"))
     ranks = ordered.running_sums(per, [], "v", {"__ate": "n"}).withColumn(
         "posto", F.col("__ate") - F.col("n") + (F.col("n") + 1) / 2)

@@ -11,7 +11,7 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from brisa.constants import DAYS_PER_UNIT, MIN_AT_RISK
 from brisa.functions.numeric import normal_cdf
@@ -54,6 +54,9 @@ def counts(df: DataFrame, time: str, event: str, by: Sequence[str] = ()) -> Data
 
 
 def _risk(table: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[float]]:
+    """Rows at risk at each time. The counts are written once: the raw rows behind
+    them are read a single time, whatever is built on the curve."""
+    table = ordered.cut(table)
     points = ordered.cut_points(table, ["tempo"])["tempo"]
     return ordered.running_sums(table, by, "tempo", {"em_risco": "n"}, descending=True, points=points), points
 
@@ -201,21 +204,18 @@ def incidence_at(curve: DataFrame, horizons: Sequence[float], by: Sequence[str]
 
 
 # ------------------------------------------------------------------ parametric
-def _log_likelihood(model: str, t: Column, n: Column, d: Column, a: float, b: float) -> Column:
-    """Sum over rows (t, n ends, d events) at log-scale a and log-shape b."""
-    lt, shape = F.ln(t), math.exp(b)
-    if model == "weibull":
-        u = F.lit(shape) * (lt - a)
-        return d * (b - lt + u) - n * F.exp(u)
-    if model == "loglogistico":
-        u = F.lit(shape) * (lt - a)
-        soft = F.when(u > 30, u).otherwise(F.ln(1 + F.exp(F.least(u, F.lit(30.0)))))
-        return d * (b - lt + u - soft) - n * soft
-    if model == "lognormal":                     # a is the mean, b the log deviation
-        z = (lt - a) / math.exp(b)
-        tail = F.ln(F.greatest(normal_cdf(-z), F.lit(1e-300)))
-        return d * (-lt - b - 0.5 * math.log(2 * math.pi) - z * z / 2) + (n - d) * tail
-    raise ValueError(f"unknown model {model}")
+def _log_likelihood(t: Column, n: Column, d: Column) -> Column:
+    """Log-likelihood of rows (t, n ends, d events) at the columns `modelo`, `a`, `b`.
+    a is the log scale and b the log shape; for lognormal the mean and log deviation.
+    Parameters are data, so every round runs the same compiled code."""
+    a, b, lt = F.col("a"), F.col("b"), F.ln(t)
+    u = F.exp(b) * (lt - a)
+    soft = F.when(u > 30, u).otherwise(F.ln(1 + F.exp(F.least(u, F.lit(30.0)))))
+    z = (lt - a) / F.exp(b)
+    tail = F.ln(F.greatest(normal_cdf(-z), F.lit(1e-300)))
+    return (F.when(F.col("modelo") == "weibull", d * (b - lt + u) - n * F.exp(u))
+            .when(F.col("modelo") == "loglogistico", d * (b - lt + u - soft) - n * soft)
+            .otherwise(d * (-lt - b - 0.5 * math.log(2 * math.pi) - z * z / 2) + (n - d) * tail))
 
 
 class _Search:
@@ -264,6 +264,7 @@ def parametric_fits(df: DataFrame, time: str, event: str,
         F.sum("d").alias("d"), F.sum(n * t).alias("t"), F.sum("n").alias("n"), (F.sum(n * F.ln(t)) / F.sum(n)).alias("m"),
         (F.sum(n * F.pow(F.ln(t), 2)) / F.sum(n)).alias("q")).collect()}
     fits = {}
+    schema = T.StructType([table.schema[key], *T.StructType.fromDDL("modelo string, j int, a double, b double").fields])
     for g, b in base.items():
         dev = max(math.sqrt(max(b["q"] - b["m"] ** 2, 0)), 1e-3)
         for m in models:
@@ -273,11 +274,12 @@ def parametric_fits(df: DataFrame, time: str, event: str,
         live = [(k, f) for k, f in fits.items() if not f.done]
         if not live:
             break
-        aggs = [F.sum(F.when(F.col(key) == F.lit(g), _log_likelihood(m, t, n, d, x, y))).alias(f"l{i}_{j}")
-                for i, ((g, m), f) in enumerate(live) for j, (x, y) in enumerate(f.grid())]
-        row = table.agg(*aggs).first()
-        for i, (_, f) in enumerate(live):
-            f.feed([row[f"l{i}_{j}"] for j in range(9)])
+        grid = spark.createDataFrame([(g, m, j, float(x), float(y)) for (g, m), f in live for j, (x, y) in enumerate(f.grid())],
+                                     schema)
+        got = {(r[key], r["modelo"], r["j"]): r["l"] for r in table.join(F.broadcast(grid), key).groupBy(
+            key, "modelo", "j").agg(F.sum(_log_likelihood(t, n, d)).alias("l")).collect()}
+        for (g, m), f in live:
+            f.feed([got[g, m, j] for j in range(9)])
     table.unpersist()
     out = []
     for g, b in base.items():
@@ -310,6 +312,7 @@ def concordance(df: DataFrame, time: str, event: str, score: str) -> DataFrame:
     cells = df.dropna(subset=[time, event, score]).groupBy(
         F.col(time).cast("double").alias("tempo"), F.col(score).cast("double").alias("s")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("d"))
+    cells = ordered.cut(cells)
     numbers = ordered.row_numbers(cells.select("s").distinct(), ["s"], "i", start=0)
     cells = cells.join(numbers, "s").drop("s")
     top = numbers.agg(F.max("i")).first()[0] or 0
@@ -325,7 +328,7 @@ def concordance(df: DataFrame, time: str, event: str, score: str) -> DataFrame:
     run = ordered.running_sums(sides, ["k", "grupo"], "tempo", {"a0": "n0", "a1": "n1"}, descending=True, points=points)
     pairs = run.agg(F.sum(F.col("d1") * (F.col("a0") - F.col("d0"))).alias("concordantes"),
                     F.sum(F.col("d0") * (F.col("a1") - F.col("d1"))).alias("discordantes"))
-    same = ordered.running_sums(cells, ["i"], "tempo", {"a": "n"}, descending=True, points=points)
+    same = ordered.running_sums(cells.select("i", "tempo", "n", "d"), ["i"], "tempo", {"a": "n"}, descending=True, points=points)
     ties = same.agg(F.sum(F.col("d") * (F.col("a") - F.col("d"))).alias("empates"))
     both = pairs.join(F.broadcast(ties))
     total = F.col("concordantes") + F.col("discordantes") + F.col("empates")
