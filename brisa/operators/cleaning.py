@@ -112,15 +112,13 @@ def interpolate_along(df: DataFrame, keys: Sequence[str], time: str, column: str
     """Linear fill of every gap on a regular grid; ends take the nearest value."""
     i = ordered.time_index(time, step_seconds)
     known = F.when(F.col(column).isNotNull(), F.struct(i.alias("i"), F.col(column).alias("v")))
-    base = df.withColumn("__i", i).withColumn("__p", known).withColumn("__n", known)
-    chunk = F.floor(F.col("__i") / length)
-    base = ordered.carry(base, keys, time, ["__p"], chunk)
-    base = ordered.carry(base, keys, time, ["__n"], chunk, backward=True)
-    p, n = F.col("__p"), F.col("__n")
+    base = df.withColumn("__i", i).withColumn("__v", known)
+    base = ordered.neighbours(base, keys, time, ["__v"], F.floor(F.col("__i") / length))
+    p, n = F.col("__before___v"), F.col("__after___v")
     line = p["v"] + (n["v"] - p["v"]) * (F.col("__i") - p["i"]) / (n["i"] - p["i"])
     value = (F.when(F.col(column).isNotNull(), F.col(column))
              .when(p.isNull(), n["v"]).when(n.isNull(), p["v"]).otherwise(line))
-    return base.withColumn(column, value).drop("__i", "__p", "__n")
+    return base.withColumn(column, value).drop("__i", "__v", "__before___v", "__after___v")
 
 
 def drop_null_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

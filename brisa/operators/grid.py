@@ -16,27 +16,27 @@ def complete_grid(df: DataFrame, key: str, time: str, fixed: Sequence[str] = (),
                   step: str = "hour") -> DataFrame:
     """One row per step from the first to the last point of each series.
 
-    New rows take the fixed columns from the row before (the first rows from the
-    row after); other columns stay null. `criada` marks new rows.
+    Each row stretches to the step before the next row of its series, so the grid
+    needs no join with a calendar. New rows take the fixed columns from the row
+    before; other columns stay null. Nulls in fixed columns are filled forward,
+    then backward. `criada` marks new rows. Times lie on the step.
     """
-    span, block = STEP_SECONDS[step], CHUNK[step]
-    limits = df.groupBy(key).agg(F.min(time).alias("__a"), F.max(time).alias("__z"))
-    steps = F.floor((ordered.time_index("__z", 1) - ordered.time_index("__a", 1)) / span).cast("int")
-    # blocks first, so that no row holds a list longer than one block
-    blocks = limits.select(key, "__a", steps.alias("__n"), F.explode(
-        F.sequence(F.lit(0), F.floor(steps / block).cast("int"))).alias("__b"))
-    places = blocks.select(key, "__a", F.explode(F.sequence(
-        F.col("__b") * block, F.least(F.col("__b") * block + (block - 1), F.col("__n")))).alias("__s"))
-    moved = (F.date_add("__a", F.col("__s")) if dict(df.dtypes)[time] == "date"
-             else F.timestamp_add(step.upper(), F.col("__s"), F.col("__a")))
-    grid = places.select(key, moved.alias(time))
-    full = grid.join(df.withColumn("__seen", F.lit(True)), [key, time], "left")
-    full = full.withColumn("criada", F.col("__seen").isNull()).drop("__seen")
-    if fixed:
-        chunk = F.floor(ordered.time_index(time, span) / CHUNK[step])
-        full = ordered.carry(full, [key], time, fixed, chunk)
-        full = ordered.carry(full, [key], time, fixed, chunk, backward=True)
-    return full.select(*df.columns, "criada")
+    span, length = STEP_SECONDS[step], CHUNK[step]
+    rows = df.withColumn("__i", ordered.time_index(time, span))
+    near = ordered.neighbours(rows, [key], "__i", fixed, F.floor(F.col("__i") / length), following=True)
+    gap = F.greatest(F.coalesce(F.col("__following") - F.col("__i"), F.lit(1)), F.lit(1))
+    wide = near.withColumn("__s", F.explode(F.sequence(F.lit(0), (gap - 1).cast("int"))))
+    moved = (F.date_add(F.col(time), F.col("__s")) if dict(df.dtypes)[time] == "date"
+             else F.timestamp_add(step.upper(), F.col("__s"), F.col(time)))
+    own = F.col("__s") == 0
+
+    def value(c: str) -> Column:
+        if c == time:
+            return F.when(own, F.col(c)).otherwise(moved)
+        if c in fixed:
+            return F.coalesce(f"__before_{c}", f"__after_{c}")
+        return F.col(c) if c == key else F.when(own, F.col(c))
+    return wide.select(*[value(c).alias(c) for c in df.columns], (~own).alias("criada"))
 
 
 def fill_short_gaps(df: DataFrame, key: str, time: str, columns: Sequence[str], max_gap: int,
@@ -49,25 +49,29 @@ def fill_short_gaps(df: DataFrame, key: str, time: str, columns: Sequence[str],
     """
     span = STEP_SECONDS[step]
     halo = ordered.with_halo(df, time, span, before=max_gap, after=max_gap, length=CHUNK[step])
-    place = W.partitionBy(key, "__chunk").orderBy(time)
-    back = place.rowsBetween(-max_gap, -1)
-    ahead = place.rowsBetween(1, max_gap)
-    values, filled = {}, F.lit(False)
+    place = W.partitionBy(key, "__chunk").orderBy("__i")
+    steps = range(1, max_gap + 1)
+    halo = halo.select("*", *[f(c, j).over(place).alias(f"__{side}{j}_{c}") for c in columns for j in steps
+                              for f, side in ((F.lag, "p"), (F.lead, "n"))])
+    values, filled, helpers = {}, F.lit(False), []
     for c in columns:
-        known = F.when(F.col(c).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(c).alias("v")))
-        halo = (halo.withColumn(f"__p_{c}", F.last(known, ignorenulls=True).over(back))
-                .withColumn(f"__n_{c}", F.first(known, ignorenulls=True).over(ahead)))
-        p, n = F.col(f"__p_{c}"), F.col(f"__n_{c}")
-        short = F.col(c).isNull() & p.isNotNull() & n.isNotNull() & ((n["i"] - p["i"] - 1) <= max_gap)
-        line = p["v"] + (n["v"] - p["v"]) * (F.col("__i") - p["i"]) / (n["i"] - p["i"])
-        values[c] = F.when(short, line).otherwise(F.col(c))
+        near = {}
+        for side in "pn":
+            names = [f"__{side}{j}_{c}" for j in steps]
+            helpers += names
+            far = None                       # distance to the nearest known value on this side
+            for j, name in reversed(list(zip(steps, names))):
+                far = F.when(F.col(name).isNotNull(), F.lit(j)).otherwise(far)
+            near[side] = (F.coalesce(*names), far)
+        (before, p), (after, n) = near["p"], near["n"]
+        short = F.col(c).isNull() & (p + n - 1 <= max_gap)
+        values[c] = F.when(short, before + (after - before) * p / (p + n)).otherwise(F.col(c))
         filled = filled | F.coalesce(short, F.lit(False))
     out = ordered.drop_halo(halo.withColumn(f"interpolado{suffix}", filled).withColumns(values))
     missing = F.lit(False)
     for c in columns:
         missing = missing | F.col(c).isNull()
-    return out.withColumn(f"faltante{suffix}", missing).drop(
-        *[f"__{side}_{c}" for side in "pn" for c in columns])
+    return out.withColumn(f"faltante{suffix}", missing).drop(*helpers)
 
 
 def gap_groups(df: DataFrame, key: str, time: str, column: str, step: str = "hour") -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brisa.constants import EARTH_RADIUS_KM, MAX_CLIMATE_KM
@@ -64,8 +66,8 @@ def nearest_point(units: DataFrame, points: DataFrame, unit: str, point: str,
                   broadcast_limit: int = BROADCAST_POINTS) -> DataFrame:
     """(unit, point, distancia_km) of the nearest point; ties go to the smaller name.
 
-    A counted, small set of points travels to every task as one array. A larger
-    set is searched by equal cells that double in size until the answer is sure.
+    A counted, small set of points travels to every task. A larger set is searched
+    by equal cells that double in size until the answer is sure.
     """
     places = (points.filter(F.col(point_xy[0]).isNotNull() & F.col(point_xy[1]).isNotNull())
               .groupBy(F.col(point_xy[0]).cast("double").alias("__plat"),
@@ -84,13 +86,28 @@ def nearest_point(units: DataFrame, points: DataFrame, unit: str, point: str,
 
 
 def _nearest_by_array(spots: DataFrame, places: DataFrame, point: str) -> DataFrame:
-    one = places.agg(F.collect_list(F.struct(F.col("__plat").alias("a"), F.col("__plon").alias("o"),
-                                             F.col(point).alias("p"))).alias("__all"))
-    best = F.array_min(F.transform("__all", lambda q: F.struct(
-        haversine_km(F.col("__ulat"), F.col("__ulon"), q["a"], q["o"]).alias("km"), q["p"].alias("p"))))
-    return (spots.join(F.broadcast(one)).withColumn("__best", best)
-            .select("__ulat", "__ulon", F.col("__best.p").alias(point),
-                    F.col("__best.km").alias("distancia_km")).filter(F.col(point).isNotNull()))
+    """Distances to the few points as one matrix per Arrow batch."""
+    rows = sorted((r[point], r["__plat"], r["__plon"]) for r in places.collect())   # counted by the caller
+    if not rows:
+        return spots.select("__ulat", "__ulon", F.lit(None).cast("string").alias(point),
+                            F.lit(None).cast("double").alias("distancia_km")).limit(0)
+    names = np.array([r[0] for r in rows], dtype=object)
+    lat, lon = np.radians([r[1] for r in rows]), np.radians([r[2] for r in rows])
+
+    @F.pandas_udf("nome string, km double")
+    def nearest(a: pd.Series, o: pd.Series) -> pd.DataFrame:
+        best, km = np.empty(len(a), dtype=int), np.empty(len(a))
+        ua, uo = np.radians(a.to_numpy()), np.radians(o.to_numpy())
+        for i in range(0, len(a), 512):
+            part = slice(i, i + 512)
+            h = (np.sin((lat[None, :] - ua[part, None]) / 2) ** 2
+                 + np.cos(ua[part, None]) * np.cos(lat)[None, :] * np.sin((lon[None, :] - uo[part, None]) / 2) ** 2)
+            best[part] = h.argmin(1)
+            km[part] = 2 * EARTH_RADIUS_KM * np.arcsin(np.minimum(np.sqrt(h.min(1)), 1.0))
+        return pd.DataFrame({"nome": names[best], "km": km})
+
+    return spots.withColumn("__n", nearest("__ulat", "__ulon")).select(
+        "__ulat", "__ulon", F.col("__n.nome").alias(point), F.col("__n.km").alias("distancia_km"))
 
 
 def _on_sphere(df: DataFrame, lat: str, lon: str) -> DataFrame:
@@ -174,13 +191,11 @@ def _curve_scan(queries: DataFrame, curve: DataFrame, at: str, time: str, value:
     right = queries.filter(F.col(at).isNotNull()).select(
         *by, F.col(at).cast("double").alias("__curve_t"), F.lit(1).alias("__lado"),
         F.lit(None).cast("struct<t:double,v:double>").alias("__lo_pt")).distinct()
-    both = ordered.cut(left.unionByName(right)).withColumn("__hi_pt", F.col("__lo_pt"))
-    both = both.withColumn("__o", F.struct("__curve_t", "__lado"))
+    both = ordered.cut(left.unionByName(right)).withColumn("__o", F.struct("__curve_t", "__lado"))
     both = ordered.add_bucket(both, "__curve_t", ordered.cut_points(both, ["__curve_t"])["__curve_t"], "__bk")
-    both = ordered.carry(both, by, "__o", ["__lo_pt"], F.col("__bk"))
-    if ahead:
-        both = ordered.carry(both, by, "__o", ["__hi_pt"], F.col("__bk"), backward=True)
-    return both.filter("__lado = 1").select(*by, "__curve_t", "__lo_pt", "__hi_pt")
+    near = ordered.neighbours(both, by, "__o", ["__lo_pt"], F.col("__bk"), after=ahead)
+    return near.filter("__lado = 1").select(*by, "__curve_t", F.col("__before___lo_pt").alias("__lo_pt"), *(
+        [F.col("__after___lo_pt").alias("__hi_pt")] if ahead else []))
 
 
 def _back_to_rows(queries: DataFrame, found: DataFrame, at: str, by: Sequence[str]) -> DataFrame:

@@ -279,29 +279,48 @@ def drop_halo(df: DataFrame) -> DataFrame:
     return df.filter(F.col("__chunk") == F.col("__home")).drop("__chunk", "__home", "__i")
 
 
-def carry(df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str],
-          chunk: Column, *, backward: bool = False) -> DataFrame:
-    """Fill nulls with the last value before (or the next one after) in each key.
-
-    Rows are sorted per (key, chunk); the value that enters a chunk comes from
-    one summary row per chunk.
+def neighbours(df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str], chunk: Column, *,
+               before: bool = True, after: bool = True, following: bool = False) -> DataFrame:
+    """Known values around each row of a key: `__before_c` at or before it,
+    `__after_c` at or after it and, on request, `__following`, the time of the
+    next row.
+
+    Rows are sorted per (key, chunk). What reaches into a chunk from the others
+    comes from a table with one row per chunk, joined back once for all columns.
     """
     keys, columns = list(keys), list(columns)
     base = df.withColumn("__k", chunk)
-    if backward:
-        inside = W.partitionBy(*keys, "__k").orderBy(time).rowsBetween(W.currentRow, W.unboundedFollowing)
-        outside = W.partitionBy(*keys).orderBy("__k").rowsBetween(1, W.unboundedFollowing)
-        pick, edge = F.first, F.min_by
-    else:
-        inside = W.partitionBy(*keys, "__k").orderBy(time).rowsBetween(W.unboundedPreceding, W.currentRow)
-        outside = W.partitionBy(*keys).orderBy("__k").rowsBetween(W.unboundedPreceding, -1)
-        pick, edge = F.last, F.max_by
-    summary = base.groupBy(*keys, "__k").agg(*[
-        edge(F.col(c), F.when(F.col(c).isNotNull(), F.col(time))).alias(f"__s_{c}") for c in columns])
-    entering = summary.select(*keys, "__k", *[
-        pick(f"__s_{c}", ignorenulls=True).over(outside).alias(f"__e_{c}") for c in columns])
-    local = base.select(*base.columns, *[
-        pick(c, ignorenulls=True).over(inside).alias(f"__l_{c}") for c in columns])
-    joined = null_safe(local, entering, [*keys, "__k"], "left")
-    return joined.select(*[
-        F.coalesce(f"__l_{c}", f"__e_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
+    inside = W.partitionBy(*keys, "__k").orderBy(time)
+    past, future = (inside.rowsBetween(W.unboundedPreceding, W.currentRow),
+                    inside.rowsBetween(W.currentRow, W.unboundedFollowing))
+    chunks = W.partitionBy(*keys).orderBy("__k")
+    earlier, later = chunks.rowsBetween(W.unboundedPreceding, -1), chunks.rowsBetween(1, W.unboundedFollowing)
+    sums, enter, local, out = [], [], [], []
+    for c in columns:
+        at = F.when(F.col(c).isNotNull(), F.col(time))
+        if before:
+            sums.append(F.max_by(F.col(c), at).alias(f"__last_{c}"))
+            enter.append(F.last(f"__last_{c}", ignorenulls=True).over(earlier).alias(f"__eb_{c}"))
+            local.append(F.last(c, ignorenulls=True).over(past).alias(f"__lb_{c}"))
+            out.append(F.coalesce(f"__lb_{c}", f"__eb_{c}").alias(f"__before_{c}"))
+        if after:
+            sums.append(F.min_by(F.col(c), at).alias(f"__first_{c}"))
+            enter.append(F.first(f"__first_{c}", ignorenulls=True).over(later).alias(f"__ea_{c}"))
+            local.append(F.first(c, ignorenulls=True).over(future).alias(f"__la_{c}"))
+            out.append(F.coalesce(f"__la_{c}", f"__ea_{c}").alias(f"__after_{c}"))
+    if following:
+        sums.append(F.min(time).alias("__start"))
+        enter.append(F.lead("__start").over(chunks).alias("__ef"))
+        local.append(F.lead(time).over(inside).alias("__lf"))
+        out.append(F.coalesce("__lf", "__ef").alias("__following"))
+    entering = base.groupBy(*keys, "__k").agg(*sums).select(*keys, "__k", *enter)
+    joined = null_safe(base.select(*base.columns, *local), entering, [*keys, "__k"], "left")
+    return joined.select(*df.columns, *out)
+
+
+def carry(df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str],
+          chunk: Column, *, backward: bool = False) -> DataFrame:
+    """Fill nulls with the last value before (or the next one after) in each key."""
+    side = "after" if backward else "before"
+    near = neighbours(df, keys, time, columns, chunk, before=not backward, after=backward)
+    return near.select(*[F.col(f"__{side}_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])

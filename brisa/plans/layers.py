@@ -10,6 +10,7 @@ from brisa import constants as K
 from brisa.functions import dates, quality, text
 from brisa.operators import grid, star, validate
 from brisa.operators.cleaning import deduplicate, require_unique
+from brisa.session import cut
 from brisa.sources.writers import publish
 
 GENERATION_TEXT = ("id_subsistema", "nom_subsistema", "id_estado", "nom_estado", "cod_modalidadeoperacao",
@@ -31,7 +32,8 @@ def clean_generation(raw: DataFrame, order: tuple[str, ...] = ("arquivo_origem",
         "tipo_unidade": text.map_code(F.col("cod_modalidadeoperacao"), K.UNIT_KIND_BY_MODALITY, "usina"),
     }).withColumnsRenamed({"cod_modalidadeoperacao": "modalidade_ons", "nom_tipocombustivel": "combustivel",
                            "val_geracao": "geracao_mwh"})
-    df = require_unique(df, ["chave_unidade", "din_instante"])
+    # written once: the checks, the names and the grid below read this table, not the raw files
+    df = require_unique(cut(df), ["chave_unidade", "din_instante"])
     names, _ = grid.canonical_name(df, "chave_unidade", "nom_usina", "din_instante")
     df = df.join(names.withColumnRenamed("nome_canonico", "nome_usina"), "chave_unidade", "left")
     full = grid.complete_grid(df, "chave_unidade", "din_instante", UNIT_ATTRIBUTES)
