@@ -25,12 +25,12 @@ def national_hourly(spark, sf):
 
 
 _RCLIMATE = f"""{A.CLIMATE}, rclima AS (SELECT r_regionkey::BIGINT AS usina_id, data, avg(irradiancia_kwh_m2) AS irradiancia_kwh_m2, avg(vento_ms) AS vento_ms, avg(temperatura_c) AS temperatura_c
-  FROM clima JOIN region ON id_subsistema = r_name WHERE day(data) <> 5 GROUP BY ALL)"""
+  FROM clima JOIN region ON id_subsistema = r_name GROUP BY ALL)"""
 
 
 def _regional_climate(spark, sf):
     c = A.daily_climate(spark, sf).join(F.broadcast(table(spark, sf, "region")), F.col("id_subsistema") == F.col("r_name"))
-    return c.filter(F.dayofmonth("data") != 5).groupBy(F.col("r_regionkey").cast("long").alias("usina_id"), "data").agg(
+    return c.groupBy(F.col("r_regionkey").cast("long").alias("usina_id"), "data").agg(
         *[F.avg(x).alias(x) for x in ("irradiancia_kwh_m2", "vento_ms", "temperatura_c")])
 
 

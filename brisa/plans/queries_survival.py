@@ -79,16 +79,17 @@ def follow_up_split(spark, sf):
     return out.select("l_orderkey", "l_linenumber", "t_inicio", "t_fim", "evento", "depois", "quantidade_depois")
 
 
-_CAUSE = f"""WITH {A.COHORT}, {_RISK.format(g='fonte', e='evento')}, k AS (SELECT fonte, tempo, em_risco, exp(coalesce(sum(ln(1 - d::DOUBLE / em_risco)) OVER (PARTITION BY fonte ORDER BY tempo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS s FROM r WHERE em_risco > d),
+_CAUSE = f"""WITH {A.COHORT}, {_RISK.format(g='fonte', e='evento')}, k AS (SELECT fonte, tempo, em_risco, CASE WHEN coalesce(sum((em_risco = d)::INTEGER) OVER p, 0) > 0 THEN 0
+    ELSE exp(coalesce(sum(CASE WHEN em_risco > d THEN ln(1 - d::DOUBLE / em_risco) ELSE 0 END) OVER p, 0)) END AS s FROM r WINDOW p AS (PARTITION BY fonte ORDER BY tempo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   p AS (SELECT fonte, causa, tempo, count(*) AS d FROM coorte WHERE causa IS NOT NULL GROUP BY ALL),
-  ci AS (SELECT p.fonte, causa, p.tempo, sum(s * p.d / em_risco) OVER w AS aj, 1 - exp(sum(ln(1 - p.d::DOUBLE / em_risco)) OVER w) AS km FROM p JOIN k ON p.fonte = k.fonte AND p.tempo = k.tempo WINDOW w AS (PARTITION BY p.fonte, causa ORDER BY p.tempo))"""
+  ci AS (SELECT p.fonte, causa, p.tempo, sum(s * p.d / em_risco) OVER w AS aj, 1 - CASE WHEN sum((em_risco = p.d)::INTEGER) OVER w > 0 THEN 0
+    ELSE exp(sum(CASE WHEN em_risco > p.d THEN ln(1 - p.d::DOUBLE / em_risco) ELSE 0 END) OVER w) END AS km
+    FROM p JOIN k ON p.fonte = k.fonte AND p.tempo = k.tempo WINDOW w AS (PARTITION BY p.fonte, causa ORDER BY p.tempo))"""
 
 
-@query("SV21", f"{_CAUSE} SELECT fonte, causa, tempo, round(aj, 7) AS aalen_johansen, round(km, 7) AS um_menos_km FROM ci WHERE tempo < 2000")
+@query("SV21", f"{_CAUSE} SELECT fonte, causa, tempo, round(aj, 7) AS aalen_johansen, round(km, 7) AS um_menos_km FROM ci")
 def incidence_by_cause(spark, sf):
-    """Curves up to 2000 days, where the risk set cannot be empty."""
-    out = S.cause_incidence(A.cohort(spark, sf), "tempo", "causa", ["fonte"]).filter("tempo < 2000")
-    return rounded(out, 7, "aalen_johansen", "um_menos_km")
+    return rounded(S.cause_incidence(A.cohort(spark, sf), "tempo", "causa", ["fonte"]), 7, "aalen_johansen", "um_menos_km")
 
 
 @query("SV21 JN16 JN17", f"""{_CAUSE}, h AS (SELECT unnest([100.0, 400.0, 900.0])::DOUBLE AS anos), b AS (SELECT ci.*, anos, row_number() OVER (PARTITION BY fonte, causa, anos ORDER BY tempo DESC) AS i FROM ci, h WHERE tempo <= anos)
