@@ -268,3 +268,19 @@ def normal_quantile_pairs(spark, sf):
 def seeded_sample(spark, sf):
     return P.hash_sample(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 0.2)
 
+
+
+@query("ST13", """WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_discount) AS b, corr(l_extendedprice, l_discount) AS c FROM lineitem), d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM c)
+  SELECT 'l_quantity' AS feature, round((1 - c * c) / det, 8) AS vif FROM d UNION ALL SELECT 'l_extendedprice', round((1 - b * b) / det, 8) FROM d UNION ALL SELECT 'l_discount', round((1 - a * a) / det, 8) FROM d""")
+def variance_inflation_of_three(spark, sf):
+    return rounded(T.variance_inflation(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]), 8, "vif")
+
+
+@query("ST10", """WITH p AS (SELECT avg((l_returnflag = 'R')::INTEGER) AS p, count(*)::DOUBLE AS n, 1.959963984540054::DOUBLE AS z FROM lineitem)
+  SELECT round(p, 8) AS estimativa, round(((p + z * z / (2 * n)) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 8) AS ic_inferior,
+  round(((p + z * z / (2 * n)) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 8) AS ic_superior FROM p""")
+def proportion_interval(spark, sf):
+    li = table(spark, sf, "lineitem").withColumn("devolvida", (F.col("l_returnflag") == "R").cast("int"))
+    r = T.interval(li, "devolvida", "proporcao")
+    return spark.createDataFrame([tuple(round(r[k], 8) for k in ("estimativa", "ic_inferior", "ic_superior"))],
+                                 "estimativa double, ic_inferior double, ic_superior double")

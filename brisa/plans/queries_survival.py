@@ -273,3 +273,43 @@ def events_against_follow_up(spark, sf):
     return a.join(b, "k").drop("k")
 
 
+
+
+@query("SV8", f"""WITH {A.COHORT}, g AS (SELECT grupo, sum(tempo) AS t, sum(evento)::DOUBLE AS d FROM coorte GROUP BY 1)
+  SELECT grupo, 'exponencial' AS modelo, round(t / d, 6) AS p1, round(t / d * ln(2), 6) AS mediana_prevista, round(2 + 2 * (d * ln(t / d) + d), 4) AS aic FROM g""")
+def exponential_fits(spark, sf):
+    out = S.parametric_fits(A.cohort(spark, sf), "tempo", "evento", ("exponencial",), by="grupo")
+    return rounded(rounded(out.select("grupo", "modelo", "p1", "mediana_prevista", "aic"), 6, "p1", "mediana_prevista"), 4, "aic")
+
+
+@query("SV23 FN25 FN26", f"""WITH {A.DIM} SELECT usina_id, round(date_diff('day', data_operacao, DATE '2026-01-01') / 365.25, 6) AS idade_anos, round(ln(potencia_mw) - ln(30), 6) AS log_potencia_mw_c,
+  (regiao = 'ASIA')::INTEGER::DOUBLE AS subsistema_NE, (year(data_operacao) - 2018)::DOUBLE AS ano_entrada_c FROM dim WHERE potencia_mw IS NOT NULL""")
+def units_ready_for_prediction(spark, sf):
+    d = A.dim(spark, sf).withColumn("regiao", F.when(F.col("regiao") == "ASIA", "NE").otherwise("SE"))
+    out = cox.units_for_prediction(d, "2026-01-01").select("usina_id", "idade_anos", "log_potencia_mw_c", "subsistema_NE", "ano_entrada_c")
+    return rounded(out, 6, "idade_anos", "log_potencia_mw_c")
+
+
+def _mcf_at(name, at):
+    return f"""{name}0 AS (SELECT x.id_usina, max(m.tempo_anos) AS t FROM uni x JOIN mcf m ON m.fonte = x.fonte AND m.tempo_anos <= {at} GROUP BY 1),
+  {name}1 AS (SELECT x.id_usina, min(m.tempo_anos) AS t FROM uni x JOIN mcf m ON m.fonte = x.fonte AND m.tempo_anos >= {at} GROUP BY 1),
+  {name} AS (SELECT x.id_usina, CASE WHEN l.t IS NULL THEN h.mcf WHEN r.t IS NULL OR l.t = r.t THEN g.mcf ELSE g.mcf + (h.mcf - g.mcf) * ({at} - l.t) / (r.t - l.t) END AS v
+    FROM uni x LEFT JOIN {name}0 l ON l.id_usina = x.id_usina LEFT JOIN {name}1 r ON r.id_usina = x.id_usina
+    LEFT JOIN mcf g ON g.fonte = x.fonte AND g.tempo_anos = l.t LEFT JOIN mcf h ON h.fonte = x.fonte AND h.tempo_anos = r.t)"""
+
+
+@query("RE7", f"""{_MCF}, uni AS (SELECT id_usina, fonte, max(t_inicio_anos) AS idade FROM painel GROUP BY ALL), {_mcf_at('i', 'x.idade')}, {_mcf_at('f', '(x.idade + 5)')}
+  SELECT uni.id_usina, round(idade, 6) AS idade_anos, round(f.v - i.v, 6) + 0.0 AS esperados FROM uni JOIN i ON i.id_usina = uni.id_usina JOIN f ON f.id_usina = uni.id_usina""")
+def expected_events_ahead(spark, sf):
+    """Events a mean unit of the source has in the next five days of its life."""
+    p = A.panel(spark, sf)
+    units = p.groupBy("id_usina").agg(F.min("fonte").alias("fonte"), F.max("t_inicio_anos").alias("idade_anos"))
+    out = R.expected_events(units, R.mean_cumulative(p), "idade_anos", [5.0])
+    return out.select("id_usina", F.round("idade_anos", 6).alias("idade_anos"), (F.round("esperados_0", 6) + 0.0).alias("esperados"))
+
+
+@query("RE11", f"WITH {A.PANEL} SELECT id_usina, sum(evento)::BIGINT AS eventos, round((4 + sum(evento)) / (4 + max(t_fim_anos) / 10), 7) AS frailty_posterior FROM painel GROUP BY 1")
+def posterior_effect(spark, sf):
+    """Posterior effect at theta 0.25 when one event per ten days is expected."""
+    u = A.panel(spark, sf).groupBy("id_usina").agg(F.sum(F.col("evento").cast("long")).alias("eventos"), (F.max("t_fim_anos") / 10).alias("mu"))
+    return rounded(R.posterior(u, 0.25).drop("mu"), 7, "frailty_posterior")
