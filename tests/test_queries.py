@@ -27,7 +27,7 @@ def test_entry(spark):
 
 
 def test_registry_is_consistent():
-    assert set(oracle_sql()) <= set(queries()) and set(COVERS) == set(queries())
+    assert set(oracle_sql()) <= set(queries()) and set(COVERS) <= set(queries())
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()) if os.environ.get("BRISA_ALL") else QUICK)
