@@ -5,17 +5,41 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from brisa.llm import token_counts as op10
+from brisa.llm import sentencepiece_fst as op1, token_counts as op10, warc as op4
 from brisa.llm.common import table
 
 QUERIES, ORACLE = {}, {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE[fn.__name__] = sql
+        return fn
+    return add
 
 
-@query
+@query()
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query(sql="""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+     o AS (SELECT h, max(page_id) AS owner FROM p GROUP BY h),
+     d AS (SELECT page_id, octet_length(b) AS payload_bytes, owner, list_transform([1, 11, 21, 31], lambda x: ('0x' || substr(p.h, x, 10))::BIGINT) AS v
+           FROM p JOIN o ON p.h = o.h)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       list_aggregate(flatten(list_transform(v, lambda y: list_transform([35, 30, 25, 20, 15, 10, 5, 0],
+           lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((y >> k) & 31)::INT + 1, 1)))), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = owner THEN NULL ELSE owner END AS refers_to, true AS verified
+FROM d""")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4.archive_round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+@query()
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
