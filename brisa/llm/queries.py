@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brisa.llm import sentencepiece_fst as op1, token_counts as op10, warc as op4
+from brisa.llm import mixing as op2, sentencepiece_fst as op1, token_counts as op10, warc as op4
 from brisa.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -25,6 +25,22 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query(sql="""
+WITH s AS (SELECT source, count(*)::DOUBLE AS size FROM documents GROUP BY source),
+     r AS (SELECT source, sqrt(size) / (SELECT sum(sqrt(size)) FROM s) * (SELECT sum(size) FROM s) / size AS rate FROM s),
+     u AS (SELECT d.*, rate, (('0x' || substr(md5('mix:' || doc_id || ':0'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+           FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+     p AS (SELECT source, list(p ORDER BY k) AS below FROM (
+               SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS p
+               FROM r, range(0, 81) AS t(k)) GROUP BY source),
+     n AS (SELECT u.*, len(list_filter(below, lambda x: x < u)) AS n FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source),
+     c AS (SELECT *, unnest(range(1, n + 1))::INT AS mix_copy FROM n)
+SELECT doc_id, text, lang, source, n_chars, mix_copy, round(rate, 9) AS mix_rate, md5('mix/order:' || doc_id || ':' || mix_copy) AS mix_key FROM c""")
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = op2.mix(table(spark, sf_dir, "documents"), temperature=0.5, budget=1.0, seed="mix")
+    return mixed.withColumn("mix_rate", F.round("mix_rate", 9))
+
+
 @query(sql="""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
      o AS (SELECT h, max(page_id) AS owner FROM p GROUP BY h),
