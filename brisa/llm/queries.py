@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brisa.llm import mixing as op2, sentencepiece_fst as op1, token_counts as op10, warc as op4
+from brisa.llm import merkle as op5, mixing as op2, sentencepiece_fst as op1, token_counts as op10, warc as op4
 from brisa.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -56,6 +56,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4.archive_round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+@query()
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
