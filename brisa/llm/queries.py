@@ -5,10 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brisa.llm import merkle as op5, mixing as op2, sentencepiece_fst as op1, token_counts as op10, warc as op4
+from brisa.llm import merkle as op5, mixing as op2, pseudonyms as op6, sentencepiece_fst as op1, token_counts as op10, warc as op4
 from brisa.llm.common import table
 
 QUERIES, ORACLE = {}, {}
+#: Keys the permutation of the registered query; a real run passes a secret of its own.
+PSEUDONYM_KEY = "registered-query"
 
 
 def query(sql: str | None = None):
@@ -61,6 +63,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6.pseudonymise(table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
+
+
 @query()
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
