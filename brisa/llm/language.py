@@ -96,8 +96,10 @@ class Model:
     def scores(self, words: Words) -> np.ndarray:
         """Score of every word under every language."""
         out = np.empty((len(words.start), len(self.languages)), np.float64)
+        if not out.size:
+            return out
         for k in range(len(self.languages)):
-            out[:, k] = np.add.reduceat(self.weight[:, k][words.slot], words.at) if len(words.start) else 0
+            out[:, k] = np.add.reduceat(self.weight[:, k][words.slot], words.at)
         allowed = self.written[words.script]
         allowed |= ~allowed.any(axis=1, keepdims=True)      # a script of no learned language
         return np.where(allowed, out, out.min(axis=1, keepdims=True) - FOREIGN)
