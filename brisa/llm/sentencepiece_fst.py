@@ -13,8 +13,8 @@ between paths) is the encoding:
   path through the lattice has finite weight.
 
 No piece crosses the borders the vocabulary never spans (before U+2581 after another character,
-around characters of single-character pieces), so a text is composed chunk by chunk, and the
-paths of frequent chunks are remembered within a bound."""
+between characters that stand side by side in no chain of pieces, such as letters and stops), so a
+text is composed chunk by chunk, and the paths of frequent chunks are remembered within a bound."""
 
 from __future__ import annotations
 
@@ -77,12 +77,34 @@ class Transducer:
                     else p.replace(SPACE, " ").encode() for p, _, k in pieces]
         self.is_byte = [k == BYTE for _, _, k in pieces]
         self.control = {i for i, (_, _, k) in enumerate(pieces) if k == CONTROL}
-        joined = {c for p in self.ids if len(p) > 1 for c in p}
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        letters = "".join(map(regex.escape, sorted(joined - {SPACE})))
-        self.chunks = regex.compile("(?s).+" if inner or not letters else f"(?s){SPACE}*[{letters}]+|{SPACE}+|[^{letters}{SPACE}]").findall
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.last_control = max(self.control, default=-1)
+        #: Every end of a piece: its number if it is itself a piece, else -1.
+        self.ends = {p[k:]: -1 for p in self.ids for k in range(len(p))} | self.ids
+        self.chunks = regex.compile(self._chunk_pattern()).findall
+        self.fits: dict[tuple[int, int], bool] = {}
         self.paths: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _chunk_pattern(self) -> str:
+        """Runs of characters that pieces can join: the connected parts of the graph of
+        neighbours inside pieces, each with the spaces before it."""
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+            return "(?s).+"
+        part: dict[str, str] = {}
+
+        def root(c: str) -> str:
+            while part.setdefault(c, c) != c:
+                part[c] = c = part[part[c]]
+            return c
+        for piece in self.ids:
+            letters = piece.lstrip(SPACE)
+            for x, y in zip(letters, letters[1:] or (letters if len(piece) > 1 else "")):
+                part[root(x)] = root(y)
+        runs: dict[str, list[str]] = {}
+        for c in part:
+            runs.setdefault(root(c), []).append(regex.escape(c, special_only=False))
+        sets = sorted(("[" + "".join(sorted(r)) + "]+" for r in runs.values()), key=len, reverse=True)
+        return f"(?s){SPACE}*(?:{'|'.join(sets)})|{SPACE}+|." if sets else f"(?s){SPACE}+|."
 
     # --- normaliser -------------------------------------------------------------------------
     def normalise(self, text: str) -> str:
@@ -107,12 +129,7 @@ class Transducer:
 
     def pair_weight(self, p: str, q: str) -> float:
         """0 if q may follow p (p empty: begin the chunk), else infinity."""
-        known = self.fits.get((p, q))
-        if known is None:
-            if len(self.fits) >= REMEMBERED_PAIRS:
-                self.fits.clear()
-            known = self.fits[p, q] = self.merge([*p, *q]) == ([p, q] if p else [q])
-        return 0.0 if known else math.inf
+        return 0.0 if self.merge([*p, *q]) == ([p, q] if p else [q]) else math.inf
 
     # --- shortest path ----------------------------------------------------------------------
     def path(self, chunk: str) -> list[str]:
@@ -121,16 +138,28 @@ class Transducer:
     def _bpe_path(self, chunk: str) -> list[str]:
         """States are (position, last piece). One state a position has finite weight, so the
         first found ends the search at that position."""
-        ids, fits, longest, n = self.ids, self.fits, self.longest, len(chunk)
-        last, start = [""] * (n + 1), [0] * (n + 1)
+        ends, fits, n = self.ends, self.fits, len(chunk)
+        last, start = [-1] * (n + 1), [0] * (n + 1)
+        if len(fits) >= REMEMBERED_PAIRS:
+            fits.clear()
         for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
-                piece = chunk[i:j]
-                if piece in ids or i == j - 1:
-                    fit = fits.get((last[i], piece))
-                    if fit if fit is not None else self.pair_weight(last[i], piece) == 0.0:
-                        last[j], start[j] = piece, i
-                        break
+            i = j
+            while i:
+                i -= 1
+                number = known = ends.get(chunk[i:j])
+                if number is None or number < 0:
+                    if i == j - 1:
+                        number = -2 - ord(chunk[i])         # outside the lexicon: byte fallback
+                    elif known is None:
+                        break                               # no longer piece ends here
+                    else:
+                        continue
+                fit = fits.get((last[i], number))
+                if fit is None:
+                    fit = fits[last[i], number] = self.pair_weight(chunk[start[i]:i], chunk[i:j]) == 0.0
+                if fit or known is None:
+                    last[j], start[j] = number, i
+                    break
         return self._back(chunk, start)
 
     def _unigram_path(self, chunk: str) -> list[str]:
@@ -178,10 +207,12 @@ class Transducer:
     def _chunk(self, chunk: str) -> bytes:
         known = self.paths.get(chunk)
         if known is None:
-            known = np.array(self.output(self.path(chunk)), dtype="<i4").tobytes()
+            known = self.older.get(chunk)
+            if known is None:
+                known = np.array(self.output(self.path(chunk)), dtype="<i4").tobytes()
             if len(chunk) <= LONGEST_REMEMBERED:
-                if len(self.paths) >= REMEMBERED_CHUNKS:
-                    self.paths.clear()
+                if len(self.paths) >= REMEMBERED_CHUNKS // 2:       # what was not met lately goes
+                    self.older, self.paths = self.paths, {}
                 self.paths[chunk] = known
         return known
 
@@ -190,13 +221,16 @@ class Transducer:
         UTF-8 give U+FFFD each."""
         raw = b"".join(map(self.out.__getitem__, ids))
         try:
-            text = self._decode_runs(ids) if not self.control.isdisjoint(ids) else raw.decode("utf-8")
+            text = self._decode_runs(ids) if self._has_control(ids) else raw.decode("utf-8")
         except UnicodeDecodeError:
             text = self._decode_runs(ids)
         first = next((i for i in ids if i not in self.control), None)
         drop = first is not None and (self.dummy_prefix or not self.extra_spaces) and not self.is_byte[first] and text[:1] == " "
         return text[drop:]
 
+    def _has_control(self, ids) -> bool:
+        return len(ids) > 0 and min(ids) <= self.last_control and not self.control.isdisjoint(ids)
+
     def _decode_runs(self, ids) -> str:
         out, run = [], bytearray()
         for i in [*ids, None]:
