@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brisa.llm import language as op8, merkle as op5, mixing as op2, pseudonyms as op6, sentencepiece_fst as op1, token_counts as op10, warc as op4
+from brisa.llm import language as op8, merkle as op5, mixing as op2, ngram_join as op7, pseudonyms as op6, sentencepiece_fst as op1, token_counts as op10, warc as op4
 from brisa.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -68,6 +68,11 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6.pseudonymise(table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
 
 
+@query()
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7.ngram_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 @query()
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.identify(table(spark, sf_dir, "documents"))
