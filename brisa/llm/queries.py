@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brisa.llm import language as op8, merkle as op5, mixing as op2, ngram_join as op7, pseudonyms as op6, sentencepiece_fst as op1, token_counts as op10, warc as op4
+from brisa.llm import language as op8, merkle as op5, mixing as op2, ngram_join as op7, pseudonyms as op6, sentencepiece_fst as op1, token_counts as op10, vector_links as op9, warc as op4
 from brisa.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -78,6 +78,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.identify(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op9_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9.vector_links(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 @query()
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
