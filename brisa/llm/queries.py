@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brisa.llm import language as op8, merkle as op5, mixing as op2, ngram_join as op7, pseudonyms as op6, sentencepiece_fst as op1, token_counts as op10, vector_links as op9, warc as op4
+from brisa.llm import language as op8, line_dedup as op3, merkle as op5, mixing as op2, ngram_join as op7, pseudonyms as op6, sentencepiece_fst as op1, token_counts as op10, vector_links as op9, warc as op4
 from brisa.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -43,6 +43,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("mix_rate", F.round("mix_rate", 9))
 
 
+@query()
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3.without_repeated_lines(table(spark, sf_dir, "documents"), num=80, den=100, least_words=5)
+
+
 @query(sql="""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
      o AS (SELECT h, max(page_id) AS owner FROM p GROUP BY h),

@@ -58,8 +58,14 @@ def blocks(texts: pa.Array):
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a block, and where the words of each text begin (and the end).
-    No word crosses from one text into the next."""
+    """Hashes of all words of a block, and where the words of each text begin (and the end)."""
+    h, start = placed_words(data, at)
+    return h, np.searchsorted(start, at)
+
+
+def placed_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a block, and the byte each begins at. No word crosses from one text
+    into the next."""
     value, space = of_bytes()
     n = len(data)
     inside = ~space[data]
@@ -74,7 +80,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(value[data] * up[:n], out=total[1:])
     h = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return h, np.searchsorted(start, at)
+    return h, start
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
