@@ -263,14 +263,17 @@ def _joined(docs: DataFrame, rows: DataFrame, sets: DataFrame, words: int, num:
     found = staged(components(first), "components")
     placed = sets.join(found, sets["doc"] == found["node"], "left").select("lo", "doc", "n", "sketch", F.coalesce("component", "doc").alias("component"))
     placed = staged(placed, "placed")
-    here = members.filter("lo <> first").select("key", "lo").join(placed.select("lo", "doc", "component"), "lo").select("key", "lo", "doc", "component")
+    here = members.filter("lo <> first").select("key", "lo").join(placed, "lo").drop("lo")
     mixed = here.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
-    here = staged(here.join(mixed.select("key", "least"), "key").distinct(), "mixed")
-    # of two members in different components one at least is not in the least
-    a = here.filter("component <> least").select("key", F.col("lo").alias("first"), F.col("doc").alias("doc_a"), F.col("component").alias("c_a"), F.col("least").alias("l"))
-    b = here.select("key", F.col("lo").alias("other"), F.col("doc").alias("doc_b"), F.col("component").alias("c_b"))
-    apart = a.join(b, "key").filter("c_a <> c_b and (c_b = l or doc_a < doc_b)").select("first", "other").distinct()
-    second = staged(linked(docs, _plausible_pairs(apart, sets, num, den), words, num, den), "links")
+    here = staged(here.join(mixed.select("key", "least"), "key").dropDuplicates(["key", "doc"]), "mixed")
+    # of two members in different components one at least is not in the least; only pairs that
+    # sizes and sketches allow leave the join
+    side = lambda k: here.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("doc", "component", "n", "sketch", "least")])
+    apart = side("a").filter("component_a <> least_a").join(side("b"), "key").filter(
+        F.expr("component_a <> component_b and (component_b = least_b or doc_a < doc_b)")
+        & plausible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), num, den))
+    apart = staged(apart.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct(), "pairs")
+    second = staged(linked(docs, apart, words, num, den), "links")
     links = first.unionAll(second)
     found = components(links) if not second.isEmpty() else found
     return sets.join(found, sets["doc"] == found["node"], "left").select("lo", "hi", F.coalesce("component", "doc").alias("component"))
