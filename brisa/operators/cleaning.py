@@ -10,28 +10,30 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from brisa.functions.numeric import hash_unit
 from brisa.functions.quality import check_rows  # noqa: F401  (part of the cleaning API)
 from brisa.operators import ordered
+from brisa.sources.readers import POSITION, with_position
 
 
 # ------------------------------------------------------------------ duplicates
 def deduplicate(df: DataFrame, key: Sequence[str], order: Sequence[str] | None = None,
                 keep: str = "last") -> DataFrame:
-    """One row per key: the first or last in `order`, or none of the repeated ones.
+    """One row per key: the first or last, or none of the repeated ones.
 
-    An aggregate with map-side combine, so a key that repeats a billion times
-    leaves each map task as one row. Order columns decide; ties are settled by
-    the rest of the row.
+    `order` columns decide, and then the place of the row: file, and row in the file. Without
+    `order` it is that place alone, so `df` should come straight from its source. An aggregate with
+    map-side combine, so a key that repeats a billion times leaves each map task as one row.
     """
-    key = list(key)
-    rest = [c for c in df.columns if c not in key]
-    row = F.struct(*rest) if rest else F.lit(1)
-    rank = F.struct(*(order or []), *[c for c in rest if c not in (order or [])]) if rest else F.lit(1)
     if keep not in ("first", "last", "none"):
         raise ValueError("keep is first, last or none")
+    columns, key = df.columns, list(key)
+    rest = [c for c in columns if c not in key]
+    placed = df if set(POSITION) <= set(columns) else with_position(df)
+    row = F.struct(*[f"`{c}`" for c in rest]) if rest else F.lit(1)
+    rank = F.struct(*(order or []), *POSITION)
     pick = F.min_by(row, rank) if keep == "first" else F.max_by(row, rank)
-    out = df.groupBy(*key).agg(pick.alias("__row"), F.count(F.lit(1)).alias("__n"))
+    out = placed.groupBy(*key).agg(pick.alias("__row"), F.count(F.lit(1)).alias("__n"))
     if keep == "none":
         out = out.filter("__n = 1")
-    return out.select(*[F.col(c) if c in key else F.col(f"__row.`{c}`").alias(c) for c in df.columns])
+    return out.select(*[F.col(c) if c in key else F.col(f"__row.`{c}`").alias(c) for c in columns])
 
 
 def duplicate_report(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -52,13 +54,19 @@ def require_unique(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 # ----------------------------------------------------------------------- nulls
 def modes(df: DataFrame, columns: Sequence[str]) -> dict:
-    """Most frequent value per column, the smallest when tied."""
-    out = {}
-    for c in columns:
-        top = (df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-               .orderBy(F.desc("n"), F.asc(c)).limit(1).collect())
-        out[c] = top[0][c] if top else None
-    return out
+    """Most frequent value per column, the smallest when tied; null for a column without values.
+    All columns in one pass: counts per (column, value), then the best of each column."""
+    if not columns:
+        return {}
+    names = [f"v{j}" for j in range(len(columns))]
+    types = dict(df.dtypes)
+    cells = [F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("c"), *[
+        (F.col(c) if i == j else F.lit(None).cast(types[d])).alias(names[j]) for j, d in enumerate(columns)])) for i, c in enumerate(columns)]
+    long = df.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*")
+    counts = long.groupBy("c", *names).agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy("c").agg(F.min_by(F.struct(*names), F.struct(-F.col("n"), *names)).alias("t")).collect()
+    best = {r["c"]: r["t"][f"v{r['c']}"] for r in top}
+    return {c: best.get(j) for j, c in enumerate(columns)}
 
 
 def is_numeric(df: DataFrame, column: str) -> bool:

@@ -10,7 +10,8 @@ from brisa import constants as K
 from brisa.functions import dates, quality, text
 from brisa.operators import grid, star, validate
 from brisa.operators.cleaning import deduplicate, require_unique
-from brisa.session import cut
+from brisa.session import table_in_shared_folder
+from brisa.sources.readers import POSITION, with_position
 from brisa.sources.writers import publish
 
 GENERATION_TEXT = ("id_subsistema", "nom_subsistema", "id_estado", "nom_estado", "cod_modalidadeoperacao",
@@ -21,11 +22,13 @@ SITE_ATTRIBUTES = ("municipio", "id_estado", "id_subsistema", "latitude", "longi
 
 
 def clean_generation(raw: DataFrame, order: tuple[str, ...] = ("arquivo_origem",)) -> DataFrame:
-    """Hourly generation: one row per unit and hour, gaps marked, UTC."""
+    """Hourly generation: one row per unit and hour, gaps marked, UTC. Of rows for the same unit and
+    hour the last by `order` stays, and of those the last in its file."""
+    raw = with_position(raw)
     df = text.clean_texts(raw.withColumn("din_instante", F.col("din_instante").cast("timestamp_ntz")),
                           [c for c in GENERATION_TEXT if c in raw.columns], ("", "-"))
     df = deduplicate(df, ["din_instante", "id_estado", "nom_usina", "cod_modalidadeoperacao", "nom_tipousina"],
-                     [c for c in order if c in df.columns], "last")
+                     [c for c in order if c in df.columns], "last").drop(*POSITION)
     df = df.withColumns({
         "fonte": text.map_code(F.col("nom_tipousina"), K.SOURCE_BY_PLANT_TYPE),
         "chave_unidade": text.natural_key(F.col("id_ons"), F.col("nom_usina"), F.col("id_estado")),
@@ -33,7 +36,7 @@ def clean_generation(raw: DataFrame, order: tuple[str, ...] = ("arquivo_origem",
     }).withColumnsRenamed({"cod_modalidadeoperacao": "modalidade_ons", "nom_tipocombustivel": "combustivel",
                            "val_geracao": "geracao_mwh"})
     # written once: the checks, the names and the grid below read this table, not the raw files
-    df = require_unique(cut(df), ["chave_unidade", "din_instante"])
+    df = require_unique(table_in_shared_folder(df, "generation"), ["chave_unidade", "din_instante"])
     names, _ = grid.canonical_name(df, "chave_unidade", "nom_usina", "din_instante")
     df = df.join(names.withColumnRenamed("nome_canonico", "nome_usina"), "chave_unidade", "left")
     full = grid.complete_grid(df, "chave_unidade", "din_instante", UNIT_ATTRIBUTES)
@@ -53,7 +56,7 @@ def clean_generation(raw: DataFrame, order: tuple[str, ...] = ("arquivo_origem",
 def _clean_climate(raw: DataFrame, names: Mapping[str, str], time: str, step: str, max_gap: int) -> DataFrame:
     measures = list(names.values())
     df = quality.fill_to_null(raw.withColumnsRenamed(dict(names)), measures)
-    df = deduplicate(df, ["local", time], keep="last")
+    df = deduplicate(df, ["local", time], keep="last").drop(*POSITION)
     full = grid.complete_grid(df, "local", time, SITE_ATTRIBUTES, step)
     full = grid.fill_short_gaps(full, "local", time, measures, max_gap, step)
     return full.withColumns({
@@ -62,7 +65,7 @@ def _clean_climate(raw: DataFrame, names: Mapping[str, str], time: str, step: st
 
 
 def clean_hourly_climate(raw: DataFrame) -> DataFrame:
-    timed = raw.withColumn("data_hora_utc", F.try_to_timestamp(
+    timed = with_position(raw).withColumn("data_hora_utc", F.try_to_timestamp(
         F.col("data_hora_utc"), F.lit("yyyyMMddHH")).cast("timestamp_ntz"))
     df = _clean_climate(timed, K.HOURLY_CLIMATE, "data_hora_utc", "hour", K.MAX_GAP_HOURS)
     return df.withColumn("data_hora_brasilia", dates.utc_to_local(F.col("data_hora_utc"))).select(
@@ -71,7 +74,7 @@ def clean_hourly_climate(raw: DataFrame) -> DataFrame:
 
 
 def clean_daily_climate(raw: DataFrame) -> DataFrame:
-    timed = raw.withColumn("data", F.try_to_timestamp(F.col("data_lst"), F.lit("yyyyMMdd")).cast("date"))
+    timed = with_position(raw).withColumn("data", F.try_to_timestamp(F.col("data_lst"), F.lit("yyyyMMdd")).cast("date"))
     df = _clean_climate(timed, K.DAILY_CLIMATE, "data", "day", K.MAX_GAP_DAYS)
     return df.select("local", *SITE_ATTRIBUTES, "data", *K.DAILY_CLIMATE.values(),
                      "flag_qualidade", "medidas_faltantes")
@@ -83,7 +86,7 @@ DATES = ("data_retrato", "data_entrada_operacao", "inicio_vigencia", "fim_vigenc
 
 def clean_registry(raw: DataFrame) -> DataFrame:
     """Plant registry: typed, one row per code, doubtful dates and places to null."""
-    df = text.rename_and_drop(text.rename_clean(raw), K.REGISTRY_COLUMNS, K.REGISTRY_DROPPED)
+    df = with_position(text.rename_and_drop(text.rename_clean(raw), K.REGISTRY_COLUMNS, K.REGISTRY_DROPPED))
     df = text.clean_texts(df, [n for n, t in df.dtypes if t == "string"])
     order = [c for c in ("data_retrato",) if c in df.columns]
     df = deduplicate(df, ["ceg"], order, "last")

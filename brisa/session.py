@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table_in_shared_folder(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as Parquet to the shared folder and go on from the files: a table that is read
+    column by column, where a checkpoint keeps whole rows."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Tails:
     """Tail probabilities for numbers already aggregated on the cluster."""
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from brisa.functions.text import to_date_time, to_number
@@ -45,16 +46,80 @@ def read_any(spark: SparkSession, path: str, kind: str | None = None, *, schema:
     return df.withColumns(changes) if changes else df
 
 
+def matched_files(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the files of a glob, in order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(where) or []
+    return sorted(s.getPath().toString() for s in found if s.isFile())
+
+
+def _header(spark: SparkSession, file: str, options: Mapping[str, str]) -> tuple[str, ...] | None:
+    """Column names in the first line of a delimited file; null if it has none."""
+    try:
+        names = spark.read.options(**{**options, "header": "true", "inferSchema": "false"}).csv(file).columns
+    except (AnalysisException, PySparkException):
+        return None
+    return tuple(names) or None
+
+
 def read_many(spark: SparkSession, path: str, kind: str, *, origin: str | None = "arquivo_origem",
               skip_bad: bool = False, **options) -> DataFrame:
-    """Every file of a glob, united by column name, with the file of each row."""
-    reader = spark.read.options(**{"ignoreCorruptFiles": str(skip_bad).lower(), "mergeSchema": "true", **options})
+    """Every file of a glob, united by column name, with the file of each row.
+
+    Delimited files are read in one go for each distinct header, each under its own names, and then
+    united; columns that a file lacks are null there. A file that cannot be read is an error, or
+    with `skip_bad` is left out and named in a warning."""
+    kind = FORMATS[kind]
     if kind == "csv":
-        reader = reader.option("header", "true")
-    df = reader.format(FORMATS[kind]).load(path)
+        groups: dict[tuple[str, ...] | None, list[str]] = {}
+        for file in matched_files(spark, path):
+            groups.setdefault(_header(spark, file, options), []).append(file)
+        _report_bad(groups.pop(None, []), skip_bad)
+        if not groups:
+            raise FileNotFoundError(f"no readable file under {path}")
+        reader = spark.read.options(**{**options, "header": "true", "enforceSchema": "false"})
+        frames = [reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(files) for names, files in groups.items()]
+    elif skip_bad:
+        good, bad = [], []
+        for file in matched_files(spark, path):
+            try:
+                spark.read.options(**options).format(kind).load(file)
+                good.append(file)
+            except (AnalysisException, PySparkException):
+                bad.append(file)
+        _report_bad(bad, True)
+        if not good:
+            raise FileNotFoundError(f"no readable file under {path}")
+        frames = [spark.read.options(**{"mergeSchema": "true", **options}).format(kind).load(good)]
+    else:
+        frames = [spark.read.options(**{"mergeSchema": "true", **options}).format(kind).load(path)]
     if origin:
-        df = df.select("*", F.col("_metadata.file_name").alias(origin))
-    return df
+        frames = [f.select("*", F.col("_metadata.file_name").alias(origin)) for f in frames]
+    return unite(frames)
+
+
+def _report_bad(files: Sequence[str], skip: bool) -> None:
+    if files and not skip:
+        raise ValueError(f"unreadable files: {', '.join(files)}")
+    if files:
+        warnings.warn(f"left out, unreadable: {', '.join(files)}", stacklevel=3)
+
+
+#: Columns of `with_position`.
+POSITION = ("__arquivo", "__bloco", "__linha")
+
+
+def with_position(df: DataFrame) -> DataFrame:
+    """`df` with the place of each row: file, block of the file and a number that rises inside a
+    block. Taken straight from a file source this is the order of the files by name and of the rows
+    in each; rows that come from elsewhere keep the order they are in now."""
+    try:
+        file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+        placed = df.select("*", file.alias(POSITION[0]), block.alias(POSITION[1]))
+    except AnalysisException:
+        placed = df.withColumns({POSITION[0]: F.lit(""), POSITION[1]: F.lit(0).cast("long")})
+    return placed.withColumn(POSITION[2], F.monotonically_increasing_id())
 
 
 def unite(frames: Sequence[DataFrame]) -> DataFrame:

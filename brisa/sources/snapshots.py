@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from brisa.session import table_in_shared_folder
 from brisa.sources.readers import path_exists
 
 DAY = "data_coleta"
@@ -65,6 +69,26 @@ def load_months(df: DataFrame, root: str, time: str) -> list[str]:
     return _listed(df.sparkSession, root, MONTH)
 
 
+def add_to_months(df: DataFrame, root: str, time: str, key: Sequence[str] | None = None) -> list[str]:
+    """Add rows to the months that `df` holds. Rows already there stay, except those with the
+    `key` (the whole row unless given) of a new row, so adding the same rows again changes nothing.
+    The touched months are put together in the shared folder first and then replaced."""
+    spark = df.sparkSession
+    dated = df.withColumn(MONTH, F.date_format(time, "yyyy-MM"))
+    key = [*(key or df.columns), MONTH]
+    new = table_in_shared_folder(dated.dropDuplicates(key), "month-rows")
+    months = new.select(MONTH).distinct()
+    if path_exists(spark, root):
+        old = read_months(spark, root).withColumn(MONTH, F.col(MONTH).cast("string"))
+        old = old.join(F.broadcast(months), MONTH, "left_semi")         # one short text for each month
+        same = [old[c].eqNullSafe(new[c]) for c in key]
+        old = old.join(new.select(*key), reduce(and_, same), "left_anti")
+        new = table_in_shared_folder(new.unionByName(old, allowMissingColumns=True), "months")
+    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("compression", "zstd").partitionBy(MONTH).parquet(root))
+    return _listed(spark, root, MONTH)
+
+
 def read_months(spark: SparkSession, root: str, first: str | None = None, last: str | None = None) -> DataFrame:
     df = spark.read.option("basePath", root).parquet(root)
     month = F.col(MONTH).cast("string")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from brisa.constants import LATENCY_BUCKETS_MS
 from brisa.operators.serving import access_counts
-from brisa.sources.snapshots import load_months
+from brisa.sources.snapshots import add_to_months
 
 
 def running_counts(log: DataFrame) -> DataFrame:
@@ -28,7 +30,8 @@ def start_counts(log: DataFrame, checkpoint: str, name: str = "contagens") -> St
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def start_monthly_load(stream: DataFrame, root: str, time: str, checkpoint: str) -> StreamingQuery:
-    """Each batch rewrites the months it holds."""
-    return (stream.writeStream.foreachBatch(lambda df, _: load_months(df, root, time) and None)
+def start_monthly_load(stream: DataFrame, root: str, time: str, checkpoint: str, key: Sequence[str] | None = None) -> StreamingQuery:
+    """Each batch adds its rows to their months; rows of earlier batches stay, and a batch that
+    runs again after a failure changes nothing. Rows with the same `key` replace each other."""
+    return (stream.writeStream.foreachBatch(lambda df, _: add_to_months(df, root, time, key) and None)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

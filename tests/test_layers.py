@@ -1,4 +1,4 @@
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,14 +10,17 @@ from brisa.sources.writers import published
 from tests import world
 
 
+SMALL = "PQU|PQU SERRA GAUCHA|RS"
+
+
 @pytest.fixture(scope="module")
 def clean(spark):
     return {
-        "generation": layers.clean_generation(world.generation(spark), ("arquivo_origem", "ordem")).cache(),
-        "registry": layers.clean_registry(world.registry(spark)).cache(),
+        "events": layers.clean_events(world.maintenance(spark)).cache(),
         "daily": layers.clean_daily_climate(world.daily_climate(spark)).cache(),
+        "registry": layers.clean_registry(world.registry(spark)).cache(),
         "hourly": layers.clean_hourly_climate(world.hourly_climate(spark)).cache(),
-        "events": layers.clean_events(world.maintenance(spark)).cache(),
+        "generation": layers.clean_generation(world.generation(spark)).cache(),
     }
 
 
@@ -27,156 +30,182 @@ def curated(clean):
         clean["generation"], clean["registry"], clean["daily"], clean["events"]).items()}
 
 
-def test_generation(clean):
+def at(df, unit, hour):
+    """Row of a unit at an hour since the start, in local time."""
+    return df.filter((F.col("chave_unidade") == unit) & (F.col("data_hora_brasilia") == F.lit(world.START + timedelta(hours=hour)))).first()
+
+
+def test_grid_and_flags(clean):
+    df = clean["generation"]
+    assert df.groupBy("chave_unidade").count().filter(f"count <> {world.HOURS}").count() == 0
+    flags = {(r[0], r[1]): r[2] for r in df.filter("flag_qualidade <> 'original'").groupBy("chave_unidade", "flag_qualidade").count().collect()}
+    assert flags == {("PITAB", "interpolado"): 2, ("PITAB", "negativo_zerado"): 1, ("CEGRL", "faltante"): 8}
+    low, high = 16 * world.shape(32), 16 * world.shape(35)
+    assert at(df, "PITAB", 34)["geracao_mwh"] == pytest.approx(low + (high - low) * 2 / 3, abs=1e-3)
+    assert at(df, "PITAB", 71)["geracao_mwh"] == 0 and at(df, "CEGRL", 43)["geracao_mwh"] is None
+    assert at(df, "CEGRL", 0)["data_hora_utc"] == datetime(2025, 3, 10, 3)
+
+
+def test_the_last_row_of_a_file_stays(spark, clean, tmp_path):
+    """No column says which row is newer: the one further down does, whatever its value."""
+    wanted = {("PEAGU", 12): 9 * world.shape(12), ("PEAGU", 80): 9 * world.shape(80), ("TORIO", 5): 90 * world.shape(5)}
+    from_file = str(tmp_path / "raw")
+    raw = world.generation(spark)
+    raw.coalesce(1).write.parquet(from_file)
+    for df in (clean["generation"], layers.clean_generation(spark.read.parquet(from_file))):
+        for (unit, hour), value in wanted.items():
+            assert at(df, unit, hour)["geracao_mwh"] == pytest.approx(value, abs=1e-3), (unit, hour)
+    files = str(tmp_path / "parts")         # the later file by name wins over the earlier one
+    one = raw.filter("id_ons = 'PEAGU'").limit(1)
+    one.withColumn("val_geracao", F.lit(5.0)).coalesce(1).write.parquet(files + "/x=2")
+    one.withColumn("val_geracao", F.lit(8.0)).coalesce(1).write.parquet(files + "/x=1")
+    both = layers.clean_generation(spark.read.parquet(files).drop("x"))
+    assert [r["geracao_mwh"] for r in both.collect()] == [5.0]
+
+
+def test_units(clean):
     df = clean["generation"]
-    assert df.count() == 360
-    assert df.select("chave_unidade", "data_hora_utc").distinct().count() == 360
-    flags = {r[0]: r[1] for r in df.groupBy("flag_qualidade").count().collect()}
-    assert flags == {"negativo_zerado": 1, "interpolado": 1, "faltante": 5, "original": 353}
-    assert df.filter("geracao_mwh = 99").count() == 0
-    assert df.agg(F.min("data_hora_utc")).first()[0] == datetime(2026, 7, 1, 3)
-    ufva = df.filter("chave_unidade = 'UFVA'")
-    assert [r[0] for r in ufva.select("nome_usina_normalizado").distinct().collect()] == ["ufv bom sol i"]
-    hour = ufva.filter("flag_qualidade = 'interpolado'").first()
-    assert hour["geracao_mwh"] == pytest.approx((20 * world.shape(9) + 20 * world.shape(11)) / 2)
-    assert hour["id_estado"] == "BA"
-    assert df.filter("chave_unidade = 'PQU|PQU MMAM MMGD|AM' and tipo_unidade = 'pequenas_usinas'").count() == 72
-    assert {r[0] for r in df.select("fonte").distinct().collect()} == {"solar", "eolica", "hidraulica"}
+    assert [r[0] for r in df.filter("chave_unidade = 'PEPED'").select("nome_usina").distinct().collect()] == ["CJ EOLICO PEDRA RACHADA"]
+    kinds = {r["chave_unidade"]: (r["tipo_unidade"], r["fonte"]) for r in df.select("chave_unidade", "tipo_unidade", "fonte").distinct().collect()}
+    assert kinds == {"PITAB": ("usina", "solar"), "CEGRL": ("conjunto", "eolica"), "PEPED": ("conjunto", "eolica"),
+                     "PEAGU": ("conjunto", "solar"), SMALL: ("pequenas_usinas", "eolica"), "TORIO": ("usina", "termica")}
 
 
 def test_registry(clean):
     rows = {r["ceg"]: r for r in clean["registry"].collect()}
-    good, bad = rows["UFV.RS.BA.000001-0.1"], rows["UFV.RS.MG.000040-0.1"]
-    assert (good["potencia_outorgada_mw"], good["latitude"], good["longitude"]) == (30.0, -10.10, -41.10)
-    assert (bad["flag_coordenada"], bad["latitude"], bad["flag_data_operacao"]) == ("zerada", None, "sentinela_1900")
-    assert bad["data_entrada_operacao"] is None and bad["municipio"] is None
-    two = rows["EOL.CV.BA.000011-0.1"]
-    assert (two["municipio"], two["uf_municipio"], two["municipio_normalizado"]) == ("Caetité", "BA", "caetite")
-    assert not [c for c in clean["registry"].columns if "propri" in c]
+    assert len(rows) == len(world.PLANTS) and not [c for c in clean["registry"].columns if "propri" in c]
+    sun, abroad, planned = rows["UFV.RS.PI.037711-4.1"], rows["UFV.RS.GO.040404-6.1"], rows["EOL.CV.CE.031207-1.1"]
+    assert (sun["potencia_outorgada_mw"], sun["garantia_fisica_mw"], sun["latitude"]) == (18.2505, 1.5, -8.25)
+    assert (abroad["flag_coordenada"], abroad["latitude"], abroad["flag_data_operacao"]) == ("fora_do_brasil", None, "implausivel_pre_1990")
+    assert (abroad["municipio"], abroad["id_subsistema"]) == (None, "SE")
+    assert (planned["flag_data_operacao"], planned["data_entrada_operacao"], planned["flag_coordenada"]) == ("sentinela_1900", None, None)
+    two = rows["EOL.CV.CE.031202-5.1"]
+    assert (two["municipio"], two["uf_municipio"], two["municipio_normalizado"]) == ("Itarema", "CE", "itarema")
 
 
 def test_climate(clean):
-    hourly = clean["hourly"]
-    assert hourly.filter("irradiancia_wh_m2 is not null").count() == 0
-    assert [r[0] for r in hourly.select("medidas_faltantes").distinct().collect()] == ["irradiancia_wh_m2"]
-    assert hourly.filter("vento_50m_ms is null").count() == 0
-    wind = hourly.filter("local='bom_jesus_ba' and hour(data_hora_utc)=5 and day(data_hora_utc)=1").first()
-    assert wind["vento_50m_ms"] == pytest.approx(11.0)
-    days = {r["data"].day: r for r in clean["daily"].filter("local = 'bom_jesus_ba'").collect()}
-    assert len(days) == 5
-    assert days[3]["irradiancia_kwh_m2_dia"] == pytest.approx(5.4) and days[3]["flag_qualidade"] == "interpolado"
-    assert days[5]["irradiancia_kwh_m2_dia"] is None and days[5]["medidas_faltantes"] == "irradiancia_kwh_m2_dia"
+    site = lambda df, name: df.filter(F.col("local") == name)
+    hours = {r["data_hora_utc"].hour: r for r in site(clean["hourly"], "acarau_ce").filter("day(data_hora_utc) = 10").collect()}
+    assert [hours[h]["vento_50m_ms"] for h in (11, 12, 13)] == [22.0, 24.0, 26.0]       # three hours are filled
+    assert all(hours[h]["medidas_faltantes"] == "vento_10m_ms" for h in range(3, 9)) and hours[9]["medidas_faltantes"] is None
+    days = {r["data"].day: r for r in site(clean["daily"], "inocencio_pi").collect()}
+    assert len(days) == 9 and days[13]["flag_qualidade"] == "interpolado"
+    assert days[13]["irradiancia_kwh_m2_dia"] == pytest.approx((4.2 + 4.8) / 2)
+    last = site(clean["daily"], "buique_pe").filter("data = '2025-03-18'").first()
+    assert (last["irradiancia_kwh_m2_dia"], last["medidas_faltantes"]) == (None, "irradiancia_kwh_m2_dia")
 
 
 def test_events(clean, spark):
-    rows = {r["ceg"]: r for r in clean["events"].collect()}
-    assert rows["UFV.RS.BA.000001-0.1"]["tempo_dias"] == 1096
-    bad = world.maintenance(spark).withColumn("tempo_anos", F.lit(0.0))
-    with pytest.raises(ValueError, match="tempo <= 0"):
-        layers.clean_events(bad)
+    days = {r["ceg"]: r["tempo_dias"] for r in clean["events"].collect()}
+    assert days["EOL.CV.CE.031201-7.1"] == round(7 * 365.25) and len(days) == 5
+    for column, value, rule in (("tempo_anos", F.lit(-1.0), "tempo <= 0"), ("evento", F.lit(2), "evento fora"), ("data_evento", F.lit(date(2030, 1, 1)), "corte")):
+        with pytest.raises(ValueError, match=rule):
+            layers.clean_events(world.maintenance(spark).withColumn(column, value))
 
 
-def test_dimension(curated):
+def test_dimension_and_bridge(curated):
     dim = {r["chave_unidade"]: r for r in curated["dim_usina"].collect()}
-    assert set(dim) == {"UFVA", "CJEOL", "CJINC", "PQU|PQU MMAM MMGD|AM"}
-    ufva, cj, inc, pqu = (dim[k] for k in ("UFVA", "CJEOL", "CJINC", "PQU|PQU MMAM MMGD|AM"))
-    assert (ufva["metodo_vinculo"], ufva["qualidade_vinculo"], ufva["potencia_mw"]) == ("ceg", "exata", 30.0)
-    assert (ufva["municipio"], ufva["data_operacao"]) == ("Bom Jesus da Lapa", date(2019, 5, 10))
-    assert (cj["n_usinas_aneel"], cj["potencia_mw"], cj["qualidade_vinculo"]) == (2, 60.0, "consistente")
-    assert cj["razao_pico_potencia"] == pytest.approx(0.75) and cj["lat"] == pytest.approx(-11.10)
-    assert cj["data_operacao"] == date(2015, 3, 1)
-    assert (inc["qualidade_vinculo"], inc["potencia_mw"], inc["potencia_aneel_vinculada_mw"]) == \
-        ("inconsistente", None, 10.0)
-    assert (pqu["qualidade_vinculo"], pqu["n_usinas_aneel"], pqu["lat"]) == ("sem_vinculo", 0, None)
-    bridge = curated["ponte_usina_aneel"].collect()
-    assert len(bridge) == 4 and all(r["usina_id"] for r in bridge)
-    assert {r["nucleo_usado"] for r in bridge if r["metodo_vinculo"] == "nome"} == \
-        {"santa eugenia", "morro do chapeu sul ii"}
+    assert sorted(dim) == ["CEGRL", "PEAGU", "PEPED", "PITAB", SMALL]              # solar and wind only
+    links = {k: (r["metodo_vinculo"], r["qualidade_vinculo"], r["n_usinas_aneel"], r["potencia_mw"]) for k, r in dim.items()}
+    assert links == {"PITAB": ("ceg", "exata", 1, 18.2505), "CEGRL": ("nome", "consistente", 3, 100.0), "PEPED": ("nome", "inconsistente", 1, None),
+                     "PEAGU": ("sem_vinculo", "sem_vinculo", 0, None), SMALL: ("sem_vinculo", "sem_vinculo", 0, None)}
+    wind = dim["CEGRL"]
+    assert (wind["municipio"], wind["data_operacao"], wind["razao_pico_potencia"]) == ("Acaraú", date(2014, 11, 20), pytest.approx(0.56))
+    assert (wind["lat"], wind["lon"]) == (pytest.approx(-3.6), pytest.approx(-40.3))
+    assert dim["PEPED"]["potencia_aneel_vinculada_mw"] == 12.0
+    bridge = {r["ceg_aneel"]: (r["usina_id"], r["nucleo_usado"]) for r in curated["ponte_usina_aneel"].collect()}
+    a, b, c = dim["CEGRL"]["usina_id"], dim["PEPED"]["usina_id"], dim["PITAB"]["usina_id"]
+    assert bridge == {"EOL.CV.CE.031201-7.1": (a, "gravata do leste"), "EOL.CV.CE.031202-5.1": (a, "gravata do leste"),
+                      "EOL.CV.CE.031205-9.1": (a, "gravata do leste"), "EOL.CV.PE.029988-1.1": (b, "pedra rachada"), "UFV.RS.PI.037711-4.1": (c, None)}
 
 
 def test_facts(curated):
     ids = {r["chave_unidade"]: r["usina_id"] for r in curated["dim_usina"].collect()}
     fact = curated["fato_geracao"]
-    assert fact.count() == 4 * 72
-    assert fact.filter("flag_qualidade = 'faltante' and energia_mwh is null").count() == 5
-    climate = {r["usina_id"]: r for r in curated["fato_clima"].collect()}
-    assert climate[ids["UFVA"]]["local_clima"] == "bom_jesus_ba" and climate[ids["UFVA"]]["distancia_km"] < 20
-    assert climate[ids["CJINC"]]["local_clima"] == "joao_camara_rn"
-    assert ids["PQU|PQU MMAM MMGD|AM"] not in climate
-    assert {r[0] for r in curated["fato_clima"].select("medidas_faltantes").dropna().distinct().collect()} == \
-        {"irradiancia_kwh_m2"}
-    made = {r["usina_id"]: r for r in curated["fato_manutencao"].collect()}
-    assert len(made) == 3
-    cj = made[ids["CJEOL"]]
-    assert (cj["n_usinas_consideradas"], cj["evento_ocorreu"], cj["data_primeiro_evento"]) == \
-        (2, True, date(2018, 7, 15))
-    assert cj["tempo_dias"] == (date(2018, 7, 15) - date(2015, 3, 1)).days
-    assert made[ids["CJINC"]]["tempo_dias"] == (world.CUT - date(2017, 1, 20)).days
+    assert fact.count() == len(ids) * world.HOURS and fact.filter("energia_mwh is null").count() == 8
+    sites = {r["usina_id"]: r["local_clima"] for r in curated["fato_clima"].select("usina_id", "local_clima").distinct().collect()}
+    # the group without plants takes the point of its state, the one without either has none
+    assert sites == {ids["PITAB"]: "inocencio_pi", ids["CEGRL"]: "acarau_ce", ids["PEPED"]: "buique_pe", ids["PEAGU"]: "buique_pe"}
+    made = {r["usina_id"]: (r["n_usinas_consideradas"], r["evento_ocorreu"], r["data_primeiro_evento"], r["tempo_dias"])
+            for r in curated["fato_manutencao"].collect()}
+    first = date(2020, 6, 1)
+    assert made == {ids["CEGRL"]: (2, True, first, (first - date(2014, 11, 20)).days),
+                    ids["PITAB"]: (1, False, None, (world.CUT - date(2020, 9, 15)).days),
+                    ids["PEPED"]: (1, False, None, (world.CUT - date(2018, 4, 30)).days)}
 
 
 def test_ids_stay(clean, curated):
+    ids = lambda df: {r["chave_unidade"]: r["usina_id"] for r in df.collect()}
+    before = ids(curated["dim_usina"])
     again, _ = star.build_dimension(clean["generation"], clean["registry"], curated["dim_usina"])
-    pick = lambda df: {r["chave_unidade"]: r["usina_id"] for r in df.collect()}
-    assert pick(again) == pick(curated["dim_usina"])
-    part = curated["dim_usina"].filter("chave_unidade in ('CJINC')").withColumn("usina_id", F.lit(7).cast("long"))
-    mixed, _ = star.build_dimension(clean["generation"], clean["registry"], part)
-    ids = pick(mixed)
-    assert ids["CJINC"] == 7 and sorted(ids.values()) == [7, 8, 9, 10]
+    assert ids(again) == before
+    known = curated["dim_usina"].filter("chave_unidade = 'PITAB'").withColumn("usina_id", F.lit(40).cast("long"))
+    later, _ = star.build_dimension(clean["generation"], clean["registry"], known)
+    later = ids(later)
+    assert later.pop("PITAB") == 40 and sorted(later.values()) == [41, 42, 43, 44]
 
 
 def test_publish(spark, curated, tmp_path):
     root = str(tmp_path / "star")
-    first = layers.publish_star(curated, root)
-    assert published(spark, root)["dim_usina"].count() == 4
-    broken = dict(curated, fato_geracao=curated["fato_geracao"].unionByName(curated["fato_geracao"].limit(1)))
+    layers.publish_star(curated, root)
+    rows = lambda: {k: published(spark, root)[k].count() for k in ("dim_usina", "fato_geracao")}
+    good = rows()
+    assert good == {"dim_usina": 5, "fato_geracao": 5 * world.HOURS}
+    twice = curated["fato_geracao"].unionByName(curated["fato_geracao"].filter("usina_id = 2"))
     with pytest.raises(ValueError, match="chave"):
-        layers.publish_star(broken, root)
-    assert published(spark, root)["fato_geracao"].count() == 288
-    assert first in (tmp_path / "star" / "CURRENT").read_text()
-
-
-def _link(spark, units, plants):
-    u = spark.createDataFrame(units, "chave_unidade string, ceg_ons string, nome_normalizado string, "
-                              "tipo_unidade string, fonte string, id_estado string")
-    p = spark.createDataFrame(
-        [(*x, -10.0, -40.0, "Teste", date(2015, 1, 1)) for x in plants],
-        "ceg string, nome_normalizado string, fonte string, id_estado string, fase string, "
-        "potencia_outorgada_mw double, latitude double, longitude double, municipio string, "
-        "data_entrada_operacao date")
-    return {r["ceg_aneel"]: (r["chave_unidade"], r["metodo_vinculo"], r["nucleo_usado"])
-            for r in star.link_units(u, p).collect()}
-
-
-def test_link_edges(spark):
-    wind = ("conjunto", "eolica", "BA")
-    op = ("eolica", "BA", "Operação", 30.0)
-    assert _link(spark, [("U1", "EOL.CV.BA.000001-0.01", "um", "usina", "eolica", "BA")],
-                 [("EOL.CV.BA.000001-0.1", "um", "eolica", "BA", "Construção", 30.0)]) == \
-        {"EOL.CV.BA.000001-0.1": ("U1", "ceg", None)}
-    assert _link(spark, [("G", None, "conjunto eolico santa eugenia", *wind),
-                         ("E", None, "conjunto eolico santa eugenia norte", *wind)],
-                 [("a", "santa eugenia norte 01", *op), ("b", "santa eugenia sul 01", *op)]) == \
-        {"a": ("E", "nome", "santa eugenia norte"), "b": ("G", "nome", "santa eugenia")}
-    assert _link(spark, [("A", None, "conjunto eolico caetite", *wind), ("B", None, "conjunto eolico caetite", *wind)],
-                 [("a", "caetite 01", *op)]) == {"a": ("A", "nome", "caetite")}
-    assert _link(spark, [("A", None, "conjunto eolico caetite 123", *wind)], [("a", "caetite 01", *op)]) == \
-        {"a": ("A", "nome", "caetite")}
-    assert _link(spark, [("A", None, "conjunto eolico sul", *wind)], [("a", "ventos do sul 01", *op)]) == {}
-    assert _link(spark, [("A", None, "conjunto eolico lapa", *wind)], [("a", "lapao 01", *op)]) == {}
-    for fonte, uf, fase, mw in [("eolica", "BA", "Construção", 30.0), ("eolica", "BA", "Operação", 0.5),
-                                ("eolica", "PE", "Operação", 30.0), ("solar", "BA", "Operação", 30.0)]:
-        assert _link(spark, [("A", None, "conjunto eolico caetite", *wind)],
-                     [("a", "caetite 01", fonte, uf, fase, mw)]) == {}
+        layers.publish_star({**curated, "fato_geracao": twice}, root)
+    assert rows() == good
+
+
+def links(spark, units, plants):
+    """(unit, method, core) of each plant that gets a unit."""
+    u = spark.createDataFrame([(k, code, name, kind, source, state) for k, name, kind, source, state, code in units],
+                              "chave_unidade string, ceg_ons string, nome_normalizado string, tipo_unidade string, fonte string, id_estado string")
+    p = spark.createDataFrame([(code, name, source, state, phase, mw, -9.5, -38.0, "Vila", date(2013, 2, 2)) for code, name, source, state, phase, mw in plants],
+                              "ceg string, nome_normalizado string, fonte string, id_estado string, fase string, "
+                              "potencia_outorgada_mw double, latitude double, longitude double, municipio string, data_entrada_operacao date")
+    return {r["ceg_aneel"]: (r["chave_unidade"], r["metodo_vinculo"], r["nucleo_usado"]) for r in star.link_units(u, p).collect()}
+
+
+def group(key, name, state="PB", source="eolica"):
+    return key, name, "conjunto", source, state, None
+
+
+def plant(code, name, state="PB", source="eolica", phase="Operação", mw=22.0):
+    return code, name, source, state, phase, mw
+
+
+def test_link_by_code_ignores_phase(spark):
+    unit = ("K", "qualquer", "usina", "solar", "MG", "UFV.RS.MG.055555-2.01")
+    assert links(spark, [unit], [plant("UFV.RS.MG.055555-2.1", "outro nome", "MG", "solar", "Construção")]) == {"UFV.RS.MG.055555-2.1": ("K", "ceg", None)}
+
+
+def test_longer_names_link_first(spark):
+    found = links(spark, [group("short", "conjunto eolico pico alto"), group("long", "complexo eolico pico alto oeste")],
+                  [plant("p", "pico alto oeste iv"), plant("q", "pico alto leste iv")])
+    assert found == {"p": ("long", "nome", "pico alto oeste"), "q": ("short", "nome", "pico alto")}
+    same = [group("second", "cj eolico areia clara"), group("first", "cj eolico areia clara")]
+    assert links(spark, same, [plant("p", "areia clara 9")]) == {"p": ("first", "nome", "areia clara")}
+    assert links(spark, [group("K", "conjunto eolico areia clara 77")], [plant("p", "areia clara 9")]) == {"p": ("K", "nome", "areia clara")}
+
+
+def test_what_does_not_link(spark):
+    unit = [group("K", "conjunto eolico areia clara")]
+    assert links(spark, [group("K", "conjunto eolico rio")], [plant("p", "ventos do rio 3")]) == {}        # a core of three letters
+    assert links(spark, [group("K", "conjunto eolico areia")], [plant("p", "areial 3")]) == {}             # half a word
+    for other in (plant("p", "areia clara 1", phase="Construção"), plant("p", "areia clara 1", mw=0.99), plant("p", "areia clara 1", state="AL"),
+                  plant("p", "areia clara 1", source="solar")):
+        assert links(spark, unit, [other]) == {}
 
 
 def test_name_link_equals_one_by_one(spark):
     """Against the same choice made set by set."""
     import random
     rnd = random.Random(5)
-    words = ["vento", "norte", "serra", "azul", "sul", "ii", "lagoa"]
-    sets = [(f"S{i:02d}", rnd.choice(["BA", "RN"]), "eolica",
+    words = ["areia", "pico", "alto", "claro", "rio", "iv", "oeste"]
+    sets = [(f"S{i:02d}", rnd.choice(["PB", "AL"]), "eolica",
              " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 3)))) for i in range(30)]
-    plants = [(f"p{i:03d}", rnd.choice(["BA", "RN"]), "eolica",
+    plants = [(f"p{i:03d}", rnd.choice(["PB", "AL"]), "eolica",
                " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 5)))) for i in range(120)]
     want, used = {}, set()
     for key, uf, src, core in sorted(sets, key=lambda s: (-len(s[3]), s[0])):
@@ -198,8 +227,8 @@ def test_name_link_equals_one_by_one(spark):
 
 
 def test_core_names(spark):
-    df = spark.createDataFrame([("conjunto eolico morro do chapeu sul ii 230 kv",), ("cj caetite 123",)], "n string")
-    assert [r[0] for r in df.select(core_name(F.col("n"))).collect()] == ["morro do chapeu sul ii", "caetite 123"]
+    df = spark.createDataFrame([("complexo eolico serra branca 69 kv iii",), ("usina solar boa hora 5",)], "n string")
+    assert [r[0] for r in df.select(core_name(F.col("n"))).collect()] == ["serra branca iii", "boa hora 5"]
 
 
 def test_validation_reports_everything(curated):
