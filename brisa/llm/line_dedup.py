@@ -8,7 +8,7 @@ goes. The join is exact:
 * two matching sets share a word among the first n - ceil(t n) + 1 of each (prefix filter);
 * sizes differ by the factor t at most (length filter), and what can still be common after the
   places of the shared word must reach the overlap that t asks for (positional filter);
-* parities of the words in 64 slots differ in no more places than the sets differ in words;
+* parities of the words in 128 slots differ in no more places than the sets differ in words;
 * what passes is verified on the whole lines.
 
 Equal sets are one entry with the place of the first. Entries travel packed, one binary row for
@@ -32,8 +32,12 @@ SLOTS = 1 << 20
 #: Entries of one part; a word that occurs more often than HOT times is split into blocks of so many.
 PART, HOT = 500_000, 1 << 18
 #: Plausible earlier lines verified first; pairs of entries looked at in one go.
-FIRST, CHUNK = 2, 1_000_000
-ENTRY = np.dtype([("word", "<u4"), ("n", "<u4"), ("place", "<u4"), ("line", "<i4"), ("set", "<i8"), ("sketch", "<u8"), ("doc", "<i8")])
+FIRST, CHUNK = 3, 1_000_000
+#: Sets still open after the first round that are broadcast; with more they are joined.
+OPEN = 1_000_000
+ENTRY = np.dtype([("word", "<u4"), ("n", "<u4"), ("place", "<u4"), ("line", "<i4"), ("set", "<i8"), ("low", "<u8"), ("high", "<u8"), ("doc", "<i8")])
+#: The counts of all slots travel in this many slices, summed by at most FAN tasks each at first.
+SLICES, FAN = 64, 256
 
 
 def slot_of(h: np.ndarray) -> np.ndarray:
@@ -49,10 +53,8 @@ class Lines:
         breaks = np.flatnonzero(data == 10)
         text = np.searchsorted(at, start, "right") - 1
         row = np.searchsorted(breaks, start) + text
-        order_key = row << 8
-        if rarity is not None:
-            order_key |= rarity[slot_of(h)]
-        order = np.lexsort((h, order_key))
+        rank = rarity[slot_of(h)].astype(np.int64) if rarity is not None else np.zeros(len(h), np.int64)
+        order = line_order(row, rank, h)
         h, row, text = h[order], row[order], text[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
@@ -67,39 +69,60 @@ class Lines:
         if len(head):
             spread = wordhash.mixed(self.words + np.uint64(0x51ED270B))
             self.set = wordhash.mixed(np.add.reduceat(spread, head) + self.n.astype(np.uint64)).view(np.int64)
-            self.sketch = np.bitwise_xor.reduceat(np.uint64(1) << (spread >> np.uint64(58)), head)
+            one, upper = np.uint64(1) << ((spread >> np.uint64(57)) & np.uint64(63)), (spread >> np.uint64(63)).astype(bool)
+            self.low = np.bitwise_xor.reduceat(np.where(upper, np.uint64(0), one), head)
+            self.high = np.bitwise_xor.reduceat(np.where(upper, one, np.uint64(0)), head)
         else:
-            self.set, self.sketch = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """How often the words of each slot occur in all texts: at most SLOTS numbers on the driver."""
-    def count(batches):
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for data, at in wordhash.blocks(batch.column(0)):
-                total += np.bincount(slot_of(wordhash.word_hashes(data, at)[0]), minlength=SLOTS)
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total[hit])], ["slot", "n"])
-    rows = docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SLOTS, np.int64)
-    out[np.asarray(rows.column("slot"))] = np.asarray(rows.column("n"))
-    return out
-
-
-def line_table(docs: DataFrame, least_words: int) -> DataFrame:
-    """(doc_id, body, line, set) of every line with `least_words` different words; staged."""
-    def lines(batches):
+            self.set, self.low, self.high = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+
+def line_order(row: np.ndarray, rank: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Order of the words of a block by line, rarity and hash. One sort of packed numbers does it
+    unless two words of a line agree in the packed part of their hashes; then three sorts do."""
+    if len(row) and row[-1] < 1 << 22:
+        order = np.argsort((row.astype(np.uint64) << np.uint64(42)) | (rank.astype(np.uint64) << np.uint64(34)) | (h >> np.uint64(30)))
+        r, k, x = row[order], rank[order], h[order]
+        if not np.any((r[1:] == r[:-1]) & (k[1:] == k[:-1]) & (x[1:] < x[:-1])):
+            return order
+    return np.lexsort((h, rank, row))
+
+
+def lines_and_counts(docs: DataFrame, least_words: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, body, line, set) of every line with `least_words` different words, and how often
+    the words of each slot occur in all texts; from one pass over the texts, which is staged. The
+    driver gets SLOTS numbers."""
+    def work(batches):
+        total, tables = np.zeros(SLOTS, np.int64), 0
         for batch in batches:
             ids, bodies, first = np.asarray(batch.column(0)), np.asarray(batch.column(2)), 0
             for data, at in wordhash.blocks(batch.column(1)):
                 x = Lines(data, at)
+                total += np.bincount(slot_of(x.words), minlength=SLOTS)
                 keep = x.n >= least_words
                 of = x.text[keep] + first
-                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(bodies[of]), pa.array(x.number[keep].astype(np.int32)), pa.array(x.set[keep])],
-                                                 ["doc_id", "body", "line", "set"])
+                n, tables = int(keep.sum()), tables + len(of)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(bodies[of]), pa.array(x.number[keep].astype(np.int32)), pa.array(x.set[keep]), pa.nulls(n, pa.binary())],
+                                                 ["doc_id", "body", "line", "set", "counts"])
                 first += len(at) - 1
-    return staged(docs.select("doc_id", "text", "body").mapInArrow(lines, "doc_id long, body long, line int, set long"), "lines")
+        if total.any():                     # line: the slice; set: spreads the slices of a task over FAN
+            none = pa.nulls(SLICES, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(range(SLICES), pa.int32()), pa.array([int(total.sum()) % FAN] * SLICES, pa.int64()),
+                                              pa.array([c.tobytes() for c in np.split(total, SLICES)], pa.binary())], ["doc_id", "body", "line", "set", "counts"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        whole = np.zeros(SLOTS // SLICES, np.int64)
+        for c in table.column("counts"):
+            whole += np.frombuffer(c.as_py(), np.int64)
+        return pa.table([table.column("line").slice(0, 1), pa.array([whole.tobytes()], pa.binary())], names=["line", "counts"])
+
+    schema = "doc_id long, body long, line int, set long, counts binary"
+    both = staged(docs.select("doc_id", "text", "body").mapInArrow(work, schema), "lines")
+    counts = both.filter("counts is not null").select("line", "set", "counts")
+    counts = counts.groupBy("line", "set").applyInArrow(summed, "line int, counts binary").groupBy("line").applyInArrow(summed, "line int, counts binary").toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    for k, c in zip(counts.column("line").to_pylist(), counts.column("counts")):
+        out[k * (SLOTS // SLICES):(k + 1) * (SLOTS // SLICES)] = np.frombuffer(c.as_py(), np.int64)
+    return both.filter("counts is null").drop("counts"), out
 
 
 def entry_rows(docs: DataFrame, counts: np.ndarray, parts: int, least_words: int, num: int, den: int) -> DataFrame:
@@ -147,7 +170,7 @@ def entry_rows(docs: DataFrame, counts: np.ndarray, parts: int, least_words: int
         out = np.empty(len(again), ENTRY)
         at = of[again]
         out["word"], out["n"], out["place"], out["line"] = (key >> np.uint64(32)), x.n[at], place[again], x.number[at]
-        out["set"], out["sketch"], out["doc"] = x.set[at], x.sketch[at], doc[at]
+        out["set"], out["low"], out["high"], out["doc"] = x.set[at], x.low[at], x.high[at], doc[at]
         return ((key & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64), out
 
     def flushed(held):
@@ -163,6 +186,8 @@ def entry_rows(docs: DataFrame, counts: np.ndarray, parts: int, least_words: int
 
 def plausible_pairs(entries: np.ndarray, num: int, den: int):
     """Runs of (later, earlier) entries of one part that pass all filters."""
+    n_of_word = np.unique(entries["word"], return_inverse=True, return_counts=True)
+    entries = entries[n_of_word[2][n_of_word[1]] > 1]           # most words stand alone
     e = entries[np.lexsort((entries["line"], entries["doc"], entries["set"], entries["word"]))]
     new = np.ones(len(e), bool)
     new[1:] = (e["set"][1:] != e["set"][:-1]) | (e["word"][1:] != e["word"][:-1])
@@ -183,7 +208,9 @@ def plausible_pairs(entries: np.ndarray, num: int, den: int):
             both = n[a] + n[b]
             need = (num * both + num + den - 1) // (num + den)
             rest = np.minimum(n[a] - e["place"][a], n[b] - e["place"][b])
-            fits = (rest >= need) & (np.bitwise_count(e["sketch"][a] ^ e["sketch"][b]) <= both - 2 * need)
+            fits = rest >= need
+            a, b, most = a[fits], b[fits], (both - 2 * need)[fits]
+            fits = np.bitwise_count(e["low"][a] ^ e["low"][b]) + np.bitwise_count(e["high"][a] ^ e["high"][b]) <= most
             a, b = a[fits], b[fits]
             after = (e["doc"][a] > e["doc"][b]) | ((e["doc"][a] == e["doc"][b]) & (e["line"][a] > e["line"][b]))
             before = (e["doc"][a] < e["doc"][b]) | ((e["doc"][a] == e["doc"][b]) & (e["line"][a] < e["line"][b]))
@@ -192,9 +219,10 @@ def plausible_pairs(entries: np.ndarray, num: int, den: int):
         first = end
 
 
-def candidates(rows: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+def candidates(rows: DataFrame, num: int, den: int, every: bool, only=None) -> DataFrame:
     """(later, earlier, more): plausible pairs of sets. Unless `every`, only the FIRST earliest
-    ones of each part are given, and `more` says that there are others."""
+    ones of each part are given, and `more` says that there are others. `only` is a broadcast of the
+    sorted sets to look for, all if it is not given."""
     schema = "later long, earlier long, more boolean"
 
     def work(table: pa.Table) -> pa.Table:
@@ -202,6 +230,9 @@ def candidates(rows: DataFrame, num: int, den: int, every: bool) -> DataFrame:
         later, earlier, doc, line = (np.zeros(0, np.int64) for _ in range(4))
         cut, out = np.zeros(0, np.int64), []
         for x, y in plausible_pairs(entries, num, den):
+            if only is not None:
+                wanted = np.isin(x["set"], only.value)
+                x, y = x[wanted], y[wanted]
             if every:
                 out.append(np.unique(np.stack([x["set"], y["set"]], axis=1), axis=0))
                 continue
@@ -247,17 +278,19 @@ def repeated_lines(docs: DataFrame, num: int, den: int, least_words: int) -> Dat
     """(doc_id, body, gone): numbers, from 0, of the lines to remove from each text; `docs` has
     doc_id, text and body, the hash of the text."""
     docs = docs.filter("doc_id is not null and text is not null")
-    lines = line_table(docs, least_words)
+    lines, counts = lines_and_counts(docs, least_words)
     firsts = staged(lines.groupBy("set").agg(F.min(F.struct("doc_id", "line", "body")).alias("f")).select("set", "f.doc_id", "f.line", "f.body"), "first-lines")
-    counts = word_counts(docs)
     wanted = math.ceil(float(counts.sum()) * (den - num) / den / PART)
     parts = max(1, wanted, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = entry_rows(docs, counts, parts, least_words, num, den)
     pairs = staged(candidates(rows, num, den, False).groupBy("later", "earlier").agg(F.max("more").alias("more")), "line-pairs")
     later = staged(matching(docs, firsts, pairs, num, den), "near-lines")
     open_ = staged(pairs.groupBy("later").agg(F.max("more").alias("more")).filter("more").select("later").join(later, "later", "left_anti"), "open-lines")
-    if not open_.isEmpty():
-        rest = candidates(rows, num, den, True).join(small(open_), "later", "left_semi").select("later", "earlier").distinct()
+    n_open = open_.count()
+    if n_open:
+        spark = docs.sparkSession
+        only = spark.sparkContext.broadcast(np.sort(np.asarray(open_.toArrow().column("later")))) if n_open <= OPEN else None
+        rest = candidates(rows, num, den, True, only).join(open_, "later", "left_semi").select("later", "earlier").distinct()
         rest = staged(rest.join(pairs.select("later", "earlier"), ["later", "earlier"], "left_anti"), "line-pairs")
         later = later.unionAll(matching(docs, firsts, rest, num, den))
     near = later.select(F.col("later").alias("set"), F.lit(True).alias("near"))
@@ -284,10 +317,11 @@ def without_repeated_lines(docs: DataFrame, num: int = 80, den: int = 100, least
     # the small side is counted; a text is looked up by its id and its hash
     joined = docs.select(*kept).join(small(gone), (key == F.col("__id")) & (F.xxhash64(text) == F.col("__body")), "left")
     lines = F.split(text, "\n", -1)
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     cleaned = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(F.sort_array(left), lambda i: F.get(lines, i)), "\n"))
     out = joined.select(*[cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if not (marks and c in ("n_lines", "n_removed"))],
-                        F.coalesce(F.size(lines), F.lit(0)).alias("__lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("__removed"))
+                        F.coalesce(n_lines, F.lit(0)).alias("__lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("__removed"))
     if drop_emptied:
         out = out.filter(~((F.col("__removed") > 0) & (F.trim(F.translate(F.col(f"`{text_col}`"), "\t\r\n", "   ")) == "")))
     return out.withColumnsRenamed({"__lines": "n_lines", "__removed": "n_removed"}) if marks else out.drop("__lines", "__removed")
