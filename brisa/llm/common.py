@@ -4,7 +4,10 @@ table to the shared folder, sides small enough to broadcast, connected component
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brisa.session import shared_folder
@@ -60,3 +63,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         roots.select("node", F.col("node").alias("component")))
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Whole groups of a stream of batches sorted by integer columns `keys`; no more than the
+    group that goes on and the batch at hand are held."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(last: bool):
+        t = pa.Table.from_batches(held).combine_chunks()
+        key = np.stack([np.asarray(t.column(k).combine_chunks()) for k in keys])
+        ends = [*(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), *([len(t)] if last else [])]
+        held[:] = t.slice(ends[-1] if ends else 0).to_batches()
+        for first, end in zip([0, *ends], ends):
+            yield t.slice(first, end - first)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            yield from cut(False)
+    if held:
+        yield from cut(True)

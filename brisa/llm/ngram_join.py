@@ -26,13 +26,15 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brisa.llm import wordhash
-from brisa.llm.common import components, small, staged
+from brisa.llm.common import components, groups, small, staged
 
 #: A chance meeting of two sets costs as much as so many signatures.
 MEETING = 30.0
 #: 64-bit words of the parity sketch of a set. Sets that differ in d elements have sketches that
 #: differ in at most d bits, so a sketch only rules out pairs that are not linked.
 SKETCH = 16
+#: Members of a signature that one task compares with as many others.
+BLOCK = 2048
 CLASS = "doc_id long, n long, lo long, hi long, sketch array<long>"
 
 
@@ -264,21 +266,47 @@ def _joined(docs: DataFrame, rows: DataFrame, sets: DataFrame, words: int, num:
     placed = sets.join(found, sets["doc"] == found["node"], "left").select("lo", "doc", "n", "sketch", F.coalesce("component", "doc").alias("component"))
     placed = staged(placed, "placed")
     here = members.filter("lo <> first").select("key", "lo").join(placed, "lo").drop("lo")
-    mixed = here.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
-    here = staged(here.join(mixed.select("key", "least"), "key").dropDuplicates(["key", "doc"]), "mixed")
-    # of two members in different components one at least is not in the least; only pairs that
-    # sizes and sketches allow leave the join
-    side = lambda k: here.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("doc", "component", "n", "sketch", "least")])
-    apart = side("a").filter("component_a <> least_a").join(side("b"), "key").filter(
-        F.expr("component_a <> component_b and (component_b = least_b or doc_a < doc_b)")
-        & plausible(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), num, den))
-    apart = staged(apart.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct(), "pairs")
+    mixed = here.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members")).filter("least <> most")
+    here = staged(here.join(mixed.drop("most"), "key"), "mixed")
+    apart = staged(apart_pairs(here, num, den).distinct(), "pairs")
     second = staged(linked(docs, apart, words, num, den), "links")
     links = first.unionAll(second)
     found = components(links) if not second.isEmpty() else found
     return sets.join(found, sets["doc"] == found["node"], "left").select("lo", "hi", F.coalesce("component", "doc").alias("component"))
 
 
+def apart_pairs(here: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b), a < b, of members of one signature that are in different components and that
+    sizes and sketches allow. `here` has key, doc, n, sketch, component, and of each signature its
+    least component and number of members; a signature with many is split into pairs of blocks."""
+    blocks = F.ceil(F.col("members") / BLOCK)
+    rows = here.withColumn("part", F.pmod(F.xxhash64("doc"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "doc", "n", "component", "least", "sketch")
+
+    def compare(batches):
+        for g in groups(batches, ("key", "i", "j")):
+            doc, n, component = (np.asarray(g.column(c).combine_chunks()) for c in ("doc", "n", "component"))
+            sketch = np.asarray(g.column("sketch").combine_chunks().flatten()).view(np.uint64).reshape(len(doc), SKETCH)
+            # of two members in different components one at least is not in the least
+            rest = np.flatnonzero(component != g.column("least")[0].as_py())
+            step = max(1, (1 << 20) // len(doc))
+            for at in range(0, len(rest), step):
+                x = rest[at:at + step]
+                small_, large = np.minimum(n[x][:, None], n[None, :]), np.maximum(n[x][:, None], n[None, :])
+                fits = (component[x][:, None] != component[None, :]) & (small_ * den >= large * num)
+                i, j = np.nonzero(fits)
+                i = x[i]
+                for k in range(0, len(i), 1 << 17):
+                    p, q = i[k:k + (1 << 17)], j[k:k + (1 << 17)]
+                    bits = np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64)
+                    ok = bits * (den + num) <= (n[p] + n[q]) * (den - num)
+                    pairs = np.unique(np.sort(np.stack([doc[p[ok]], doc[q[ok]]], axis=1), axis=1), axis=0)
+                    if len(pairs):
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(compare, "a long, b long").filter("a <> b")
+
+
 def _plausible_pairs(candidates: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Documents (a, b), a < b, of pairs of sets (first, other) that may be linked; staged."""
     side = lambda k: sets.select(F.col("lo").alias(k), F.col("doc").alias(f"{k}_doc"), F.col("n").alias(f"{k}_n"), F.col("sketch").alias(f"{k}_sketch"))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brisa.llm.common import components, staged
+from brisa.llm.common import components, groups, staged
 from brisa.llm.wordhash import mixed
 
 TABLES, HASHES, WIDTH, SEED = 24, 8, 0.8, 20240501
@@ -110,45 +110,18 @@ def met(rows: DataFrame, least: float) -> DataFrame:
     """(node, root, links) of every member of every pair of blocks in `rows` (bucket, tab, i, j,
     part, node, label, weight, vector), which is dealt and sorted by (bucket, i, j)."""
     def work(batches):
-        held: list[pa.RecordBatch] = []
-
-        def groups(batch: pa.RecordBatch, last: bool):
-            """Whole groups of the rows held; those of the group that may go on are kept."""
-            held.append(batch)
-            t = pa.Table.from_batches(held).combine_chunks()
-            key = np.stack([np.asarray(t.column(c).combine_chunks()) for c in ("bucket", "i", "j")]) if len(t) else np.zeros((3, 0))
-            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            ends = [*cut, *([len(t)] if last and len(t) else [])]
-            done = ends[-1] if ends else 0
-            held[:] = t.slice(done).to_batches()
-            first = 0
-            for end in ends:
-                yield t.slice(first, end - first)
-                first = end
-
-        def results(batch, last):
-            out = [[], [], []]
-            for g in groups(batch, last):
-                if len(g) < 2:
-                    continue
-                col = lambda c: np.asarray(g.column(c).combine_chunks())
-                node, part, label, weight = (col(c) for c in ("node", "part", "label", "weight"))
-                tab, across = g.column("tab")[0].as_py(), g.column("i")[0].as_py() != g.column("j")[0].as_py()
-                for at, x in matrices(g.column("vector").combine_chunks()):
-                    if len(at) > 1:
-                        star, links = compared(x, label[at], part[at], weight[at], tab, least, across)
-                        hit = (links > 0) | (star != np.arange(len(at)))
-                        for o, v in zip(out, (node[at][hit], node[at][star][hit], links[hit])):
-                            o.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else np.zeros(0, np.int64), pa.int64()) for o in out], ["node", "root", "links"])
-
-        ahead = None
-        for batch in batches:
-            if ahead is not None:
-                yield results(ahead, False)
-            ahead = batch
-        if ahead is not None:
-            yield results(ahead, True)
+        for g in groups(batches, ("bucket", "i", "j")):
+            if len(g) < 2:
+                continue
+            col = lambda c: np.asarray(g.column(c).combine_chunks())  # noqa: B023, E731
+            node, part, label, weight = (col(c) for c in ("node", "part", "label", "weight"))
+            tab, across = g.column("tab")[0].as_py(), g.column("i")[0].as_py() != g.column("j")[0].as_py()
+            for at, x in matrices(g.column("vector").combine_chunks()):
+                if len(at) > 1:
+                    star, links = compared(x, label[at], part[at], weight[at], tab, least, across)
+                    hit = (links > 0) | (star != np.arange(len(at)))
+                    if hit.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(node[at][hit]), pa.array(node[at][star][hit]), pa.array(links[hit])], ["node", "root", "links"])
     return rows.mapInArrow(work, "node long, root long, links long")
 
 
