@@ -7,6 +7,7 @@ information. Only sums of the size of the covariates reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -469,6 +470,18 @@ def calibration(model: CoxModel, df: DataFrame, time: str, event: str, times: Se
     return seen.withColumn("erro", F.col("previsto") - F.col("observado_km"))
 
 
+def poisson_terms(mean: float) -> int:
+    """Terms of the Poisson law beyond which a draw of 52 bits cannot tell the rest apart."""
+    k, p, rest = 0, math.exp(-mean), 1.0
+    while rest > 2.0 ** -53:
+        rest -= p
+        k += 1
+        p *= mean / k
+        if p < 2.0 ** -60 and k > mean:
+            break
+    return k
+
+
 def survivor_bias(df: DataFrame, time: str, event: str, covariates: Sequence[str], stratum: str, age: Column, *,
                   key: Sequence[str], old: float, fractions: Sequence[float] = (0.05, 0.10, 0.20, 0.50),
                   focus: str | None = None, at: float = 5.0, seed: int = 42) -> DataFrame:
@@ -486,7 +499,7 @@ def survivor_bias(df: DataFrame, time: str, event: str, covariates: Sequence[str
     for f in (0.0, *fractions):
         extra = olds.withColumn("__u", hash_unit(*[F.col(k) for k in key], seed=seed))
         copies, total, p = F.lit(0), 0.0, np.exp(-f)
-        for k in range(0, 8):                       # Poisson(f) by its distribution function
+        for k in range(poisson_terms(f)):           # Poisson(f) by its distribution function
             total += p
             copies = copies + (F.col("__u") > F.lit(float(total))).cast("int")
             p *= f / (k + 1)

@@ -15,6 +15,7 @@ from brisa.functions.numeric import hash_unit
 from brisa.operators import ordered
 from brisa.operators.grid import complete_grid
 from brisa.operators.serving import top_units
+from brisa.session import cut
 
 TARGET = "energia_mwh"
 CLIMATE = ("irradiancia_kwh_m2", "vento_ms", "temperatura_c", "temperatura_max_c", "temperatura_min_c")
@@ -150,8 +151,11 @@ class Boosting:
         row = train.agg(F.count(F.lit(1)).alias("__n"), *[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in self.columns],
                         *[F.count(c).alias(f"n_{c}") for c in self.columns]).first()
         self.means = {c: row[f"m_{c}"] or 0.0 for c in self.columns}
+        # one model serves all series: the mean of its series is what a row knows about it
+        self.level = cut(train.groupBy("serie").agg(F.avg(TARGET).alias("__nivel")))
+        self.overall = train.agg(F.avg(TARGET)).first()[0] or 0.0
         self.marked = [c for c in self.columns if row[f"n_{c}"] < row["__n"]]
-        self.inputs = [*self.columns, *[f"{c}_nulo" for c in self.marked]]
+        self.inputs = [*self.columns, *[f"{c}_nulo" for c in self.marked], "__nivel"]
         gbt = GBTRegressor(featuresCol="__x", labelCol=TARGET, predictionCol="previsto", maxIter=self.trees,
                            maxDepth=self.depth, stepSize=self.step, seed=42)
         self.model = gbt.fit(self._vector(train))
@@ -160,11 +164,12 @@ class Boosting:
     def _vector(self, df: DataFrame) -> DataFrame:
         filled = df.withColumns({f"{c}_nulo": F.col(c).isNull().cast("double") for c in self.marked})
         filled = filled.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(self.means[c])) for c in self.columns})
+        filled = filled.join(self.level, "serie", "left").fillna(self.overall, ["__nivel"])
         return VectorAssembler(inputCols=self.inputs, outputCol="__x").transform(filled)
 
     def predict(self, features: DataFrame) -> DataFrame:
         out = self.model.transform(self._vector(features).withColumn("__y", F.col(TARGET)))
-        return out.withColumn("previsto", F.greatest("previsto", F.lit(0.0))).drop("__x", "__y")
+        return out.withColumn("previsto", F.greatest("previsto", F.lit(0.0))).drop("__x", "__y", "__nivel")
 
     def importance(self, features: DataFrame, repeats: int = 5, key: Sequence[str] = ("serie", "data_hora")) -> DataFrame:
         """Rise of the squared error when one feature is dealt out again at random."""
@@ -195,29 +200,28 @@ def with_partners(df: DataFrame, columns: Sequence[str], key: Sequence[str], see
 
 def backtest(series: DataFrame, n: int = BACKTEST_WINDOWS, horizon: int = HORIZON_H, min_train: int = MIN_TRAIN_H,
              boosting: Boosting | None = None) -> tuple[DataFrame, DataFrame]:
-    """(forecasts, seconds per fit): all models on the same windows, training
-    strictly before the test. A model that fails on a window is left out of it."""
+    """(forecasts, seconds per fit): all models on the same windows, training strictly before the
+    test. Trees are fitted once for each window, over all series; `falha` says why a fit failed, and
+    its window has no forecast of that model then."""
     spark = series.sparkSession
     fold = folds(series, n, horizon, min_train)
     panel = seasonal_baselines(series, fold)
     times: list = []
     if boosting:
         features = boosting.features(series).cache()
-        windows = fold.orderBy("serie", "janela").collect()     # n rows per series
-        for w in windows:
-            own = features.filter(F.col("serie") == w["serie"])
-            start = clock.perf_counter()
+        marked = features.drop("janela", "inicio", "fim").join(fold.select("serie", "janela", "inicio", "fim"), "serie")
+        for w in sorted(r[0] for r in fold.select("janela").distinct().collect()):       # n at most
+            own, start, failed = marked.filter(F.col("janela") == w), clock.perf_counter(), None
             try:
-                boosting.fit(own.filter(F.col("data_hora") < F.lit(w["inicio"])))
-            except Exception as error:      # one model must not end the comparison
-                print(f"{boosting.name} failed on {w['serie']} window {w['janela']}: {error}")
-                continue
-            times.append((w["serie"], boosting.name, int(w["janela"]), clock.perf_counter() - start))
-            test = own.filter(F.col("data_hora").between(F.lit(w["inicio"]), F.lit(w["fim"])))
-            panel = panel.unionByName(boosting.predict(test).select(
-                "serie", "fonte", F.lit(boosting.name).alias("modelo"), F.lit(w["janela"]).alias("janela"),
-                "data_hora", F.col(TARGET).alias("y"), "previsto"))
-    return panel, spark.createDataFrame(times, "serie string, modelo string, janela int, segundos double")
+                boosting.fit(own.filter(F.col("data_hora") < F.col("inicio")))
+                test = own.filter(F.col("data_hora").between(F.col("inicio"), F.col("fim")))
+                panel = panel.unionByName(cut(boosting.predict(test).select(
+                    "serie", "fonte", F.lit(boosting.name).alias("modelo"), "janela", "data_hora", F.col(TARGET).alias("y"), "previsto")))
+            except Exception as error:      # one model must not end the comparison: the table says why
+                failed = f"{type(error).__name__}: {error}"[:500]
+            times.append((boosting.name, int(w), clock.perf_counter() - start, failed))
+    fits = spark.createDataFrame(times, "modelo string, janela int, segundos double, falha string")
+    return panel, fold.select("serie", F.col("janela").cast("int").alias("janela")).join(F.broadcast(fits), "janela")
 
 
 # ---------------------------------------------------------------------- errors

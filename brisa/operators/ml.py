@@ -179,20 +179,20 @@ def with_folds(df: DataFrame, key: Sequence[str], k: int = 5, seed: int = 42) ->
 
 def compare_models(df: DataFrame, key: Sequence[str], kind: str, models: Mapping | None = None, k: int = 5,
                    seed: int = 42) -> DataFrame:
-    """(modelo, score_medio, score_std, tempo_fit_s) on the same folds, best first.
+    """(modelo, score_medio, score_std, tempo_fit_s, falha) on the same folds, best first.
     `df` has `features` and `label`."""
     data = with_folds(df, key, k, seed).cache()
     rows = []
     for name, model in (models or default_models(kind, seed)).items():
         try:
             tests, _, seconds = cross_validate(data, model, kind, k)
-        except Exception as error:          # one model must not end the comparison
-            print(f"{name} failed: {error}")
+        except Exception as error:          # one model must not end the comparison: its row says why
+            rows.append((name, None, None, None, f"{type(error).__name__}: {error}"[:500]))
             continue
-        rows.append((name, float(np.mean(tests)), float(np.std(tests)), float(seconds)))
+        rows.append((name, float(np.mean(tests)), float(np.std(tests)), float(seconds), None))
     data.unpersist()
-    rows.sort(key=lambda r: -r[1])
-    return df.sparkSession.createDataFrame(rows, "modelo string, score_medio double, score_std double, tempo_fit_s double")
+    rows.sort(key=lambda r: (r[1] is None, -(r[1] or 0.0)))
+    return df.sparkSession.createDataFrame(rows, "modelo string, score_medio double, score_std double, tempo_fit_s double, falha string")
 
 
 def search(df: DataFrame, key: Sequence[str], model, grid: Mapping[str, Sequence], kind: str, method: str = "grid",

@@ -230,7 +230,7 @@ def count_regression(df: DataFrame, count: str, exposed: str, covariates: Sequen
 def estimate_frailty(panel: DataFrame, curve: DataFrame, covariates: Sequence[str] = MODEL_COVARIATES) -> dict:
     """Variance of the unit effect and the posterior effect of every unit."""
     units = exposure(panel, curve, covariates)
-    sources = sorted(r[0] for r in units.select(SOURCE).distinct().limit(65).collect())
+    sources = sorted(r[0] for r in units.select(SOURCE).distinct().collect())      # a coefficient each
     units = units.withColumns({f"__s{i}": (F.col(SOURCE) == F.lit(s)).cast("double") for i, s in enumerate(sources[1:])})
     names = [*covariates, *[f"__s{i}" for i in range(len(sources) - 1)]]
     units = ordered.cut(units)

@@ -154,23 +154,25 @@ def normality(df: DataFrame, column: str, alpha: float = 0.05) -> dict:
             "assimetria": row["assimetria"], "curtose": row["curtose"], "normal": p1 > alpha and p2 > alpha}
 
 
-def _skew_z(g1: float, n: int) -> float:
-    y = g1 * math.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
-    b2 = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9))
-    w2 = -1 + math.sqrt(2 * (b2 - 1))
-    delta, a = 1 / math.sqrt(0.5 * math.log(w2)), math.sqrt(2.0 / (w2 - 1))
-    return delta * math.asinh((y or 1.0) / a)
-
-
-def _kurtosis_z(g2: float, n: int) -> float:
+def _skew_z(skew: float, n: int) -> float:
+    """D'Agostino (1970): the skewness of n normal values, scaled by its standard error, follows a
+    Johnson curve whose shape comes from its fourth moment."""
+    scaled = skew / math.sqrt(6.0 * (n - 2) / ((n + 1) * (n + 3)))
+    moment4 = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    square = math.sqrt(2 * moment4 - 2) - 1
+    return math.asinh(scaled * math.sqrt((square - 1) / 2)) / math.sqrt(math.log(square) / 2)
+
+
+def _kurtosis_z(excess: float, n: int) -> float:
+    """Anscombe and Glynn (1983): the kurtosis of n normal values follows about an inverse
+    chi-square law with as many degrees of freedom as its third moment asks for."""
     mean = 3.0 * (n - 1) / (n + 1)
-    var = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3.0) * (n + 5))
-    x = (g2 + 3 - mean) / math.sqrt(var)
-    b1 = 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * math.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    a = 6.0 + 8.0 / b1 * (2.0 / b1 + math.sqrt(1 + 4.0 / b1 ** 2))
-    denom = 1 + x * math.sqrt(2 / (a - 4.0))
-    term = math.copysign(((1 - 2.0 / a) / abs(denom)) ** (1 / 3), denom)
-    return (1 - 2 / (9.0 * a) - term) / math.sqrt(2 / (9.0 * a))
+    deviation = math.sqrt(24.0 * n * (n - 2) * (n - 3) / ((n + 3) * (n + 5))) / (n + 1)
+    skew = 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * math.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2.0) * (n - 3)))
+    freedom = 6 + 8 / skew * (2 / skew + math.sqrt(1 + 4 / skew ** 2))
+    ratio = (1 - 2 / freedom) / (1 + (excess + 3 - mean) / deviation * math.sqrt(2 / (freedom - 4)))
+    spread = 2 / (9 * freedom)
+    return (1 - spread - math.copysign(abs(ratio) ** (1 / 3), ratio)) / math.sqrt(spread)
 
 
 # ---------------------------------------------------------------------- groups
@@ -356,8 +358,9 @@ def interval(df: DataFrame, column: str, kind: str = "media", level: float = 0.9
     return {"estimativa": centre, "ic_inferior": lo, "ic_superior": hi, "nivel": level, "n": n}
 
 
-# Distribution function of the Poisson law with mean 1, from 0 copies on.
-POISSON_ONE = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9))
+# Distribution function of the Poisson law with mean 1, from 0 copies on to where the rest of the
+# probability is below the 2^-52 that a draw can tell apart.
+POISSON_ONE = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(19))
 
 
 def poisson_copies(u: Column) -> Column:
@@ -438,33 +441,67 @@ def ab_rates(df: DataFrame, variant: str, converted: str) -> DataFrame:
 
 
 # ----------------------------------------------------------------- distributions
-def gamma_cdf(shape: float, scale: float):
-    """Regularised lower incomplete gamma of `valor / scale`, by series and
-    continued fraction, in Arrow batches."""
-    lead = math.lgamma(shape)
+# First coefficients of the uniform expansion of the incomplete gamma function
+# (Temme 1979) in powers of eta, for shape^0 and shape^-1.
+TEMME_0 = (-1 / 3, 1 / 12, -2 / 135, 1 / 864, 1 / 2835, -139 / 777600)
+TEMME_1 = (-1 / 540, -1 / 288, 1 / 378, -77 / 77760)
+LARGE_SHAPE = 1e4
+
+
+def _gamma_large(x: np.ndarray, shape: float) -> np.ndarray:
+    """Lower incomplete gamma function for large shapes: a normal law in eta and a correction."""
+    mu = x / shape - 1
+    eta = np.sign(mu) * np.sqrt(2 * np.maximum(mu - np.log1p(np.maximum(mu, -1 + 1e-300)), 0))
+    near = np.abs(mu) < 0.05
+    safe = np.where(near, 1.0, mu)
+    far = np.where(near, 1.0, eta)
+    c0 = np.where(near, np.polynomial.polynomial.polyval(eta, TEMME_0), 1 / safe - 1 / far)
+    c1 = np.where(near, np.polynomial.polynomial.polyval(eta, TEMME_1), 1 / far ** 3 - 1 / safe ** 3 - 1 / safe ** 2 - 1 / (12 * safe))
+    bell = np.exp(-shape * eta * eta / 2) / math.sqrt(2 * math.pi * shape)
+    normal = np.array([0.5 * math.erfc(-e * math.sqrt(shape / 2)) for e in eta])
+    return np.clip(normal - bell * (c0 + c1 / shape), 0, 1)
+
+
+def _gamma_series(x: np.ndarray, shape: float) -> np.ndarray:
+    """The same by its power series below shape + 1 and its continued fraction above, each until
+    nothing changes any more."""
+    front = np.exp(shape * np.log(x) - x - math.lgamma(shape))
+    below = x < shape + 1
+    out = np.empty_like(x)
+    v = x[below]
+    term = total = np.full_like(v, 1 / shape)
+    k = 0
+    while len(v) and np.any(term > total * 1e-17):
+        k += 1
+        term = term * v / (shape + k)
+        total = total + term
+    out[below] = front[below] * total
+    v = x[~below]
+    b = v + 1 - shape
+    c, d = np.full_like(v, 1e300), 1 / b
+    h, change, i = d.copy(), np.full_like(v, 2.0), 0
+    while len(v) and np.any(np.abs(change - 1) > 1e-15):
+        i += 1
+        a = -i * (i - shape)
+        b = b + 2
+        d = 1 / (a * d + b)
+        c = b + a / c
+        change = c * d
+        h = h * change
+    out[~below] = 1 - front[~below] * h
+    return out
+
 
+def gamma_cdf(shape: float, scale: float):
+    """Regularised lower incomplete gamma function of `valor / scale`, in Arrow batches."""
     @F.pandas_udf("double")
     def cdf(v: pd.Series) -> pd.Series:
         x = np.maximum(v.to_numpy(dtype=float) / scale, 0.0)
+        out = np.where(np.isnan(x), np.nan, 0.0)
+        inside = x > 0
         with np.errstate(all="ignore"):
-            front = np.exp(shape * np.log(x) - x - lead)
-            term = np.full_like(x, 1 / shape)
-            total = term.copy()
-            for k in range(1, 500):
-                term = term * x / (shape + k)
-                total += term
-            low = front * total
-            b = x + 1 - shape
-            c, d = np.full_like(x, 1e300), 1 / b
-            h = d.copy()
-            for i in range(1, 300):
-                an = -i * (i - shape)
-                b = b + 2
-                d = 1 / (an * d + b)
-                c = b + an / c
-                h = h * d * c
-            high = 1 - front * h
-        return pd.Series(np.where(x <= 0, 0.0, np.where(x < shape + 1, low, high)))
+            out[inside] = (_gamma_large if shape > LARGE_SHAPE else _gamma_series)(x[inside], shape)
+        return pd.Series(out)
     return cdf
 
 

@@ -135,14 +135,14 @@ def last_window_against_observed(spark, sf):
 
 
 def _boosting():
-    return FC.Boosting(trees=8, depth=4, lags=(24, 48, 168), windows=(24, 168))
+    return FC.Boosting(trees=20, depth=4)
 
 
 @query("FC8 FC9 FC18 FC11")
 def boosting_backtest(spark, sf):
     """Boosted trees and both baselines on the same window, with fit seconds."""
     s = _series(spark, sf).cache()
-    panel, times = FC.backtest(s, 1, 24, 480, _boosting())
+    panel, times = FC.backtest(s, 6, 24, 480, _boosting())
     return FC.with_fit_time(FC.gain_over(FC.error_metrics(panel)), times)
 
 
@@ -165,7 +165,7 @@ def next_day_per_unit(spark, sf):
 @query("FC16 ML7")
 def boosting_importance(spark, sf):
     s = _series(spark, sf)
-    model = FC.Boosting(trees=5, depth=3, lags=(24, 168), windows=(24,))
+    model = _boosting()
     features = model.features(s).cache()
     model.fit(features)
-    return model.importance(features, repeats=1)
+    return model.importance(features, repeats=2)

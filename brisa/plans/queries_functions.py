@@ -71,6 +71,20 @@ def files_united_by_name(spark, sf):
     return both.filter(F.col("arquivo_origem").endswith(".parquet")).select("tabela", "chave", "nome", "saldo")
 
 
+@query("SRC8 WN12", """SELECT n_nationkey AS chave, n_name AS nome, NULL AS saldo, n_regionkey AS regiao FROM nation
+  UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL FROM supplier UNION ALL SELECT c_custkey, c_name, c_acctbal, c_nationkey FROM customer""")
+def delimited_files_united_by_name(spark, sf):
+    """Text files whose headers have other columns, in other orders."""
+    folder = _folder(spark)
+    frames = {"nation": ("n_regionkey AS regiao", "n_nationkey AS chave", "n_name AS nome"),
+              "supplier": ("s_name AS nome", "s_acctbal AS saldo", "s_suppkey AS chave"),
+              "customer": ("c_custkey AS chave", "c_nationkey AS regiao", "c_acctbal AS saldo", "c_name AS nome")}
+    for name, columns in frames.items():
+        writers.save(table(spark, sf, name).selectExpr(*columns), f"{folder}/{name}", "csv", sep="|")
+    df = readers.read_many(spark, f"{folder}/*/*.csv", "csv", sep="|")
+    return df.select(F.col("chave").cast("long"), "nome", F.col("saldo").cast("double"), F.col("regiao").cast("long"))
+
+
 @query("SRC9", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 def sql_query_source(spark, sf):
     table(spark, sf, "orders").createOrReplaceTempView("brisa_orders")
@@ -123,6 +137,24 @@ def monthly_reload(spark, sf):
     return rounded(months.agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), 1, "total")
 
 
+@query("SRC6", """SELECT strftime(o_orderdate, '%Y-%m') AS ano_mes, count(*) AS n,
+  round(sum(CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice * 2 ELSE o_totalprice END), 1) AS total FROM orders GROUP BY 1""")
+def monthly_batches(spark, sf):
+    """Orders of every month come in two overlapping streams of files; the second one has new
+    values for some of the keys of the first."""
+    from brisa.streaming.access_log import start_monthly_load
+    folder = _folder(spark)
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    writers.save(o.filter("o_orderkey % 3 <> 0 or o_orderkey % 5 = 0"), f"{folder}/in/1")
+    writers.save(o.filter("o_orderkey % 3 = 0 or o_orderkey % 5 = 0").withColumn(
+        "o_totalprice", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice"))), f"{folder}/in/2")
+    for part in ("1", "2"):
+        stream = spark.readStream.schema(o.schema).parquet(f"{folder}/in/{part}")
+        start_monthly_load(stream, f"{folder}/months", "o_orderdate", f"{folder}/state{part}", ["o_orderkey"]).awaitTermination()
+    months = snapshots.read_months(spark, f"{folder}/months").groupBy(F.col("ano_mes").cast("string").alias("ano_mes"))
+    return rounded(months.agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), 1, "total")
+
+
 @query("SNK3 SRC12", "SELECT n_name AS nome, count(*) AS clientes FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def published_set(spark, sf):
     """Two tables published together and read through the pointer."""

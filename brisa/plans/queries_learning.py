@@ -78,30 +78,27 @@ def regression_report(spark, sf):
 
 @query("ML5")
 def compared_regressors(spark, sf):
-    models = M.default_models("regressao", trees=5)
-    models.pop("Gradient Boosting")
-    return M.compare_models(_features(spark, sf, "l_extendedprice"), KEY, "regressao", models, k=2)
+    return M.compare_models(_features(spark, sf, "l_extendedprice"), KEY, "regressao")
 
 
 @query("ML5")
 def compared_classifiers(spark, sf):
-    models = {k: v for k, v in M.default_models("classificacao", trees=5).items() if k in ("Dummy (baseline)", "Regressão Logística", "Árvore de Decisão")}
-    return M.compare_models(_features(spark, sf, "devolvida"), KEY, "classificacao", models, k=2)
+    return M.compare_models(_features(spark, sf, "devolvida"), KEY, "classificacao")
 
 
 @query("ML6")
 def searched_parameters(spark, sf):
     got = M.search(_features(spark, sf, "l_extendedprice"), KEY, LinearRegression(maxIter=20), {"regParam": [0.0, 100.0], "elasticNetParam": [0.0, 1.0]},
-                   "regressao", "random", n_iter=2, k=2)
+                   "regressao", "grid")
     return spark.createDataFrame([(str(p), s) for p, s in got["tentativas"]], "parametros string, score double")
 
 
 @query("ML7")
 def forest_importances(spark, sf):
     data = _features(spark, sf, "l_extendedprice").cache()
-    forest = RandomForestRegressor(numTrees=5, maxDepth=4, seed=42).fit(data)
+    forest = RandomForestRegressor(numTrees=50, maxDepth=5, seed=42).fit(data)
     native = spark.createDataFrame(M.importances(forest, COLS), "feature string, nativa double")
-    dealt = M.permutation_importances(forest, data, COLS, KEY, "regressao", repeats=1)
+    dealt = M.permutation_importances(forest, data, COLS, KEY, "regressao", repeats=3)
     return native.join(dealt, "feature")
 
 
@@ -112,7 +109,7 @@ def cluster_counts(spark, sf):
 
 @query("ML9")
 def learning_curve(spark, sf):
-    return M.learning_curve(_features(spark, sf, "l_extendedprice"), KEY, LinearRegression(maxIter=10), "regressao", points=3, k=2)
+    return M.learning_curve(_features(spark, sf, "l_extendedprice"), KEY, LinearRegression(maxIter=10), "regressao")
 
 
 @query("ML10")

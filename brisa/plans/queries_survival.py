@@ -130,13 +130,13 @@ def cox_stratified_against_known(spark, sf):
 
 @query("SV7")
 def cox_penalised(spark, sf):
-    got = cox.fit_penalised(A.cohort(spark, sf), "tempo", "evento", X, ["l_orderkey", "l_linenumber", "l_partkey"], penalties=(0.001, 0.05), k=2)
+    got = cox.fit_penalised(A.cohort(spark, sf), "tempo", "evento", X, ["l_orderkey", "l_linenumber", "l_partkey"], )
     return got["trajetoria"]
 
 
 @query("SV14")
 def cox_cross_validated(spark, sf):
-    got = cox.cross_validated_concordance(A.cohort(spark, sf), "tempo", "evento", X, ["l_orderkey", "l_linenumber", "l_partkey"], k=2, strata=["fonte"])
+    got = cox.cross_validated_concordance(A.cohort(spark, sf), "tempo", "evento", X, ["l_orderkey", "l_linenumber", "l_partkey"], strata=["fonte"])
     return spark.createDataFrame([(got["k"], got["cindex_medio"], got["cindex_desvio"])], "k int, cindex_medio double, cindex_desvio double")
 
 
@@ -165,7 +165,7 @@ def _units(spark, sf):
 @query("SV9 SV11 SV12 SV23 SV24")
 def survival_products(spark, sf):
     """Probability of no return in the next months for every line item, given its age."""
-    df = _units(spark, sf).dropDuplicates(["usina_id"])
+    df = _units(spark, sf)
     model = cox.fit(df, "tempo", "evento", X, strata=["fonte"])
     weibull = cox.fit_weibull(df, "tempo", "evento", X, "fonte")
     limits = S.support_limits(df, "tempo", "evento", ["fonte"], 2000)
@@ -183,7 +183,7 @@ def calibration_by_risk_group(spark, sf):
 @query("SV22")
 def survivor_bias_bound(spark, sf):
     return cox.survivor_bias(A.cohort(spark, sf), "tempo", "evento", X, "fonte", F.col("tempo"), key=["l_orderkey", "l_linenumber", "l_partkey"], old=1800.0,
-                             fractions=(0.2,), focus="quantidade", at=500.0)
+                             focus="quantidade", at=500.0)
 
 
 # ------------------------------------------------------------------ recurrences

@@ -174,3 +174,44 @@ def test_access_counts_on_a_stream(spark, tmp_path):
     q = start_counts(spark.readStream.schema(log.schema).parquet(str(tmp_path / "log")), str(tmp_path / "ck"), "contagens_teste")
     q.awaitTermination(60)
     assert {tuple(r) for r in spark.table("contagens_teste").collect()} == want
+
+
+def test_two_batches_of_one_month_keep_both(spark, tmp_path):
+    """A month that comes in two triggers keeps the rows of both; running a batch again adds nothing."""
+    from brisa.streaming.access_log import start_monthly_load
+    root, rows = str(tmp_path / "months"), "quando timestamp, valor int"
+    for k, values in enumerate(([(datetime(2022, 5, 3), 1), (datetime(2022, 6, 1), 2)], [(datetime(2022, 5, 9), 3)], [(datetime(2022, 5, 9), 3)])):
+        folder = str(tmp_path / f"in{k}")
+        spark.createDataFrame(values, rows).write.parquet(folder)
+        start_monthly_load(spark.readStream.schema(rows).parquet(folder), root, "quando", str(tmp_path / f"state{k}")).awaitTermination()
+    got = snapshots.read_months(spark, root)
+    assert sorted((str(r["ano_mes"]), r["valor"]) for r in got.collect()) == [("2022-05", 1), ("2022-05", 3), ("2022-06", 2)]
+
+
+def test_delimited_files_are_united_by_their_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,nome,saldo\n1,rita,7\n")
+    (tmp_path / "b.csv").write_text("saldo,id,extra,nome\n9,2,sim,caio\n")
+    (tmp_path / "c.csv").write_text("")
+    got = readers.read_many(spark, str(tmp_path / "[ab].csv"), "csv")
+    want = [("1", "rita", "7", None, "a.csv"), ("2", "caio", "9", "sim", "b.csv")]
+    pick = lambda df: sorted(tuple(r[c] for c in ("id", "nome", "saldo", "extra", "arquivo_origem")) for r in df.collect())
+    assert pick(got) == want
+    with pytest.raises(ValueError, match="c.csv"):
+        readers.read_many(spark, str(tmp_path / "*.csv"), "csv")
+    with pytest.warns(UserWarning, match="c.csv"):
+        assert pick(readers.read_many(spark, str(tmp_path / "*.csv"), "csv", skip_bad=True)) == want
+
+
+def test_gamma_curve_at_large_shapes():
+    from brisa.operators.stats import _gamma_large, _gamma_series
+    import numpy as np
+    for shape in (1e2, 1e3, 1e4):
+        x = shape * np.array([0.8, 0.95, 0.999, 1.0, 1.001, 1.04, 1.06, 1.3])
+        assert np.allclose(_gamma_large(x, shape), _gamma_series(x, shape), atol=2e-6 if shape < 1e3 else 1e-8)
+    for shape in (1e5, 1e6, 1e7):
+        assert _gamma_large(np.array([shape]), shape)[0] == pytest.approx(0.5 + 1 / (3 * math.sqrt(2 * math.pi * shape)), abs=1e-8)
+
+
+def test_modes_of_all_columns_in_one_pass(spark):
+    df = spark.createDataFrame([("a", 1, None), ("b", 2, None), ("b", None, None), ("a", 2, None)], "x string, y int, z string")
+    assert cleaning.modes(df, ["x", "y", "z"]) == {"x": "a", "y": 2, "z": None} and cleaning.modes(df, []) == {}
