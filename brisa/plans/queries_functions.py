@@ -138,7 +138,7 @@ def monthly_reload(spark, sf):
 
 
 @query("SRC6", """SELECT strftime(o_orderdate, '%Y-%m') AS ano_mes, count(*) AS n,
-  round(sum(CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice * 2 ELSE o_totalprice END), 1) AS total FROM orders GROUP BY 1""")
+  round(sum(CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice * 2 ELSE o_totalprice END), 2) AS total FROM orders GROUP BY 1""")
 def monthly_batches(spark, sf):
     """Orders of every month come in two overlapping streams of files; the second one has new
     values for some of the keys of the first."""
@@ -152,7 +152,7 @@ def monthly_batches(spark, sf):
         stream = spark.readStream.schema(o.schema).parquet(f"{folder}/in/{part}")
         start_monthly_load(stream, f"{folder}/months", "o_orderdate", f"{folder}/state{part}", ["o_orderkey"]).awaitTermination()
     months = snapshots.read_months(spark, f"{folder}/months").groupBy(F.col("ano_mes").cast("string").alias("ano_mes"))
-    return rounded(months.agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), 1, "total")
+    return rounded(months.agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), 2, "total")
 
 
 @query("SNK3 SRC12", "SELECT n_name AS nome, count(*) AS clientes FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")

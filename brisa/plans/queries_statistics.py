@@ -92,7 +92,7 @@ def group_summaries(spark, sf):
 
 
 @query("ST6", """WITH r AS (SELECT l_returnflag AS g, (rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0)::DOUBLE AS p FROM lineitem), s AS (SELECT g, count(*)::DOUBLE AS n, sum(p) AS r FROM r GROUP BY 1),
-  t AS (SELECT sum(c::DOUBLE * c * c - c) AS t FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_quantity)), h AS (SELECT sum(n) AS n, sum(r * r / n) AS q FROM s)
+  t AS (SELECT sum(c::DOUBLE * c * c - c) AS t FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_quantity)), h AS (SELECT sum(n) AS n, sum(r * r / n) AS q FROM s),
   k AS (SELECT (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS k FROM h, t)
   SELECT round(k, 6) AS estatistica, round(exp(-k / 2), 8) AS p_valor FROM k""")
 def kruskal_wallis(spark, sf):
