@@ -73,7 +73,16 @@ def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6.pseudonymise(table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
 
 
-@query()
+@query(sql=r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+          ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS x FROM w),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+  l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n + q.n - c)),
+  r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m.m AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) m ON m.a = d.doc_id""")
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.ngram_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
@@ -83,7 +92,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.identify(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(sql="""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+  r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+  m AS (SELECT a, min(b) AS m FROM r GROUP BY a), k AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT m.a AS vec_id, coalesce(k, 0)::BIGINT AS n_links, m.m AS component_id, m.a = m.m AS kept FROM m LEFT JOIN k ON k.a = m.a""")
 def op9_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9.vector_links(table(spark, sf_dir, "embeddings"), least=0.98)
 
