@@ -1,7 +1,9 @@
 """Format-preserving pseudonyms for personal data.
 
-Candidates are found by one expression, validated (check digits, ranges, calendar) and replaced by
-a keyed permutation of their format: a Feistel network of ROUNDS rounds with SHA-256 of the key,
+Zones of text in which values may begin are found by one expression. At every beginning the ends
+that a value may have are tried (IBANs at the length of their country, cards and phones at every
+number of digits from long to short); the first valid one (check digits, ranges, calendar) is taken,
+and the search goes on behind it. A value is replaced by a keyed permutation of their format: a Feistel network of ROUNDS rounds with SHA-256 of the key,
 the format, the round and the other half. A permutation has no collisions, so equal values stay
 equal and different ones stay different in all documents, and without the key nothing is undone.
 
@@ -35,12 +37,23 @@ FORMS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,12}){1,5}+(?![0-9])"
              r"|(?<![A-Za-z0-9.(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-]?[0-9])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![-/.]?[0-9])",
+    "date": r"(?:(?<![0-9./-])|(?<=[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}[-/.])|(?<=[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4}[-/.]))(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?!\1?[0-9])|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4}(?!\2?[0-9]))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}+(?![0-9])",
 }
-ANY = "|".join(f"(?:{f})" for f in FORMS.values())
+#: Where a value may begin: forms with one end as they are, the least of the others.
+BEGINS = "|".join(f"(?:{f})" for f in [FORMS["email"], FORMS["secret"], r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11}", r"(?<![A-Za-z0-9+])\+(?:[ .()-]{0,3}[0-9]){8}",
+                  FORMS["phone"].split("|", 1)[1], FORMS["date"], FORMS["ssn"], FORMS["ip"], r"(?<![0-9])[0-9](?:[ -]?[0-9]){12}"])
+#: What a zone goes on over: all that a value begun in it, or one behind that, may hold.
+ON = r"(?:[A-Za-z0-9._%+@()/-]|[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?=[A-Za-z0-9+/_-])| (?=[(+]{0,2}[0-9A-Z]))*+"
+#: Lengths of IBANs by country, and of phone numbers with the country code where there is one length.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+                23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+                28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+PHONE_DIGITS = {10: "45 47", 11: "1 7 31 33 34 41 48 61", 12: "30 44 91 351", 13: "86"}
+#: Characters before a beginning that the forms look back at.
+BACK = 11
 
 
 def _renumbered(form: str, first: int) -> str:
@@ -207,28 +220,77 @@ KINDS = {"email": _email, "secret": _secret, "iban": _iban, "phone": _phone, "da
 
 
 def _judged(m: Column, key: str) -> Column:
-    """struct(kind, shown) of one candidate: the first kind in order whose form it has and whose
-    validation it passes; kind null and the text itself if there is none."""
+    """struct(kind, shown, size) of one candidate: the first kind in order whose form it has and
+    whose validation it passes; kind null if there is none."""
     kind, shown = None, None
     for name, rule in KINDS.items():
         valid, moved = rule(m, key)
         is_it = m.rlike(f"^(?:{FORMS[name]})$") & valid
         kind = F.when(is_it, F.lit(name)) if kind is None else kind.when(is_it, F.lit(name))
         shown = F.when(is_it, moved) if shown is None else shown.when(is_it, moved)
-    return F.struct(kind.alias("kind"), shown.otherwise(m).alias("shown"))
+    return F.struct(kind.alias("kind"), shown.otherwise(m).alias("shown"), F.char_length(m).alias("size"))
+
+
+def _ends(rest: Column) -> Column:
+    """The candidates that begin BACK characters into `rest`, in the order in which they are tried."""
+    at = lambda form: F.regexp_extract(rest, rf"(?s)^.{{{BACK}}}({_renumbered(form, 2)})", 1)
+    begins = lambda form: rest.rlike(rf"(?s)^.{{{BACK}}}{form}")
+    none = F.array().cast("array<string>")
+    iban = "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+    ibans = [f"(?:{iban})(?![A-Za-z0-9])", *[rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}}(?![A-Za-z0-9])" for n in range(30, 10, -1)]]
+    national = "|".join(rf"(?=\+(?:{codes.replace(' ', '|')}))\+(?:[ .()-]{{0,3}}[0-9]){{{n}}}" for n, codes in PHONE_DIGITS.items())
+    # no end in the middle of a date or another number with marks unless there is no better one
+    phones = [f"(?:{national})(?![0-9])", *[rf"\+(?:[ .()-]{{0,3}}[0-9]){{{n}}}(?!{mark}[0-9])" for mark in ("[-./]?", "") for n in range(15, 7, -1)]]
+    # beside other numbers, only the last group of a card has fewer than four digits
+    cards = F.concat(*[F.concat(F.array(at(rf"(?<![0-9][ -])[0-9](?:[ -]?[0-9]){{12,18}}+(?![ -]?[0-9]){mark}")), F.filter(F.array(*[
+        at(rf"[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9]){mark}") for n in range(19, 12, -1)]), lambda c: c.rlike("^(?:[0-9]{4,}[ -])*[0-9]+$"))) for mark in ("(?![-./][0-9])", "")])
+    found = F.concat(F.array(at(f"(?:{FORMS['email']})|(?:{FORMS['secret']})")),
+                     F.when(begins("[A-Z]{2}[0-9]{2}"), F.array(*[at(f) for f in ibans])).otherwise(none),
+                     F.when(begins(r"\+"), F.array(*[at(f) for f in phones])).otherwise(none),
+                     F.array(at("|".join(f"(?:{f})" for f in (FORMS["phone"].split("|", 1)[1], FORMS["date"], FORMS["ssn"], FORMS["ip"])))),
+                     F.when(begins("[0-9](?:[ -]?[0-9]){12}"), cards).otherwise(none))
+    return F.array_distinct(F.filter(found, lambda c: c != ""))
+
+
+def _zone(zone: Column, key: str) -> Column:
+    """struct(text, kinds) of a zone: from left to right, at every beginning outside the values
+    taken before, the first candidate that is valid."""
+    nothing = F.struct(F.lit(None).cast("string").alias("kind"), F.lit("").alias("shown"), F.lit(0).alias("size"))
+
+    def best(rest: Column) -> Column:
+        return F.aggregate(_ends(rest), nothing, lambda s, m: F.when(s["kind"].isNotNull(), s).otherwise(_judged(m, key)))
+
+    def done(pieces: Column) -> Column:
+        def step(s: Column, piece: Column) -> Column:
+            size, behind = F.char_length(piece), F.char_length(s["rest"]) - BACK
+            # `over`: characters of the value taken last that are still to come
+            def taken(b: Column) -> Column:
+                valid = b["kind"].isNotNull()
+                over = F.when(valid, b["size"]).otherwise(s["over"])
+                left = F.substring(s["rest"], BACK + 1, 2 ** 31 - 1 - BACK)
+                shown = F.concat(F.when(valid, b["shown"]).otherwise(F.lit("")), piece.substr(over + 1, size))
+                return F.struct(left.substr(size + 1, behind).alias("__left"), F.greatest(over - size, F.lit(0)).alias("over"), shown.alias("shown"), b["kind"].alias("kind"),
+                                F.concat(F.left(s["rest"], F.lit(BACK)), piece).alias("__before"))
+            b = F.when(s["over"] > 0, nothing).otherwise(best(s["rest"]))
+            return F.transform(F.array(b), lambda x: F.transform(F.array(taken(x)), lambda t: F.struct(
+                F.concat(F.right(t["__before"], F.lit(BACK)), t["__left"]).alias("rest"), t["over"].alias("over"), F.concat(s["out"], t["shown"]).alias("out"),
+                F.when(t["kind"].isNull(), s["kinds"]).otherwise(F.concat(s["kinds"], F.array(t["kind"]))).alias("kinds")))[0])[0]
+        start = F.struct(F.concat(F.lit("\n" * BACK), zone).alias("rest"), F.lit(0).alias("over"), F.lit("").alias("out"), F.array().cast("array<string>").alias("kinds"))
+        return F.aggregate(pieces, start, step, lambda s: F.struct(s["out"].alias("text"), s["kinds"].alias("kinds")))
+    return done(F.split(zone, f"(?={_renumbered(BEGINS, 1)})", -1))
 
 
 def pseudonymised(text: Column, key: str) -> Column:
-    """struct(text, kinds) of a text column: every valid candidate replaced, and its kinds in
+    """struct(text, kinds) of a text column: every valid value replaced, and their kinds in
     order. Null gives null and no kinds."""
-    pattern = _renumbered(ANY, 1)
+    pattern = f"(?:{_renumbered(BEGINS, 1)}){ON}"
 
     def rebuilt(found: Column) -> Column:
-        def joined(judged: Column) -> Column:
+        def joined(zones: Column) -> Column:
             between = F.split(text, pattern, -1)
-            whole = F.concat(F.array_join(F.transform(judged, lambda j, i: F.concat(F.get(between, i), j["shown"])), ""), F.element_at(between, -1))
-            return F.struct(whole.alias("text"), F.filter(F.transform(judged, lambda j: j["kind"]), lambda k: k.isNotNull()).alias("kinds"))
-        return F.transform(F.array(F.transform(found, lambda m: _judged(m, key))), joined)[0]
+            whole = F.concat(F.array_join(F.transform(zones, lambda z, i: F.concat(F.get(between, i), z["text"])), ""), F.element_at(between, -1))
+            return F.struct(whole.alias("text"), F.flatten(F.transform(zones, lambda z: z["kinds"])).alias("kinds"))
+        return F.transform(F.array(F.transform(found, lambda z: _zone(z, key))), joined)[0]
 
     def whole(found: Column) -> Column:
         nothing = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))

@@ -90,3 +90,23 @@ def test_it_is_a_permutation_and_equals_a_plain_network(spark):
 
 def test_empty_table(spark):
     assert op6.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
+
+
+FOLLOWED = {"card": ["4111 1111 1111 1111", "4111111111111111", "3782 822463 10005"], "iban": ["GB29 NWBK 6016 1331 9268 19", "DE89 3704 0044 0532 0130 00"],
+            "phone": ["+1 555 123 4567", "+44 20 7946 0958", "415-555-0132"], "date": ["2024-01-15", "31/12/1999"]}
+
+
+def test_values_followed_by_digits_dates_and_words_are_replaced_alike(spark):
+    cases = [(kind, v, end) for kind, vs in FOLLOWED.items() for v in vs for end in (" 12/25", " 1234", " Please", " BIC", " 2024-02-29", " 12/25/2025", " 192.0.2.17")]
+    alone = dict(zip([v for vs in FOLLOWED.values() for v in vs], run(spark, [v for vs in FOLLOWED.values() for v in vs])))
+    more = {" 2024-02-29": "date", " 12/25/2025": "date", " 192.0.2.17": "ip"}
+    for (text, kinds), (kind, v, end) in zip(run(spark, [f"pre {v}{end}" for _, v, end in cases]), cases):
+        assert kinds == [kind] + ([more[end]] if end in more else []), (v, end, text, kinds)
+        assert text.startswith("pre " + alone[v][0]) and (end in more) != text.endswith(end), (v, end, text)
+
+
+def test_what_follows_a_value_or_a_failed_candidate_is_searched(spark):
+    for text, want in [("12/25 4111 1111 1111 1111", ["card"]), ("4111 1111 1111 1111 4539 1488 0343 6467", ["card", "card"]), ("2024-01-15/2024-02-20", ["date", "date"]),
+                       ("GB29 NWBK 6016 1331 9268 19 4111 1111 1111 1111", ["iban", "card"]), ("GB29 NWBK 6016 1331 9268 19 DE89 3704 0044 0532 0130 00 Please", ["iban", "iban"])]:
+        (out, kinds), = run(spark, [text])
+        assert kinds == want and len(out) == len(text), (text, out, kinds)
