@@ -1,6 +1,7 @@
 """Removal of lines that repeat an earlier line, exactly or nearly, by a set-similarity join.
 
-A line is the set of its words (letters A-Z as a-z). Two lines match if the Jaccard similarity of
+A line is the set of its words (letters A-Z as a-z); with `runs`, text in scripts written without
+spaces is cut into runs of three characters, each a word. Two lines match if the Jaccard similarity of
 their sets is num/den or more; of two matching lines the later one by (document id, line number)
 goes. The join is exact:
 
@@ -48,8 +49,8 @@ class Lines:
     """The lines of a block that have words: text and number of each, its set as hashed words from
     rare to common (`words`, those of line k from `at[k]` to `at[k + 1]`), size, hash and sketch."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, rarity: np.ndarray | None = None):
-        h, start = wordhash.placed_words(data, at)
+    def __init__(self, data: np.ndarray, at: np.ndarray, rarity: np.ndarray | None = None, runs: bool = False):
+        h, start = wordhash.placed_words(data, at, runs)
         breaks = np.flatnonzero(data == 10)
         text = np.searchsorted(at, start, "right") - 1
         row = np.searchsorted(breaks, start) + text
@@ -87,7 +88,7 @@ def line_order(row: np.ndarray, rank: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.lexsort((h, rank, row))
 
 
-def lines_and_counts(docs: DataFrame, least_words: int) -> tuple[DataFrame, np.ndarray]:
+def lines_and_counts(docs: DataFrame, least_words: int, runs: bool) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, body, line, set) of every line with `least_words` different words, and how often
     the words of each slot occur in all texts; from one pass over the texts, which is staged. The
     driver gets SLOTS numbers."""
@@ -96,7 +97,7 @@ def lines_and_counts(docs: DataFrame, least_words: int) -> tuple[DataFrame, np.n
         for batch in batches:
             ids, bodies, first = np.asarray(batch.column(0)), np.asarray(batch.column(2)), 0
             for data, at in wordhash.blocks(batch.column(1)):
-                x = Lines(data, at)
+                x = Lines(data, at, runs=runs)
                 total += np.bincount(slot_of(x.words), minlength=SLOTS)
                 keep = x.n >= least_words
                 of = x.text[keep] + first
@@ -125,9 +126,9 @@ def lines_and_counts(docs: DataFrame, least_words: int) -> tuple[DataFrame, np.n
     return both.filter("counts is null").drop("counts"), out
 
 
-def entry_rows(docs: DataFrame, counts: np.ndarray, parts: int, least_words: int, num: int, den: int) -> DataFrame:
+def entry_rows(docs: DataFrame, counts: np.ndarray, parts: int, least_words: int, num: int, den: int, runs: bool) -> DataFrame:
     """(part, entries): prefix words of every line, packed by part of the word space. A task sends
-    a set again only if it meets it at an earlier place."""
+    a set again only if it meets it at an earlier place, and none that only equal sets can match."""
     rarity = np.minimum(255, np.round(np.log2(counts + 1.0) * 6)).astype(np.int64)
     blocks = np.ceil(counts / HOT).astype(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast((rarity.astype(np.uint8), np.maximum(blocks, 1).astype(np.int32)))
@@ -139,10 +140,10 @@ def entry_rows(docs: DataFrame, counts: np.ndarray, parts: int, least_words: int
         for batch in batches:
             ids, first = np.asarray(batch.column(0)), 0
             for data, at in wordhash.blocks(batch.column(1)):
-                x = Lines(data, at, rare)
-                keep = []
+                x = Lines(data, at, rare, runs)
+                keep, joined = [], (x.n >= least_words) & (x.n * den >= num * (x.n + 1))
                 for k, (s, d, line) in enumerate(zip(x.set.tolist(), ids[x.text + first].tolist(), x.number.tolist())):
-                    if x.n[k] >= least_words and (s not in seen or (d, line) < seen[s]):
+                    if joined[k] and (s not in seen or (d, line) < seen[s]):
                         seen[s] = (d, line)
                         keep.append(k)
                 held.append(packed(x, np.array(keep, np.int64), ids[x.text + first] if len(x.text) else ids[:0], cut))
@@ -256,7 +257,7 @@ def candidates(rows: DataFrame, num: int, den: int, every: bool, only=None) -> D
     return rows.groupBy("part").applyInArrow(work, schema)
 
 
-def matching(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+def matching(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, num: int, den: int, runs: bool) -> DataFrame:
     """The sets `later` of those pairs whose whole lines match. Lines are read at the first place
     of their set."""
     needed = pairs.select(F.explode(F.array("later", "earlier")).alias("set")).distinct()
@@ -269,22 +270,22 @@ def matching(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, num: int, den
     def check(batches):
         for batch in batches:
             keep = [den * len(np.intersect1d(p, q, True)) >= num * len(np.union1d(p, q))
-                    for p, q in zip(wordhash.shingle_sets(batch.column(1), 1), wordhash.shingle_sets(batch.column(2), 1))]
+                    for p, q in zip(wordhash.shingle_sets(batch.column(1), 1, runs), wordhash.shingle_sets(batch.column(2), 1, runs))]
             yield batch.select(["later"]).filter(pa.array(keep, pa.bool_()))
     return both.mapInArrow(check, "later long").distinct()
 
 
-def repeated_lines(docs: DataFrame, num: int, den: int, least_words: int) -> DataFrame:
+def repeated_lines(docs: DataFrame, num: int, den: int, least_words: int, runs: bool = False) -> DataFrame:
     """(doc_id, body, gone): numbers, from 0, of the lines to remove from each text; `docs` has
     doc_id, text and body, the hash of the text."""
     docs = docs.filter("doc_id is not null and text is not null")
-    lines, counts = lines_and_counts(docs, least_words)
+    lines, counts = lines_and_counts(docs, least_words, runs)
     firsts = staged(lines.groupBy("set").agg(F.min(F.struct("doc_id", "line", "body")).alias("f")).select("set", "f.doc_id", "f.line", "f.body"), "first-lines")
     wanted = math.ceil(float(counts.sum()) * (den - num) / den / PART)
     parts = max(1, wanted, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = entry_rows(docs, counts, parts, least_words, num, den)
+    rows = entry_rows(docs, counts, parts, least_words, num, den, runs)
     pairs = staged(candidates(rows, num, den, False).groupBy("later", "earlier").agg(F.max("more").alias("more")), "line-pairs")
-    later = staged(matching(docs, firsts, pairs, num, den), "near-lines")
+    later = staged(matching(docs, firsts, pairs, num, den, runs), "near-lines")
     open_ = staged(pairs.groupBy("later").agg(F.max("more").alias("more")).filter("more").select("later").join(later, "later", "left_anti"), "open-lines")
     n_open = open_.count()
     if n_open:
@@ -292,7 +293,7 @@ def repeated_lines(docs: DataFrame, num: int, den: int, least_words: int) -> Dat
         only = spark.sparkContext.broadcast(np.sort(np.asarray(open_.toArrow().column("later")))) if n_open <= OPEN else None
         rest = candidates(rows, num, den, True, only).join(open_, "later", "left_semi").select("later", "earlier").distinct()
         rest = staged(rest.join(pairs.select("later", "earlier"), ["later", "earlier"], "left_anti"), "line-pairs")
-        later = later.unionAll(matching(docs, firsts, rest, num, den))
+        later = later.unionAll(matching(docs, firsts, rest, num, den, runs))
     near = later.select(F.col("later").alias("set"), F.lit(True).alias("near"))
     judged = lines.join(firsts.join(near, "set", "left").select("set", F.col("doc_id").alias("d"), F.col("line").alias("l"), "near"), "set")
     gone = judged.filter("near or doc_id > d or (doc_id = d and line > l)")
@@ -300,19 +301,19 @@ def repeated_lines(docs: DataFrame, num: int, den: int, least_words: int) -> Dat
 
 
 def without_repeated_lines(docs: DataFrame, num: int = 80, den: int = 100, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text",
-                           marks: bool = True, drop_emptied: bool = False) -> DataFrame:
+                           marks: bool = True, drop_emptied: bool = False, runs: bool = False) -> DataFrame:
     """`docs` with the lines removed that match an earlier line (by id and line number).
 
     All columns stay; with `marks`, `n_lines` and `n_removed` follow (columns of these names are
     replaced). Lines with fewer than `least_words` different words are too short to judge: they stay
-    and remove nothing. A line goes if any earlier line matches it, whether or not that one goes
+    and remove nothing; with 1 all lines that have a word are judged. A line goes if any earlier line matches it, whether or not that one goes
     too. Lines at the same place in rows of the same id are none earlier than the other, so repeated
     rows lose the same lines. Null texts stay null, empty ones empty; rows with a null id are left as
     they are. What remains of a text is its other lines, joined as before; with `drop_emptied` rows
     go of which only white space remains. An empty table gives no rows."""
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     plain = docs.select(key.cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("body"))
-    gone = repeated_lines(plain, num, den, least_words).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), F.col("gone").alias("__gone"))
+    gone = repeated_lines(plain, num, den, least_words, runs).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), F.col("gone").alias("__gone"))
     kept = [F.col(f"`{c}`") for c in docs.columns if not (marks and c in ("n_lines", "n_removed"))]
     # the small side is counted; a text is looked up by its id and its hash
     joined = docs.select(*kept).join(small(gone), (key == F.col("__id")) & (F.xxhash64(text) == F.col("__body")), "left")

@@ -45,7 +45,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op3.without_repeated_lines(table(spark, sf_dir, "documents"), num=80, den=100, least_words=5)
+    return op3.without_repeated_lines(table(spark, sf_dir, "documents"), num=80, den=100, least_words=1, runs=True)
 
 
 @query(sql="""

@@ -35,6 +35,21 @@ def of_bytes() -> tuple[np.ndarray, np.ndarray]:
     return mixed(small.astype(np.uint64) + np.uint64(1)), space
 
 
+#: Characters of one token in scripts written without spaces.
+RUN = 3
+
+
+@lru_cache(maxsize=1)
+def unspaced() -> np.ndarray:
+    """Whether two bytes begin a letter of a script written without spaces: Thai, Lao, Tibetan,
+    Myanmar, Khmer, kana and Han."""
+    out = np.zeros((256, 256), bool)
+    for lead, first, last in [(0xE0, 0xB8, 0xBF), (0xE1, 0x80, 0x81), (0xE1, 0x9E, 0x9F), (0xE3, 0x81, 0x83), (0xE3, 0x90, 0xBF), (0xEF, 0xA4, 0xAB), (0xEF, 0xBD, 0xBE), (0xF0, 0xA0, 0xB3)]:
+        out[lead, first:last + 1] = True
+    out[0xE4:0xEA, 0x80:0xC0] = True
+    return out
+
+
 @lru_cache(maxsize=1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse to the powers 0 .. n-1."""
@@ -57,18 +72,38 @@ def blocks(texts: pa.Array):
         first = last
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, at: np.ndarray, runs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a block, and where the words of each text begin (and the end)."""
-    h, start = placed_words(data, at)
+    h, start = placed_words(data, at, runs)
     return h, np.searchsorted(start, at)
 
 
-def placed_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def character_runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where all runs of RUN letters of scripts without spaces begin and end (the whole stretch of
+    such letters if it is shorter), and which bytes belong to such letters."""
+    first = np.flatnonzero(unspaced()[data[:-1], data[1:]]) if len(data) else np.zeros(0, np.int64)
+    end = first + np.where(data[first] == 0xF0, 4, 3)
+    of_them = np.zeros(len(data) + 1, np.int8)
+    np.add.at(of_them, first, 1)
+    np.add.at(of_them, end, -1)
+    head = np.ones(len(first), bool)
+    head[1:] = (first[1:] != end[:-1]) | (np.searchsorted(at, first[1:], "right") != np.searchsorted(at, first[:-1], "right"))
+    heads = np.flatnonzero(head)
+    last = np.repeat(np.append(heads[1:], len(first)) - 1, np.diff(np.append(heads, len(first))))
+    here = np.arange(len(first))
+    whole = (here + RUN - 1 <= last) | head
+    return first[whole], end[np.minimum(here + RUN - 1, last)][whole], np.cumsum(of_them[:-1]).astype(bool)
+
+
+def placed_words(data: np.ndarray, at: np.ndarray, runs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a block, and the byte each begins at. No word crosses from one text
-    into the next."""
+    into the next. With `runs`, letters of scripts without spaces are cut into runs of RUN."""
     value, space = of_bytes()
     n = len(data)
     inside = ~space[data]
+    if runs:
+        run_start, run_end, of_them = character_runs(data, at)
+        inside &= ~of_them
     begins, ends = np.ones(n + 1, bool), np.ones(n + 1, bool)
     begins[1:] = ~inside
     begins[at] = True
@@ -76,6 +111,10 @@ def placed_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ends[at] = True
     start = np.flatnonzero(begins[:n] & inside)
     end = np.flatnonzero(ends[1:] & inside) + 1
+    if runs and len(run_start):
+        start, end = np.concatenate([start, run_start]), np.concatenate([end, run_end])
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], end[order]
     up, down = powers(max(BLOCK, 1 << int(n).bit_length()))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(value[data] * up[:n], out=total[1:])
@@ -96,9 +135,9 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mixed(h)
 
 
-def shingle_sets(texts: pa.Array, width: int):
+def shingle_sets(texts: pa.Array, width: int, runs: bool = False):
     """The sorted distinct shingle hashes of each text, one array after the other."""
     for data, at in blocks(texts):
-        words, first = word_hashes(data, at)
+        words, first = word_hashes(data, at, runs)
         for a, b in zip(first[:-1], first[1:]):
             yield np.unique(shingle_hashes(words[a:b], width))

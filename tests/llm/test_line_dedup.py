@@ -1,9 +1,10 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from brisa.llm import line_dedup as op3
+from brisa.llm import line_dedup as op3, queries, wordhash
 from brisa.llm.common import table
 
 
@@ -88,3 +89,24 @@ def test_columns_emptied_rows_and_empty_table(spark):
     assert out.columns == df.columns
     assert sorted((r.gone, r.text) for r in out.collect()) == [("a", line + "\nx"), ("c", ""), ("d", None), ("e", "tiny"), ("g", line)]
     assert op3.without_repeated_lines(df.limit(0)).count() == 0
+
+
+def test_the_query_removes_short_lines_and_lines_without_spaces(spark, monkeypatch):
+    han, thai = "春眠不覚暁処処聞啼鳥夜来風雨声花落知多少国破山河在城春草木深", "ภาษาไทยเขียนติดกันโดยไม่เว้นวรรคระหว่างคำ"
+    rows = [(1, f"Home\none two three four\n{han}\n{thai}\n人\n日本語 text"), (2, f"home\none two three four five\n{han[:-1]}心\n{thai}\n人\n本日語 text"), (3, "a a b\nb a\n" + thai[::-1] + "\n\n \n"),
+            (4, han[::-1] + "\nhome alone\n" + han + " x")]
+    monkeypatch.setattr(queries, "table", lambda *_: spark.createDataFrame(rows, "doc_id long, text string"))
+    out = {r.doc_id: (r.text, r.n_removed) for r in queries.op3_line_dedup(spark, "").collect()}
+    assert out == {1: (rows[0][1], 0), 2: ("本日語 text", 5), 3: ("a a b\n" + thai[::-1] + "\n\n \n", 1), 4: (han[::-1] + "\nhome alone", 1)}
+
+
+def test_runs_of_characters_are_those_of_plain_python():
+    texts = ["", "日本", "日本語の文 is x日本語", "春", "𠀀𠀁𠀂𠀃 A", "ไทย", "é 한국어 말"]
+    want = []
+    for t in texts:
+        tokens = [w for part in re.split("[\x20\x09-\x0d]+", t) for run in re.findall("[฀-๿぀-ヿ㐀-鿿\U00020000-\U00033fff]+|[^฀-๿぀-ヿ㐀-鿿\U00020000-\U00033fff]+", part)
+                  for w in ([run[i:i + 3] for i in range(max(1, len(run) - 2))] if ord(run[0]) >= 0xE00 and not "가" <= run[0] <= "힣" else [run])]
+        want.append(sorted({int(wordhash.word_hashes(*next(wordhash.blocks(pa.array([w]))))[0][0]) for w in tokens}))
+    data, at = next(wordhash.blocks(pa.array(texts)))
+    h, first = wordhash.word_hashes(data, at, runs=True)
+    assert [sorted({int(x) for x in h[a:b]}) for a, b in zip(first[:-1], first[1:])] == want
