@@ -135,7 +135,7 @@ def last_window_against_observed(spark, sf):
 
 
 def _boosting():
-    return FC.Boosting(trees=20, depth=4)
+    return FC.Boosting()
 
 
 @query("FC8 FC9 FC18 FC11")
@@ -168,4 +168,4 @@ def boosting_importance(spark, sf):
     model = _boosting()
     features = model.features(s).cache()
     model.fit(features)
-    return model.importance(features, repeats=2)
+    return model.importance(features)

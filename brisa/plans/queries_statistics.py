@@ -172,7 +172,7 @@ def confidence_intervals(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("devolvida", (F.col("l_returnflag") == "R").cast("int"))
     c = table(spark, sf, "customer")
     got = [("media", T.interval(li, "l_extendedprice", "media")), ("proporcao", T.interval(li, "devolvida", "proporcao")),
-           ("mediana", T.interval(c, "c_acctbal", "mediana", key=["c_custkey"], replicates=50))]
+           ("mediana", T.interval(c, "c_acctbal", "mediana", key=["c_custkey"]))]
     return spark.createDataFrame([(k, r["estimativa"], r["ic_inferior"], r["ic_superior"], r["n"]) for k, r in got],
                                  "tipo string, estimativa double, ic_inferior double, ic_superior double, n long")
 
@@ -189,7 +189,7 @@ def bootstrap_sums(spark, sf):
 
 @query("ST11")
 def bootstrap_interval_of_cv(spark, sf):
-    r = T.bootstrap_interval(table(spark, sf, "customer"), "c_acctbal", ["c_custkey"], "cv", 100)
+    r = T.bootstrap_interval(table(spark, sf, "customer"), "c_acctbal", ["c_custkey"], "cv")
     return spark.createDataFrame([(r["estimativa"], r["ic_inferior"], r["ic_superior"], r["erro_padrao_boot"])],
                                  "estimativa double, ic_inferior double, ic_superior double, erro_padrao double")
 

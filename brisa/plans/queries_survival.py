@@ -130,7 +130,7 @@ def cox_stratified_against_known(spark, sf):
 
 @query("SV7")
 def cox_penalised(spark, sf):
-    got = cox.fit_penalised(A.cohort(spark, sf), "tempo", "evento", X, ["l_orderkey", "l_linenumber", "l_partkey"], k=2)
+    got = cox.fit_penalised(A.cohort(spark, sf), "tempo", "evento", X, ["l_orderkey", "l_linenumber", "l_partkey"])
     return got["trajetoria"]
 
 
