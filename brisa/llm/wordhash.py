@@ -89,7 +89,8 @@ def character_runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     head = np.ones(len(first), bool)
     head[1:] = (first[1:] != end[:-1]) | (np.searchsorted(at, first[1:], "right") != np.searchsorted(at, first[:-1], "right"))
     heads = np.flatnonzero(head)
-    last = np.repeat(np.append(heads[1:], len(first)) - 1, np.diff(np.append(heads, len(first))))
+    bounds = np.append(heads, len(first))
+    last = np.repeat(bounds[1:] - 1, np.diff(bounds)) if len(first) else first
     here = np.arange(len(first))
     whole = (here + RUN - 1 <= last) | head
     return first[whole], end[np.minimum(here + RUN - 1, last)][whole], np.cumsum(of_them[:-1]).astype(bool)

@@ -110,3 +110,5 @@ def test_runs_of_characters_are_those_of_plain_python():
     data, at = next(wordhash.blocks(pa.array(texts)))
     h, first = wordhash.word_hashes(data, at, runs=True)
     assert [sorted({int(x) for x in h[a:b]}) for a, b in zip(first[:-1], first[1:])] == want
+    data, at = next(wordhash.blocks(pa.array(["no such letters"])))
+    assert len(wordhash.word_hashes(data, at, runs=True)[0]) == 3
