@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brisa.llm import language as op8, line_dedup as op3, merkle as op5, mixing as op2, ngram_join as op7, pseudonyms as op6, sentencepiece_fst as op1, token_counts as op10, vector_links as op9, warc as op4
+from brisa.llm import language as op8, line_dedup as op3, merkle as op5, mixing as op2, ngram_join as op7, pseudonyms as op6, sentencepiece_fst as op1, token_counts as op10, token_files as op11, vector_links as op9, warc as op4
 from brisa.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -105,3 +105,9 @@ def op9_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+@query()
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, keys = op11.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return files.documents(keys).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
