@@ -1,9 +1,10 @@
 """Pre-tokens of byte-level BPE as the tokenizers library cuts them.
 
 The published pattern names letters, digits and white space by Unicode class, and the library's tables
-of these need not be of the same age as those of the `regex` module. `stand_ins` asks the library
-about every character, a class at a time; a text with characters on which the two disagree is cut
-with others of the right class in their places."""
+of these need not be of the same age as those of the `regex` module. `differences` asks the library
+about every character, a class at a time. Texts of characters below 65,536 are cut by a pattern that spells
+the library's classes; in others, characters on which the two disagree are looked at as others of
+the right class."""
 
 from __future__ import annotations
 
@@ -41,25 +42,33 @@ def differences(pre) -> dict[str, str]:
 
 
 @lru_cache(maxsize=4)
-def stand_ins(path: str) -> dict[int, str]:
-    """For the tokenizer file `path`: a character of the right class for every one the two disagree
-    on. Made once, on the driver, and sent to the tasks."""
-    return {ord(c): HEADS[n] for c, n in differences(Tokenizer.from_file(path).pre_tokenizer).items()}
+def agreed(path: str) -> tuple[tuple[str, str, str], dict[int, str]]:
+    """What the library of the tokenizer file `path` takes for letters, digits and white space among
+    the characters below 65,536, as ranges; and a character of the right class for every one on which
+    the two disagree. Made once, on the driver, and sent to the tasks."""
+    theirs = differences(Tokenizer.from_file(path).pre_tokenizer)
+    low = "".join(chr(c) for c in range(1 << 16) if not 0xD800 <= c < 0xE000)
+    ranges = []
+    for name in list(HEADS)[:3]:
+        codes = sorted({ord(c) for c in regex.findall(name, low) if c not in theirs} | {ord(c) for c, n in theirs.items() if n == name and ord(c) < 1 << 16})
+        first = [c for i, c in enumerate(codes) if i == 0 or codes[i - 1] != c - 1]
+        last = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+        ranges.append("".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(first, last)))
+    return tuple(ranges), {ord(c): HEADS[n] for c, n in theirs.items()}
 
 
 class Cutter:
     """Cuts texts into pre-tokens as the library does."""
 
-    def __init__(self, stand_in: dict[int, str]):
-        self.stand_in, self.strange = stand_in, set(map(chr, stand_in))
-        self.pattern = regex.compile(PATTERN)
-        # most texts have no character from the first strange one on: a quick look comes first
-        self.beyond = re.compile(f"[{re.escape(min(self.strange))}-\U0010ffff]") if stand_in else None
+    def __init__(self, known: tuple[tuple[str, str, str], dict[int, str]]):
+        (letter, digit, self.space), self.stand_in = known
+        self.low = re.compile(rf" ?[{letter}]+|'(?:[stmd]|re|ve|ll)| ?[{digit}]+| ?[^{self.space}{letter}{digit}]+|[{self.space}]+(?![^{self.space}])|[{self.space}]+")
+        self.high, self.whole = re.compile("[\U00010000-\U0010ffff]"), regex.compile(PATTERN)
 
     def __call__(self, text: str) -> list[str]:
-        if self.beyond is None or not self.beyond.search(text) or self.strange.isdisjoint(text):
-            return self.pattern.findall(text)
-        return [text[m.start():m.end()] for m in self.pattern.finditer(text.translate(self.stand_in))]
+        if not self.high.search(text):
+            return self.low.findall(text)
+        return [text[m.start():m.end()] for m in self.whole.finditer(text.translate(self.stand_in))]
 
 
 def specification(path: str) -> dict:
@@ -72,7 +81,6 @@ def specification(path: str) -> dict:
     return spec
 
 
-def added_tokens(spec: dict) -> tuple[dict[str, int], regex.Pattern | None]:
-    """Ids of the added strings, and the pattern that finds them inside texts (the longest first)."""
-    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    return added, regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
+def added_tokens(spec: dict) -> dict[str, int]:
+    """Ids of the strings that are tokens wherever they stand in a text."""
+    return {t["content"]: t["id"] for t in spec["added_tokens"]}

@@ -19,8 +19,11 @@ files; a key is (doc_id, copy). Rows of one id may fall into several ranges."""
 from __future__ import annotations
 
 import re
+import sys
 import uuid
+from array import array
 from dataclasses import dataclass
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +48,9 @@ PART_KEYS = 1 << 18
 SPREAD = 2
 #: Bytes read from a shard in one go (one document at least).
 READ_BYTES = 8 << 20
-#: Pre-tokens whose ids a Python worker remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Pre-tokens in a generation of those whose ids a Python worker remembers, and their longest length.
+REMEMBERED, LONG = 500_000, 64
+ID = attrgetter("id")
 SLOT = np.dtype([("print", "<u8"), ("shard", "<i8"), ("offset", "<i8"), ("n", "<i8")])
 
 
@@ -69,40 +73,54 @@ def write_whole(files: fs.FileSystem, path: str, chunks) -> None:
 # ---- ids of a text
 
 class Ids(dict):
-    """The ids of each pre-token as bytes; the library encodes each once."""
+    """The ids of pre-tokens as bytes: the library is asked once for each, and for long ones each time.
+    When REMEMBERED are there they grow old and a new generation begins; what is used again joins it."""
 
-    def __init__(self, path: str, stand_in: dict[int, str], width: int):
+    def __init__(self, path: str, known, width: int):
         super().__init__()
-        self.model = Tokenizer.from_file(path).model
-        spec = pretokens.specification(path)
-        self.character = {b: c for c, b in pretokens.byte_of_character().items()}
-        self.cut, self.kind = pretokens.Cutter(stand_in), f"<u{width}"
-        self.added, self.added_pattern = pretokens.added_tokens(spec)
+        self.tokenize, self.kind, self.old = Tokenizer.from_file(path).model.tokenize, "H" if width == 2 else "I", {}
+        self.letters = {b: c for c, b in pretokens.byte_of_character().items()}
+        self.cut, self.added = pretokens.Cutter(known), pretokens.added_tokens(pretokens.specification(path))
+        self.found = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+
+    def packed(self, ids) -> bytes:
+        out = array(self.kind, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        spelled = "".join(map(self.character.__getitem__, piece.encode("utf-8")))
-        found = self[piece] = np.array([t.id for t in self.model.tokenize(spelled)], self.kind).tobytes()
+        found = self.old.get(piece)
+        if found is None:
+            spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+            found = self.packed(map(ID, self.tokenize(spelled)))
+        if len(piece) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = found
         return found
 
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.cut(text)))
+
     def of(self, text: str) -> bytes:
-        """The ids of a text as the library gives them, without added ones at its ends."""
-        if self.added_pattern is None or not self.added_pattern.search(text):
-            return b"".join(map(self.__getitem__, self.cut(text)))
+        """The ids of a text, without added ones at its ends."""
+        if not any(map(text.__contains__, self.added)):
+            return self.plain(text)
         out, at = [], 0
-        for m in self.added_pattern.finditer(text):
-            out += [self.of(text[at:m.start()]), np.array([self.added[m[0]]], self.kind).tobytes()]
+        for m in self.found.finditer(text):
+            out += [self.plain(text[at:m.start()]), self.packed([self.added[m[0]]])]
             at = m.end()
-        return b"".join([*out, self.of(text[at:])])
+        return b"".join([*out, self.plain(text[at:])])
 
 
 _ids: dict[tuple, Ids] = {}
 
 
-def ids_of(path: str, stand_in: dict[int, str], width: int) -> Ids:
+def ids_of(path: str, known, width: int) -> Ids:
     if (path, width) not in _ids:
-        _ids[path, width] = Ids(path, stand_in, width)
+        _ids[path, width] = Ids(path, known, width)
     return _ids[path, width]
 
 
@@ -139,11 +157,11 @@ class Shards:
 def shard_rows(docs: DataFrame, folder: str, path: str, end_id: int | None, width: int) -> DataFrame:
     """Write `docs` (doc_id, text) as shards: (task, doc_id, seen, shard, offset, n) of every row,
     where `seen` counts the rows of the id before it in the same task."""
-    stand_in = pretokens.stand_ins(path)
+    known = pretokens.agreed(path)
     end = b"" if end_id is None else np.array([end_id], f"<u{width}").tobytes()
 
     def write(batches):
-        task, ids = TaskContext.get().partitionId(), ids_of(path, stand_in, width)
+        task, ids = TaskContext.get().partitionId(), ids_of(path, known, width)
         shards, before, seen = Shards(folder, task, width), object(), 0
         for batch in batches:
             keys, rows = batch.column(0).to_pylist(), []
