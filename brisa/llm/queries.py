@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brisa.llm import language as op8, line_dedup as op3, merkle as op5, mixing as op2, ngram_join as op7, periodic_runs as op12, pseudonyms as op6, sentencepiece_fst as op1, token_counts as op10, token_files as op11, vector_links as op9, warc as op4
+from brisa.llm import language as op8, line_dedup as op3, merkle as op5, mixing as op2, ngram_join as op7, periodic_runs as op12, pseudonyms as op6, sentencepiece_fst as op1, token_counts as op10, token_files as op11, vector_links as op9, warc as op4, whitening as op13
 from brisa.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -120,3 +120,8 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
                        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
                        F.sha2(op12.written(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.whitened(table(spark, sf_dir, "embeddings"), components=16)
