@@ -30,10 +30,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, values: str | None = None) -> DataFrame:
     """`df` with a broadcast hint if it has at most `limit` rows. It should be a staged table
-    of narrow rows: the count is then read from file footers."""
-    return F.broadcast(df) if df.count() <= limit else df
+    of narrow rows: the count is then read from file footers. If rows hold an array of any
+    length in the column `values`, its elements are counted with them."""
+    rows = df.agg(F.count("*") + F.coalesce(F.sum(F.size(values)), F.lit(0))).first()[0] if values else df.count()
+    return F.broadcast(df) if rows <= limit else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

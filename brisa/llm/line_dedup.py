@@ -15,7 +15,8 @@ goes. The join is exact:
 Equal sets are one entry with the place of the first. Entries travel packed, one binary row for
 each task and part of the word space; a word that many lines hold is split into pairs of blocks, so
 that no part grows with a common word. For every line the earliest plausible lines are verified
-first; the other plausible ones follow only where none of these matches."""
+first; where none of these matches and there are others, a further round takes more of them, from
+entries of the words in question alone."""
 
 from __future__ import annotations
 
@@ -31,16 +32,32 @@ from brisa.llm.common import small, staged
 #: Slots of the word counts that give the order of rarity (a broadcast of as many bytes).
 SLOTS = 1 << 20
 #: Entries of one part; a word that occurs more often than HOT times is split into blocks of so many.
-PART, HOT = 500_000, 1 << 18
-#: Plausible earlier lines verified first; pairs of entries looked at in one go.
-FIRST, CHUNK = 3, 1_000_000
-#: Sets still open after the first round that are broadcast; with more they are joined.
+PART, HOT = 500_000, 1 << 16
+#: Plausible earlier lines of a part that are verified in the first round; every round takes MORE times
+#: as many. Pairs of entries looked at in one go.
+FIRST, MORE, CHUNK = 3, 8, 250_000
+#: Sets still open after a round, and words that may join them, that are broadcast; with more the
+#: next round reads all entries and the sets are joined.
 OPEN = 1_000_000
+#: Places of lines a task remembers in order not to send a set twice.
+SEEN = 300_000
+#: Sets of more lines than these are looked up apart from the others.
+COMMON = 10_000
 ENTRY = np.dtype([("word", "<u4"), ("n", "<u4"), ("place", "<u4"), ("line", "<i4"), ("set", "<i8"), ("low", "<u8"), ("high", "<u8"), ("doc", "<i8")])
 #: The counts of all slots travel in this many slices, summed by at most FAN tasks each at first.
 SLICES, FAN = 64, 256
 
 
+LOW, HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
+
+
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which numbers are in the sorted array `known`."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def slot_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(44)).astype(np.int64)
 
@@ -126,9 +143,10 @@ def lines_and_counts(docs: DataFrame, least_words: int, runs: bool) -> tuple[Dat
     return both.filter("counts is null").drop("counts"), out
 
 
-def entry_rows(docs: DataFrame, counts: np.ndarray, parts: int, least_words: int, num: int, den: int, runs: bool) -> DataFrame:
+def entry_rows(docs: DataFrame, counts: np.ndarray, parts: int, least_words: int, num: int, den: int, runs: bool, keys=None) -> DataFrame:
     """(part, entries): prefix words of every line, packed by part of the word space. A task sends
-    a set again only if it meets it at an earlier place, and none that only equal sets can match."""
+    a set again only if it meets it at an earlier place (or has forgotten it), and none that only equal
+    sets can match. `keys` is a broadcast of the sorted keys (part, then word) to give, all if it is not given."""
     rarity = np.minimum(255, np.round(np.log2(counts + 1.0) * 6)).astype(np.int64)
     blocks = np.ceil(counts / HOT).astype(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast((rarity.astype(np.uint8), np.maximum(blocks, 1).astype(np.int32)))
@@ -142,6 +160,8 @@ def entry_rows(docs: DataFrame, counts: np.ndarray, parts: int, least_words: int
             for data, at in wordhash.blocks(batch.column(1)):
                 x = Lines(data, at, rare, runs)
                 keep, joined = [], (x.n >= least_words) & (x.n * den >= num * (x.n + 1))
+                if len(seen) > SEEN:
+                    seen.clear()
                 for k, (s, d, line) in enumerate(zip(x.set.tolist(), ids[x.text + first].tolist(), x.number.tolist())):
                     if joined[k] and (s not in seen or (d, line) < seen[s]):
                         seen[s] = (d, line)
@@ -168,11 +188,14 @@ def entry_rows(docs: DataFrame, counts: np.ndarray, parts: int, least_words: int
         other = np.arange(len(again)) - np.repeat(np.cumsum(b) - b, b)
         low, high = np.minimum(mine[again], other), np.maximum(mine[again], other)
         key = wordhash.mixed(word[again] + ((low << 20) + high).astype(np.uint64))
+        if keys is not None:
+            wanted = among(((key & LOW) % np.uint64(parts) << HALF | key >> HALF).view(np.int64), keys.value)
+            again, key = again[wanted], key[wanted]
         out = np.empty(len(again), ENTRY)
         at = of[again]
-        out["word"], out["n"], out["place"], out["line"] = (key >> np.uint64(32)), x.n[at], place[again], x.number[at]
+        out["word"], out["n"], out["place"], out["line"] = key >> HALF, x.n[at], place[again], x.number[at]
         out["set"], out["low"], out["high"], out["doc"] = x.set[at], x.low[at], x.high[at], doc[at]
-        return ((key & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64), out
+        return ((key & LOW) % np.uint64(parts)).astype(np.int64), out
 
     def flushed(held):
         part, entry = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
@@ -220,22 +243,21 @@ def plausible_pairs(entries: np.ndarray, num: int, den: int):
         first = end
 
 
-def candidates(rows: DataFrame, num: int, den: int, every: bool, only=None) -> DataFrame:
-    """(later, earlier, more): plausible pairs of sets. Unless `every`, only the FIRST earliest
-    ones of each part are given, and `more` says that there are others. `only` is a broadcast of the
-    sorted sets to look for, all if it is not given."""
-    schema = "later long, earlier long, more boolean"
+def candidates(rows: DataFrame, num: int, den: int, first: int, only=None) -> DataFrame:
+    """(later, earlier, key): plausible pairs of sets, the `first` earliest ones of each part. A set that has
+    others there is given again with each of its keys in the part (part, then word), and no
+    earlier one. `only` is a broadcast of the sorted sets to look for, all if it is not given."""
+    schema = "later long, earlier long, key long"
 
     def work(table: pa.Table) -> pa.Table:
         entries = np.frombuffer(b"".join(b for b in table.column("entries").to_pylist()), ENTRY)
         later, earlier, doc, line = (np.zeros(0, np.int64) for _ in range(4))
-        cut, out = np.zeros(0, np.int64), []
+        cut = np.zeros(0, np.int64)
         for x, y in plausible_pairs(entries, num, den):
             if only is not None:
-                wanted = np.isin(x["set"], only.value)
+                wanted = among(x["set"], only.value)
                 x, y = x[wanted], y[wanted]
-            if every:
-                out.append(np.unique(np.stack([x["set"], y["set"]], axis=1), axis=0))
+            if not len(x):
                 continue
             later, earlier = np.concatenate([later, x["set"]]), np.concatenate([earlier, y["set"]])
             doc, line = np.concatenate([doc, y["doc"]]), np.concatenate([line, y["line"].astype(np.int64)])
@@ -247,13 +269,14 @@ def candidates(rows: DataFrame, num: int, den: int, every: bool, only=None) -> D
             head = np.ones(len(later), bool)
             head[1:] = later[1:] != later[:-1]
             rank = np.arange(len(later)) - np.maximum.accumulate(np.where(head, np.arange(len(later)), 0))
-            cut = np.union1d(cut, later[rank >= FIRST])
-            keep = rank < FIRST
+            cut = np.union1d(cut, later[rank >= first])
+            keep = rank < first
             later, earlier, doc, line = later[keep], earlier[keep], doc[keep], line[keep]
-        if every:
-            pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-            later, earlier = pairs[:, 0], pairs[:, 1]
-        return pa.table([pa.array(later, pa.int64()), pa.array(earlier, pa.int64()), pa.array(np.isin(later, cut))], names=["later", "earlier", "more"])
+        there = entries[among(entries["set"], cut)]
+        again = np.unique(np.stack([there["set"], there["word"].astype(np.int64)], axis=1), axis=0)
+        key = (table.column("part")[0].as_py() << 32) + again[:, 1]
+        return pa.table([pa.array(np.concatenate([later, again[:, 0]])), pa.concat_arrays([pa.array(earlier), pa.nulls(len(again), pa.int64())]),
+                         pa.concat_arrays([pa.nulls(len(later), pa.int64()), pa.array(key, pa.int64())])], names=["later", "earlier", "key"])
     return rows.groupBy("part").applyInArrow(work, schema)
 
 
@@ -262,15 +285,17 @@ def matching(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, num: int, den
     of their set."""
     needed = pairs.select(F.explode(F.array("later", "earlier")).alias("set")).distinct()
     places = staged(needed.join(firsts, "set").groupBy("doc_id", "body").agg(F.collect_list(F.struct("line", "set")).alias("places")), "places")
-    there = docs.select("doc_id", "body", "text").join(small(places), ["doc_id", "body"]).select(F.split("text", "\n", -1).alias("all"), F.explode("places").alias("place"))
+    there = docs.select("doc_id", "body", "text").join(small(places, values="places"), ["doc_id", "body"]).select(F.split("text", "\n", -1).alias("all"), F.explode("places").alias("place"))
     lines = staged(there.select(F.col("place.set").alias("set"), F.get("all", F.col("place.line")).alias("line")).dropDuplicates(["set"]), "line-texts")
     both = (pairs.select("later", "earlier").join(lines.select(F.col("set").alias("later"), F.col("line").alias("x")), "later")
             .join(lines.select(F.col("set").alias("earlier"), F.col("line").alias("y")), "earlier").select("later", "x", "y"))
 
     def check(batches):
         for batch in batches:
-            keep = [den * len(np.intersect1d(p, q, True)) >= num * len(np.union1d(p, q))
-                    for p, q in zip(wordhash.shingle_sets(batch.column(1), 1, runs), wordhash.shingle_sets(batch.column(2), 1, runs))]
+            keep = []
+            for p, q in zip(wordhash.shingle_sets(batch.column(1), 1, runs), wordhash.shingle_sets(batch.column(2), 1, runs)):
+                both = int(among(p, q).sum())
+                keep.append(den * both >= num * (len(p) + len(q) - both))
             yield batch.select(["later"]).filter(pa.array(keep, pa.bool_()))
     return both.mapInArrow(check, "later long").distinct()
 
@@ -280,23 +305,36 @@ def repeated_lines(docs: DataFrame, num: int, den: int, least_words: int, runs:
     doc_id, text and body, the hash of the text."""
     docs = docs.filter("doc_id is not null and text is not null")
     lines, counts = lines_and_counts(docs, least_words, runs)
-    firsts = staged(lines.groupBy("set").agg(F.min(F.struct("doc_id", "line", "body")).alias("f")).select("set", "f.doc_id", "f.line", "f.body"), "first-lines")
+    firsts = staged(lines.groupBy("set").agg(F.min(F.struct("doc_id", "line", "body")).alias("f"), F.count("*").alias("copies"))
+                    .select("set", "f.doc_id", "f.line", "f.body", "copies"), "first-lines")
     wanted = math.ceil(float(counts.sum()) * (den - num) / den / PART)
-    parts = max(1, wanted, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = entry_rows(docs, counts, parts, least_words, num, den, runs)
-    pairs = staged(candidates(rows, num, den, False).groupBy("later", "earlier").agg(F.max("more").alias("more")), "line-pairs")
-    later = staged(matching(docs, firsts, pairs, num, den, runs), "near-lines")
-    open_ = staged(pairs.groupBy("later").agg(F.max("more").alias("more")).filter("more").select("later").join(later, "later", "left_anti"), "open-lines")
-    n_open = open_.count()
-    if n_open:
-        spark = docs.sparkSession
-        only = spark.sparkContext.broadcast(np.sort(np.asarray(open_.toArrow().column("later")))) if n_open <= OPEN else None
-        rest = candidates(rows, num, den, True, only).join(open_, "later", "left_semi").select("later", "earlier").distinct()
-        rest = staged(rest.join(pairs.select("later", "earlier"), ["later", "earlier"], "left_anti"), "line-pairs")
-        later = later.unionAll(matching(docs, firsts, rest, num, den, runs))
-    near = later.select(F.col("later").alias("set"), F.lit(True).alias("near"))
-    judged = lines.join(firsts.join(near, "set", "left").select("set", F.col("doc_id").alias("d"), F.col("line").alias("l"), "near"), "set")
-    gone = judged.filter("near or doc_id > d or (doc_id = d and line > l)")
+    spark = docs.sparkSession
+    parts = max(1, wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    near, checked, first, keys, only, open_ = None, None, FIRST, None, None, None
+    while True:
+        rows = entry_rows(docs, counts, parts, least_words, num, den, runs, keys)
+        found = staged(candidates(rows, num, den, first, only), "line-candidates")
+        pairs = found.filter("earlier is not null").select("later", "earlier").distinct()
+        if checked is not None:
+            pairs = pairs.join(open_, "later", "left_semi").join(checked, ["later", "earlier"], "left_anti")
+        pairs = staged(pairs, "line-pairs")
+        matched = staged(matching(docs, firsts, pairs, num, den, runs), "near-lines")
+        near = matched if near is None else near.unionAll(matched)
+        checked = pairs if checked is None else checked.unionAll(pairs)
+        more = found.filter("key is not null").select("later", "key")
+        more = staged((more if open_ is None else more.join(open_, "later", "left_semi")).join(near, "later", "left_anti"), "open-lines")
+        if more.isEmpty():
+            break
+        open_, words = more.select("later").distinct(), more.select("key").distinct()
+        send = lambda df: spark.sparkContext.broadcast(np.sort(np.asarray(df.toArrow().column(0)))) if df.count() <= OPEN else None
+        only, keys = send(open_), send(words)
+        first *= MORE
+    judged = firsts.join(near.select(F.col("later").alias("set"), F.lit(True).alias("near")), "set", "left").filter("near or copies > 1")
+    judged = staged(judged.select("set", F.col("doc_id").alias("d"), F.col("line").alias("l"), "near", "copies"), "judged-sets")
+    # a set of very many lines is no key of a shuffle
+    common = small(staged(judged.filter(F.col("copies") > COMMON), "common-sets"))
+    others = lines.join(common.select("set"), "set", "left_anti").join(judged.filter(F.col("copies") <= COMMON), "set")
+    gone = others.unionByName(lines.join(common, "set")).filter("near or doc_id > d or (doc_id = d and line > l)")
     return staged(gone.groupBy("doc_id", "body").agg(F.collect_set("line").alias("gone")), "gone-lines")
 
 
@@ -316,13 +354,14 @@ def without_repeated_lines(docs: DataFrame, num: int = 80, den: int = 100, least
     gone = repeated_lines(plain, num, den, least_words, runs).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), F.col("gone").alias("__gone"))
     kept = [F.col(f"`{c}`") for c in docs.columns if not (marks and c in ("n_lines", "n_removed"))]
     # the small side is counted; a text is looked up by its id and its hash
-    joined = docs.select(*kept).join(small(gone), (key == F.col("__id")) & (F.xxhash64(text) == F.col("__body")), "left")
-    lines = F.split(text, "\n", -1)
+    joined = docs.select(*kept).join(small(gone, values="__gone"), (key == F.col("__id")) & (F.xxhash64(text) == F.col("__body")), "left")
+    joined = joined.withColumn("__parts", F.when(F.col("__gone").isNotNull(), F.split(text, "\n", -1)))
     n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    cleaned = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(F.sort_array(left), lambda i: F.get(lines, i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone"))
+    cleaned = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(F.sort_array(left), lambda i: F.get("__parts", i)), "\n"))
     out = joined.select(*[cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if not (marks and c in ("n_lines", "n_removed"))],
-                        F.coalesce(n_lines, F.lit(0)).alias("__lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("__removed"))
+                        *([F.coalesce(n_lines, F.lit(0)).alias("__lines")] if marks else []),
+                        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("__removed"))
     if drop_emptied:
         out = out.filter(~((F.col("__removed") > 0) & (F.trim(F.translate(F.col(f"`{text_col}`"), "\t\r\n", "   ")) == "")))
-    return out.withColumnsRenamed({"__lines": "n_lines", "__removed": "n_removed"}) if marks else out.drop("__lines", "__removed")
+    return out.withColumnsRenamed({"__lines": "n_lines", "__removed": "n_removed"}) if marks else out.drop("__removed")

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a Python worker looks at in one go (one text at least).
-BLOCK = 4 << 20
+BLOCK = 512 << 10
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -50,12 +50,21 @@ def unspaced() -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1)
+_powers = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse to the powers 0 .. n-1."""
-    up, down = np.full(n, BASE), np.full(n, UNBASE)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    """BASE and its inverse to the powers 0 .. n-1; those of one block are kept."""
+    global _powers
+    up, down = _powers
+    if len(up) < n:
+        up, down = np.full(max(n, BLOCK), BASE), np.full(max(n, BLOCK), UNBASE)
+        up[0] = down[0] = 1
+        np.cumprod(up, dtype=np.uint64, out=up)
+        np.cumprod(down, dtype=np.uint64, out=down)
+        if len(up) <= 2 * BLOCK:
+            _powers = up, down
+    return up, down
 
 
 def blocks(texts: pa.Array):
@@ -116,7 +125,7 @@ def placed_words(data: np.ndarray, at: np.ndarray, runs: bool = False) -> tuple[
         start, end = np.concatenate([start, run_start]), np.concatenate([end, run_end])
         order = np.argsort(start, kind="stable")
         start, end = start[order], end[order]
-    up, down = powers(max(BLOCK, 1 << int(n).bit_length()))
+    up, down = powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(value[data] * up[:n], out=total[1:])
     h = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
