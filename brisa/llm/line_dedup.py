@@ -15,8 +15,8 @@ goes. The join is exact:
 Equal sets are one entry with the place of the first. Entries travel packed, one binary row for
 each task and part of the word space; a word that many lines hold is split into pairs of blocks, so
 that no part grows with a common word. For every line the earliest plausible lines are verified
-first; where none of these matches and there are others, a further round takes more of them, from
-entries of the words in question alone."""
+first; where none of these matches and there are others, a further round takes more of them from
+the entries of the words in question, which the round before has kept."""
 
 from __future__ import annotations
 
@@ -35,9 +35,8 @@ SLOTS = 1 << 20
 PART, HOT = 500_000, 1 << 16
 #: Plausible earlier lines of a part that are verified in the first round; every round takes MORE times
 #: as many. Pairs of entries looked at in one go.
-FIRST, MORE, CHUNK = 3, 8, 250_000
-#: Sets still open after a round, and words that may join them, that are broadcast; with more the
-#: next round reads all entries and the sets are joined.
+FIRST, MORE, CHUNK = 3, 32, 250_000
+#: Sets still open after a round that are broadcast; with more they are joined.
 OPEN = 1_000_000
 #: Places of lines a task remembers in order not to send a set twice.
 SEEN = 300_000
@@ -143,10 +142,10 @@ def lines_and_counts(docs: DataFrame, least_words: int, runs: bool) -> tuple[Dat
     return both.filter("counts is null").drop("counts"), out
 
 
-def entry_rows(docs: DataFrame, counts: np.ndarray, parts: int, least_words: int, num: int, den: int, runs: bool, keys=None) -> DataFrame:
+def entry_rows(docs: DataFrame, counts: np.ndarray, parts: int, least_words: int, num: int, den: int, runs: bool) -> DataFrame:
     """(part, entries): prefix words of every line, packed by part of the word space. A task sends
     a set again only if it meets it at an earlier place (or has forgotten it), and none that only equal
-    sets can match. `keys` is a broadcast of the sorted keys (part, then word) to give, all if it is not given."""
+    sets can match."""
     rarity = np.minimum(255, np.round(np.log2(counts + 1.0) * 6)).astype(np.int64)
     blocks = np.ceil(counts / HOT).astype(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast((rarity.astype(np.uint8), np.maximum(blocks, 1).astype(np.int32)))
@@ -188,9 +187,6 @@ def entry_rows(docs: DataFrame, counts: np.ndarray, parts: int, least_words: int
         other = np.arange(len(again)) - np.repeat(np.cumsum(b) - b, b)
         low, high = np.minimum(mine[again], other), np.maximum(mine[again], other)
         key = wordhash.mixed(word[again] + ((low << 20) + high).astype(np.uint64))
-        if keys is not None:
-            wanted = among(((key & LOW) % np.uint64(parts) << HALF | key >> HALF).view(np.int64), keys.value)
-            again, key = again[wanted], key[wanted]
         out = np.empty(len(again), ENTRY)
         at = of[again]
         out["word"], out["n"], out["place"], out["line"] = key >> HALF, x.n[at], place[again], x.number[at]
@@ -244,10 +240,10 @@ def plausible_pairs(entries: np.ndarray, num: int, den: int):
 
 
 def candidates(rows: DataFrame, num: int, den: int, first: int, only=None) -> DataFrame:
-    """(later, earlier, key): plausible pairs of sets, the `first` earliest ones of each part. A set that has
-    others there is given again with each of its keys in the part (part, then word), and no
-    earlier one. `only` is a broadcast of the sorted sets to look for, all if it is not given."""
-    schema = "later long, earlier long, key long"
+    """(later, earlier, part, entries): plausible pairs of sets, the `first` earliest ones of each part. A set
+    that has others there is given again without an earlier one, and all entries that share a word with such sets
+    in a row of their own. `only` is a broadcast of the sorted sets to look for, all if it is not given."""
+    schema = "later long, earlier long, part int, entries binary"
 
     def work(table: pa.Table) -> pa.Table:
         entries = np.frombuffer(b"".join(b for b in table.column("entries").to_pylist()), ENTRY)
@@ -272,11 +268,12 @@ def candidates(rows: DataFrame, num: int, den: int, first: int, only=None) -> Da
             cut = np.union1d(cut, later[rank >= first])
             keep = rank < first
             later, earlier, doc, line = later[keep], earlier[keep], doc[keep], line[keep]
-        there = entries[among(entries["set"], cut)]
-        again = np.unique(np.stack([there["set"], there["word"].astype(np.int64)], axis=1), axis=0)
-        key = (table.column("part")[0].as_py() << 32) + again[:, 1]
-        return pa.table([pa.array(np.concatenate([later, again[:, 0]])), pa.concat_arrays([pa.array(earlier), pa.nulls(len(again), pa.int64())]),
-                         pa.concat_arrays([pa.nulls(len(later), pa.int64()), pa.array(key, pa.int64())])], names=["later", "earlier", "key"])
+        words = np.unique(entries["word"][among(entries["set"], cut)])
+        kept, n = entries[among(entries["word"], words)], len(later) + len(cut)
+        nothing = pa.nulls(1 if len(kept) else 0, pa.int64())
+        return pa.table([pa.concat_arrays([pa.array(later), pa.array(cut), nothing]), pa.concat_arrays([pa.array(earlier), pa.nulls(len(cut), pa.int64()), nothing]),
+                         pa.concat_arrays([pa.nulls(n, pa.int32()), table.column("part").combine_chunks().slice(0, len(nothing))]),
+                         pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([kept.tobytes()] * len(nothing), pa.binary())])], names=["later", "earlier", "part", "entries"])
     return rows.groupBy("part").applyInArrow(work, schema)
 
 
@@ -285,7 +282,8 @@ def matching(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, num: int, den
     of their set."""
     needed = pairs.select(F.explode(F.array("later", "earlier")).alias("set")).distinct()
     places = staged(needed.join(firsts, "set").groupBy("doc_id", "body").agg(F.collect_list(F.struct("line", "set")).alias("places")), "places")
-    there = docs.select("doc_id", "body", "text").join(small(places, values="places"), ["doc_id", "body"]).select(F.split("text", "\n", -1).alias("all"), F.explode("places").alias("place"))
+    places = small(places.withColumnRenamed("body", "of"), values="places")
+    there = docs.select("doc_id", "text").join(places, "doc_id").filter(F.xxhash64("text") == F.col("of")).select(F.split("text", "\n", -1).alias("all"), F.explode("places").alias("place"))
     lines = staged(there.select(F.col("place.set").alias("set"), F.get("all", F.col("place.line")).alias("line")).dropDuplicates(["set"]), "line-texts")
     both = (pairs.select("later", "earlier").join(lines.select(F.col("set").alias("later"), F.col("line").alias("x")), "later")
             .join(lines.select(F.col("set").alias("earlier"), F.col("line").alias("y")), "earlier").select("later", "x", "y"))
@@ -310,9 +308,9 @@ def repeated_lines(docs: DataFrame, num: int, den: int, least_words: int, runs:
     wanted = math.ceil(float(counts.sum()) * (den - num) / den / PART)
     spark = docs.sparkSession
     parts = max(1, wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    near, checked, first, keys, only, open_ = None, None, FIRST, None, None, None
+    near, checked, first, only, open_ = None, None, FIRST, None, None
+    rows = entry_rows(docs, counts, parts, least_words, num, den, runs)
     while True:
-        rows = entry_rows(docs, counts, parts, least_words, num, den, runs, keys)
         found = staged(candidates(rows, num, den, first, only), "line-candidates")
         pairs = found.filter("earlier is not null").select("later", "earlier").distinct()
         if checked is not None:
@@ -321,13 +319,13 @@ def repeated_lines(docs: DataFrame, num: int, den: int, least_words: int, runs:
         matched = staged(matching(docs, firsts, pairs, num, den, runs), "near-lines")
         near = matched if near is None else near.unionAll(matched)
         checked = pairs if checked is None else checked.unionAll(pairs)
-        more = found.filter("key is not null").select("later", "key")
-        more = staged((more if open_ is None else more.join(open_, "later", "left_semi")).join(near, "later", "left_anti"), "open-lines")
-        if more.isEmpty():
+        more = found.filter("later is not null and earlier is null").select("later").distinct()
+        open_ = staged((more if open_ is None else more.join(open_, "later", "left_semi")).join(near, "later", "left_anti"), "open-lines")
+        n_open = open_.count()
+        if n_open == 0:
             break
-        open_, words = more.select("later").distinct(), more.select("key").distinct()
-        send = lambda df: spark.sparkContext.broadcast(np.sort(np.asarray(df.toArrow().column(0)))) if df.count() <= OPEN else None
-        only, keys = send(open_), send(words)
+        only = spark.sparkContext.broadcast(np.sort(np.asarray(open_.toArrow().column("later")))) if n_open <= OPEN else None
+        rows = found.filter("entries is not null").select("part", "entries")
         first *= MORE
     judged = firsts.join(near.select(F.col("later").alias("set"), F.lit(True).alias("near")), "set", "left").filter("near or copies > 1")
     judged = staged(judged.select("set", F.col("doc_id").alias("d"), F.col("line").alias("l"), "near", "copies"), "judged-sets")
