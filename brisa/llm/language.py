@@ -246,10 +246,11 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     return rows.select("doc_id", "held_out", F.col("__found.lang_pred").alias("lang_pred"), F.col("__found.score").alias("score"), F.col("__found.spans").alias("spans"))
 
 
-def kept(docs: DataFrame, model: Model | None = None, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """`docs` without the documents that language identification rejects: those without a letter,
-    and those of which no language has `least` of the letters. All columns and the other rows stay
-    as they are."""
+def kept(docs: DataFrame, model: Model | None = None, least: float = 0.5, long_span: int = 40, text_col: str = "text") -> DataFrame:
+    """`docs` without the documents that language identification rejects: those without a letter, and
+    those where no language has `least` of the letters and no span has `long_span` characters. A text in several
+    languages stays if any of them goes on that long. All columns and the other rows stay as they are."""
     model = model or learn(docs)
     found = language(text_col, model, docs)
-    return docs.filter((found["lang_pred"] != UNKNOWN) & (found["score"] >= least))
+    lasting = F.exists(found["spans"], lambda s: s["end"] - s["start"] >= long_span)
+    return docs.filter((found["lang_pred"] != UNKNOWN) & ((found["score"] >= least) | lasting))

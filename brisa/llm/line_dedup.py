@@ -248,15 +248,12 @@ def candidates(rows: DataFrame, num: int, den: int, first: int, only=None) -> Da
     def work(table: pa.Table) -> pa.Table:
         entries = np.frombuffer(b"".join(b for b in table.column("entries").to_pylist()), ENTRY)
         later, earlier, doc, line = (np.zeros(0, np.int64) for _ in range(4))
-        cut = np.zeros(0, np.int64)
-        for x, y in plausible_pairs(entries, num, den):
-            if only is not None:
-                wanted = among(x["set"], only.value)
-                x, y = x[wanted], y[wanted]
-            if not len(x):
-                continue
-            later, earlier = np.concatenate([later, x["set"]]), np.concatenate([earlier, y["set"]])
-            doc, line = np.concatenate([doc, y["doc"]]), np.concatenate([line, y["line"].astype(np.int64)])
+        cut, held, size = np.zeros(0, np.int64), [], 0
+
+        def settled():
+            nonlocal later, earlier, doc, line, cut
+            later, earlier = np.concatenate([later, *(x["set"] for x, _ in held)]), np.concatenate([earlier, *(y["set"] for _, y in held)])
+            doc, line = np.concatenate([doc, *(y["doc"] for _, y in held)]), np.concatenate([line, *(y["line"].astype(np.int64) for _, y in held)])
             order = np.lexsort((earlier, line, doc, later))
             later, earlier, doc, line = later[order], earlier[order], doc[order], line[order]
             new = np.ones(len(later), bool)
@@ -268,6 +265,19 @@ def candidates(rows: DataFrame, num: int, den: int, first: int, only=None) -> Da
             cut = np.union1d(cut, later[rank >= first])
             keep = rank < first
             later, earlier, doc, line = later[keep], earlier[keep], doc[keep], line[keep]
+            held.clear()
+
+        for x, y in plausible_pairs(entries, num, den):
+            if only is not None:
+                wanted = among(x["set"], only.value)
+                x, y = x[wanted], y[wanted]
+            if len(x):
+                held.append((x, y))
+                size += len(x)
+            if size > CHUNK:
+                settled()
+                size = 0
+        settled()
         words = np.unique(entries["word"][among(entries["set"], cut)])
         kept, n = entries[among(entries["word"], words)], len(later) + len(cut)
         nothing = pa.nulls(1 if len(kept) else 0, pa.int64())
