@@ -10,14 +10,14 @@ from brisa.llm.common import staged, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that have no letter, or no language with half of their letters."""
+    """Documents go that have no letter, or neither a language with half of their letters nor a long span of any."""
     return language.kept(docs)
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of five different words or more go that match an earlier one with a Jaccard similarity
-    of 0.8; documents of which nothing is left go with them."""
-    return line_dedup.without_repeated_lines(docs, num=80, den=100, least_words=5, marks=False, drop_emptied=True)
+    """Lines with words go that match an earlier one with a Jaccard similarity of 0.8, in scripts
+    without spaces by runs of characters; documents of which nothing is left go with them."""
+    return line_dedup.without_repeated_lines(docs, num=80, den=100, least_words=1, marks=False, drop_emptied=True, runs=True)
 
 
 def documents_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +44,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents that are left. Documents with a null text have no letter and go; null ids are kept
+    by all stages, and rows of the same id are documents of their own. A null source is a source like others. An empty
+    table gives no rows; other columns, whatever their names, are carried through all stages but the last."""
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
