@@ -121,6 +121,11 @@ class _Data:
 
     def step(self, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Log-likelihood, score and information at beta, ties by Efron's rule."""
+        at, aggs = self.terms(beta)
+        return self.read(at.agg(*aggs).first())
+
+    def terms(self, beta) -> tuple[DataFrame, list[Column]]:
+        """Rows of event times, and the sums over them that make a step."""
         p, pairs = self.p, _pairs(self.p)
         at = self.per_time(beta).filter("d > 0")
         d, s0, e0 = F.col("d"), F.col("Rs"), F.col("q")
@@ -133,7 +138,10 @@ class _Data:
         aggs += [F.expr(f"sum(ex_{i} - Rs_{i} * A0 + q_{i} * A1) AS u{i}") for i in range(p)]
         aggs += [F.expr(f"sum(Rs_{i}_{j} * A0 - q_{i}_{j} * A1 - Rs_{i} * Rs_{j} * B0 + (Rs_{i} * q_{j} + q_{i} * Rs_{j}) * B1 "
                         f"- q_{i} * q_{j} * B2) AS i{i}_{j}") for i, j in pairs]
-        row = at.agg(*aggs).first()
+        return at, aggs
+
+    def read(self, row) -> tuple[float, np.ndarray, np.ndarray]:
+        p = self.p
         u = np.array([row[f"u{i}"] for i in range(p)], float)
         info = np.array([[row[f"i{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], float)
         return float(row["ll"]), u, info
@@ -238,15 +246,100 @@ def folds_by_hash(df: DataFrame, key: Sequence[str], k: int = 5, seed: int = 42,
     return df.withColumn(name, F.floor(hash_unit(*[F.col(c) for c in key], seed=seed) * k).cast("int"))
 
 
+class _Path(_Data):
+    """Rows for many models at once: one for each penalty and fold left out, on the other folds. A row
+    meets the models that learn from it in a join on its fold; sums are by model, and one job
+    makes a step of all models that still move."""
+
+    def __init__(self, df: DataFrame, time: str, event: str, covariates: Sequence[str], strata: Sequence[str],
+                 entry: str | None, penalties: Sequence[float], k: int):
+        self.strata, self.p, self.entry, self.cluster = ["__m", *strata], len(covariates), entry, None
+        columns = [time, event, *covariates, *strata, *([entry] if entry else [])]
+        self.rows = df.dropna(subset=columns).select(
+            "dobra", *strata, F.col(time).cast("double").alias("t"), *([F.col(entry).cast("double").alias("t0")] if entry else []),
+            F.col(event).cast("double").alias("e"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(covariates)]).persist(StorageLevel.MEMORY_AND_DISK)
+        self.points = ordered.cut_points(self.rows, ["t"])["t"]
+        found = {r["dobra"]: r for r in self.rows.groupBy("dobra").agg(F.count(F.lit(1)).alias("n"), *[
+            e for i in range(self.p) for e in (F.avg(f"c{i}").alias(f"m{i}"), F.var_pop(f"c{i}").alias(f"v{i}"))]).collect()}
+        self.models = {}                            # number: (penalty, fold left out, rows, means, deviations)
+        for fold in range(k):
+            others = [r for f, r in found.items() if f != fold]
+            n = np.array([r["n"] for r in others], float)
+            if n.sum() < 2 or fold not in found:
+                continue
+            means = np.array([[r[f"m{i}"] for i in range(self.p)] for r in others])
+            within = np.array([[r[f"v{i}"] for i in range(self.p)] for r in others])
+            mean = n @ means / n.sum()
+            dev = np.sqrt((n @ within + n @ (means - mean) ** 2) / (n.sum() - 1))
+            for value in penalties:
+                self.models[len(self.models)] = (float(value), fold, int(n.sum()), mean, np.where(dev > 0, dev, 1.0))
+        self.folds = sorted(found)
+
+    def table(self, betas: Mapping[int, np.ndarray], learning: bool) -> DataFrame:
+        """(dobra, __m, b, mean, dev): the models that learn from a fold, or those tested on it."""
+        rows = [(f, m, beta.tolist(), self.models[m][3].tolist(), self.models[m][4].tolist())
+                for m, beta in betas.items() for f in self.folds if (f != self.models[m][1]) == learning]
+        return F.broadcast(self.rows.sparkSession.createDataFrame(rows, "dobra int, __m int, b array<double>, mean array<double>, dev array<double>"))
+
+    def scored(self, betas: Mapping[int, np.ndarray], learning: bool = True) -> DataFrame:
+        met = self.rows.join(self.table(betas, learning), "dobra").withColumns({f"x{i}": F.expr(f"(c{i} - mean[{i}]) / dev[{i}]") for i in range(self.p)})
+        score = " + ".join(f"x{i} * b[{i}]" for i in range(self.p))
+        return met.drop("mean", "dev").withColumn("xb", F.expr(score)).withColumn("r", F.expr("exp(xb)")).drop("b")
+
+    def steps(self, betas: Mapping[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+        at, aggs = self.terms(betas)
+        return {r["__m"]: self.read(r) for r in at.groupBy("__m").agg(*aggs).collect()}
+
+    def fit(self, l1: float) -> tuple[dict[int, np.ndarray], dict[int, bool]]:
+        """Coefficients of all models on covariates with deviation one, and whether each has settled."""
+        beta = {m: np.zeros(self.p) for m in self.models}
+        weight = {m: model[0] * model[2] for m, model in self.models.items()}
+        at = self.steps(beta)
+        beta, done = {m: beta[m] for m in at}, {m: False for m in at}           # folds without events have no model
+        value = {m: at[m][0] - _penalty(beta[m], weight[m], l1) for m in at}
+        move = {m: _model_step(beta[m], *at[m][1:], weight[m], l1) - beta[m] for m in at}
+        shrink, taken = dict.fromkeys(at, 1.0), dict.fromkeys(at, 0)
+        active = set(at)
+        while active:
+            trial = {m: beta[m] + shrink[m] * move[m] for m in active}
+            for m, (ll, u, info) in self.steps(trial).items():
+                new = ll - _penalty(trial[m], weight[m], l1)
+                if not (np.isfinite(new) and new >= value[m] - 1e-10 * abs(value[m]) or shrink[m] < 1e-4):
+                    shrink[m] /= 2
+                    continue
+                size, gained = np.max(np.abs(shrink[m] * move[m])), new - value[m]
+                beta[m], value[m], taken[m] = trial[m], new, taken[m] + 1
+                done[m] = bool(size < TOLERANCE or abs(gained) < 1e-14 * abs(new))
+                if done[m] or taken[m] >= MAX_STEPS:
+                    active.discard(m)
+                else:
+                    move[m], shrink[m] = _model_step(beta[m], u, info, weight[m], l1) - beta[m], 1.0
+        return beta, done
+
+
+def cross_validated_path(df: DataFrame, time: str, event: str, covariates: Sequence[str], key: Sequence[str], *,
+                         penalties: Sequence[float], l1_ratio: float = 0.0, k: int = 5, seed: int = 42,
+                         strata: Sequence[str] = (), entry: str | None = None) -> DataFrame:
+    """(penalizador, dobra, c_index, convergiu): C-index of every fold under the model of the others, for
+    all penalties. All models are fitted side by side, one job a step, and judged in one pass."""
+    data = _Path(folds_by_hash(df, key, k, seed), time, event, covariates, strata, entry, penalties, k)
+    spark = df.sparkSession
+    schema = "penalizador double, dobra int, c_index double, convergiu boolean"
+    beta, done = data.fit(l1_ratio) if data.models else ({}, {})
+    if not beta:
+        return spark.createDataFrame([], schema)
+    tested = data.scored(beta, learning=False).select("__m", "t", "e", "xb")
+    found = concordance(tested, "t", "e", "xb", by=["__m"]).collect()       # a row for each model
+    data.rows.unpersist()
+    index = {r["__m"]: r["c_index"] for r in found}
+    return spark.createDataFrame([(data.models[m][0], data.models[m][1], index.get(m), done[m]) for m in beta], schema)
+
+
 def cross_validated_concordance(df: DataFrame, time: str, event: str, covariates: Sequence[str], key: Sequence[str],
-                                *, k: int = 5, seed: int = 42, **options) -> dict:
+                                *, k: int = 5, seed: int = 42, penalty: float = 0.0, **options) -> dict:
     """C-index on rows the fit has not seen, per fold."""
-    parts = folds_by_hash(df, key, k, seed)
-    scores = []
-    for i in range(k):
-        model = fit(parts.filter(F.col("dobra") != i), time, event, covariates, with_baseline=False, **options)
-        test = parts.filter(F.col("dobra") == i).withColumn("__s", model.score())
-        scores.append(concordance(test, time, event, "__s").first()["c_index"])
+    path = cross_validated_path(df, time, event, covariates, key, penalties=[penalty], k=k, seed=seed, **options)
+    scores = [r["c_index"] for r in path.orderBy("dobra").collect()]
     return {"k": k, "cindex_medio": float(np.mean(scores)), "cindex_desvio": float(np.std(scores)), "scores": scores}
 
 
@@ -254,16 +347,15 @@ def fit_penalised(df: DataFrame, time: str, event: str, covariates: Sequence[str
                   penalties: Sequence[float] = tuple(np.logspace(-3, 1, 9)), l1_ratio: float = 1.0, k: int = 5,
                   seed: int = 42) -> dict:
     """Penalty with the best out-of-sample C-index, final fit and kept covariates."""
-    spark, rows = df.sparkSession, []
-    for value in penalties:
-        cv = cross_validated_concordance(df, time, event, covariates, key, k=k, seed=seed, penalty=float(value),
-                                         l1_ratio=l1_ratio)
-        rows.append((float(value), cv["cindex_medio"], cv["cindex_desvio"]))
-    best = max(rows, key=lambda r: r[1])
-    model = fit(df, time, event, covariates, penalty=best[0], l1_ratio=l1_ratio)
+    path = cross_validated_path(df, time, event, covariates, key, penalties=penalties, l1_ratio=l1_ratio, k=k, seed=seed)
+    path = path.groupBy("penalizador").agg(F.avg("c_index").alias("cindex_cv"), F.stddev_pop("c_index").alias("cindex_std"),
+                                           F.every("convergiu").alias("convergiu")).orderBy("penalizador")
+    rows = path.collect()
+    best = max(rows, key=lambda r: r["cindex_cv"])
+    model = fit(df, time, event, covariates, penalty=best["penalizador"], l1_ratio=l1_ratio)
     kept = [c for c, b in zip(covariates, model.coef) if abs(b) > 1e-6]
-    return {"modelo": model, "melhor_penalizador": best[0], "cindex_cv": best[1], "selecionadas": kept,
-            "trajetoria": spark.createDataFrame(rows, "penalizador double, cindex_cv double, cindex_std double")}
+    return {"modelo": model, "melhor_penalizador": best["penalizador"], "cindex_cv": best["cindex_cv"], "selecionadas": kept,
+            "trajetoria": df.sparkSession.createDataFrame(rows, path.schema)}
 
 
 # ------------------------------------------------------------------- residuals

@@ -303,16 +303,17 @@ def parametric_fits(df: DataFrame, time: str, event: str,
 
 
 # ----------------------------------------------------------------- concordance
-def concordance(df: DataFrame, time: str, event: str, score: str) -> DataFrame:
+def concordance(df: DataFrame, time: str, event: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """One row (concordantes, discordantes, empates, c_index) over all comparable
-    pairs; a higher score means an earlier event.
+    pairs, or one for each group; a higher score means an earlier event.
 
     Pairs are never listed. Scores are numbered; two different numbers split at
     exactly one binary digit, so for each digit the pairs with equal higher
     digits are counted from sums over later times.
     """
+    by = list(by)
     cells = df.dropna(subset=[time, event, score]).groupBy(
-        F.col(time).cast("double").alias("tempo"), F.col(score).cast("double").alias("s")).agg(
+        *by, F.col(time).cast("double").alias("tempo"), F.col(score).cast("double").alias("s")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("d"))
     cells = ordered.cut(cells)
     numbers = ordered.row_numbers(cells.select("s").distinct(), ["s"], "i", start=0)
@@ -324,14 +325,14 @@ def concordance(df: DataFrame, time: str, event: str, score: str) -> DataFrame:
         "__pow", F.pow(F.lit(2.0), F.col("k")).cast("long"))
     half = F.floor(F.col("i") / F.col("__pow"))
     spread = spread.withColumns({"grupo": F.floor(half / 2), "alto": F.pmod(half, F.lit(2))})
-    sides = spread.groupBy("k", "grupo", "tempo").agg(*[
+    sides = spread.groupBy(*by, "k", "grupo", "tempo").agg(*[
         F.sum(F.when(F.col("alto") == side, F.col(c)).otherwise(0)).alias(f"{c}{side}")
         for c in ("n", "d") for side in (0, 1)])
-    run = ordered.running_sums(sides, ["k", "grupo"], "tempo", {"a0": "n0", "a1": "n1"}, descending=True, points=points)
-    pairs = run.agg(F.sum(F.col("d1") * (F.col("a0") - F.col("d0"))).alias("concordantes"),
-                    F.sum(F.col("d0") * (F.col("a1") - F.col("d1"))).alias("discordantes"))
-    same = ordered.running_sums(cells.select("i", "tempo", "n", "d"), ["i"], "tempo", {"a": "n"}, descending=True, points=points)
-    ties = same.agg(F.sum(F.col("d") * (F.col("a") - F.col("d"))).alias("empates"))
-    both = pairs.join(F.broadcast(ties))
+    run = ordered.running_sums(sides, [*by, "k", "grupo"], "tempo", {"a0": "n0", "a1": "n1"}, descending=True, points=points)
+    pairs = run.groupBy(*by).agg(F.sum(F.col("d1") * (F.col("a0") - F.col("d0"))).alias("concordantes"),
+                                 F.sum(F.col("d0") * (F.col("a1") - F.col("d1"))).alias("discordantes"))
+    same = ordered.running_sums(cells.select(*by, "i", "tempo", "n", "d"), [*by, "i"], "tempo", {"a": "n"}, descending=True, points=points)
+    ties = same.groupBy(*by).agg(F.sum(F.col("d") * (F.col("a") - F.col("d"))).alias("empates"))
+    both = ordered.null_safe(pairs, ties, by) if by else pairs.join(F.broadcast(ties))
     total = F.col("concordantes") + F.col("discordantes") + F.col("empates")
     return both.withColumn("c_index", F.try_divide(F.col("concordantes") + F.col("empates") / 2, total))
