@@ -107,19 +107,19 @@ RESAMPLE = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
 
 
 def resample(df: DataFrame, time: str, value: str, freq: str, aggregate: Column,
-             moving: int | None = None, name: str = "valor") -> DataFrame:
-    """One row per period from first to last, with an aggregate and, on request,
+             moving: int | None = None, name: str = "valor", by: Sequence[str] = ()) -> DataFrame:
+    """One row per period from first to last, in each group of `by`, with an aggregate and, on request,
     the trailing mean of the last `moving` known periods in reach."""
-    unit = RESAMPLE[freq]
+    unit, by = RESAMPLE[freq], list(by)
     seen = (df.filter(F.col(time).isNotNull() & F.col(value).isNotNull())
-            .groupBy(F.to_date(F.date_trunc(unit, F.col(time))).alias("periodo"))
+            .groupBy(*by, F.to_date(F.date_trunc(unit, F.col(time))).alias("periodo"))
             .agg(aggregate.alias(name)))
     step = {"D": "1 DAY", "W": "7 DAY", "M": "1 MONTH", "Q": "3 MONTH", "Y": "1 YEAR"}[freq]
-    periods = (seen.agg(F.min("periodo").alias("a"), F.max("periodo").alias("z"))
-               .select(F.explode(F.sequence("a", "z", F.expr(f"INTERVAL {step}"))).alias("periodo")))
-    out = periods.join(seen, "periodo", "left")
+    periods = (seen.groupBy(*by).agg(F.min("periodo").alias("a"), F.max("periodo").alias("z"))
+               .select(*by, F.explode(F.sequence("a", "z", F.expr(f"INTERVAL {step}"))).alias("periodo")))
+    out = ordered.null_safe(periods, seen, [*by, "periodo"], "left") if by else periods.join(seen, "periodo", "left")
     if moving:
-        # one row per calendar period: days of history at most
-        frame = W.orderBy("periodo").rowsBetween(-(moving - 1), 0)
+        # one row per calendar period of a group: days of history at most
+        frame = W.partitionBy(*by).orderBy("periodo").rowsBetween(-(moving - 1), 0)
         out = out.withColumn("media_movel", F.avg(name).over(frame))
     return out

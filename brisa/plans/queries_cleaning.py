@@ -340,13 +340,17 @@ def clean_events_end_to_end(spark, sf):
     return clean_events(raw).select("ceg", "tempo_dias", "evento", "simulado")
 
 
-@query("TS9", """WITH d AS (SELECT ts::DATE AS periodo, sum(value) AS valor FROM events WHERE event_type = 'error' AND value > 20 GROUP BY 1),
-  g AS (SELECT unnest(generate_series(min(periodo)::TIMESTAMP, max(periodo)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS periodo FROM d)
-  SELECT CAST(periodo AS VARCHAR) AS periodo, round(valor, 4) AS valor, round(avg(valor) OVER (ORDER BY periodo ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS media_movel
-  FROM g LEFT JOIN d USING (periodo)""")
+@query("TS9", """WITH d AS (SELECT event_type, user_id % 50 AS grupo, ts::DATE AS periodo, sum(value) AS valor FROM events GROUP BY ALL),
+  g AS (SELECT event_type, grupo, unnest(generate_series(a, z, INTERVAL 1 DAY))::DATE AS periodo
+    FROM (SELECT event_type, grupo, min(periodo)::TIMESTAMP AS a, max(periodo)::TIMESTAMP AS z FROM d GROUP BY ALL))
+  SELECT event_type, grupo, CAST(periodo AS VARCHAR) AS periodo, round(valor, 4) AS valor,
+  round(avg(valor) OVER (PARTITION BY event_type, grupo ORDER BY periodo ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS media_movel
+  FROM g LEFT JOIN d USING (event_type, grupo, periodo)""")
 def resampled_daily(spark, sf):
-    e = table(spark, sf, "events").filter("event_type = 'error' and value > 20")
-    return rounded(text_time(grid.resample(e, "ts", "value", "D", F.sum("value"), 7), "periodo"), 4, "valor", "media_movel")
+    """All events, by type and group of users, on every day from the first to the last of the group."""
+    e = table(spark, sf, "events").withColumn("grupo", F.expr("user_id % 50"))
+    out = grid.resample(e, "ts", "value", "D", F.sum("value"), 7, by=["event_type", "grupo"])
+    return rounded(text_time(out, "periodo"), 4, "valor", "media_movel")
 
 
 @query("TS9", "SELECT CAST(date_trunc('quarter', o_orderdate)::DATE AS VARCHAR) AS periodo, round(quantile_cont(o_totalprice, 0.5), 4) AS valor FROM orders GROUP BY 1")

@@ -18,6 +18,10 @@ def km_sql(lat1, lon1, lat2, lon2):
     return KM.format(a=lat2, b=lat1, c=lon2, d=lon1)
 
 
+#: Keys that find no partner: all rows are read, every fifth key is another number.
+LOST = "CASE WHEN {0} % 5 = 0 THEN -{0} ELSE {0} END"
+
+
 # ---------------------------------------------------------------- checked join
 @query("JN1", """WITH a AS (SELECT CASE WHEN c_nationkey > 20 THEN NULL ELSE c_nationkey END AS chave, c_name AS nome, c_custkey FROM customer),
   b AS (SELECT CASE WHEN n_nationkey = 24 THEN NULL ELSE n_nationkey + 2 END AS chave, n_name AS nome, n_regionkey FROM nation)
@@ -30,13 +34,13 @@ def checked_outer_join(spark, sf):
     return J.safe_join(a, b, "chave", "outer", validate="many_to_one")
 
 
-@query("JN1", """WITH b AS (SELECT * FROM orders WHERE o_orderstatus <> 'P'), l AS (SELECT l_orderkey, count(*) AS a FROM lineitem GROUP BY 1)
+@query("JN1", """WITH b AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey FROM orders), l AS (SELECT l_orderkey, count(*) AS a FROM lineitem GROUP BY 1)
   SELECT sum(a)::BIGINT AS linhas_esquerda, sum(a - 1)::BIGINT AS repetidas_esquerda, sum(CASE WHEN o_orderkey IS NOT NULL THEN a END)::BIGINT AS com_par,
   sum(CASE WHEN o_orderkey IS NULL THEN a END)::BIGINT AS sem_par, sum(CASE WHEN o_orderkey IS NOT NULL THEN a END)::BIGINT AS linhas_internas,
   (SELECT count(*) FROM b) AS linhas_direita, 0::BIGINT AS repetidas_direita FROM l LEFT JOIN b ON l_orderkey = o_orderkey""")
 def join_match_report(spark, sf):
     li = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "k")
-    o = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").withColumnRenamed("o_orderkey", "k")
+    o = table(spark, sf, "orders").withColumn("o_orderkey", F.expr(LOST.format("o_orderkey"))).withColumnRenamed("o_orderkey", "k")
     return J.join_report(li, o, "k")
 
 
@@ -131,9 +135,9 @@ def generation_fact(spark, sf):
     return rounded(text_time(star.generation_fact(clean, units, ("BUILDING", "MACHINERY")), "timestamp_utc"), 4, "energia_mwh")
 
 
-@query("JN11 VA4", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= '2001-01-01')")
+@query("JN11 VA4", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT CASE WHEN o_custkey % 5 = 0 THEN -o_custkey ELSE o_custkey END FROM orders)")
 def orphan_rows(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderdate >= '2001-01-01'").select(F.col("o_custkey").alias("user_id"))
+    o = table(spark, sf, "orders").select(F.expr(LOST.format("o_custkey")).alias("user_id"))
     return validate.orphans(table(spark, sf, "events"), o, "user_id").select("event_id")
 
 
@@ -299,10 +303,10 @@ RULES = Table("linhas", ("l_orderkey", "l_linenumber"), tuple(
   UNION ALL SELECT 'linhas', 'nulos', 'l_returnflag', count(*) FILTER (WHERE l_returnflag = 'N') FROM lineitem
   UNION ALL SELECT 'linhas', 'faixa', 'l_quantity', count(*) FILTER (WHERE l_quantity < 2 OR l_quantity > 49) FROM lineitem
   UNION ALL SELECT 'linhas', 'faixa', 'l_discount', count(*) FILTER (WHERE l_discount > 0.08) FROM lineitem
-  UNION ALL SELECT 'linhas', 'orfao', 'l_orderkey', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')""")
+  UNION ALL SELECT 'linhas', 'orfao', 'l_orderkey', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT CASE WHEN o_orderkey % 5 = 0 THEN -o_orderkey ELSE o_orderkey END FROM orders)""")
 def rule_report(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("l_returnflag", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")))
-    tables = {"linhas": li, "pedidos": table(spark, sf, "orders").filter("o_orderstatus <> 'P'")}
+    tables = {"linhas": li, "pedidos": table(spark, sf, "orders").withColumn("o_orderkey", F.expr(LOST.format("o_orderkey")))}
     return validate.table_report("linhas", tables, RULES)
 
 

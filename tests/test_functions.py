@@ -188,6 +188,35 @@ def test_two_batches_of_one_month_keep_both(spark, tmp_path):
     assert sorted((str(r["ano_mes"]), r["valor"]) for r in got.collect()) == [("2022-05", 1), ("2022-05", 3), ("2022-06", 2)]
 
 
+def test_equal_rows_of_a_month_stay(spark, tmp_path):
+    root, rows = str(tmp_path / "months"), "quando timestamp, valor int"
+    day = datetime(2022, 5, 3)
+    df = spark.createDataFrame([(day, 1), (day, 1), (day, None), (day, 2)], rows)
+    for _ in range(2):
+        snapshots.add_to_months(df, root, "quando")
+    snapshots.add_to_months(spark.createDataFrame([(day, 2), (day, 1)], rows), root, "quando")
+    assert sorted(str(r["valor"]) for r in snapshots.read_months(spark, root).collect()) == ["1", "1", "2", "None"]
+
+
+def test_batches_are_added_exactly_once(spark, tmp_path):
+    root, rows = str(tmp_path / "batches"), "id int, quando timestamp, valor int"
+    may, june = datetime(2022, 5, 3), datetime(2022, 6, 1)
+    batches = [[(1, may, 1), (1, may, 1), (2, june, 5)], [(1, may, 7), (3, may, 2)], [(2, june, 6)]]
+    add = lambda k: snapshots.append_batch(spark.createDataFrame(batches[k], rows), root, "quando", k)
+    got = lambda key=None: sorted((r["id"], r["ano_mes"], r["valor"]) for r in snapshots.read_batches(spark, root, key).collect())
+    for k in (0, 1, 1, 0):
+        add(k)
+    first = [(1, "2022-05", 1), (1, "2022-05", 1), (1, "2022-05", 7), (2, "2022-06", 5), (3, "2022-05", 2)]
+    assert got() == first and got(["id"]) == [(1, "2022-05", 7), (2, "2022-06", 5), (3, "2022-05", 2)]
+    before = sorted(str(p) for p in (tmp_path / "batches" / "ano_mes=2022-05").rglob("*.parquet"))
+    snapshots.compact_months(spark, root, ["2022-05", "2022-06"])
+    add(1)
+    add(2)
+    assert got() == sorted([*first, (2, "2022-06", 6)]) and set(before) <= {str(p) for p in (tmp_path / "batches" / "ano_mes=2022-05").rglob("*.parquet")}
+    snapshots.compact_months(spark, root, ["2022-05", "2022-06"])
+    assert got() == sorted([*first, (2, "2022-06", 6)])
+
+
 def test_delimited_files_are_united_by_their_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,nome,saldo\n1,rita,7\n")
     (tmp_path / "b.csv").write_text("saldo,id,extra,nome\n9,2,sim,caio\n")
