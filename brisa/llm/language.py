@@ -27,7 +27,7 @@ UNSEEN = 0.05
 #: Letters a language needs in a script, as a share of its letters, to count as written in it.
 SCRIPT_SHARE = 0.01
 #: Code points of texts that a Python worker looks at in one go (one text at least).
-BLOCK = 500_000
+BLOCK = 1_500_000
 UNKNOWN = "und"
 #: Ranges of code points that belong to one script.
 SCRIPTS = [(0x41, 0x24F), (0x370, 0x3FF), (0x400, 0x52F), (0x530, 0x58F), (0x590, 0x5FF), (0x600, 0x6FF), (0x700, 0x74F), (0x750, 0x77F), (0x900, 0x97F), (0x980, 0x9FF),

@@ -39,7 +39,7 @@ FIRST, MORE, CHUNK = 3, 32, 250_000
 #: Sets still open after a round that are broadcast; with more they are joined.
 OPEN = 1_000_000
 #: Places of lines a task remembers in order not to send a set twice.
-SEEN = 300_000
+SEEN = 100_000
 #: Sets of more lines than these are looked up apart from the others.
 COMMON = 10_000
 ENTRY = np.dtype([("word", "<u4"), ("n", "<u4"), ("place", "<u4"), ("line", "<i4"), ("set", "<i8"), ("low", "<u8"), ("high", "<u8"), ("doc", "<i8")])

@@ -156,7 +156,7 @@ def signature_rows(docs: DataFrame, words: int, plan: list[Band]) -> DataFrame:
                     keys.append(signatures.of(s))
                     lo.append(np.full(len(keys[-1]), described_lo(s), np.int64))
                     held += len(keys[-1])
-                if held > 500_000:
+                if held > 200_000:
                     yield rows(keys, lo)
                     keys, lo, held = [], [], 0
             if keys:
