@@ -7,27 +7,18 @@ from __future__ import annotations
 
 import heapq
 import json
-from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-#: Fixed value: how the published pre-tokenizer cuts a text.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+from brisa.llm import pretokens
+
 #: Pre-tokens whose counts a Python worker remembers before it starts afresh.
 REMEMBERED = 400_000
 
 
-def byte_of_character() -> dict[str, int]:
-    """The published alphabet of byte-level BPE: printable bytes stand for themselves, the
-    others for the characters from 256 on, in order."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class Model:
     """Merge ranks, added strings and the proved whole tokens of a tokenizer file."""
 
@@ -38,7 +29,7 @@ class Model:
         if (model["type"], pre["type"], spec["normalizer"]) != ("BPE", "ByteLevel", None) \
                 or pre["add_prefix_space"] or model.get("ignore_merges"):
             raise ValueError(f"{path} is not a plain byte-level BPE file")
-        letters = byte_of_character()
+        letters = pretokens.byte_of_character()
         raw = lambda s: bytes(letters[c] for c in s)
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
@@ -97,9 +88,9 @@ class Model:
 class Counts(dict):
     """Tokens of each pre-token seen: the proved ones from the start, others as they come up."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, known):
         super().__init__(model.whole)
-        self.model = model
+        self.model, self.cut = model, pretokens.Cutter(known)
 
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED + len(self.model.whole):
@@ -109,14 +100,20 @@ class Counts(dict):
         return n
 
 
-@lru_cache(maxsize=4)
-def counts_of(path: str) -> Counts:
-    return Counts(Model(path))
+_counts: dict[str, Counts] = {}
+
+
+def counts_of(path: str, known=None) -> Counts:
+    """Counts by the tokenizer file `path`; `known` are its classes of characters, as `pretokens.agreed`
+    gives them."""
+    if path not in _counts:
+        _counts[path] = Counts(Model(path), known or pretokens.agreed(path))
+    return _counts[path]
 
 
 def count_text(counts: Counts, text: str) -> int:
     """Tokens of one text; added strings inside it are one token each, as the library has it."""
-    cut = regex.compile(PATTERN).findall
+    cut = counts.cut
     if counts.model.added is None or not counts.model.added.search(text):
         return sum(map(counts.__getitem__, cut(text)))
     parts = counts.model.added.split(text)
@@ -125,9 +122,11 @@ def count_text(counts: Counts, text: str) -> int:
 
 def token_count(text, path: str):
     """Column with the number of tokens of a text column; null counts as empty."""
+    known = pretokens.agreed(path)              # asked once, on the driver
+
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        counts = counts_of(path)
+        counts = counts_of(path, known)
         return pa.array((count_text(counts, t) for t in pc.fill_null(texts, "").to_pylist()), pa.int64())
 
     return count(text)
