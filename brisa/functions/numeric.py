@@ -35,8 +35,10 @@ def linear_score(terms: Mapping[str, tuple[float, float]]) -> Column:
 
 def bin_of(c: Column, edges: Sequence[float], labels: Sequence | None = None,
            include_lowest: bool = True) -> Column:
-    """Right-closed bin of a value: number from 1, or the label; outside gives null."""
+    """Right-closed bin of a value: number from 1, or the label; outside, or without edges, null."""
     names = list(labels) if labels is not None else list(range(1, len(edges)))
+    if len(edges) < 2:
+        return F.lit(None).cast("int" if labels is None else "string")
     out = None
     for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
         low = (c >= F.lit(lo)) if i == 0 and include_lowest else (c > F.lit(lo))

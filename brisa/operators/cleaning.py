@@ -154,33 +154,36 @@ def group_mean_fill(df: DataFrame, column: str, groups: Sequence[str], marker: s
 # -------------------------------------------------------------------- outliers
 def outlier_limits(df: DataFrame, columns: Sequence[str], method: str = "iqr", *, factor: float = 1.5,
                    z: float = 3.0, quantiles: tuple[float, float] = (0.01, 0.99)) -> dict:
-    """{column: (low, high)} from exact quartiles, deviation or quantiles."""
+    """{column: (low, high)} from exact quartiles, deviation or quantiles; (None, None) where they have no value."""
     if method == "zscore":
         row = df.agg(*[e for c in columns for e in (F.avg(c).alias(f"m_{c}"),
                                                     F.stddev_samp(c).alias(f"s_{c}"))]).first()
-        return {c: (row[f"m_{c}"] - z * row[f"s_{c}"], row[f"m_{c}"] + z * row[f"s_{c}"]) for c in columns}
+        return {c: (None, None) if row[f"s_{c}"] is None else
+                (row[f"m_{c}"] - z * row[f"s_{c}"], row[f"m_{c}"] + z * row[f"s_{c}"]) for c in columns}
     probs = {"iqr": (0.25, 0.75), "quantil": quantiles}[method]
     found = ordered.quantile_values(df, columns, probs)
     out = {}
     for c in columns:
         lo, hi = (found[c][float(p)] for p in probs)
-        reach = factor * (hi - lo) if method == "iqr" else 0.0
-        out[c] = (lo - reach, hi + reach)
+        reach = factor * (hi - lo) if method == "iqr" and lo is not None else 0.0
+        out[c] = (None, None) if lo is None else (lo - reach, hi + reach)
     return out
 
 
 def treat_outliers(df: DataFrame, columns: Sequence[str] | None = None, method: str = "iqr",
                    action: str = "remover", **options) -> DataFrame:
-    """'remover' drops rows, 'limitar' clips, 'marcar' adds `_outlier`; nulls are kept."""
+    """'remover' drops rows, 'limitar' clips, 'marcar' adds `_outlier`; nulls are kept, and a column
+    without limits (no value, or one value and a deviation) has no outlier."""
     columns = list(columns or numeric_columns(df))
     limits = outlier_limits(df, columns, method, **options)
     if action == "limitar":
         return df.withColumns({
             c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c).cast("double"), F.lit(lo)), F.lit(hi)))
-            for c, (lo, hi) in limits.items()})
+            for c, (lo, hi) in limits.items() if lo is not None})
     outside = F.lit(False)
     for c, (lo, hi) in limits.items():
-        outside = outside | F.coalesce((F.col(c) < lo) | (F.col(c) > hi), F.lit(False))
+        if lo is not None:
+            outside = outside | F.coalesce((F.col(c) < lo) | (F.col(c) > hi), F.lit(False))
     return df.withColumn("_outlier", outside) if action == "marcar" else df.filter(~outside)
 
 
@@ -252,8 +255,8 @@ class Scale:
     def expression(self, column: str) -> Column:
         c = F.col(column).cast("double")
         if self.method in ("log", "log1p"):
-            return F.log1p(F.greatest(c, F.lit(0.0))) if column in self.log1p else F.ln(c)
-        return (c - F.lit(self.centre[column])) / F.lit(self.width[column])
+            return F.when(c.isNotNull(), F.log1p(F.greatest(c, F.lit(0.0)))) if column in self.log1p else F.ln(c)
+        return (c - F.lit(self.centre[column]).cast("double")) / F.lit(self.width[column])
 
     def apply(self, df: DataFrame) -> DataFrame:
         columns = self.centre if self.centre else self.log1p
@@ -261,7 +264,7 @@ class Scale:
 
 
 def fit_scale(df: DataFrame, columns: Sequence[str], method: str = "standard") -> Scale:
-    """Parameters of 'standard' (population deviation), 'minmax', 'robust', 'log', 'log1p'."""
+    """Parameters of 'standard' (population deviation), 'minmax', 'robust', 'log', 'log1p'; a column without values stays null."""
     columns = list(columns)
     if method == "log1p":
         return Scale(method, dict.fromkeys(columns, 0.0), dict.fromkeys(columns, 1.0), frozenset(columns))
@@ -270,29 +273,30 @@ def fit_scale(df: DataFrame, columns: Sequence[str], method: str = "standard") -
         F.min(c).cast("double").alias(f"lo_{c}"), F.max(c).cast("double").alias(f"hi_{c}"))]).first()
     if method == "log":
         return Scale(method, dict.fromkeys(columns, 0.0), dict.fromkeys(columns, 1.0),
-                     frozenset(c for c in columns if row[f"lo_{c}"] <= 0))
+                     frozenset(c for c in columns if row[f"lo_{c}"] is not None and row[f"lo_{c}"] <= 0))
     if method == "standard":
         centre, width = {c: row[f"m_{c}"] for c in columns}, {c: row[f"s_{c}"] for c in columns}
     elif method == "minmax":
         centre = {c: row[f"lo_{c}"] for c in columns}
-        width = {c: row[f"hi_{c}"] - row[f"lo_{c}"] for c in columns}
+        width = {c: None if centre[c] is None else row[f"hi_{c}"] - row[f"lo_{c}"] for c in columns}
     elif method == "robust":
         q = ordered.quantile_values(df, columns, [0.25, 0.5, 0.75])
         centre = {c: q[c][0.5] for c in columns}
-        width = {c: q[c][0.75] - q[c][0.25] for c in columns}
+        width = {c: None if centre[c] is None else q[c][0.75] - q[c][0.25] for c in columns}
     else:
         raise ValueError(f"unknown scale {method}")
     return Scale(method, centre, {c: w or 1.0 for c, w in width.items()})
 
 
 def bin_edges(df: DataFrame, column: str, method: str = "quantil", n: int = 4) -> list[float]:
-    """Edges of bins with equal counts (repeated edges merged) or equal width."""
+    """Edges of bins with equal counts (repeated edges merged) or equal width; none without values."""
     if method == "quantil":
         probs = [i / n for i in range(n + 1)]
         found = ordered.quantile_values(df, [column], probs)[column]
-        return sorted(set(found.values()))
-    row = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
-    lo, hi = row
+        return sorted(set(found.values()) - {None})
+    lo, hi = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
+    if lo is None:
+        return []
     edges = [lo + (hi - lo) * i / n for i in range(n + 1)]
     edges[0] -= (hi - lo) * 0.001
     return edges

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from brisa.session import cut
+from brisa.session import cut, table_in_shared_folder
 
 MAX_BUCKETS = 4096
 INLINE_POINTS = 64
@@ -108,23 +108,36 @@ def running_sums(
     return joined.select(*df.columns, *[F.expr(f"`__l_{name}` + `__o_{name}` AS `{name}`") for name in sums])
 
 
-def unpivot(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
-            points: dict[str, list[float]] | None = None, weight: str | None = None) -> DataFrame:
-    """Long form (by, coluna, valor[, faixa][, peso]) of numeric columns, nulls left out."""
-    cells = []
-    if points is not None:
-        for c in columns:
-            df = add_bucket(df, c, points[c], f"__b_{c}")
-    for c in columns:
-        parts = [F.lit(c).alias("coluna"), F.col(c).cast("double").alias("valor")]
-        if points is not None:
-            parts.append(F.col(f"__b_{c}").alias("faixa"))
-        cells.append(F.struct(*parts))
+def unpivot(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Long form (by[, peso], coluna, valor) of numeric columns, nulls left out."""
+    cells = [F.struct(F.lit(c).alias("coluna"), F.col(c).cast("double").alias("valor")) for c in columns]
     keep = [*by, *([F.col(weight).alias("peso")] if weight else [])]
     long = df.select(*keep, F.explode(F.array(*cells)).alias("__c"))
     return long.select(*by, *(["peso"] if weight else []), "__c.*").filter(F.col("valor").isNotNull())
 
 
+def ordered_key(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Add a long that sorts like the doubles of `column`: exponent and mantissa as in their bits,
+    with the sign of the value. Both zeros are 0; NaN is above infinity, as in Spark's own order."""
+    size = F.abs(column)
+    # log2 may be off by one beside a power of two, which the scaled value shows; that of 0 is null
+    guess = F.coalesce(F.floor(F.log2(size)), F.lit(-1022))
+    step = df.withColumn("__e", F.greatest(F.least(guess, F.lit(1023)), F.lit(-1022)))
+    step = step.withColumn("__m", size * F.pow(F.lit(2.0), -F.col("__e")))
+    low = (F.col("__m") < 1) & (F.col("__e") > -1022)
+    exponent = F.col("__e") + F.when(F.col("__m") >= 2, 1).when(low, -1).otherwise(0)
+    mantissa = F.col("__m") * F.when(F.col("__m") >= 2, 0.5).when(low, 2.0).otherwise(1.0)
+    bits = (exponent + 1022) * F.lit(2 ** 52) + (mantissa * F.lit(2.0 ** 52)).cast("long")
+    key = (F.when(F.isnan(column), 0x7FF8 << 48).when(size == float("inf"), F.signum(column).cast("long") * (0x7FF0 << 48))
+           .otherwise(F.when(F.col(column) < 0, -bits).otherwise(bits)))
+    return step.withColumn(name, key).drop("__e", "__m")
+
+
+#: Bits of the key that are still open after each scan, and the rows up to which all of them are settled at once.
+OPEN_BITS = (48, 32, 16, 0)
+SETTLED_AT_ONCE = 1_000_000
+
+
 def quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -134,45 +147,53 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: (by, coluna, p, valor, n).
 
-    First a count per range finds the ranges that hold the wanted positions;
-    only the rows of those ranges are then shuffled and ranked.
+    Radix selection on the ordered keys of the values, all columns and positions together: each scan
+    counts by 16 more bits, in cells that hold a wanted position, so that only counts are shuffled
+    and four scans do at most. It ends sooner where each wanted cell has a single value; cells with
+    few rows are counted by value. Columns and groups without values have no row.
     """
     by = list(by)
     group = [*by, "coluna"]
-    points = cut_points(df, columns)
-    long = unpivot(df, columns, by, points, weight)
-    if not weight:
-        long = long.withColumn("peso", F.lit(1))
-    cells = long.groupBy(*group, "faixa").agg(F.sum("peso").cast("long").alias("n_faixa"))
-    upto = W.partitionBy(*group).orderBy("faixa").rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy(*group)
-    cells = (cells
-             .withColumn("ate", F.sum("n_faixa").over(upto))
-             .withColumn("n", F.sum("n_faixa").over(whole))
-             .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-             .withColumn("pos", (F.col("n") - 1) * F.col("p"))
-             .withColumn("lado", F.explode(F.array(F.lit(0), F.lit(1))))
-             .withColumn("k", F.least(F.floor("pos") + F.col("lado"), F.col("n") - 1))
-             .filter((F.col("k") < F.col("ate")) & (F.col("k") >= F.col("ate") - F.col("n_faixa")))
-             .withColumn("k_local", F.col("k") - (F.col("ate") - F.col("n_faixa")))
-             .select(*group, "faixa", "n", "p", "lado", "k_local",
-                     (F.col("pos") - F.floor("pos")).alias("frac")))
-    wanted = cells.select(*group, "faixa").distinct()
-    inside = (null_safe(long, wanted.withColumn("__hit", F.lit(1)), [*group, "faixa"])
-              .groupBy(*group, "faixa", "valor").agg(F.sum("peso").cast("long").alias("n_valor"))
-              .filter("n_valor > 0")
-              .withColumn("__ate", F.sum("n_valor").over(
-                  W.partitionBy(*group, "faixa").orderBy("valor")
-                  .rowsBetween(W.unboundedPreceding, W.currentRow))))
-    hits = (null_safe(inside, cells, [*group, "faixa"])
-            .filter((F.col("k_local") < F.col("__ate"))
-                    & (F.col("k_local") >= F.col("__ate") - F.col("n_valor"))))
-    ends = hits.groupBy(*group, "p").agg(
-        F.max(F.when(F.col("lado") == 0, F.col("valor"))).alias("baixo"),
-        F.max(F.when(F.col("lado") == 1, F.col("valor"))).alias("alto"),
+    long = unpivot(df, columns, by, weight=weight)
+    long = ordered_key(long.filter("peso > 0") if weight else long.withColumn("peso", F.lit(1)), "valor", "__key")
+    wanted, last = None, 64
+    while wanted is None or last:
+        if wanted is None:
+            shift, mother, rows = OPEN_BITS[0], [], long
+        else:
+            inside, is_open = wanted.agg(F.sum("n_cela"), F.max(F.col("menor") < F.col("maior"))).first()
+            if not is_open:
+                break
+            shift, mother = 0 if inside <= SETTLED_AT_ONCE else OPEN_BITS[OPEN_BITS.index(last) + 1], ["mae"]
+            rows = null_safe(long.withColumn("mae", F.shiftright("__key", last)),
+                             wanted.select(*group, F.col("cela").alias("mae")).distinct(), [*group, "mae"])
+        key = [*group, *mother]
+        upto = W.partitionBy(*key).orderBy("cela").rowsBetween(W.unboundedPreceding, W.currentRow)
+        cells = (rows.groupBy(*key, F.shiftright("__key", shift).alias("cela"))
+                 .agg(F.sum("peso").cast("long").alias("n_cela"), F.min("valor").alias("menor"), F.max("valor").alias("maior"))
+                 .withColumn("ate", F.sum("n_cela").over(upto)))
+        if wanted is None:
+            found = (cells.withColumn("n", F.sum("n_cela").over(W.partitionBy(*group)))
+                     .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+                     .withColumn("pos", (F.col("n") - 1) * F.col("p"))
+                     .withColumn("lado", F.explode(F.array(F.lit(0), F.lit(1))))
+                     .withColumn("k", F.least(F.floor("pos") + F.col("lado"), F.col("n") - 1))
+                     .withColumn("frac", F.col("pos") - F.floor("pos")))
+        else:
+            places = wanted.select(*group, F.col("cela").alias("mae"), "n", "p", "lado", "k", "frac")
+            found = null_safe(cells, places, key)
+        before = F.col("ate") - F.col("n_cela")
+        wanted = table_in_shared_folder(
+            found.filter((F.col("k") < F.col("ate")) & (F.col("k") >= before)).select(
+                *group, "cela", "n_cela", "menor", "maior", "n", "p", "lado", (F.col("k") - before).alias("k"), "frac"), "quantis")
+        last = shift
+    ends = wanted.groupBy(*group, "p").agg(
+        F.max(F.when(F.col("lado") == 0, F.col("menor"))).alias("baixo"),
+        F.max(F.when(F.col("lado") == 1, F.col("menor"))).alias("alto"),
         F.max("frac").alias("frac"), F.max("n").alias("n"))
-    return ends.select(*group, "p", (F.col("baixo") + (F.col("alto") - F.col("baixo"))
-                                     * F.col("frac")).alias("valor"), "n")
+    between = F.when(F.col("baixo") == F.col("alto"), F.col("baixo")).otherwise(
+        F.col("baixo") + (F.col("alto") - F.col("baixo")) * F.col("frac"))
+    return ends.select(*group, "p", between.alias("valor"), "n")
 
 
 def quantiles_wide(df: DataFrame, column: str, probs: dict[str, float],
@@ -185,8 +206,8 @@ def quantiles_wide(df: DataFrame, column: str, probs: dict[str, float],
 
 
 def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict:
-    """{column: {p: value}} on the driver: len(columns) x len(probs) numbers."""
-    out: dict = {c: {} for c in columns}
+    """{column: {p: value}} on the driver: len(columns) x len(probs) numbers, None where a column has no value."""
+    out: dict = {c: {float(p): None for p in probs} for c in columns}
     for r in quantiles(df, columns, probs).collect():
         out[r["coluna"]][r["p"]] = r["valor"]
     return out
@@ -222,34 +243,20 @@ def attach_by_value(df: DataFrame, table: DataFrame, key: str, rows: str, total:
 def row_numbers(df: DataFrame, order: Sequence[str], name: str, start: int = 1) -> DataFrame:
     """Number the rows of a whole table in an order that has no ties.
 
-    Range limits come from a sample chosen by the hash of the key, so that the
-    same rows always give the same ranges.
+    Rows are dealt by ranges of the order, sorted and written once with their partition and their
+    place in it; what lies before a partition comes from the row counts, one number per partition.
     """
-    n = bucket_count(df)
-    total = df.count()
-    step = max(total // (n * 20), 1)
-    sample = (df.select(*order).filter(F.pmod(F.xxhash64(*order), F.lit(step)) == 0)
-              .orderBy(*order).collect())
-    every = max(len(sample) // n, 1)
-    limits = sample[every::every][:MAX_BUCKETS]
-    types = {f.name: f.dataType for f in df.select(*order).schema.fields}
-    key = F.struct(*[F.col(c) for c in order])
-
-    def node(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        limit = F.struct(*[F.lit(limits[mid][c]).cast(types[c]).alias(c) for c in order])
-        return F.when(key <= limit, node(lo, mid)).otherwise(node(mid + 1, hi))
-
-    base = df.withColumn("__b", node(0, len(limits)))
-    counts = base.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    return (base.withColumn("__rn", F.row_number().over(W.partitionBy("__b").orderBy(*order)))
-            .join(F.broadcast(offsets), "__b")
-            .withColumn(name, F.col("__rn") + F.col("__o") + F.lit(start - 1))
-            .drop("__b", "__rn", "__o"))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    base = (table_in_shared_folder(ranged, "numeros")
+            .withColumn("__b", F.shiftright("__id", 33)).withColumn("__place", F.col("__id").bitwiseAND(F.lit(2 ** 33 - 1))))
+    sizes = sorted(tuple(r) for r in base.groupBy("__b").agg(F.count(F.lit(1))).collect())   # at most one per shuffle partition
+    rows, before = [], start
+    for b, n in sizes:
+        rows.append((b, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(rows, "__b long, __o long")
+    return (base.join(F.broadcast(offsets), "__b").withColumn(name, F.col("__place") + F.col("__o"))
+            .select(*df.columns, name))
 
 
 # ------------------------------------------------------------------ time chunks

@@ -67,14 +67,17 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
                     percentiles: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """Count, mean, deviation, extremes, exact percentiles, skew, kurtosis, CV, nulls."""
+    """Count, mean, deviation, extremes, exact percentiles, skew, kurtosis, CV, nulls. A column without
+    values has a row with a count of 0."""
     columns = list(columns or numeric_columns(df))
     shape = corrected_shape(df, columns)
     total = df.agg(F.count(F.lit(1)).alias("__n"))
     ends = ordered.unpivot(df, columns).groupBy("coluna").agg(F.min("valor").alias("min"), F.max("valor").alias("max"))
     q = ordered.quantiles(df, columns, percentiles).groupBy("coluna").agg(*[
         F.max(F.when(F.col("p") == float(p), F.col("valor"))).alias(f"p{round(100 * p):02d}") for p in percentiles])
-    out = shape.join(ends, "coluna").join(q, "coluna").join(F.broadcast(total))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "coluna string")
+    out = (F.broadcast(names).join(shape, "coluna", "left").join(ends, "coluna", "left").join(q, "coluna", "left")
+           .join(F.broadcast(total)).withColumn("n", F.coalesce("n", F.lit(0))))
     return out.withColumns({"cv": F.try_divide("desvio", "media"), "nulos": F.col("__n") - F.col("n"),
                             "pct_nulos": 100.0 * (F.col("__n") - F.col("n")) / F.col("__n")}).drop("__n")
 
@@ -89,15 +92,16 @@ def null_shares(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
-    """(faixa, inicio, fim, n) of equal-width bins with the mean and median of the column."""
+    """(faixa, inicio, fim, n) of equal-width bins with the mean and median of the column; no bin without values."""
     lo, hi, mean = df.agg(F.min(column).cast("double"), F.max(column).cast("double"), F.avg(column)).first()
     median = ordered.quantile_values(df, [column], [0.5])[column].get(0.5)
-    width = (hi - lo) / bins or 1.0
-    place = F.least(F.floor((F.col(column).cast("double") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("long")
+    width = (hi - lo) / bins or 1.0 if lo is not None else None
+    start, step = F.lit(lo).cast("double"), F.lit(width).cast("double")
+    place = F.least(F.floor((F.col(column).cast("double") - start) / step), F.lit(bins - 1)).cast("long")
     counts = df.filter(F.col(column).isNotNull()).groupBy(place.alias("faixa")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("faixa", (F.lit(lo) + F.col("faixa") * F.lit(width)).alias("inicio"),
-                         (F.lit(lo) + (F.col("faixa") + 1) * F.lit(width)).alias("fim"), "n",
-                         F.lit(mean).alias("media"), F.lit(median).alias("mediana"))
+    return counts.select("faixa", (start + F.col("faixa") * step).alias("inicio"),
+                         (start + (F.col("faixa") + 1) * step).alias("fim"), "n",
+                         F.lit(mean).cast("double").alias("media"), F.lit(median).cast("double").alias("mediana"))
 
 
 def box_table(df: DataFrame, group: str, column: str, n: int = 10) -> DataFrame:
@@ -128,8 +132,10 @@ def column_profile(df: DataFrame, column: str, top: int = 10, rare: float = 0.01
     out = {"coluna": column, "n": base["n"], "nulos": base["nulos"]}
     if is_numeric(df, column):
         s = numeric_summary(df, [column], (0.25, 0.5, 0.75)).first()
-        reach = 1.5 * (s["p75"] - s["p25"])
-        outside = df.agg(F.count_if((F.col(column) < s["p25"] - reach) | (F.col(column) > s["p75"] + reach))).first()[0]
+        outside = 0
+        if s["n"]:
+            reach = 1.5 * (s["p75"] - s["p25"])
+            outside = df.agg(F.count_if((F.col(column) < s["p25"] - reach) | (F.col(column) > s["p75"] + reach))).first()[0]
         return out | {"tipo": "numerica", "media": s["media"], "mediana": s["p50"], "desvio": s["desvio"],
                       "min": s["min"], "max": s["max"], "assimetria": s["assimetria"], "outliers_iqr": outside}
     counts = value_counts(df, [column]).cache()

@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from brisa.operators import cleaning, grid, ordered
+from brisa.functions import numeric
+from brisa.operators import cleaning, grid, ordered, profile
 
 T0 = datetime(2026, 7, 1)
 
@@ -105,3 +106,55 @@ def test_many_points_use_the_same_ranges(spark):
     a = ordered.add_bucket(df, "v", points, "b").agg(F.sum("b"), F.max("b")).first()
     b = df.withColumn("b", ordered.bucket_of("v", points)).agg(F.sum("b"), F.max("b")).first()
     assert tuple(a) == tuple(b)
+
+
+def test_ordered_keys_sort_like_doubles(spark):
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.standard_normal(2000) * 10.0 ** rng.integers(-300, 300, 2000),
+                             [5e-324, -5e-324, 2.2250738585072014e-308, 1e-310, 1.7976931348623157e308, -1.7976931348623157e308,
+                              float("inf"), float("-inf"), 0.0, -0.0, *[2.0 ** e for e in range(-1074, 1024, 7)],
+                              *[np.nextafter(2.0 ** e, 0) for e in range(-1021, 1024, 7)]]])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(float("nan"),)], "v double")
+    rows = ordered.ordered_key(df, "v", "k").collect()
+    bits = np.abs(values).view(np.int64)
+    for r, v, b in zip(rows, values, bits):
+        assert r["k"] == (-int(b) if v < 0 else int(b))
+    assert rows[-1]["k"] > max(r["k"] for r in rows[:-1])
+
+
+def test_quantiles_of_close_far_and_missing_values(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"near": 1e9 + rng.random(3000) * 1e-6, "far": rng.standard_normal(3000) * 10.0 ** rng.integers(-200, 200, 3000)})
+    df = spark.createDataFrame(pdf).selectExpr("*", "cast(null as double) as none", "cast(1 as double) as one")
+    probs = [0.0, 0.25, 0.5, 0.999, 1.0]
+    for at_once in (10 ** 6, 0):                    # by value after the first scan, or 16 bits at a time to the end
+        monkeypatch.setattr(ordered, "SETTLED_AT_ONCE", at_once)
+        got = ordered.quantile_values(df, ["near", "far", "none", "one"], probs)
+        for c in ("near", "far"):
+            np.testing.assert_allclose([got[c][p] for p in probs], pdf[c].quantile(probs), rtol=1e-14)
+        assert set(got["none"].values()) == {None} and set(got["one"].values()) == {1.0}
+    assert ordered.quantile_values(df.filter("false"), ["near"], [0.5]) == {"near": {0.5: None}}
+
+
+def test_row_numbers(spark):
+    df = spark.range(5000).selectExpr("pmod(hash(id), 97) as a", "id", "map('x', id) as m")
+    got = ordered.row_numbers(df, ["a", "id"], "n", start=10).toPandas().sort_values("n")
+    assert got["n"].tolist() == list(range(10, 5010))
+    assert got[["a", "id"]].values.tolist() == sorted(got[["a", "id"]].values.tolist())
+    assert ordered.row_numbers(df.filter("false"), ["id"], "n").count() == 0
+
+
+def test_numeric_operators_without_values(spark):
+    df = spark.createDataFrame([("a", None, 1.0), ("b", None, None)], "k string, v double, w double")
+    assert profile.histogram(df, "v").count() == 0 and profile.histogram(df, "w").first()["n"] == 1
+    summary = {r["coluna"]: r for r in profile.numeric_summary(df, ["v", "w"]).collect()}
+    assert summary["v"]["n"] == 0 and summary["v"]["p50"] is None and summary["v"]["nulos"] == 2 and summary["w"]["p50"] == 1.0
+    for method in ("iqr", "zscore", "quantil"):
+        assert cleaning.treat_outliers(df, ["v", "w"], method).count() == 2
+        assert [r["w"] for r in cleaning.treat_outliers(df, ["v", "w"], method, "limitar").orderBy("k").collect()] == [1.0, None]
+    for method in ("standard", "minmax", "robust", "log", "log1p"):
+        assert {r["v"] for r in cleaning.fit_scale(df, ["v", "w"], method).apply(df).collect()} == {None}
+    for method in ("quantil", "largura"):
+        edges = cleaning.bin_edges(df, "v", method)
+        assert edges == [] and df.select(numeric.bin_of(F.col("v"), edges).alias("b")).first()["b"] is None
+    assert profile.column_profile(df, "v")["outliers_iqr"] == 0
