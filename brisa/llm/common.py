@@ -3,8 +3,9 @@ table to the shared folder, sides small enough to broadcast, connected component
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,36 @@ from brisa.session import shared_folder
 BROADCAST_ROWS = 1_000_000
 
 
+#: Bytes of the batches that go to Python workers, unless the session has a bound of its own: texts
+#: are long, and a batch is held by the JVM and by the worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the bound of batches in a session that has none."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # a function of glibc
+    if trim:
+        trim(0)
+
+
+def given_back(work: Callable) -> Callable:
+    """`work` on the batches of a task, after which what it held is given back."""
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

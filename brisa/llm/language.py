@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from brisa.llm.common import bounded_batches, given_back
+
 FEATURES = 1 << 16
 #: What a change of language costs, and by how much a language not written in the script of a word
 #: stays below all others.
@@ -212,7 +214,7 @@ def learn(docs: DataFrame, per_language: int = 4000, id_col: str = "doc_id", tex
                     hit = np.flatnonzero(all_)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit)), pa.array(hit.astype(np.int32)), pa.array(all_[hit].astype(np.int64))], ["lang", "slot", "n"])
 
-    sums = sample.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    sums = sample.mapInArrow(given_back(count), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros((FEATURES + len(SCRIPTS) + 1, len(languages)))
     n[sums["slot"].to_numpy(), np.searchsorted(np.array(languages, dtype=object), sums["lang"].to_numpy())] = sums["n"].to_numpy()
     slots, scripts = n[:FEATURES], n[FEATURES:]
@@ -223,6 +225,7 @@ def learn(docs: DataFrame, per_language: int = 4000, id_col: str = "doc_id", tex
 
 def language(text: str, model: Model, docs: DataFrame) -> Column:
     """Struct of lang_pred, score and spans for a text column of `docs`; null counts as empty."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)        # FEATURES x languages numbers
 
     @F.arrow_udf(RESULT)

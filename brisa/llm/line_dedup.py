@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from brisa.llm import wordhash
-from brisa.llm.common import small, staged
+from brisa.llm.common import bounded_batches, given_back, release, small, staged
 
 #: Slots of the word counts that give the order of rarity (a broadcast of as many bytes).
 SLOTS = 1 << 20
@@ -133,7 +133,7 @@ def lines_and_counts(docs: DataFrame, least_words: int, runs: bool) -> tuple[Dat
         return pa.table([table.column("line").slice(0, 1), pa.array([whole.tobytes()], pa.binary())], names=["line", "counts"])
 
     schema = "doc_id long, body long, line int, set long, counts binary"
-    both = staged(docs.select("doc_id", "text", "body").mapInArrow(work, schema), "lines")
+    both = staged(docs.select("doc_id", "text", "body").mapInArrow(given_back(work), schema), "lines")
     counts = both.filter("counts is not null").select("line", "set", "counts")
     counts = counts.groupBy("line", "set").applyInArrow(summed, "line int, counts binary").groupBy("line").applyInArrow(summed, "line int, counts binary").toArrow()
     out = np.zeros(SLOTS, np.int64)
@@ -201,7 +201,7 @@ def entry_rows(docs: DataFrame, counts: np.ndarray, parts: int, least_words: int
         if len(part):
             heads = np.concatenate([[0], cuts])
             yield pa.RecordBatch.from_arrays([pa.array(part[heads].astype(np.int32)), pa.array([e.tobytes() for e in np.split(entry, cuts)], pa.binary())], ["part", "entries"])
-    return docs.select("doc_id", "text").mapInArrow(emit, "part int, entries binary")
+    return docs.select("doc_id", "text").mapInArrow(given_back(emit), "part int, entries binary")
 
 
 def plausible_pairs(entries: np.ndarray, num: int, den: int):
@@ -279,11 +279,13 @@ def candidates(rows: DataFrame, num: int, den: int, first: int, only=None) -> Da
                 size = 0
         settled()
         words = np.unique(entries["word"][among(entries["set"], cut)])
-        kept, n = entries[among(entries["word"], words)], len(later) + len(cut)
+        kept, n = entries[among(entries["word"], words)].tobytes(), len(later) + len(cut)
+        del entries
+        release()
         nothing = pa.nulls(1 if len(kept) else 0, pa.int64())
         return pa.table([pa.concat_arrays([pa.array(later), pa.array(cut), nothing]), pa.concat_arrays([pa.array(earlier), pa.nulls(len(cut), pa.int64()), nothing]),
                          pa.concat_arrays([pa.nulls(n, pa.int32()), table.column("part").combine_chunks().slice(0, len(nothing))]),
-                         pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([kept.tobytes()] * len(nothing), pa.binary())])], names=["later", "earlier", "part", "entries"])
+                         pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([kept] * len(nothing), pa.binary())])], names=["later", "earlier", "part", "entries"])
     return rows.groupBy("part").applyInArrow(work, schema)
 
 
@@ -305,12 +307,13 @@ def matching(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, num: int, den
                 both = int(among(p, q).sum())
                 keep.append(den * both >= num * (len(p) + len(q) - both))
             yield batch.select(["later"]).filter(pa.array(keep, pa.bool_()))
-    return both.mapInArrow(check, "later long").distinct()
+    return both.mapInArrow(given_back(check), "later long").distinct()
 
 
 def repeated_lines(docs: DataFrame, num: int, den: int, least_words: int, runs: bool = False) -> DataFrame:
     """(doc_id, body, gone): numbers, from 0, of the lines to remove from each text; `docs` has
     doc_id, text and body, the hash of the text."""
+    bounded_batches(docs.sparkSession)
     docs = docs.filter("doc_id is not null and text is not null")
     lines, counts = lines_and_counts(docs, least_words, runs)
     firsts = staged(lines.groupBy("set").agg(F.min(F.struct("doc_id", "line", "body")).alias("f"), F.count("*").alias("copies"))

@@ -26,7 +26,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brisa.llm import wordhash
-from brisa.llm.common import components, groups, small, staged
+from brisa.llm.common import bounded_batches, components, given_back, groups, small, staged
 
 #: A chance meeting of two sets costs as much as so many signatures.
 MEETING = 30.0
@@ -142,7 +142,8 @@ def classes(docs: DataFrame, words: int) -> DataFrame:
                 pa.array([r[2] for r in rows], pa.int64()),
                 pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64)), SKETCH).cast(pa.list_(pa.int64()))],
                 ["doc_id", "n", "lo", "hi", "sketch"])
-    return staged(docs.mapInArrow(describe, CLASS), "sets")
+    bounded_batches(docs.sparkSession)
+    return staged(docs.mapInArrow(given_back(describe), CLASS), "sets")
 
 
 def signature_rows(docs: DataFrame, words: int, plan: list[Band]) -> DataFrame:
@@ -164,7 +165,7 @@ def signature_rows(docs: DataFrame, words: int, plan: list[Band]) -> DataFrame:
 
     def rows(keys, lo):
         return pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(lo))], ["key", "lo"])
-    return docs.mapInArrow(emit, "key long, lo long")
+    return docs.mapInArrow(given_back(emit), "key long, lo long")
 
 
 def described_lo(s: np.ndarray) -> int:
@@ -192,7 +193,7 @@ def linked(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) ->
                 common = int((large[np.minimum(at, len(large) - 1)] == small_).sum()) if len(small_) else 0
                 keep.append(common > 0 and den * common >= num * (len(p) + len(q) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return both.mapInArrow(check, "a long, b long").distinct()
+    return both.mapInArrow(given_back(check), "a long, b long").distinct()
 
 
 def plausible(n_a: Column, n_b: Column, sketch_a: Column, sketch_b: Column, num: int, den: int) -> Column:
@@ -304,7 +305,7 @@ def apart_pairs(here: DataFrame, num: int, den: int) -> DataFrame:
                     if len(pairs):
                         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(compare, "a long, b long").filter("a <> b")
+    return dealt.mapInArrow(given_back(compare), "a long, b long").filter("a <> b")
 
 
 def _plausible_pairs(candidates: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
