@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,24 +32,57 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
-def spearman_pair(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(var_1, var_2, r, n): correlation of average ranks.
+def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None,
+                   pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """(var_1, var_2, r, n): correlation of average ranks of every pair, over the rows that have both.
 
-    Equal pairs are counted once first; ranks come from sums over value ranges,
-    and values that hold many pairs get their rank by a broadcast.
+    Equal rows are counted once and numbered. All columns are ranked together in long form; a column
+    with nulls gives the others one more rank, among the rows where it has a value. Ranks meet again
+    by row and one aggregate sums all pairs, so jobs grow neither with columns nor with pairs.
     """
-    pairs = (df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-             .dropna().groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")))
-    pairs = ordered.cut(pairs)
-    total = pairs.count()
-    ranked = pairs
-    for c in ("a", "b"):
-        per = pairs.groupBy(c).agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("__rows"))
-        ranks = ordered.running_sums(per, [], c, {"__ate": "n"}).select(
-            c, "__rows", (F.col("__ate") - F.col("n") + (F.col("n") + 1) / 2).alias(f"r{c}"))
-        ranked = ordered.attach_by_value(ranked, ranks, c, "__rows", total).drop("__rows")
-    return weighted_correlation(ranked, "ra", "rb", "w").select(
-        F.lit(a).alias("var_1"), F.lit(b).alias("var_2"), "r", "n")
+    pairs = list(pairs if pairs is not None else combinations(columns or numeric_columns(df), 2))
+    schema = "var_1 string, var_2 string, r double, n long"
+    if not pairs:
+        return df.sparkSession.createDataFrame([], schema)
+    at = {c: i for i, c in enumerate(dict.fromkeys(c for pair in pairs for c in pair))}
+    values = [F.col(c).cast("double") for c in at]
+    cells = ordered.cut(df.select(*[F.when(~F.isnan(v), v).alias(f"v{i}") for i, v in enumerate(values)])
+                        .groupBy(*[f"v{i}" for i in at.values()]).agg(F.count(F.lit(1)).alias("w"))
+                        .withColumn("__id", F.monotonically_increasing_id()))
+    known = [F.col(f"v{i}").isNotNull() for i in at.values()]
+    sizes = cells.agg(F.count(F.lit(1)).alias("cells"), *[F.count(f"v{i}").alias(f"v{i}") for i in at.values()], *[
+        F.sum(F.when(known[at[a]] & known[at[b]], F.col("w"))).alias(f"n{k}") for k, (a, b) in enumerate(pairs)]).first()
+    # rank 0 is among all values of a column, rank i + 1 among those in rows where column i has one
+    among = {i: i + 1 if sizes[f"v{i}"] < sizes["cells"] else 0 for i in at.values()}
+    marks = [i for i in at.values() if among[i]]
+    long = (cells.select("__id", "w", *[known[i].alias(f"h{i + 1}") for i in marks], F.explode(F.array(*[
+        F.struct(F.lit(i).alias("coluna"), F.col(f"v{i}").alias("valor")) for i in at.values()])).alias("x"))
+        .select("__id", "w", *[f"h{i + 1}" for i in marks], "x.*").filter(F.col("valor").isNotNull()))
+    per = long.groupBy("coluna", "valor").agg(
+        F.count(F.lit(1)).alias("__rows"), F.sum("w").alias("n0"),
+        *[F.sum(F.when(F.col(f"h{i + 1}"), F.col("w")).otherwise(0)).alias(f"n{i + 1}") for i in marks])
+    kinds = [0, *[i + 1 for i in marks]]
+    ranks = ordered.cut(ordered.running_sums(per, ["coluna"], "valor", {f"__a{k}": f"n{k}" for k in kinds}).select(
+        "coluna", "valor", "__rows", *[(F.col(f"__a{k}") - (F.col(f"n{k}") - 1) / 2).alias(f"p{k}") for k in kinds]))
+    ranked = ordered.attach_by_value(long.select("__id", "w", "coluna", "valor"), ranks, ["coluna", "valor"], "__rows",
+                                     sum(sizes[f"v{i}"] for i in at.values()))
+    wanted = {(at[a], among[at[b]]) for a, b in pairs} | {(at[b], among[at[a]]) for a, b in pairs}
+    rows = ranked.groupBy("__id").agg(F.max("w").alias("w"), *[
+        F.max(F.when(F.col("coluna") == i, F.col(f"p{k}"))).alias(f"r{i}_{k}") for i, k in sorted(wanted)])
+    aggs, out = [], []
+    for k, (a, b) in enumerate(pairs):
+        n = sizes[f"n{k}"] or 0
+        x, y = (F.col(f"r{at[c]}_{among[at[d]]}") - (n + 1) / 2 for c, d in ((a, b), (b, a)))
+        both = x.isNotNull() & y.isNotNull()
+        aggs += [F.sum(F.when(both, F.col("w") * u * v)).alias(f"{name}{k}") for name, u, v in (("xy", x, y), ("xx", x, x), ("yy", y, y))]
+        out.append(F.struct(F.lit(a).alias("var_1"), F.lit(b).alias("var_2"), F.try_divide(
+            F.col(f"xy{k}"), F.sqrt(f"xx{k}") * F.sqrt(f"yy{k}")).alias("r"), F.lit(n).cast("long").alias("n")))
+    return rows.agg(*aggs).select(F.explode(F.array(*out)).alias("x")).select("x.*")
+
+
+def spearman_pair(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(var_1, var_2, r, n): correlation of average ranks of one pair."""
+    return spearman_pairs(df, pairs=[(a, b)])
 
 
 def weighted_correlation(df: DataFrame, a: str, b: str, w: str) -> DataFrame:
@@ -65,11 +99,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, method: st
     columns = list(columns or numeric_columns(df))
     if method == "pearson":
         return pearson_pairs(df, columns)
-    out = None
-    for a, b in combinations(columns, 2):
-        part = spearman_pair(df, a, b)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return spearman_pairs(df, columns)
 
 
 def strong_pairs(pairs: DataFrame, limit: float = 0.7) -> DataFrame:
@@ -300,35 +330,49 @@ def categorical_test(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> dict
 
 def eta_squared(df: DataFrame, value: str, group: str) -> DataFrame:
     """One row: share of the variance of `value` between groups."""
-    per = df.dropna(subset=[value, group]).groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_pop(value), F.lit(0.0)).alias("v"))
-    grand = per.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("__g"))
-    return per.join(F.broadcast(grand)).agg(
-        F.sum(F.col("n") * F.pow(F.col("m") - F.col("__g"), 2)).alias("b"), F.sum(F.col("n") * F.col("v")).alias("w")
-    ).select(F.try_divide(F.col("b"), F.col("b") + F.col("w")).alias("eta2"))
+    return eta_squared_pairs(df, [(value, group)]).select("eta2")
+
+
+def eta_squared_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(par, eta2): share of the variance of a value between groups for every (value, group), numbered from 0.
+    All pairs go through one aggregate in long form; groups are told apart by their text."""
+    cells = [F.struct(F.lit(i).alias("par"), F.col(v).cast("double").alias("v"), F.col(g).cast("string").alias("g"))
+             for i, (v, g) in enumerate(pairs)]
+    per = (df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").filter("v is not null and not isnan(v) and g is not null")
+           .groupBy("par", "g").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s")))
+    whole = per.groupBy("par").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("__g"))   # one row a pair
+    between = F.sum(F.col("n") * F.pow(F.col("m") - F.col("__g"), 2))
+    names = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("par"))
+    return names.join(per.join(F.broadcast(whole), "par").groupBy("par").agg(
+        F.try_divide(between, between + F.sum(F.col("n") * F.col("s"))).alias("eta2")), "par", "left")
 
 
 def rank_features(df: DataFrame, target: str, columns: Sequence[str] | None = None, max_categories: int = 50) -> DataFrame:
-    """(feature, tipo_relacao, medida, forca) of every column against a target."""
+    """(feature, tipo_relacao, medida, forca) of every column against a target, strongest first. Columns
+    with too many categories and those without a measure stay, with a null, at the end."""
     columns = [c for c in (columns or df.columns) if c != target]
     sizes = df.agg(*[F.count_distinct(c).alias(c) for c in [target, *columns]]).first()
     number = is_numeric(df, target) and sizes[target] > 20
-    out = None
-    for c in columns:
-        own = is_numeric(df, c)
-        if not own and sizes[c] > max_categories:
-            continue
-        if number and own:
-            part, kind, name = spearman_pair(df, c, target).select(F.abs("r").alias("forca")), "num x num", "|spearman|"
-        elif number:
-            part, kind, name = eta_squared(df, target, c).select(F.col("eta2").alias("forca")), "cat x num", "eta2"
-        elif own:
-            part, kind, name = eta_squared(df, c, target).select(F.col("eta2").alias("forca")), "num x cat", "eta2"
-        else:
-            part, kind, name = chi_square(df, c, target).select(F.col("cramers_v").alias("forca")), "cat x cat", "cramers_v"
-        row = part.select(F.lit(c).alias("feature"), F.lit(kind).alias("tipo_relacao"), F.lit(name).alias("medida"), "forca")
-        out = row if out is None else out.unionByName(row)
-    return out.filter(F.col("forca").isNotNull()).orderBy(F.desc("forca"), "feature")
+    spark, parts = df.sparkSession, []
+    many = [c for c in columns if not is_numeric(df, c) and sizes[c] > max_categories]
+    numbers = [c for c in columns if is_numeric(df, c)]
+    texts = [c for c in columns if c not in numbers and c not in many]
+    if number and numbers:
+        parts.append(spearman_pairs(df, pairs=[(c, target) for c in numbers]).select(
+            F.col("var_1").alias("feature"), F.lit("num x num").alias("tipo_relacao"), F.lit("|spearman|").alias("medida"),
+            F.abs("r").alias("forca")))
+    groups = [(target, c) for c in texts] if number else [(c, target) for c in numbers]
+    if groups:
+        name = F.element_at(F.array(*[F.lit(c) for c in (texts if number else numbers)]), F.col("par") + 1)
+        parts.append(eta_squared_pairs(df, groups).select(
+            name.alias("feature"), F.lit("cat x num" if number else "num x cat").alias("tipo_relacao"), F.lit("eta2").alias("medida"),
+            F.col("eta2").alias("forca")))
+    parts += [chi_square(df, c, target).select(F.lit(c).alias("feature"), F.lit("cat x cat").alias("tipo_relacao"),
+                                               F.lit("cramers_v").alias("medida"), F.col("cramers_v").alias("forca"))
+              for c in (texts if not number else [])]
+    parts.append(spark.createDataFrame([(c, "categorias demais", None, None) for c in many],
+                                       "feature string, tipo_relacao string, medida string, forca double"))
+    return reduce(DataFrame.unionByName, parts).orderBy(F.desc_nulls_last("forca"), "feature")
 
 
 # -------------------------------------------------------------------- intervals

@@ -155,10 +155,29 @@ def rare_categories(spark, sf):
     return P.rare_categories(table(spark, sf, "part"), "p_name", 0.014)
 
 
-@query("ST9")
+def _rank(c):
+    return f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0)::DOUBLE AS {c}"
+
+
+_RANKS = f"r AS (SELECT {', '.join(_rank(c) for c in [*COLS, 'l_linenumber'])} FROM lineitem)"
+
+
+@query("ST3", f"WITH {_RANKS} " + " UNION ALL ".join(f"SELECT '{a}' AS var_1, '{b}' AS var_2, round(corr({a}, {b}), 8) + 0.0 AS r, count(*) AS n FROM r"
+                                                     for i, a in enumerate(COLS) for b in COLS[i + 1:]))
+def spearman_matrix(spark, sf):
+    out = T.correlations(table(spark, sf, "lineitem"), COLS, "spearman")
+    return out.withColumn("r", F.round("r", 8) + 0.0)
+
+
+_ETA = "SELECT '{c}', 'cat x num', 'eta2', round(sum(n * pow(m - w, 2)) / (sum(n * pow(m - w, 2)) + sum(n * v)), 8) FROM (SELECT count(*) AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v FROM lineitem GROUP BY {c}), (SELECT avg(l_extendedprice) AS w FROM lineitem)"
+
+
+@query("ST9", f"WITH {_RANKS} " + " UNION ALL ".join(
+    [f"SELECT '{c}' AS feature, 'num x num' AS tipo_relacao, '|spearman|' AS medida, round(abs(corr({c}, l_extendedprice)), 8) AS forca FROM r" for c in (*COLS, "l_linenumber") if c != "l_extendedprice"]
+    + [_ETA.format(c=c) for c in ("l_returnflag", "l_linestatus")]))
 def feature_ranking(spark, sf):
     li = table(spark, sf, "lineitem").select(*COLS, "l_returnflag", "l_linestatus", "l_linenumber")
-    return T.rank_features(li, "l_extendedprice")
+    return rounded(T.rank_features(li, "l_extendedprice"), 8, "forca")
 
 
 @query("ST9", """WITH g AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS m, var_pop(l_quantity) AS v FROM lineitem GROUP BY 1), w AS (SELECT avg(l_quantity) AS w FROM lineitem)

@@ -31,6 +31,32 @@ def test_shape_and_correlation(frame):
     assert vif["u"] == pytest.approx(y.var() / res.var(), rel=1e-3)
 
 
+def test_rank_matrix_with_nulls_and_constants(spark):
+    rng = np.random.default_rng(5)
+    n = 600
+    pdf = pd.DataFrame({"a": rng.integers(0, 9, n).astype(float), "b": rng.normal(size=n).round(1), "c": rng.gamma(2, 3, n),
+                        "k": np.ones(n), "t": rng.choice(list("pqr"), n), "many": [f"x{i}" for i in range(n)]})
+    pdf["d"] = pdf["a"] + pdf["b"]
+    pdf.loc[rng.random(n) < 0.2, "b"] = np.nan
+    pdf.loc[rng.random(n) < 0.3, "c"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("z", F.lit(None).cast("double"))
+    got = {(r["var_1"], r["var_2"]): r for r in stats.correlations(df, ["a", "b", "c", "d", "k", "z"], "spearman").collect()}
+    want = pdf[["a", "b", "c", "d"]].corr(method="spearman")
+    assert len(got) == 15
+    for (x, y), r in got.items():
+        if x in want and y in want:
+            assert r["r"] == pytest.approx(want[x][y], abs=1e-12) and r["n"] == pdf[[x, y]].notna().all(axis=1).sum()
+        else:
+            assert r["r"] is None and r["n"] == (0 if y == "z" else pdf[x].notna().sum())
+    assert [tuple(r) for r in stats.correlations(df.limit(0), ["a", "b"], "spearman").collect()] == [("a", "b", None, 0)]
+    assert stats.correlations(df.select("t"), None, "spearman").count() == 0
+    ranked = {r["feature"]: r for r in stats.rank_features(df, "d").collect()}
+    assert ranked["many"]["tipo_relacao"] == "categorias demais" and ranked["k"]["forca"] is None
+    assert ranked["b"]["forca"] == pytest.approx(abs(want["b"]["d"]))
+    within = pdf.groupby("t")["d"].transform("mean")
+    assert ranked["t"]["forca"] == pytest.approx(((within - pdf["d"].mean()) ** 2).sum() / ((pdf["d"] - pdf["d"].mean()) ** 2).sum())
+
+
 def test_kruskal_chi_and_eta(frame):
     pdf, df = frame
     got = stats.compare_groups(df, "v", "g", "kruskal")
