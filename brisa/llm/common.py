@@ -38,9 +38,26 @@ def release() -> None:
         trim(0)
 
 
+_remembered: list[Callable[[], object]] = []
+
+
+def remembers(clear: Callable[[], object]) -> None:
+    """Name the function that drops what an operator remembers in a worker from task to task."""
+    if clear not in _remembered:
+        _remembered.append(clear)
+
+
+def forget() -> None:
+    """Drop what other operators remember in this worker, which takes up another operator now."""
+    for clear in _remembered:
+        clear()
+
+
 def given_back(work: Callable) -> Callable:
-    """`work` on the batches of a task, after which what it held is given back."""
+    """`work` on the batches of a task, before which other operators' memories are dropped and after
+    which what it held is given back."""
     def run(batches):
+        forget()
         try:
             yield from work(batches)
         finally:

@@ -9,6 +9,7 @@ for each change of language, labels spans. The language of a text is the one wit
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -228,10 +229,14 @@ def language(text: str, model: Model, docs: DataFrame) -> Column:
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)        # FEATURES x languages numbers
 
+    def results(batches):
+        for texts in batches:
+            done = [labelled(shared.value, run) for run in blocks(pc.fill_null(texts, "").to_pylist())]
+            yield pa.concat_arrays(done) if done else pa.array([], labelled(shared.value, [""]).type)
+
     @F.arrow_udf(RESULT)
-    def label(texts: pa.Array) -> pa.Array:
-        done = [labelled(shared.value, run) for run in blocks(pc.fill_null(texts, "").to_pylist())]
-        return pa.concat_arrays(done) if done else pa.array([], labelled(shared.value, [""]).type)
+    def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return given_back(results)(batches)
     return label(text)
 
 

@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from brisa.llm.common import remembers
+
 SPACE = "▁"
 #: Chunks and pairs of pieces that a Python worker remembers before it starts afresh.
 REMEMBERED_CHUNKS, REMEMBERED_PAIRS, LONGEST_REMEMBERED = 400_000, 1_000_000, 48
@@ -269,6 +271,9 @@ def transducer(path: str) -> Transducer:
     return read_model(path)
 
 
+remembers(transducer.cache_clear)
+
+
 def _lists(rows: list[bytes]) -> pa.Array:
     ends = np.cumsum([0] + [len(r) // 4 for r in rows], dtype=np.int64)
     if ends[-1] > 2 ** 31 - 1:
