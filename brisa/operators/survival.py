@@ -11,6 +11,7 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from brisa.constants import DAYS_PER_UNIT, MIN_AT_RISK
@@ -100,47 +101,104 @@ def nelson_aalen(df: DataFrame, time: str, event: str, by: Sequence[str] = (), s
     return run.select(*by, "tempo", "em_risco", F.col("d").alias("eventos"), "risco_acumulado")
 
 
-def _wide_by_group(df: DataFrame, time: str, event: str, group: str, groups: Sequence) -> DataFrame:
-    keep = df.dropna(subset=[time, event, group])
-    aggs = []
-    for i, g in enumerate(groups):
-        mine = F.col(group) == F.lit(g)
-        aggs += [F.count_if(mine).alias(f"n{i}"), F.count_if(mine & (F.col(event) == 1)).alias(f"d{i}")]
-    return keep.groupBy(F.col(time).cast("double").alias("tempo")).agg(*aggs)
+#: Ranges of time of the log-rank sums, and event times that a task looks at in one go.
+RANK_RANGES, RANK_TIMES = 64, 256
+
 
+def log_rank_sums(df: DataFrame, time: str, event: str, group: str) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """(groups, observed, expected, covariance) of the log-rank test.
 
-def log_rank_table(df: DataFrame, time: str, event: str, group: str) -> tuple[list, DataFrame]:
-    """(groups, one row with observed, expected and covariance sums)."""
-    groups = sorted(r[0] for r in df.select(group).dropna().distinct().collect())       # a row and column of the covariance each
+    Counts per (time, group) are dealt by ranges of time and read from late to early. What enters a
+    range is one count per range and group; inside, the shares at risk of a few hundred event times are
+    a matrix, whose product with itself the range adds to the covariance. One job does for any number
+    of groups; a task holds one block of times and groups x groups numbers.
+    """
+    keep = df.dropna(subset=[time, event, group])
+    groups = sorted(r[0] for r in keep.select(group).distinct().collect())       # a row and column of the covariance each
     if len(groups) < 2:
         raise ValueError("the test needs two groups at least")
-    k = len(groups)
-    wide = _wide_by_group(df, time, event, group, groups)
-    risk = ordered.running_sums(wide, [], "tempo", {f"r{i}": f"n{i}" for i in range(k)}, descending=True)
-    col = lambda name: F.col(name).cast("double")
-    n, d = sum((col(f"r{i}") for i in range(k)), F.lit(0.0)), sum((col(f"d{i}") for i in range(k)), F.lit(0.0))
-    risk = risk.withColumns({"__n": n, "__d": d}).filter("__d > 0")
-    scale = F.when(F.col("__n") > 1, F.col("__d") * (F.col("__n") - F.col("__d")) / (F.col("__n") - 1)).otherwise(0.0)
-    aggs = []
-    for i in range(k):
-        share = col(f"r{i}") / F.col("__n")
-        aggs += [F.sum(f"d{i}").cast("double").alias(f"o{i}"), F.sum(F.col("__d") * share).alias(f"e{i}")]
-        for j in range(i, k):
-            other = col(f"r{j}") / F.col("__n")
-            aggs.append(F.sum(scale * share * ((1 if i == j else 0) - other)).alias(f"v{i}_{j}"))
-    return groups, risk.agg(*aggs)
+    spark, k = df.sparkSession, len(groups)
+    names = spark.createDataFrame([(g, i) for i, g in enumerate(groups)], T.StructType([
+        T.StructField("__name", df.schema[group].dataType), T.StructField("g", T.IntegerType())]))
+    rows = keep.select(F.col(time).cast("double").alias("tempo"), F.col(event).alias("evento"), F.col(group).alias("__name"))
+    cells = ordered.cut(rows.join(F.broadcast(names), "__name").groupBy("tempo", "g").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("evento") == 1).alias("d")))
+    points = ordered.cut_points(cells, ["tempo"], RANK_RANGES)["tempo"]
+    base = ordered.add_bucket(cells, "tempo", points, "b")
+    later = np.zeros((len(points) + 2, k))
+    for r in base.groupBy("b", "g").agg(F.sum("n").alias("n")).toLocalIterator():
+        later[r["b"], r["g"]] = r["n"]
+    later = later[::-1].cumsum(axis=0)[::-1][1:]                                 # those in the ranges after each
+    entering = spark.sparkContext.broadcast(later)
+
+    def add(batches):
+        observed, expected, spread = np.zeros(k), np.zeros(k), np.zeros((k, k))
+        risk, at, held = None, None, None
+
+        def block(time_of, g, n, d, risk):
+            """Adds event times that are whole; the units at risk at the last of them."""
+            where = np.cumsum(np.concatenate([[0], time_of[1:] != time_of[:-1]])) if len(time_of) else time_of
+            for first in range(0, int(where[-1]) + 1, RANK_TIMES):
+                x = slice(*np.searchsorted(where, [first, first + RANK_TIMES]))
+                m = int(where[x][-1]) - first + 1
+                r = np.zeros((m, k))
+                np.add.at(r, (where[x] - first, g[x]), n[x])
+                r = risk + r.cumsum(axis=0)
+                risk = r[-1]
+                dead = np.bincount(where[x] - first, weights=d[x], minlength=m)
+                r, dead = r[dead > 0], dead[dead > 0]
+                total = r.sum(axis=1)
+                scale = np.where(total > 1, dead * (total - dead) / np.maximum(total - 1, 1), 0.0)
+                share = r / total[:, None]
+                expected[:] += dead @ share
+                spread[:] -= (share * scale[:, None]).T @ share
+                spread[np.arange(k), np.arange(k)] += scale @ share
+            return risk
+
+        def columns(batch):
+            return [np.asarray(batch.column(c)) for c in ("b", "tempo", "g", "n", "d")]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = columns(batch)
+            observed += np.bincount(now[2], weights=now[4], minlength=k)
+            now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            # the last time may go on in the next batch
+            open_ = int(np.flatnonzero((now[0] == now[0][-1]) & (now[1] == now[1][-1]))[0])
+            held = [x[open_:] for x in now]
+            now = [x[:open_] for x in now]
+            for b in np.unique(now[0])[::-1] if open_ else ():
+                mine = now[0] == b
+                risk = entering.value[b] if b != at else risk
+                at, risk = b, block(*[x[mine] for x in now[1:]], risk)
+        if held is not None:
+            block(*held[1:], entering.value[held[0][0]] if held[0][0] != at else risk)
+            i, j = np.triu_indices(k)
+            own = np.arange(k)
+            for x, y, v in ((own, np.full(k, -1), observed), (own, np.full(k, -2), expected), (i, j, spread[i, j])):
+                for first in range(0, len(x), 100_000):
+                    part = slice(first, first + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[part], pa.int32()), pa.array(y[part], pa.int32()), pa.array(v[part])], ["i", "j", "v"])
+
+    dealt = base.select("b", "tempo", "g", "n", "d").repartition("b").sortWithinPartitions(F.desc("b"), F.desc("tempo"))
+    sums = dealt.mapInArrow(add, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    observed, expected, spread = np.zeros(k), np.zeros(k), np.zeros((k, k))
+    i, j, v = (sums[c].to_numpy() for c in ("i", "j", "v"))
+    observed[i[j == -1]], expected[i[j == -2]] = v[j == -1], v[j == -2]
+    spread[i[j >= 0], j[j >= 0]] = spread[j[j >= 0], i[j >= 0]] = v[j >= 0]
+    return groups, observed, expected, spread
 
 
 def log_rank(df: DataFrame, time: str, event: str, group: str) -> dict:
-    """Chi-square test that the groups share one curve."""
-    groups, table = log_rank_table(df, time, event, group)
-    row, k = table.first(), len(groups)
-    z = np.array([row[f"o{i}"] - row[f"e{i}"] for i in range(k)])
-    v = np.array([[row[f"v{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    stat = float(z[:-1] @ np.linalg.solve(v[:-1, :-1], z[:-1]))
-    return {"estatistica": stat, "p_valor": Tails(df.sparkSession).chi2_upper(stat, k - 1),
-            "graus_liberdade": k - 1, "observado": {g: row[f"o{i}"] for i, g in enumerate(groups)},
-            "esperado": {g: row[f"e{i}"] for i, g in enumerate(groups)}}
+    """Chi-square test that the groups share one curve. Groups that no event finds at risk have no
+    part in the statistic; with fewer than two others it is 0 and has no p."""
+    groups, observed, expected, spread = log_rank_sums(df, time, event, group)
+    z = observed - expected
+    own = np.flatnonzero(spread.diagonal() > 0)[:-1]
+    stat = float(z[own] @ np.linalg.solve(spread[np.ix_(own, own)], z[own])) if len(own) else 0.0
+    return {"estatistica": stat, "p_valor": Tails(df.sparkSession).chi2_upper(stat, len(own)) if len(own) else float("nan"),
+            "graus_liberdade": len(own), "observado": dict(zip(groups, observed.tolist())), "esperado": dict(zip(groups, expected.tolist()))}
 
 
 def support_limits(df: DataFrame, time: str, event: str, by: Sequence[str], at_risk: int = MIN_AT_RISK) -> DataFrame:

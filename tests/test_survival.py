@@ -213,3 +213,32 @@ def test_split_and_preparation(spark):
     assert rows == {(0.0, 3.0, 0, 0.0), (3.0, 5.0, 1, 2.0), (0.0, 2.0, 1, 0.0)}
     raw = spark.createDataFrame([(1.0, "sim"), (0.0, "sim"), (3.0, "não"), (2.0, "?"), (None, "sim")], "t double, e string")
     assert S.prepare(raw, "t", "e", event_map={"sim": 1, "não": 0}).count() == 2
+
+
+def test_log_rank_of_many_groups(spark, monkeypatch):
+    """Against the sums over event times written out, with ties, a group that leaves before the first event, and small blocks."""
+    import numpy as np
+    import pandas as pd
+    from brisa.operators import survival
+    monkeypatch.setattr(survival, "RANK_TIMES", 7)
+    rng = np.random.default_rng(4)
+    n = 900
+    pdf = pd.DataFrame({"t": rng.integers(3, 60, n).astype(float), "e": rng.integers(0, 2, n), "g": rng.choice([f"g{i:02d}" for i in range(30)], n)})
+    pdf = pd.concat([pdf, pd.DataFrame({"t": [1.0, 2.0], "e": [0, 0], "g": ["zz", "zz"]})])
+    names = sorted(pdf["g"].unique())
+    o, e, v = np.zeros(31), np.zeros(31), np.zeros((31, 31))
+    for t in sorted(pdf.loc[pdf["e"] == 1, "t"].unique()):
+        r = np.array([((pdf["g"] == g) & (pdf["t"] >= t)).sum() for g in names], float)
+        d = np.array([((pdf["g"] == g) & (pdf["t"] == t) & (pdf["e"] == 1)).sum() for g in names], float)
+        p, dead, total = r / r.sum(), d.sum(), r.sum()
+        o, e = o + d, e + dead * p
+        v += (dead * (total - dead) / (total - 1) if total > 1 else 0) * (np.diag(p) - np.outer(p, p))
+    groups, got_o, got_e, got_v = survival.log_rank_sums(spark.createDataFrame(pdf), "t", "e", "g")
+    assert groups == names
+    np.testing.assert_allclose(got_o, o)
+    np.testing.assert_allclose(got_e, e)
+    np.testing.assert_allclose(got_v, v, atol=1e-9)
+    out = survival.log_rank(spark.createDataFrame(pdf), "t", "e", "g")
+    z = (o - e)[:29]
+    assert out["graus_liberdade"] == 29
+    assert abs(out["estatistica"] - z @ np.linalg.solve(v[:29, :29], z)) < 1e-6
