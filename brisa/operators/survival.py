@@ -11,6 +11,7 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -19,7 +20,7 @@ from brisa.functions.numeric import normal_cdf
 from brisa.functions.special import sum_inverse
 from brisa.operators import ordered
 from brisa.operators.joins import curve_lookup, step_lookup
-from brisa.session import Tails
+from brisa.session import Tails, table_in_shared_folder
 
 Z95 = 1.959963984540054
 
@@ -64,7 +65,12 @@ def _risk(table: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[float]]:
 
 def kaplan_meier(df: DataFrame, time: str, event: str, by: Sequence[str] = (), z: float = Z95) -> DataFrame:
     """(by, tempo, em_risco, eventos, censuras, sobrevivencia, ic_inferior, ic_superior)."""
-    table, points = _risk(counts(df, time, event, by), by)
+    return curve_of_counts(counts(df, time, event, by), by, z)
+
+
+def curve_of_counts(table: DataFrame, by: Sequence[str] = (), z: float = Z95) -> DataFrame:
+    """The same from rows that end and events per (by, tempo)."""
+    table, points = _risk(table, by)
     n, d = F.col("em_risco").cast("double"), F.col("d").cast("double")
     table = table.withColumns({
         "__log": F.when(n > d, F.ln(1 - d / n)).otherwise(0.0), "__zero": (n == d).cast("int"),
@@ -361,36 +367,120 @@ def parametric_fits(df: DataFrame, time: str, event: str,
 
 
 # ----------------------------------------------------------------- concordance
+#: Rows that a range of times or scores should hold, and the most ranges of a group.
+PAIR_ROWS, PAIR_RANGES = 250_000, 512
+
+
 def concordance(df: DataFrame, time: str, event: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """One row (concordantes, discordantes, empates, c_index) over all comparable
     pairs, or one for each group; a higher score means an earlier event.
 
-    Pairs are never listed. Scores are numbered; two different numbers split at
-    exactly one binary digit, so for each digit the pairs with equal higher
-    digits are counted from sums over later times.
+    Pairs are never listed. Times and scores of a group are cut in ranges of about equal size, and a
+    value with many rows is a range of its own. Pairs that differ in both ranges come from counts per
+    pair of ranges; those in one range of times, or in one of scores, are counted by the task that
+    holds it. Rows are shuffled twice, whatever their number.
     """
-    by = list(by)
-    cells = df.dropna(subset=[time, event, score]).groupBy(
-        *by, F.col(time).cast("double").alias("tempo"), F.col(score).cast("double").alias("s")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("d"))
-    cells = ordered.cut(cells)
-    numbers = ordered.row_numbers(cells.select("s").distinct(), ["s"], "i", start=0)
-    cells = cells.join(numbers, "s").drop("s")
-    top = numbers.agg(F.max("i")).first()[0] or 0
-    levels = max(int(top).bit_length(), 1)
-    points = ordered.cut_points(cells, ["tempo"])["tempo"]
-    spread = cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn(
-        "__pow", F.pow(F.lit(2.0), F.col("k")).cast("long"))
-    half = F.floor(F.col("i") / F.col("__pow"))
-    spread = spread.withColumns({"grupo": F.floor(half / 2), "alto": F.pmod(half, F.lit(2))})
-    sides = spread.groupBy(*by, "k", "grupo", "tempo").agg(*[
-        F.sum(F.when(F.col("alto") == side, F.col(c)).otherwise(0)).alias(f"{c}{side}")
-        for c in ("n", "d") for side in (0, 1)])
-    run = ordered.running_sums(sides, [*by, "k", "grupo"], "tempo", {"a0": "n0", "a1": "n1"}, descending=True, points=points)
-    pairs = run.groupBy(*by).agg(F.sum(F.col("d1") * (F.col("a0") - F.col("d0"))).alias("concordantes"),
-                                 F.sum(F.col("d0") * (F.col("a1") - F.col("d1"))).alias("discordantes"))
-    same = ordered.running_sums(cells.select(*by, "i", "tempo", "n", "d"), [*by, "i"], "tempo", {"a": "n"}, descending=True, points=points)
-    ties = same.groupBy(*by).agg(F.sum(F.col("d") * (F.col("a") - F.col("d"))).alias("empates"))
-    both = ordered.null_safe(pairs, ties, by) if by else pairs.join(F.broadcast(ties))
-    total = F.col("concordantes") + F.col("discordantes") + F.col("empates")
-    return both.withColumn("c_index", F.try_divide(F.col("concordantes") + F.col("empates") / 2, total))
+    by, spark = list(by), df.sparkSession
+    rows = table_in_shared_folder(df.dropna(subset=[time, event, score]).select(
+        *by, F.col(time).cast("double").alias("__t"), F.col(score).cast("double").alias("__s"),
+        F.col(event).cast("long").alias("__e")), "pares")
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    largest = sizes.agg(F.max("__n")).first()[0] or 0
+    n = min(max(-(-largest // PAIR_ROWS), 4), PAIR_RANGES)
+    probs = [i / n for i in range(1, n)]
+    found = rows.groupBy(*by).agg(*[F.percentile_approx(c, probs, 10_000).alias(c) for c in ("__t", "__s")]).collect()
+    found = [r for r in found if r["__t"]]
+    points = [(_range_points(r["__t"]), _range_points(r["__s"])) for r in found]
+    names = T.StructType([*[df.schema[c] for c in by], T.StructField("__g", T.IntegerType())])
+    groups = spark.createDataFrame([(*[r[c] for c in by], i) for i, r in enumerate(found)], names)
+    numbered = ordered.null_safe(rows, F.broadcast(groups), by) if by else rows.withColumn("__g", F.lit(0))
+
+    def place(frames):
+        for x in frames:
+            t, s, g = x["__t"].to_numpy(), x["__s"].to_numpy(), x["__g"].to_numpy()
+            out = {k: np.zeros(len(x), np.int32) for k in ("a", "b")} | {k: np.zeros(len(x), bool) for k in ("one_a", "one_b")}
+            for i in np.unique(g):
+                mine = g == i
+                for k, value, (cuts, single) in (("a", t, points[i][0]), ("b", s, points[i][1])):
+                    out[k][mine] = at = np.searchsorted(cuts, value[mine], side="right")
+                    out[f"one_{k}"][mine] = single[at]
+            yield x.assign(**out)
+
+    schema = "__g int, __t double, __s double, __e long, a int, b int, one_a boolean, one_b boolean"
+    placed = table_in_shared_folder(numbered.select("__g", "__t", "__s", "__e").mapInPandas(place, schema), "faixas")
+    grid = placed.groupBy("__g", "a", "b", "one_a", "one_b").agg(F.count(F.lit(1)).alias("n"), F.sum("__e").alias("d"))
+    sums = "__g int, c long, x long, e long"
+    apart = grid.groupBy("__g").applyInPandas(_pairs_of_ranges, sums)
+    # a score that is a range of its own is one row per time here; the pairs of one time with one score are in the grid
+    alone = placed.filter("one_b AND NOT one_a").groupBy("__g", "a", "b", "__t", "__s").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("__e").alias("d"))
+    spread = placed.filter("NOT one_b").select("__g", "a", F.when(F.col("one_a"), F.col("b")).otherwise(F.lit(-1)).alias("b"),
+                                               "__t", "__s", F.lit(1).cast("long").alias("n"), F.col("__e").alias("d"))
+    one_time = spread.unionByName(alone.withColumn("b", F.lit(-1))).groupBy("__g", "a", "b").applyInPandas(
+        lambda x: _pairs_inside(x, "__t", False), sums)
+    one_score = placed.filter("NOT one_b").select("__g", "a", "b", "__s", F.lit(1).cast("long").alias("n"), F.col("__e").alias("d")).groupBy(
+        "__g", "b").applyInPandas(lambda x: _pairs_inside(x, "a", True), sums)
+    total = apart.unionByName(one_time).unionByName(one_score).groupBy("__g").agg(*[F.sum(k).alias(k) for k in "cxe"])
+    got = {r["__g"]: (r["c"], r["x"], r["e"]) for r in total.collect()}        # three numbers for each group
+    out = [(*[r[c] for c in by], *got[i]) for i, r in enumerate(found)] or ([] if by else [(None, None, None)])
+    fields = [T.StructField(c, T.LongType()) for c in ("concordantes", "discordantes", "empates")]
+    both = spark.createDataFrame(out, T.StructType([*[df.schema[c] for c in by], *fields]))
+    pairs = F.col("concordantes") + F.col("discordantes") + F.col("empates")
+    return both.withColumn("c_index", F.try_divide(F.col("concordantes") + F.col("empates") / 2, pairs))
+
+
+def _range_points(values: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """(ends of ranges, which ranges hold a single value) from quantiles: one that comes twice is a value
+    with many rows and gets its own range."""
+    unique, times = np.unique(np.asarray(values, float), return_counts=True)
+    points = np.unique(np.concatenate([unique, np.nextafter(unique[times > 1], np.inf)]))
+    single = np.zeros(len(points) + 1, bool)
+    single[1:-1] = points[1:] == np.nextafter(points[:-1], np.inf)
+    return points, single
+
+
+def _pair_sums(g, c, x, e):
+    return pd.DataFrame({"__g": np.array([g], np.int32), "c": [int(c)], "x": [int(x)], "e": [int(e)]})
+
+
+def _pairs_of_ranges(cells):
+    """Pairs of rows in different ranges, and those of a range with one value, from counts per (a, b)."""
+    a, b = cells["a"].to_numpy(), cells["b"].to_numpy()
+    n, d = np.zeros((a.max() + 2, b.max() + 2), np.int64), np.zeros((a.max() + 2, b.max() + 2), np.int64)
+    n[a, b], d[a, b] = cells["n"], cells["d"]
+    one_a, one_b = np.zeros(len(n), bool), np.zeros(n.shape[1], bool)
+    one_a[a], one_b[b] = cells["one_a"], cells["one_b"]
+    later = n[::-1].cumsum(axis=0)[::-1] - n                         # rows of later ranges of time
+    rival = later + np.where(one_a[:, None], n - d, 0)               # at one time, those without event
+    below = rival.cumsum(axis=1) - rival
+    above = rival.sum(axis=1, keepdims=True) - below - rival
+    same = np.where(one_b, later + np.where(one_a[:, None], n - d, 0), 0)
+    return _pair_sums(cells["__g"].iloc[0], (d * below).sum(), (d * above).sum(), (d * same).sum())
+
+
+def _pairs_inside(rows, time: str, strict: bool):
+    """Pairs among rows (time, score, n rows, d events). Two numbers of scores split at exactly one binary
+    digit, so for each digit the pairs with equal higher digits are counted from sums over later times.
+    With `strict` rows of equal time make no pair, else an event meets those that end without one."""
+    rows = rows.sort_values(time, ascending=False, kind="stable")
+    t, n, d = rows[time].to_numpy(), rows["n"].to_numpy(), rows["d"].to_numpy()
+    rank = np.unique(rows["__s"].to_numpy(), return_inverse=True)[1].astype(np.int64)
+
+    def meet(group, low, events):
+        """Sum over `events` of the `low` rows of their group that they can be compared with."""
+        order = np.argsort(group, kind="stable")
+        g, u, w, leave, d_ = group[order], t[order], (n * low)[order], ((n if strict else d) * low)[order], (d * events)[order]
+        new_group = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        new_run = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (u[1:] != u[:-1])]))
+        until = np.concatenate([[0], w.cumsum()])
+        ends = np.concatenate([new_run[1:], [len(g)]])
+        start = new_group[np.searchsorted(new_group, new_run, side="right") - 1]
+        rivals = until[ends] - until[start] - np.add.reduceat(leave, new_run)
+        return int((np.add.reduceat(d_, new_run) * rivals).sum())
+
+    every, all_ = np.ones(len(t), np.int64), np.zeros(len(t), np.int64)
+    pairs, ties, up = meet(all_, every, every), meet(rank, every, every), 0
+    for k in range(int(rank.max()).bit_length()):
+        high = (rank >> k) & 1
+        up += meet(rank >> (k + 1), 1 - high, high)
+    return _pair_sums(rows["__g"].iloc[0], up, pairs - ties - up, ties)
