@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from brisa.constants import EARTH_RADIUS_KM, MAX_CLIMATE_KM
 from brisa.functions.numeric import haversine_km
@@ -203,9 +203,58 @@ def _back_to_rows(queries: DataFrame, found: DataFrame, at: str, by: Sequence[st
     return ordered.null_safe(keyed, found, [*by, "__curve_t"], "left")
 
 
+#: Points of a curve up to which it travels to the tasks.
+SMALL_CURVE = 100_000
+
+
+def _small_curve(queries: DataFrame, curve: DataFrame, at: str, time: str, value: str, by: Sequence[str], line: bool,
+                 name: str) -> DataFrame | None:
+    """Rows with the value of a curve of few points, found by each task in the points themselves, so that
+    no row is shuffled; None for a larger curve, or one with values that are null or not a number."""
+    by, spark = list(by), queries.sparkSession
+    rows = curve.filter(F.col(time).isNotNull()).select(
+        *by, F.col(time).cast("double").alias("__ct"), F.col(value).cast("double").alias("__cv")).limit(SMALL_CURVE + 1).collect()
+    if len(rows) > SMALL_CURVE or any(r["__cv"] is None or r["__cv"] != r["__cv"] for r in rows):
+        return None
+    found: dict = {}
+    for r in rows:
+        found.setdefault(tuple(r[c] for c in by), []).append((r["__ct"], r["__cv"]))
+    points = spark.sparkContext.broadcast([np.array(sorted(x)).T for x in found.values()])
+
+    @F.pandas_udf("double")
+    def look(t: pd.Series, g: pd.Series) -> pd.Series:
+        t, g, out = t.to_numpy(float), g.to_numpy(), np.full(len(t), np.nan)
+        for i in np.unique(g[g >= 0]):
+            mine = g == i
+            x, v = points.value[int(i)]
+            u = t[mine]
+            after = np.searchsorted(x, u, side="right")
+            before = np.maximum(after - 1, 0)
+            if line:
+                after = np.minimum(after, len(x) - 1)
+                inside = (after > before) & (u > x[before])
+                step = np.where(inside, x[after] - x[before], 1.0)
+                out[mine] = np.where(inside, v[before] + (v[after] - v[before]) * (np.where(inside, u, 0.0) - np.where(inside, x[before], 0.0)) / step, v[before])
+            else:
+                out[mine] = np.where(after > 0, v[before], np.nan)
+        return pd.Series(out)
+
+    keyed = queries.withColumn("__at", F.col(at).cast("double"))
+    if by:
+        schema = T.StructType([*[curve.schema[c] for c in by], T.StructField("__g", T.IntegerType())])
+        groups = spark.createDataFrame([(*k, i) for i, k in enumerate(found)], schema)
+        keyed = ordered.null_safe(keyed, F.broadcast(groups), by, "left")
+    else:
+        keyed = keyed.withColumn("__g", F.lit(0 if found else -1))
+    return keyed.withColumn(name, F.when(F.col("__at").isNotNull(), look("__at", F.coalesce("__g", F.lit(-1)))))
+
+
 def step_lookup(queries: DataFrame, curve: DataFrame, at: str, time: str, value: str,
                 by: Sequence[str] = (), name: str = "valor", before: float | None = None) -> DataFrame:
     """Value of a step curve at a time: the last point at or before it."""
+    small = _small_curve(queries, curve, at, time, value, by, False, "__v")
+    if small is not None:
+        return small.select(*queries.columns, F.when(F.col("__at").isNotNull(), F.coalesce("__v", F.lit(before).cast("double"))).alias(name))
     found = _curve_scan(queries, curve, at, time, value, by, ahead=False)
     result = F.when(F.col("__curve_t").isNotNull(), F.coalesce(F.col("__lo_pt.v"), F.lit(before).cast("double")))
     return _back_to_rows(queries, found, at, by).select(*queries.columns, result.alias(name))
@@ -214,6 +263,9 @@ def step_lookup(queries: DataFrame, curve: DataFrame, at: str, time: str, value:
 def curve_lookup(queries: DataFrame, curve: DataFrame, at: str, time: str, value: str,
                  by: Sequence[str] = (), name: str = "valor") -> DataFrame:
     """Value of a curve at a time by linear interpolation; both ends clamp."""
+    small = _small_curve(queries, curve, at, time, value, by, True, "__v")
+    if small is not None:
+        return small.select(*queries.columns, F.col("__v").alias(name))
     found = _curve_scan(queries, curve, at, time, value, by, ahead=True)
     p, n, t = F.col("__lo_pt"), F.col("__hi_pt"), F.col("__curve_t")
     line = (F.when(p.isNull(), n["v"]).when(n.isNull(), p["v"])
