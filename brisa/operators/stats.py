@@ -15,7 +15,7 @@ from brisa.functions.numeric import hash_unit, normal_cdf
 from brisa.operators import ordered
 from brisa.operators.cleaning import is_numeric, numeric_columns
 from brisa.operators.profile import corrected_shape
-from brisa.session import Tails
+from brisa.session import Tails, table_in_shared_folder
 
 
 # ----------------------------------------------------------------- correlation
@@ -415,6 +415,16 @@ def poisson_copies(u: Column) -> Column:
     return out
 
 
+def _draws(df: DataFrame, column: str, key: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """(v, replica, u): the draw of every row in every resample. Rows are dealt to all cores first, as a small
+    file in one task is much work here; a draw is hashed once and then is a value, however often it is compared."""
+    v = F.col(column).cast("double")
+    rows = df.filter(v.isNotNull()).select(*key, v.alias("v")).repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *key)
+    draw = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: F.struct(
+        r.alias("replica"), hash_unit(*[F.col(k) for k in key], r, seed=seed).alias("u")))
+    return rows.select("v", F.inline(draw))
+
+
 def bootstrap(df: DataFrame, column: str, key: Sequence[str], replicates: int = 200, seed: int = 42) -> DataFrame:
     """(replica, n, soma, soma2): weighted sums of every resample.
 
@@ -422,10 +432,7 @@ def bootstrap(df: DataFrame, column: str, key: Sequence[str], replicates: int =
     of its key. Sums close inside each task, so what is shuffled is one row per
     resample and task, whatever the size of the data.
     """
-    v = F.col(column).cast("double")
-    rows = df.filter(v.isNotNull()).select(*key, v.alias("v"), F.explode(
-        F.sequence(F.lit(1), F.lit(replicates))).alias("replica"))
-    w = poisson_copies(hash_unit(*[F.col(k) for k in key], F.col("replica"), seed=seed))
+    rows, w = _draws(df, column, key, replicates, seed), poisson_copies(F.col("u"))
     return rows.withColumn("w", w).groupBy("replica").agg(
         F.sum("w").cast("long").alias("n"), F.sum(F.col("w") * F.col("v")).alias("soma"),
         F.sum(F.col("w") * F.col("v") * F.col("v")).alias("soma2"))
@@ -455,11 +462,10 @@ def bootstrap_interval(df: DataFrame, column: str, key: Sequence[str], statistic
 
 
 def bootstrap_median(df: DataFrame, column: str, key: Sequence[str], replicates: int = 200, seed: int = 42) -> DataFrame:
-    """(replica, valor): weighted median of every resample."""
-    rows = df.filter(F.col(column).isNotNull()).select(*key, F.col(column).cast("double").alias("v"), F.explode(
-        F.sequence(F.lit(1), F.lit(replicates))).alias("replica"))
-    w = rows.withColumn("w", poisson_copies(hash_unit(*[F.col(k) for k in key], F.col("replica"), seed=seed))).filter("w > 0")
-    return ordered.quantiles_wide(w.select("replica", "v", "w"), "v", {"valor": 0.5}, ["replica"], weight="w")
+    """(replica, valor): weighted median of every resample. The resamples are drawn and written once."""
+    w = _draws(df, column, key, replicates, seed).withColumn("w", poisson_copies(F.col("u"))).filter(F.col("u") >= POISSON_ONE[0])
+    drawn = table_in_shared_folder(w.select("replica", "v", "w"), "reamostras")
+    return ordered.quantiles_wide(drawn, "v", {"valor": 0.5}, ["replica"], weight="w")
 
 
 def ab_test(df: DataFrame, variant: str, converted: str, a, b, alpha: float = 0.05) -> dict:
