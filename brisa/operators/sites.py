@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from brisa.constants import LATITUDE_RANGE, LONGITUDE_RANGE, SOURCE_BY_REGISTRY_CODE, SUBSYSTEM_BY_STATE
+from brisa.constants import EARTH_RADIUS_KM, LATITUDE_RANGE, LONGITUDE_RANGE, SOURCE_BY_REGISTRY_CODE, SUBSYSTEM_BY_STATE
 from brisa.functions.numeric import haversine_km
 from brisa.functions.text import clean_text, map_code, slug, to_number
 from brisa.operators import ordered
@@ -54,46 +56,83 @@ def _cells(df: DataFrame, lat: str, lon: str, km: float, around: bool, name: str
     return df
 
 
+#: Plants that come to the driver in one round, and groups they may come from.
+OFFERS, GROUPS = 16_384, 256
+
+
+def _far(plant, taken: list, min_km: float) -> bool:
+    """No place of `taken` lies within `min_km` of the plant; an unknown place is near to none."""
+    if not taken or plant["latitude"] is None or plant["longitude"] is None:
+        return True
+    places = np.array([(t["latitude"], t["longitude"]) for t in taken], dtype=float)
+    (a, o), (la, lo) = np.radians([plant["latitude"], plant["longitude"]]), np.radians(places).T
+    h = np.sin((la - a) / 2) ** 2 + np.cos(a) * np.cos(la) * np.sin((lo - o) / 2) ** 2
+    return not (2 * EARTH_RADIUS_KM * np.arcsin(np.minimum(np.sqrt(h), 1.0)) < min_km).any()
+
+
 def choose(cand: DataFrame, per_group: int = 1, min_group_mw: float = 50.0, min_km: float = 50.0) -> DataFrame:
     """Largest plants of each relevant (source, state), none within `min_km` of a
-    chosen one. Groups go by total power; plants by power, then code.
+    chosen one. Groups go by total power; plants by power, then code, then place.
 
-    Instead of one plant after the other, every open group offers its best plant
-    in each round. An offer stands when no group before it still has a plant that
-    near, so the result is the one of the strict order.
+    Each round the first open groups offer their best plants, a bounded number in all, and
+    the offers are gone through in the strict order as far as they settle it: up to the first group
+    that wants more plants than it offered. Plants near to the new points then leave the pool.
     """
-    group = ["fonte", "id_estado"]
+    group, spark = ["fonte", "id_estado"], cand.sparkSession
     totals = (cand.groupBy(*group).agg(F.sum("potencia_mw").alias("total")).filter(F.col("total") >= min_group_mw))
     # the order of groups: larger total first, then name
     pool = cand.join(totals, group).withColumn("vez", F.struct((-F.col("total")).alias("t"), *group))
-    pool = cut(pool.withColumn("rank", F.struct((-F.col("potencia_mw")).alias("p"), F.col("ceg"))))
-    columns, chosen = pool.columns, None
+    pool = pool.withColumn("rank", F.struct((-F.col("potencia_mw")).alias("p"), "ceg", "latitude", "longitude"))
+    columns, place = pool.columns, ["vez", "latitude", "longitude"]
+    if min_km > 0:          # of the plants of a group at one place only the first can be chosen
+        lost = F.when(F.col("latitude").isNull() | F.col("longitude").isNull(), F.col("rank")).alias("__lost")
+        rest = [c for c in columns if c not in place]
+        pool = pool.groupBy(*place, lost).agg(F.min_by(F.struct(*rest), "rank").alias("r")).select(*place, "r.*")
+    pool = cut(pool.select(*columns))
+    schema, names, chosen = pool.schema, pool.select(*group).schema, None
+    wanted = defaultdict(lambda: per_group)
     while True:
-        leaders = pool.groupBy("vez").agg(F.min_by(F.struct(*[c for c in columns if c != "vez"]), "rank")
-                                          .alias("r")).select("vez", "r.*")
-        rivals = (_cells(leaders.select(F.col("vez").alias("qv"), F.col("ceg").alias("qc"),
-                                        F.col("latitude").alias("qa"), F.col("longitude").alias("qo")),
-                         "qa", "qo", min_km, True, "k")
-                  .join(_cells(pool.select("vez", "latitude", "longitude"), "latitude", "longitude", min_km, False,
-                               "k"), ["k0", "k1", "k2"])
-                  .filter((F.col("vez") < F.col("qv"))
-                          & (haversine_km(*[F.col(c) for c in ("latitude", "longitude", "qa", "qo")]) < min_km))
-                  .select(F.col("qc").alias("ceg")).distinct())
-        taken = cut(leaders.join(rivals, "ceg", "left_anti").select(*columns))
-        if taken.isEmpty():
+        heads = pool.groupBy("vez", *group).agg(F.count(F.lit(1)).alias("n")).orderBy("vez").limit(GROUPS).collect()
+        if not heads:
+            break
+        per = max(OFFERS // len(heads), 1)
+        keys = spark.createDataFrame([tuple(h[c] for c in group) for h in heads], names)
+        offers = defaultdict(list)
+        for r in (pool.join(F.broadcast(keys), group, "left_semi")
+                  .withColumn("__i", F.row_number().over(W.partitionBy("vez").orderBy("rank"))).filter(F.col("__i") <= per)
+                  .orderBy("vez", "__i").select(*columns).collect()):
+            offers[r["fonte"], r["id_estado"]].append(r)
+        taken, settled, halfway = [], [], None
+        for h in heads:
+            key = h["fonte"], h["id_estado"]
+            for plant in offers[key]:
+                if not wanted[key]:
+                    break
+                if _far(plant, taken, min_km):
+                    taken.append(plant)
+                    wanted[key] -= 1
+            if wanted[key] > 0 and h["n"] > len(offers[key]):
+                halfway = offers[key][-1]
+                break
+            settled.append(key)
+        points = spark.createDataFrame(taken, schema)
+        chosen = cut(points if chosen is None else chosen.unionByName(points))
+        if halfway is None and len(heads) < GROUPS:
             break
-        chosen = taken if chosen is None else chosen.unionByName(taken)
-        # plants of full groups and plants too near to the new points leave the pool
-        near = _cells(taken.select(F.col("latitude").alias("qa"), F.col("longitude").alias("qo")),
-                      "qa", "qo", min_km, True, "k")
-        blocked = (_cells(pool.select("ceg", "latitude", "longitude"), "latitude", "longitude", min_km, False, "k")
-                   .join(near, ["k0", "k1", "k2"])
-                   .filter(haversine_km(*[F.col(c) for c in ("latitude", "longitude", "qa", "qo")]) < min_km)
-                   .select("ceg"))
-        full = (chosen.groupBy("vez").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= per_group).select("vez"))
-        pool = cut(pool.join(blocked.unionByName(taken.select("ceg")), "ceg", "left_anti")
-                   .join(full, "vez", "left_anti").select(*columns))
-    points = (taken if chosen is None else chosen).drop("vez", "rank", "total").withColumn(
+        # what is settled or near to the new points leaves the pool
+        if settled:
+            pool = pool.join(F.broadcast(spark.createDataFrame(settled, names)), group, "left_anti")
+        if halfway is not None:
+            last = spark.createDataFrame([(halfway["vez"], halfway["rank"])], T.StructType(
+                [T.StructField("__v", schema["vez"].dataType), T.StructField("__r", schema["rank"].dataType)]))
+            pool = pool.join(F.broadcast(last), (F.col("vez") == F.col("__v")) & (F.col("rank") <= F.col("__r")), "left_anti")
+        near = _cells(points.select(F.col("latitude").alias("qa"), F.col("longitude").alias("qo")), "qa", "qo", min_km, True, "k")
+        cells = _cells(pool, "latitude", "longitude", min_km, False, "k")
+        close = (haversine_km(cells["latitude"], cells["longitude"], near["qa"], near["qo"]) < min_km)
+        for i in range(3):
+            close = close & (cells[f"k{i}"] == near[f"k{i}"])
+        pool = cut(cells.join(near, close, "left_anti").select(*columns))
+    points = (pool if chosen is None else chosen).drop("vez", "rank", "total").withColumn(
         "local", slug(F.concat_ws("_", "municipio", "id_estado")))
     repeated = points.groupBy("local").agg(F.count(F.lit(1)).alias("__n"))
     return points.join(repeated, "local").select(

@@ -161,3 +161,36 @@ def test_sites_equal_one_by_one(spark):
     out = sites.choose(df, per_group=3, min_group_mw=50.0, min_km=60.0).collect()
     assert sorted(r["ceg"] for r in out) == sorted(chosen)
     assert len({r["local"] for r in out}) >= 2
+
+
+def test_sites_take_few_jobs_and_few_offers(spark, monkeypatch):
+    """Many plants at few places, and groups that want more plants than a round offers."""
+    rnd = random.Random(5)
+    spots = [(rnd.uniform(-20, -4), rnd.uniform(-45, -36)) for _ in range(300)]
+    rows = [(rnd.choice(["solar", "eolica"]), rnd.choice(["BA", "RN", "CE", "PI", "MA", "PB"]), "NE", round(rnd.uniform(1, 60), 1),
+             f"c{i:04d}", f"n{i}", *spots[i % 300], "Lapa") for i in range(1500)]
+    df = spark.createDataFrame(rows, "fonte string, id_estado string, id_subsistema string, potencia_mw double, ceg string, "
+                               "usina_referencia string, latitude double, longitude double, municipio string").cache()
+    calls, cut = [], sites.cut
+    monkeypatch.setattr(sites, "cut", lambda x: (calls.append(1), cut(x))[1])
+    whole = sites.choose(df, per_group=4, min_km=120.0).collect()
+    assert len(calls) <= 3          # one round settles all groups
+    monkeypatch.setattr(sites, "OFFERS", 24)
+    monkeypatch.setattr(sites, "GROUPS", 5)
+    parts = sites.choose(df, per_group=4, min_km=120.0).collect()
+    chosen, place = [], {r[4]: (math.radians(r[6]), math.radians(r[7])) for r in rows}
+
+    def far(x, y):
+        (a1, o1), (a2, o2) = place[x], place[y]
+        h = math.sin((a2 - a1) / 2) ** 2 + math.cos(a1) * math.cos(a2) * math.sin((o2 - o1) / 2) ** 2
+        return 2 * 6371 * math.asin(math.sqrt(h)) >= 120
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[:2], []).append(r)
+    for key in sorted(groups, key=lambda k: (-sum(r[3] for r in groups[k]), k)):
+        got = 0
+        for r in sorted(groups[key], key=lambda r: (-r[3], r[4])):
+            if got < 4 and all(far(r[4], c) for c in chosen):
+                chosen.append(r[4])
+                got += 1
+    assert sorted(r["ceg"] for r in whole) == sorted(r["ceg"] for r in parts) == sorted(chosen)
