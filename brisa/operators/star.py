@@ -69,7 +69,8 @@ def link_by_name(sets: DataFrame, plants: DataFrame) -> DataFrame:
     free plant of its longest prefix that still has one. Pairs of set and plant
     are never made: sets and plants meet at nodes (state, source, prefix). In
     each round a set settles when no other open set comes before it on any plant
-    it could take; rounds go on until no open set has a free plant.
+    it could take; rounds go on until no open set has a free plant. Plants of one
+    state and source with the same name fare alike: rounds see each name once.
 
     `sets`: chave_unidade, id_estado, fonte, nucleo. `plants`: ceg, id_estado,
     fonte, nome_normalizado.
@@ -83,7 +84,14 @@ def link_by_name(sets: DataFrame, plants: DataFrame) -> DataFrame:
                      F.explode(_prefixes(F.col("nucleo"))).alias("__p"))
              .select("chave_unidade", "id_estado", "fonte", "vez", "__p.*"))
     nodes = wants.select(*node).distinct()
-    offers = (plants.filter(F.col("nome_normalizado").isNotNull())
+    # a plant listed under several names stands for itself
+    known = plants.filter(F.col("nome_normalizado").isNotNull())
+    name = F.struct("id_estado", "fonte", "nome_normalizado")
+    single = known.groupBy("ceg").agg((F.min(name) == F.max(name)).alias("__um"))
+    known = known.join(single, "ceg").withColumn(
+        "__classe", F.struct(F.when(~F.col("__um"), F.col("ceg")).alias("ceg"), F.when(F.col("__um"), name).alias("nome")))
+    known = cut(known.select("ceg", "id_estado", "fonte", "nome_normalizado", "__classe"))
+    offers = (known.select(F.col("__classe").alias("ceg"), "id_estado", "fonte", "nome_normalizado").distinct()
               .select("ceg", "id_estado", "fonte", F.explode(_runs(F.col("nome_normalizado"))).alias("trecho"))
               .filter(F.length("trecho") >= MIN_CORE_LENGTH)
               .join(nodes, node, "left_semi"))
@@ -108,8 +116,11 @@ def link_by_name(sets: DataFrame, plants: DataFrame) -> DataFrame:
             F.col("ceg").alias("ceg_aneel"), "chave_unidade", F.lit("nome").alias("metodo_vinculo"),
             F.col("trecho").alias("nucleo_usado")))
         if taken.isEmpty():
-            return taken if links is None else links
+            break
         links = taken if links is None else links.unionByName(taken)
+    found = (taken if links is None else links).withColumnRenamed("ceg_aneel", "__de")
+    return known.select("ceg", "__classe").distinct().join(found, F.col("ceg").isNotNull() & F.col("__classe").eqNullSafe(F.col("__de"))).select(
+        F.col("ceg").alias("ceg_aneel"), "chave_unidade", "metodo_vinculo", "nucleo_usado")
 
 
 def link_units(units: DataFrame, registry: DataFrame) -> DataFrame:

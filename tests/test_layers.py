@@ -239,3 +239,16 @@ def test_validation_reports_everything(curated):
         validate.validate({"dim_usina": dim, "fato_geracao": fact})
     text = str(error.value)
     assert "faixa (potencia_mw)" in text and "orfao (usina_id)" in text and "nulos (fonte)" in text
+
+
+def test_names_are_linked_once_for_all_plants_that_share_them(spark, monkeypatch):
+    sets = [("k1", "BA", "eolica", "serra azul"), ("k2", "BA", "eolica", "serra azul norte"), ("k3", "RN", "eolica", "campo largo")]
+    names = [("BA", "parque serra azul norte um"), ("BA", "parque serra azul dois"), ("RN", "usina campo largo"), ("RN", "usina morro")]
+    rows = [(f"c{i:03d}", *names[i % 4]) for i in range(200)] + [("c900", *names[0]), ("c900", *names[1]), ("c901", "BA", None)]
+    s = spark.createDataFrame(sets, "chave_unidade string, id_estado string, fonte string, nucleo string")
+    p = spark.createDataFrame([(c, u, "eolica", n) for c, u, n in rows], "ceg string, id_estado string, fonte string, nome_normalizado string")
+    sizes, cut = [], star.cut
+    monkeypatch.setattr(star, "cut", lambda df: (lambda out: (sizes.append((out.columns, out.count())), out)[1])(cut(df)))
+    got = sorted((r["ceg_aneel"], r["chave_unidade"]) for r in star.link_by_name(s, p).collect())
+    assert max(n for columns, n in sizes if "trecho" in columns) < 20       # the rounds see names, not plants
+    assert got == sorted([(f"c{i:03d}", ("k2", "k1", "k3")[i % 4]) for i in range(200) if i % 4 < 3] + [("c900", "k2")])
