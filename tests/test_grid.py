@@ -158,3 +158,14 @@ def test_numeric_operators_without_values(spark):
         edges = cleaning.bin_edges(df, "v", method)
         assert edges == [] and df.select(numeric.bin_of(F.col("v"), edges).alias("b")).first()["b"] is None
     assert profile.column_profile(df, "v")["outliers_iqr"] == 0
+
+
+def test_no_frame_runs_to_the_end_of_a_series(spark):
+    """Such a frame is read again for every row: its cost grows with the square of a chunk."""
+
+    df = spark.createDataFrame([("a", i, float(i) if i % 7 == 0 else None) for i in range(40)], "k string, i int, v double")
+    near = ordered.neighbours(df, ["k"], "i", ["v"], F.floor(F.col("i") / 10))
+    plan = near._jdf.queryExecution().analyzed().toString()
+    assert "unboundedfollowing" not in plan
+    got = {r["i"]: (r["__before_v"], r["__after_v"]) for r in near.collect()}
+    assert got == {i: (float(i // 7 * 7), float(-(-i // 7) * 7) if i <= 35 else None) for i in range(40)}
