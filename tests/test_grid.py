@@ -169,3 +169,19 @@ def test_no_frame_runs_to_the_end_of_a_series(spark):
     assert "unboundedfollowing" not in plan
     got = {r["i"]: (r["__before_v"], r["__after_v"]) for r in near.collect()}
     assert got == {i: (float(i // 7 * 7), float(-(-i // 7) * 7) if i <= 35 else None) for i in range(40)}
+
+
+def test_gap_numbers_across_chunks(spark):
+    """Gaps over one and several chunks, at both ends, and a time with two rows, against plain counting."""
+    rows = []
+    for key, known, last in (("a", {5, 700, 719, 720, 3000, 3001}, 3100), ("b", set(), 800), ("c", {0, 1439, 1440, 2159}, 2160)):
+        rows += [(key, T0 + timedelta(hours=i), 1.0 if i in known else None) for i in range(last)]
+    rows += [("a", T0 + timedelta(hours=700), None), ("a", T0 + timedelta(hours=720), 2.0)]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, v double")
+    got = sorted((r["k"], r["t"], r["v"] or 0.0, r["sequencia"], r["tamanho_gap"]) for r in grid.gap_groups(df, "k", "t", "v").collect())
+    times = {k: sorted({t for x, t, v in rows if x == k and v is not None}) for k in "abc"}
+    number = [(k, t, v, sum(x <= t for x in times[k])) for k, t, v in rows]
+    size = {}
+    for k, t, v, s in number:
+        size[k, s] = size.get((k, s), 0) + (v is None)
+    assert got == sorted((k, t, v or 0.0, s, size[k, s] if v is None else 0) for k, t, v, s in number)
