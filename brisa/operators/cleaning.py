@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from brisa.functions.numeric import hash_unit
 from brisa.functions.quality import check_rows  # noqa: F401  (part of the cleaning API)
 from brisa.operators import ordered
+from brisa.session import cut
 from brisa.sources.readers import POSITION, with_position
 
 
@@ -227,20 +228,33 @@ def ordinal_encode(df: DataFrame, order: Mapping[str, Sequence]) -> DataFrame:
     return df.withColumns(changes)
 
 
+#: Categories up to which their table travels to the tasks.
+FEW_CATEGORIES = 10_000
+
+
+def _by_category(df: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """Add `__s` of the category of each row; `table` has one row per category: __v, __s and its rows, __n.
+    Rows of a category are never brought together in one task: few categories travel, of many the heavy ones."""
+    table = cut(table.filter("__v is not null"))
+    if table.limit(FEW_CATEGORIES + 1).count() <= FEW_CATEGORIES:
+        return df.join(F.broadcast(table.select("__v", "__s")), df[column] == F.col("__v"), "left").drop("__v")
+    total = table.agg(F.sum("__n")).first()[0]
+    known = ordered.attach_by_value(df.withColumn("__v", F.col(column)), table, "__v", "__n", total)
+    return known.select(*df.columns, "__s").unionByName(
+        df.filter(F.col(column).isNull()).withColumn("__s", F.lit(None).cast(table.schema["__s"].dataType)))
+
+
 def frequency_encode(df: DataFrame, column: str) -> DataFrame:
     """Replace a value by its share among the non-null rows."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n").alias("__t"))
-    shares = counts.join(F.broadcast(total)).select(
-        F.col(column).alias("__v"), (F.col("__n") / F.col("__t")).alias("__s"))
-    return (df.join(shares, df[column] == F.col("__v"), "left")
-            .withColumn(column, F.col("__s")).drop("__v", "__s"))
+    shares = counts.join(F.broadcast(total)).select("__v", "__n", (F.col("__n") / F.col("__t")).alias("__s"))
+    return _by_category(df, shares, column).withColumn(column, F.col("__s")).drop("__s")
 
 
 def target_encode(df: DataFrame, column: str, target: str) -> DataFrame:
-    means = df.groupBy(F.col(column).alias("__v")).agg(F.avg(target).alias("__m"))
-    return (df.join(means, df[column] == F.col("__v"), "left")
-            .withColumn(column, F.col("__m")).drop("__v", "__m"))
+    means = df.groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__n"), F.avg(target).alias("__s"))
+    return _by_category(df, means, column).withColumn(column, F.col("__s")).drop("__s")
 
 
 # ---------------------------------------------------------------------- scales

@@ -185,3 +185,22 @@ def test_gap_numbers_across_chunks(spark):
     for k, t, v, s in number:
         size[k, s] = size.get((k, s), 0) + (v is None)
     assert got == sorted((k, t, v or 0.0, s, size[k, s] if v is None else 0) for k, t, v, s in number)
+
+
+def test_rows_of_a_category_stay_in_their_tasks(spark, monkeypatch):
+    rows = [(i, None if i % 50 == 0 else "a" if i % 3 else f"x{i}", float(i % 11)) for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, c string, y double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = [cleaning.frequency_encode(df, "c"), cleaning.target_encode(df, "c", "y")]
+        assert all("BroadcastHashJoin" in x._jdf.queryExecution().executedPlan().toString() for x in few)
+        monkeypatch.setattr(cleaning, "FEW_CATEGORIES", 5)
+        many = [cleaning.frequency_encode(df, "c"), cleaning.target_encode(df, "c", "y")]
+        pdf = pd.DataFrame(rows, columns=["i", "c", "y"])
+        share, mean = pdf["c"].map(pdf["c"].value_counts(normalize=True)), pdf["c"].map(pdf.groupby("c")["y"].mean())
+        for freq, target in (few, many):
+            np.testing.assert_allclose(freq.orderBy("i").toPandas()["c"], share)
+            np.testing.assert_allclose(target.orderBy("i").toPandas()["c"].astype(float), mean)
+            assert freq.columns == target.columns == df.columns
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
