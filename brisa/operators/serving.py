@@ -23,9 +23,15 @@ def daily_generation(fact: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
         F.count_if(F.col("flag_qualidade") != "faltante").alias("horas_validas"))
 
 
+def _dealt(fact: DataFrame) -> DataFrame:
+    """Rows dealt to a fixed number of tasks by unit and hour. Repeated hours compress so well that a
+    shuffle sized by its bytes gives few tasks, whose table of units and hours grows without bound."""
+    return fact.repartition(ordered.bucket_count(fact), "usina_id", "timestamp_utc")
+
+
 def national_hourly(fact: DataFrame) -> DataFrame:
     """Hour x source x region: energy and distinct units."""
-    return fact.groupBy("timestamp_utc", "fonte", "regiao").agg(
+    return _dealt(fact).groupBy("timestamp_utc", "fonte", "regiao").agg(
         F.sum("energia_mwh").alias("energia_mwh"), F.count_distinct("usina_id").alias("usinas"))
 
 
