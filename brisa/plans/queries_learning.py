@@ -18,7 +18,8 @@ def _lines(spark, sf):
 
 
 def _features(spark, sf, label):
-    return M.vectorise(_lines(spark, sf), COLS).withColumn("label", F.col(label).cast("double"))
+    rows = M.vectorise(_lines(spark, sf), COLS).withColumn("label", F.col(label).cast("double"))
+    return rows.select(*dict.fromkeys([*KEY, *COLS]), "features", "label")      # what fits keep in memory
 
 
 _U = "('0x' || substr(md5(concat_ws('|', '42', o_orderkey::VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0"
