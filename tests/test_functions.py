@@ -244,3 +244,12 @@ def test_gamma_curve_at_large_shapes():
 def test_modes_of_all_columns_in_one_pass(spark):
     df = spark.createDataFrame([("a", 1, None), ("b", 2, None), ("b", None, None), ("a", 2, None)], "x string, y int, z string")
     assert cleaning.modes(df, ["x", "y", "z"]) == {"x": "a", "y": 2, "z": None} and cleaning.modes(df, []) == {}
+
+
+def test_units_of_an_hour_are_counted_in_a_fixed_number_of_tasks(spark):
+    from datetime import datetime
+    rows = [(u % 7, datetime(2024, 1, 1, u % 5), 1.0, "solar", "NE") for u in range(70)]
+    fact = spark.createDataFrame(rows, "usina_id long, timestamp_utc timestamp_ntz, energia_mwh double, fonte string, regiao string")
+    out = serving.national_hourly(fact)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["energia_mwh"], r["usinas"]) for r in out.collect()) == [(14.0, 7)] * 5
