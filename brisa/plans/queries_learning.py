@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from brisa.operators import ml as M
+from brisa.operators import cells, ml as M
 from brisa.plans.adapters import rounded, table
 from brisa.plans.registry import query
 
@@ -96,8 +96,8 @@ def searched_parameters(spark, sf):
 
 @query("ML7")
 def forest_importances(spark, sf):
-    data = _features(spark, sf, "l_extendedprice").cache()
-    forest = RandomForestRegressor(numTrees=50, maxDepth=5, seed=42).fit(data)
+    data = _features(spark, sf, "l_extendedprice")
+    forest = cells.fit_forest(data, COLS, "regressao", trees=50, depth=5, seed=42)
     native = spark.createDataFrame(M.importances(forest, COLS), "feature string, nativa double")
     dealt = M.permutation_importances(forest, data, COLS, KEY, "regressao", repeats=3)
     return native.join(dealt, "feature")
