@@ -2,7 +2,8 @@
 
 A Newton step is one job. Rows give exp(x.b) sums per (stratum, time); risk sets
 are sums over later times, made range by range; events give score and
-information. Only sums of the size of the covariates reach the driver.
+information. Where times seldom repeat the rows are laid out by ranges once and a
+step shuffles nothing. Only sums of the size of the covariates reach the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import AFTSurvivalRegression
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from brisa.constants import HORIZON_MONTHS, MODEL_COVARIATES
 from brisa.functions.numeric import hash_unit
 from brisa.functions.special import sum_inverse, sum_inverse_square, sum_log
+from brisa.functions.weights import pairs as _pairs, risk_weights
 from brisa.operators import ordered
 from brisa.operators.joins import curve_lookup, step_lookup
 from brisa.operators.survival import Z95, concordance, kaplan_meier
@@ -66,10 +69,6 @@ class CoxModel:
                                      "p_valor double")
 
 
-def _pairs(p: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(p) for j in range(i, p)]
-
-
 def _staged(df: DataFrame, time: str, event: str, covariates: Sequence[str], strata: Sequence[str] = (),
             entry: str | None = None, cluster: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """The rows of a fit, (keep, strata, t, t0, id, e, c0..), written once: what lies before them, a join
@@ -98,6 +97,7 @@ class _Data:
              for i, (m, s) in enumerate(zip(self.means, self.scale))]
         self.rows = base.select(*self.strata, "t", *(["t0"] if entry else []), *(["id"] if cluster else []), "e", *x)
         self.points = ordered.cut_points(self.rows, ["t"])["t"]
+        self.laid: _Laid | None = None
 
     def scored(self, beta: np.ndarray) -> DataFrame:
         """Rows with x.b and exp(x.b). Coefficients come as a one-row table, not as
@@ -125,6 +125,8 @@ class _Data:
 
     def step(self, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Log-likelihood, score and information at beta, ties by Efron's rule."""
+        if self.laid:
+            return self.laid.step(beta)
         at, aggs = self.terms(beta)
         return self.read(at.agg(*aggs).first())
 
@@ -159,6 +161,8 @@ class _Data:
     def cluster_meat(self, beta: np.ndarray) -> np.ndarray:
         """Sum over clusters of the squared sum of score residuals."""
         p = self.p
+        if self.laid:
+            return self.laid.meat(beta)
         at = self.per_time(beta, second=False)
         dh = F.when(F.col("d") > 0, F.col("d") / F.col("Rs")).otherwise(0.0)
         at = at.withColumn("dh", dh).withColumns({
@@ -183,6 +187,140 @@ class _Data:
         return np.array([[row[f"w{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], float)
 
 
+class _Laid:
+    """Rows of a fit laid out once: entries (-1) and ends (+1) by stratum and range of time, a range whole
+    in one task and sorted. A step reads them twice and shuffles nothing: sums per range, then the terms
+    of each range with what lies after it. `of` gives None where a time has very many rows, so that sums
+    per time do better, or where a range would be too large for a task."""
+
+    ROWS_PER_TIME, MAX_RANGES, FEW_ROWS = 1000, 20_000, 250_000
+
+    def __init__(self, marks: DataFrame, p: int, ranges: Sequence[tuple], cluster: bool):
+        self.marks, self.p, self.cluster = marks, p, cluster
+        strata: dict = {}
+        for g, stratum, _ in ranges:                # ranges come in the order of time
+            strata.setdefault(stratum, []).append(g)
+        self.strata, self.n = list(strata.values()), len(ranges)
+
+    @classmethod
+    def of(cls, data: _Data) -> _Laid | None:
+        first, times, n = data.rows.agg(F.min(F.when(F.col("e") > 0, F.col("t"))), F.approx_count_distinct(F.struct(*data.strata, "t")),
+                                        F.count(F.lit(1))).first()
+        if first is None or times * cls.ROWS_PER_TIME < n:
+            return None
+        x = [f"x{i}" for i in range(data.p)]
+        keep = [*data.strata, *(["id"] if data.cluster else [])]
+        marks = data.rows.select(*keep, F.col("t").alias("__t"), F.lit(1.0).alias("__s"), "e", *x)
+        if data.entry:          # entries before the first event of all change no risk set
+            marks = marks.unionByName(data.rows.filter(F.col("t0") >= first).select(
+                *keep, F.col("t0").alias("__t"), F.lit(-1.0).alias("__s"), F.lit(0.0).alias("e"), *x))
+        marks = ordered.add_bucket(marks, "__t", data.points, "__b")
+        sizes = marks.groupBy(*data.strata, "__b").agg(F.count(F.lit(1)).alias("__n")).limit(cls.MAX_RANGES + 1).collect()
+        parts = ordered.bucket_count(data.rows)
+        fair = 4 * sum(r["__n"] for r in sizes) / parts
+        if len(sizes) > cls.MAX_RANGES or max(r["__n"] for r in sizes) > max(fair, cls.FEW_ROWS):
+            return None
+        sizes.sort(key=lambda r: r["__b"])
+        ranges = [(g, tuple(r[c] for c in data.strata), r["__b"]) for g, r in enumerate(sizes)]
+        kinds = marks.schema
+        names = data.rows.sparkSession.createDataFrame([(*k, b, g) for g, k, b in ranges], ", ".join(
+            [*[f"`{c}` {kinds[c].dataType.simpleString()}" for c in data.strata], "__b int", "__g int"]))
+        marks = ordered.null_safe(marks, F.broadcast(names), [*data.strata, "__b"]).select(
+            "__g", "__t", "__s", "e", *x, *(["id"] if data.cluster else []))
+        return cls(ordered.cut(marks.repartition(parts, "__g").sortWithinPartitions("__g", "__t")), data.p, ranges, bool(data.cluster))
+
+    def _run(self, work, schema: str, kept: Sequence[str] = ()) -> DataFrame:
+        """`work(g, t, s, e, x, the kept columns)` for each range, which gives lists of columns."""
+        p, names = self.p, [*["__g", "__t", "__s", "e"], *[f"x{i}" for i in range(self.p)]]
+
+        def run(batches):
+            batches = [b for b in batches if b.num_rows]
+            if not batches:
+                return
+            table = pa.Table.from_batches(batches)
+            g, t, s, e, *x = (table.column(c).to_numpy() for c in names)
+            x = np.array(x).reshape(p, len(g))
+            ends = [*(np.flatnonzero(np.diff(g)) + 1), len(g)]
+            for a, z in zip([0, *ends], ends):
+                out = work(int(g[a]), t[a:z], s[a:z], e[a:z], x[:, a:z], table.slice(a, z - a))
+                if out is not None:
+                    yield from pa.table(out).to_batches()
+        return self.marks.select(*names, *kept).mapInArrow(run, schema)
+
+    def _after(self, beta: np.ndarray, second: bool) -> np.ndarray:
+        """For each range what the later ranges of its stratum add to the sums over the risk set."""
+        def sums(g, t, s, e, x, _):
+            return {"g": [g], "v": [risk_weights(beta, s, x, second)[1].sum(axis=1)]}
+        return self._others(self._run(sums, "g long, v array<double>"), last_first=True)
+
+    def _others(self, per_range: DataFrame, last_first: bool) -> np.ndarray:
+        rows = {r["g"]: np.array(r["v"]) for r in per_range.collect()}       # a row per range, MAX_RANGES at most
+        out = np.zeros((self.n, len(next(iter(rows.values())))))
+        for stratum in self.strata:
+            total = np.zeros(out.shape[1])
+            for g in reversed(stratum) if last_first else stratum:
+                out[g], total = total, total + rows[g]
+        return out
+
+    def step(self, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        p, pairs, after = self.p, _pairs(self.p), self._after(beta, True)
+
+        def terms(g, t, s, e, x, _):
+            xb, w = risk_weights(beta, s, x, True)
+            at = np.flatnonzero(np.diff(t, prepend=np.nan) != 0)
+            risk = np.cumsum(w[:, ::-1], axis=1)[:, ::-1][:, at] + after[g][:, None]
+            d = np.add.reduceat(e, at)
+            hit = np.flatnonzero(d > 0)
+            if not len(hit):
+                return None
+            q = np.add.reduceat(e * w, at, axis=1)[:, hit]
+            d, risk = d[hit].astype(int), risk[:, hit]
+            which = np.repeat(np.arange(len(d)), d)                      # one column per event
+            share = (np.arange(len(which)) - np.repeat(np.cumsum(d) - d, d)) / d[which]
+            left = risk[:, which] - share * q[:, which]
+            mean = left[1:] / left[0]
+            ll = (e * xb).sum() - np.log(left[0]).sum()
+            u = (e * x).sum(axis=1) - mean[:p].sum(axis=1)
+            info = [mean[p + k].sum() - (mean[i] * mean[j]).sum() for k, (i, j) in enumerate(pairs)]
+            return {"g": [g], "v": [np.array([ll, *u, *info])]}
+        rows = self._run(terms, "g long, v array<double>").collect()          # a row per range
+        total = np.sum([r["v"] for r in sorted(rows, key=lambda r: r["g"])], axis=0)
+        info = np.zeros((p, p))
+        for k, (i, j) in enumerate(pairs):
+            info[i, j] = info[j, i] = total[1 + p + k]
+        return float(total[0]), total[1:1 + p], info
+
+    def meat(self, beta: np.ndarray) -> np.ndarray:
+        p, after = self.p, self._after(beta, False)
+
+        def hazard(g, t, s, e, x):
+            """Per row: r, mean of the risk set at its time, hazard and hazard x mean of the range up to it."""
+            _, w = risk_weights(beta, s, x, False)
+            at = np.flatnonzero(np.diff(t, prepend=np.nan) != 0)
+            risk = np.cumsum(w[:, ::-1], axis=1)[:, ::-1][:, at] + after[g][:, None]
+            d = np.add.reduceat(e, at)
+            mean = np.divide(risk[1:], risk[0], out=np.zeros((p, len(at))), where=d > 0)
+            dh = np.divide(d, risk[0], out=np.zeros(len(at)), where=d > 0)
+            run = np.cumsum(np.vstack([dh, dh * mean]), axis=1)
+            place = np.repeat(np.arange(len(at)), np.diff([*at, len(t)]))
+            return np.abs(w[0]), mean[:, place], run[:, place]
+
+        def sums(g, t, s, e, x, _):
+            return {"g": [g], "v": [hazard(g, t, s, e, x)[2][:, -1]]}
+        before = self._others(self._run(sums, "g long, v array<double>"), last_first=False)
+
+        def residuals(g, t, s, e, x, table):
+            r, mean, run = hazard(g, t, s, e, x)
+            run = run + before[g][:, None]
+            v = e * (x - mean) - s * r * (x * run[0] - run[1:])
+            return {"id": table.column("id").combine_chunks(), **{f"v{i}": v[i] for i in range(p)}}
+        kind = self.marks.schema["id"].dataType.simpleString()
+        rows = self._run(residuals, ", ".join([f"id {kind}", *[f"v{i} double" for i in range(p)]]), ["id"])
+        units = rows.groupBy("id").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(p)])
+        row = units.agg(*[F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"w{i}_{j}") for i, j in _pairs(p)]).first()
+        return np.array([[row[f"w{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], float)
+
+
 def _penalty(beta: np.ndarray, weight: float, l1: float) -> float:
     return weight * float(l1 * np.abs(beta).sum() + 0.5 * (1 - l1) * (beta ** 2).sum())
 
@@ -211,7 +349,9 @@ def fit(df: DataFrame, time: str, event: str, covariates: Sequence[str], *, stra
     deviation one.
     """
     base = _staged(df, time, event, covariates, strata, entry, cluster)
-    return _fit(_Data(base, len(covariates), strata, entry, cluster), covariates, penalty, l1_ratio, with_baseline)
+    data = _Data(base, len(covariates), strata, entry, cluster)
+    data.laid = _Laid.of(data)
+    return _fit(data, covariates, penalty, l1_ratio, with_baseline)
 
 
 def _fit(data: _Data, covariates: Sequence[str], penalty: float = 0.0, l1_ratio: float = 0.0, with_baseline: bool = False) -> CoxModel:

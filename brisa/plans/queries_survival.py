@@ -8,6 +8,7 @@ from brisa.operators import cox, recurrent as R, survival as S
 from brisa.plans import adapters as A
 from brisa.plans.adapters import rounded, table
 from brisa.plans.registry import query
+from brisa.session import side_by_side
 
 X = ["quantidade", "desconto", "imposto", "log_preco"]
 
@@ -234,10 +235,10 @@ Z = ["log_potencia", "tipo_s"]
 @query("RE2 RE3 RE4 SV16")
 def recurrent_fits(spark, sf):
     """Andersen-Gill and both conditional models side by side."""
-    p = R.add_strata(A.panel(spark, sf)).cache()
-    fits = {"andersen_gill": R.andersen_gill(p, Z, with_baseline=False), "pwp_total": R.pwp_total(p, Z, with_baseline=False),
-            "pwp_gap": R.pwp_gap(p, Z, with_baseline=False)}
-    return R.compare_fits(fits, spark)
+    p = R.add_strata(A.panel(spark, sf).cache())
+    fits = {"andersen_gill": R.andersen_gill, "pwp_total": R.pwp_total, "pwp_gap": R.pwp_gap}
+    models = side_by_side(spark, lambda name: fits[name](p, Z, with_baseline=False), list(fits))
+    return R.compare_fits(dict(zip(fits, models)), spark)
 
 
 @query("RE5")
