@@ -10,6 +10,9 @@ signature (pigeonhole). The `spare` ones allow a set to leave out the signatures
 which many sets share; only the rare sets with more than `spare` of them index those too. Exact,
 loose and spare are chosen for each band by the cost of signatures and of expected chance meetings.
 
+Few signatures are met by another. Which are is found first, from a few bytes of each; only those
+travel as rows, with their set.
+
 Sets are compared once for each distinct set, not for each copy. Members of a signature are first
 compared with its smallest member only; a second round compares members that these links leave in
 different components. What is left out are pairs whose ends are already connected, so components
@@ -36,6 +39,12 @@ SKETCH = 16
 #: Members of a signature that one task compares with as many others.
 BLOCK = 2048
 CLASS = "doc_id long, n long, lo long, hi long, sketch array<long>"
+SIGNED = "key long, lo long, often boolean"
+#: First bits of a signature by which all signatures are dealt when the repeated ones are looked for.
+BUCKET_BITS = 12
+#: Most bits of a map of repeated signatures (64 MB). With more signatures than it holds well, more
+#: rows pass it that no other row meets; they cost room and change nothing.
+MOST_MARKS = 1 << 29
 
 
 @dataclass(frozen=True)
@@ -146,26 +155,121 @@ def classes(docs: DataFrame, words: int) -> DataFrame:
     return staged(docs.mapInArrow(given_back(describe), CLASS), "sets")
 
 
+def _signed_sets(batches, words: int, plan: list[Band], most: int):
+    """(keys, first hash of the set of each key) of the sets of all texts, about `most` keys at once."""
+    signatures = Signatures(plan)
+    for batch in batches:
+        keys, lo, held = [], [], 0
+        for s in wordhash.shingle_sets(batch.column(1), words):
+            if len(s):
+                keys.append(signatures.of(s))
+                lo.append(np.full(len(keys[-1]), described_lo(s), np.int64))
+                held += len(keys[-1])
+            if held > most:
+                yield np.concatenate(keys), np.concatenate(lo)
+                keys, lo, held = [], [], 0
+        if keys:
+            yield np.concatenate(keys), np.concatenate(lo)
+
+
+def _split(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each key, and the 32 bits of it that follow."""
+    return (keys >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), (keys >> np.uint64(32 - BUCKET_BITS)).astype(np.uint32)
+
+
+def repeated_keys(docs: DataFrame, words: int, plan: list[Band]) -> DataFrame:
+    """(bucket, twice, thrice): of each bucket the 32-bit remainders that two or more, and that three or
+    more signatures have. Nearly all signatures are met by no other: this finds those that are for four
+    bytes each in the shuffle, without the row that a key and its set would be. Staged."""
+    def pack(batches):
+        for found in _runs(_signed_sets(batches, words, plan, 1 << 17), 1 << 20):
+            keys = np.sort(found)
+            keys = keys[np.concatenate([np.ones(min(3, len(keys)), bool), keys[3:] != keys[:-3]])]      # a fourth tells nothing new
+            bucket, rest = _split(keys)
+            at = np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1))
+            some = np.flatnonzero(np.diff(at))
+            offsets = np.append(at[some], len(keys)).astype(np.int32) * 4
+            packed = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(rest.astype("<u4"))])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), packed], ["bucket", "packed"])
+
+    def repeated(batches):
+        for g in groups(batches, ("bucket",)):
+            rest = np.sort(np.frombuffer(b"".join(g.column("packed").to_pylist()), "<u4"))
+            often = [np.unique(rest[k:][rest[k:] == rest[:-k]]).tobytes() for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([g.column("bucket")[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in often)],
+                                             ["bucket", "twice", "thrice"])
+    dealt = docs.mapInArrow(given_back(pack), "bucket int, packed binary").repartition("bucket").sortWithinPartitions("bucket")
+    return staged(dealt.mapInArrow(given_back(repeated), "bucket int, twice binary, thrice binary"), "repeated")
+
+
+def _runs(signed, most: int):
+    """Keys of a stream of (keys, sets), `most` or more at once."""
+    held, n = [], 0
+    for keys, _ in signed:
+        held.append(keys)
+        n += len(keys)
+        if n >= most:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+class Marks:
+    """Which keys may be repeated: two bits per key in a map of bounded size, which rules out most others."""
+
+    def __init__(self, repeated: DataFrame, column: str):
+        n = repeated.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0] // 4
+        most = min(MOST_MARKS, max(8 << BUCKET_BITS, 1 << (16 * n).bit_length()))
+        bits = self.bits = most.bit_length() - 1 - BUCKET_BITS             # of the place in a bucket
+        self.n = n
+
+        def slices(batches):
+            for batch in batches:
+                for bucket, rest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    on, rest = np.zeros(1 << bits, np.uint8), np.frombuffer(rest, "<u4")
+                    for place in Marks.places(rest, bits):
+                        on[place] = 1
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
+        self.map = np.zeros((1 << BUCKET_BITS, (1 << bits) // 8), np.uint8)
+        told = repeated.filter(F.octet_length(column) > 0).select("bucket", column).mapInArrow(given_back(slices), "bucket int, bits binary")
+        for r in told.toLocalIterator():                                  # MOST_MARKS bits at most
+            self.map[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+        self.map = self.map.reshape(-1)
+
+    @staticmethod
+    def places(rest: np.ndarray, bits: int):
+        yield (rest >> np.uint32(32 - bits)).astype(np.int64)
+        yield ((rest * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Is each key marked?"""
+        bucket, rest = _split(keys)
+        found = np.arange(len(keys))
+        for probe in (0, 1):
+            place = (bucket[found] << self.bits) + [*Marks.places(rest[found], self.bits)][probe]
+            found = found[(self.map[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0]
+        out = np.zeros(len(keys), bool)
+        out[found] = True
+        return out
+
+
 def signature_rows(docs: DataFrame, words: int, plan: list[Band]) -> DataFrame:
-    """(key, lo): the signatures of every row's set, and the first hash of the set."""
+    """(key, lo, often): the signatures that several rows have, and a few more, with the first hash of
+    the set of the row. Those that three or more rows have, and a few more, are marked `often`. Staged."""
+    repeated = repeated_keys(docs, words, plan)
+    twice, thrice = Marks(repeated, "twice"), Marks(repeated, "thrice")
+    if not twice.n:
+        return docs.sparkSession.createDataFrame([], SIGNED)
+    marks = docs.sparkSession.sparkContext.broadcast((twice, thrice))
+
     def emit(batches):
-        signatures = Signatures(plan)
-        for batch in batches:
-            keys, lo, held = [], [], 0
-            for s in wordhash.shingle_sets(batch.column(1), words):
-                if len(s):
-                    keys.append(signatures.of(s))
-                    lo.append(np.full(len(keys[-1]), described_lo(s), np.int64))
-                    held += len(keys[-1])
-                if held > 200_000:
-                    yield rows(keys, lo)
-                    keys, lo, held = [], [], 0
-            if keys:
-                yield rows(keys, lo)
-
-    def rows(keys, lo):
-        return pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(lo))], ["key", "lo"])
-    return docs.mapInArrow(given_back(emit), "key long, lo long")
+        twice, thrice = marks.value
+        for keys, lo in _signed_sets(batches, words, plan, 200_000):
+            kept = np.flatnonzero(twice.of(keys))
+            if len(kept):
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(keys[kept])), pa.array(lo[kept]), pa.array(thrice.of(keys[kept]))], ["key", "lo", "often"])
+    return staged(docs.mapInArrow(given_back(emit), SIGNED), "signatures")
 
 
 def described_lo(s: np.ndarray) -> int:
@@ -255,10 +359,13 @@ def _joined(docs: DataFrame, rows: DataFrame, sets: DataFrame, words: int, num:
     same_id = own.join(several, "doc_id").select("a", F.col("doc").alias("b")).filter("a <> b").distinct()
     signed = signature_rows(texts, words, plan)
 
-    met = staged(signed.groupBy("key").agg(F.min("lo").alias("first"), F.bit_xor("lo").alias("both"), F.count("*").alias("n")).filter("n > 1"), "met")
-    two = met.filter("n = 2").select("first", F.col("first").bitwiseXOR(F.col("both")).alias("other"))
-    many = staged(met.filter("n > 2").select("key", "first"), "many")
-    members = staged(signed.join(small(many), "key").select("key", "lo", "first"), "members")
+    met = signed.groupBy("key").agg(F.min("lo").alias("first"), F.bit_xor("lo").alias("both"), F.count("*").alias("n"))
+    met = met.filter("n > 2 or n = 2 and both <> 0").select(F.when(F.col("n") > 2, F.col("key")).alias("key"), "first",
+                                                           F.when(F.col("n") == 2, F.col("first").bitwiseXOR(F.col("both"))).alias("other"))
+    met = staged(met, "met")
+    two = met.filter("other is not null").select("first", "other")
+    many = staged(met.filter("key is not null").select("key", "first"), "many")
+    members = staged(signed.filter("often").join(small(many), "key").select("key", "lo", "first"), "members")
     candidates = two.unionAll(members.select("first", F.col("lo").alias("other"))).filter("first <> other").distinct()
     first = linked(docs, _plausible_pairs(candidates, sets, num, den), words, num, den)
     first = staged(first.unionAll(same_id), "links")

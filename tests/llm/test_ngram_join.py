@@ -110,3 +110,35 @@ def test_one_document_of_each_component_stays(spark):
     empty = df.limit(0)
     assert op7.one_of_each(empty).count() == 0 and op7.ngram_components(empty).count() == 0
     assert wordhash.BLOCK > 0
+
+
+def test_only_signatures_that_meet_travel_as_rows(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(rng.choice((3, 20, 90, 300)))) for _ in range(60)]
+    texts += [texts[0], texts[5] + " y", texts[6] + " y", texts[6] + " z", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    plan = [op7.planned(b, 100) for b in op7.bands(400, 80, 100)]
+    signatures, want = op7.Signatures(plan), {}
+    for text in texts:
+        for s in wordhash.shingle_sets(op7.pa.array([text], op7.pa.string()), 5):
+            for key in signatures.of(s).view(np.int64).tolist():
+                want.setdefault(key, []).append(op7.described_lo(s))
+    repeated = {k: sorted(v) for k, v in want.items() if len(v) > 1}
+    got, often = {}, set()
+    for r in op7.signature_rows(df, 5, plan).collect():
+        got.setdefault(r.key, []).append(r.lo)
+        often |= {r.key} if r.often else set()
+    assert repeated and {k: sorted(got.get(k, [])) for k in repeated} == repeated
+    assert {k for k, v in repeated.items() if len(v) > 2} <= often
+    assert sum(map(len, got.values())) < 1.1 * sum(map(len, repeated.values())) < 0.5 * sum(map(len, want.values()))
+
+
+def test_a_full_map_of_marks_loses_no_signature(spark, monkeypatch):
+    monkeypatch.setattr(op7, "MOST_MARKS", 8 << op7.BUCKET_BITS)        # most places are marked, few keys are ruled out
+    df = table(spark, SF, "documents").limit(300)
+    assert got(df, 3, 90, 100) == brute([(r.doc_id, r.text) for r in df.collect()], 3, 90, 100)
+
+
+def test_no_signature_is_repeated(spark):
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "f g h i j k l")], "doc_id long, text string")
+    assert got(df, 3, 90, 100) == [("1", 3, "1"), ("2", 5, "2")]
