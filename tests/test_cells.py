@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.regression import RandomForestRegressor
 
 from brisa.operators import cells, ml
@@ -58,3 +59,44 @@ def test_equal_mixed_rows_are_predicted_once(spark):
     rmse = -ml.score(transform(cells.vectorise(df, X)), "regressao")
     assert abs(ml._mixed_scores(model, df.selectExpr("-1 AS __which", *X, "label"), X, "regressao")[-1] + rmse) < 1e-9
     assert loss["a"] > loss["b"] > abs(loss["c"])
+
+
+def compared(spark, df, kind, models, monkeypatch, seen=None):
+    """Scores by model, and those of the same models that see every row."""
+    def told(models):
+        return {r["modelo"]: (r["score_medio"], r["score_std"], r["falha"]) for r in ml.compare_models(df, ["k"], kind, models, k=3).collect()}
+    for made in {type(m) for m in models.values() if hasattr(m, "copy")} if seen is not None else ():
+        def watched(self, d, fit=made.fit, made=made):
+            seen.setdefault(made.__name__, []).append(d.count())
+            return fit(self, d)
+        monkeypatch.setattr(made, "fit", watched)
+    got = told(models)
+    monkeypatch.undo()
+    monkeypatch.setattr(cells, "fold_cells", lambda *a: None)
+    return got, told(models)
+
+
+def test_classes_are_compared_on_cells_and_score_like_the_rows(spark, monkeypatch):
+    df = table(spark).withColumn("label", (ml.F.col("label") + 17 * (ml.F.col("k") % 5 == 0).cast("int") > 35).cast("int"))
+    df, seen = cells.vectorise(df, X), {}
+    models = {"base": ml._Constant("classificacao"), "logistica": LogisticRegression(maxIter=50), "arvore": DecisionTreeClassifier(seed=1),
+              "floresta": RandomForestClassifier(numTrees=8, featureSubsetStrategy="all", seed=1)}
+    got, rows = compared(spark, df, "classificacao", models, monkeypatch, seen)
+    assert max(max(s) for s in seen.values()) <= 2 * 3 * 120 and len(seen["RandomForestClassifier"]) == 3 * 8
+    for name in ("base", "logistica", "arvore"):
+        assert np.allclose(got[name][:2], rows[name][:2], atol=1e-6), name
+    assert abs(got["floresta"][0] - rows["floresta"][0]) < 0.03
+
+
+def test_rows_of_a_fold_draw_for_themselves(spark):
+    df = ml.with_folds(cells.vectorise(table(spark), X), ["k"], 3)
+    for kind, label in (("regressao", "label"), ("classificacao", "a")):
+        equal = cells.fold_cells(df.withColumn("label", ml.F.col(label)), kind, 3)
+        group = [*equal.columns, *(["label"] if kind == "classificacao" else [])]
+        numbered = cells.table_in_shared_folder(cells.ordered.row_numbers(equal.flat.select(*group).distinct(), group, "cela", start=0), "celulas")
+        drawn = equal._drawn(numbered, 120, 40, 5).groupBy("arvore").agg({"peso": "sum", "soma": "sum"}).collect()
+        copies = np.array([r["sum(peso)"] for r in drawn])
+        assert len(copies) == 40 and abs(copies.mean() - 4000) < 50 and 35 < copies.std() < 100
+        mean = df.agg({label: "avg"}).first()[0]
+        assert abs(np.mean([r["sum(soma)"] / r["sum(peso)"] for r in drawn]) / mean - 1) < 0.02
+        equal.unpersist()
