@@ -1,6 +1,6 @@
 import numpy as np
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 
 from brisa.operators import cells, ml
 
@@ -76,6 +76,19 @@ def compared(spark, df, kind, models, monkeypatch, seen=None):
     return got, told(models)
 
 
+def test_numbers_are_compared_on_cells_and_score_like_the_rows(spark, monkeypatch):
+    df, seen = cells.vectorise(table(spark), X), {}
+    models = {"base": ml._Constant("regressao"), "reta": LinearRegression(), "ridge": LinearRegression(regParam=5.0, elasticNetParam=0.0),
+              "lasso": LinearRegression(regParam=5.0, elasticNetParam=1.0), "arvore": DecisionTreeRegressor(seed=1),
+              "boosting": GBTRegressor(maxIter=3, seed=1), "floresta": RandomForestRegressor(numTrees=8, featureSubsetStrategy="all", seed=1)}
+    got, rows = compared(spark, df, "regressao", models, monkeypatch, seen)
+    assert set(seen) == {"LinearRegression", "DecisionTreeRegressor", "GBTRegressor", "RandomForestRegressor"}
+    assert max(max(s) for s in seen.values()) <= 2 * 3 * 120 and len(seen["RandomForestRegressor"]) == 3 * 8
+    for name in ("base", "reta", "ridge", "lasso", "arvore", "boosting"):
+        assert np.allclose(got[name][:2], rows[name][:2], rtol=1e-6, atol=1e-6), name
+    assert abs(got["floresta"][0] - rows["floresta"][0]) < 0.2 and all(v[2] is None for v in (*got.values(), *rows.values()))
+
+
 def test_classes_are_compared_on_cells_and_score_like_the_rows(spark, monkeypatch):
     df = table(spark).withColumn("label", (ml.F.col("label") + 17 * (ml.F.col("k") % 5 == 0).cast("int") > 35).cast("int"))
     df, seen = cells.vectorise(df, X), {}
@@ -88,6 +101,20 @@ def test_classes_are_compared_on_cells_and_score_like_the_rows(spark, monkeypatc
     assert abs(got["floresta"][0] - rows["floresta"][0]) < 0.03
 
 
+def test_models_that_count_rows_see_rows(spark, monkeypatch):
+    df, seen = cells.vectorise(table(spark), X), {}
+    models = {"dez": DecisionTreeRegressor(minInstancesPerNode=10, seed=1), "huber": LinearRegression(loss="huber", maxIter=5)}
+    got, rows = compared(spark, df, "regressao", models, monkeypatch, seen)
+    assert min(min(s) for s in seen.values()) > 2000
+    assert all(np.allclose(got[m][:2], rows[m][:2]) for m in models)
+
+
+def test_a_label_that_is_missing_is_still_a_failure(spark, monkeypatch):
+    df = cells.vectorise(table(spark).withColumn("label", ml.F.when(ml.F.col("k") != 7, ml.F.col("label"))), X)
+    got, rows = compared(spark, df, "regressao", {"reta": LinearRegression(), "base": ml._Constant("regressao")}, monkeypatch)
+    assert got["reta"][2] and rows["reta"][2] and got["base"] == rows["base"]
+
+
 def test_rows_of_a_fold_draw_for_themselves(spark):
     df = ml.with_folds(cells.vectorise(table(spark), X), ["k"], 3)
     for kind, label in (("regressao", "label"), ("classificacao", "a")):
